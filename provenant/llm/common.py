@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of text in one Arrow batch; bounds what a Python worker holds at a time.
 TEXT_ROWS_PER_BATCH = 1000
@@ -50,3 +51,12 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
                 yield fn(batch.slice(at, TEXT_ROWS_PER_BATCH))
 
     return df.mapInArrow(run, schema)
+
+
+#: Most rows of a few integers that are broadcast; about 40 MB as a hash table.
+FEW_ROWS = 1_000_000
+
+
+def few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """`df`, to be broadcast if it has at most `rows` rows (of a written table; the bound fits their width); else left to a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.llm import bpe, fingerprint, mixing, secrets, topk
+from provenant.llm import bpe, fingerprint, html_text, jaccard, langid, licenses, mixing, secrets, topk, warc
 from provenant.llm.common import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -20,6 +20,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(encoded)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -30,7 +35,7 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text, through a ledger of blobs."""
     docs = table(spark, sf_dir, "documents")
     found = secrets.scan(docs, secrets.fresh_ledger(docs), first=True)
-    counts = [F.size(F.filter("findings", lambda f, k=rule.kind: f["kind"] == k)).cast("long").alias(f"n_{rule.kind}") for rule in secrets.BASE]
+    counts = [secrets.kind_count(rule.kind).alias(f"n_{rule.kind}") for rule in secrets.BASE]
     base = secrets.spans_text("findings", tuple(rule.kind for rule in secrets.BASE))
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(base, 256).alias("base_sha256"), secrets.spans_text("findings").alias("spans"), "blob")
 
@@ -40,19 +45,41 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_following(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle counts and components of similar texts."""
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best rows for every fiftieth vector."""
     vectors = table(spark, sf_dir, "embeddings")
     return topk.search(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that the units of every text match."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_byte_bpe, op3_source_mix, op4_secret_ledger, op5_fingerprint, op9_top_k]
+    own = [op1_byte_bpe, op2_html_text, op3_source_mix, op4_secret_ledger, op5_fingerprint, op6_warc, op7_language, op8_jaccard, op9_top_k, op10_licenses]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_top_k": TOP_K_SQL}
+    return {"op9_top_k": TOP_K_SQL, "op10_licenses": licenses.oracle_sql()}
 
 
 TOP_K_SQL = """

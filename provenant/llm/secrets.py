@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenant.llm.common import map_arrow, new_path
@@ -143,6 +143,10 @@ def join_back(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULE
     return blobs(docs, key, text).join(found, "blob", "left").select("path", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
+def kind_count(kind: str, findings: str = "findings") -> Column:
+    return F.size(F.filter(findings, lambda f: f["kind"] == kind)).cast("long")
+
+
 def spans_text(findings: str, kinds: tuple[str, ...] | None = None):
     """kind:start:end, comma-joined."""
     of = F.col(findings) if kinds is None else F.filter(findings, lambda f: f["kind"].isin(*kinds))
@@ -163,10 +167,9 @@ def redact(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, text: str = "tex
 
 
 def redact_found(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", mask: str = "[secret]") -> DataFrame:
-    """As redact(), with findings that a ledger has: a row's text is masked where its blob has findings. Native: no Python."""
-    spans = found.filter(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
+    """As redact(), with blob and findings (one row a blob) from a ledger: a row's text is masked where its blob has findings. Native: no Python."""
     named = docs.withColumn("_blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    joined = named.join(spans.withColumnRenamed("blob", "_blob"), "_blob", "left")
+    joined = named.join(found.withColumnRenamed("blob", "_blob"), "_blob", "left")
     # walks the spans from the left: (text so far, position reached)
     masked = F.expr(f"""
         aggregate(findings, named_struct('out', '', 'at', 0),
