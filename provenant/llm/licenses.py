@@ -69,12 +69,12 @@ def matches(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, threshold
     # bigrams repeat, words don't bound them from above: a unit of w words has w - 1 bigrams at most and needs `low` of them
     units = (
         docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-        .select("doc_id", "text_hash", F.explode(parts).alias("unit"))
-        .select("doc_id", "text_hash", normalised(F.col("unit")).alias("unit"))
+        .select("doc_id", "text_hash", F.explode(F.transform(parts, normalised)).alias("unit"))
         .filter("unit <> ''")
-        .withColumn("words", F.split("unit", " "))
+        # exploded, not projected: a filter would otherwise be moved below and split each unit anew for every word
+        .select("doc_id", "text_hash", "unit", F.explode(F.array(F.split("unit", " "))).alias("words"))
         .filter(F.greatest(F.lit(1), F.size("words") - 1) >= low)
-        .withColumn("grams", bigrams("words"))
+        .select("doc_id", "text_hash", "unit", F.explode(F.array(bigrams("words"))).alias("grams"))
         .withColumn("n", F.size("grams"))
         .filter((F.col("n") >= low) & (F.col("n") <= high))
         .select("doc_id", "text_hash", "unit", "n", F.explode("grams").alias("gram"))
@@ -106,7 +106,7 @@ def scan(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, threshold: f
 def oracle_sql() -> str:
     quoted = ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in sorted(TEMPLATES.items()))
     norm = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
-    grams = "list_distinct(case when len({0}) < 2 then {0} else list_transform(range(1, len({0})), i -> {0}[i] || ' ' || {0}[i + 1]) end)"
+    grams = "list_distinct(case when len({0}) < 2 then {0} else list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]) end)"
     ratio = THRESHOLD / (2 - THRESHOLD)
     return f"""
 with t as (select licence, {grams.format("w")} as g from (select licence, string_split({norm.format("body")}, ' ') as w from (values {quoted}) v(licence, body))),

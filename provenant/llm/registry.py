@@ -84,13 +84,13 @@ def oracle_sql() -> dict[str, str]:
 
 TOP_K_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as q
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
   from embeddings
   where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
   select a.vec_id as query_id, b.vec_id as vec_id,
-         cast(list_sum(list_transform(range(1, len(a.q) + 1), i -> a.q[i] * b.q[i])) as bigint) as score
+         cast(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) as bigint) as score
   from v a, v b
   where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)
 )
