@@ -94,5 +94,5 @@ def chat_messages(texts: DataFrame, key: str = "file", text: str = "text") -> Da
 
 
 def read_whatsapp(spark: SparkSession, path: str) -> DataFrame:
-    texts = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.regexp_replace("value", "^\\x{feff}", "").alias("text"))
+    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "^\\x{feff}", "").alias("text"))
     return chat_messages(texts)
