@@ -37,11 +37,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from provenant.plans import round_trips  # noqa: F401  registers its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return dict(_sql) if queries() else {}
 
 
 # --- sources ---

@@ -37,25 +37,25 @@ def read_package(spark: SparkSession, path: str, schemas: dict[str, str]) -> dic
     return {n: whole.select(F.explode(f"tables.{n}").alias("x")).select("x.*") for n in schemas}
 
 
-def archive_rows(tables: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
-    """table_name, ordinal, row_json: every row as text, numbered within its table in order of key."""
+def _numbered(df: DataFrame, key: str, width: int = 100_000) -> DataFrame:
+    """ordinal, row_json in order of `key`: counted within ranges of the key, then over the ranges, so no task numbers a whole table."""
+    part = F.floor(F.col(key) / width)
+    counts = df.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    body = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    rows = df.select(part.alias("_part"), F.row_number().over(Window.partitionBy(part).orderBy(key)).alias("_in"), body.alias("row_json"))
+    return rows.join(before, "_part").select((F.col("_in") + F.col("_before") - 1).alias("ordinal"), "row_json")
 
-    def one(name: str, df: DataFrame) -> DataFrame:
-        body = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-        return df.select(F.lit(name).alias("table_name"), (F.row_number().over(Window.orderBy(keys[name])) - 1).alias("ordinal"), body.alias("row_json"))
 
-    return reduce(DataFrame.unionByName, [one(n, df) for n, df in sorted(tables.items())])
+def archive_rows(tables: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
+    """table_name, ordinal, row_json: every row as text, numbered within its table in order of key."""
+    parts = [_numbered(df, keys[n]).select(F.lit(n).alias("table_name"), "ordinal", "row_json") for n, df in sorted(tables.items())]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def write_archive(tables: dict[str, DataFrame], keys: dict[str, str], path: str) -> None:
-    """Ordinals count within ranges of the key first, then over ranges, so no task numbers a whole table."""
     for name, df in sorted(tables.items()):
-        part = F.floor(F.col(keys[name]) / 100_000)
-        counts = df.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-        before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-        body = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-        rows = df.select(part.alias("_part"), F.row_number().over(Window.partitionBy(part).orderBy(keys[name])).alias("_in"), body.alias("row_json")).join(before, "_part")
-        rows.select((F.col("_in") + F.col("_before") - 1).alias("ordinal"), "row_json").write.parquet(f"{path}/table_name={name}")
+        _numbered(df, keys[name]).write.parquet(f"{path}/table_name={name}")
 
 
 def read_archive(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:

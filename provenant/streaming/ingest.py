@@ -10,12 +10,12 @@ from provenant.operators.joins import upsert_events
 from provenant.sources.messages import parse_sms_files
 
 
-def stream_ingest(spark: SparkSession, inbox: str, events_path: str, conflicts_path: str, checkpoint: str) -> StreamingQuery:
+def stream_ingest(spark: SparkSession, inbox: str, events_path: str, conflicts_path: str, checkpoint: str, glob: str = "*.xml") -> StreamingQuery:
     """Imports what arrives in `inbox` into the Parquet table at `events_path`; what is there already is left, what differs goes to `conflicts_path`.
 
     A batch that runs again finds its own rows there and adds none.
     """
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.xml").schema("path string, modificationTime timestamp, length bigint, content binary").load(inbox)
+    files = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).schema("path string, modificationTime timestamp, length bigint, content binary").load(inbox)
     columns = ["event_type", "ts_start", "ts_end", "direction", "contact_label", "phone_or_address", "body"]
 
     def each(batch: DataFrame, number: int) -> None:
