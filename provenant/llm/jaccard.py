@@ -2,7 +2,7 @@
 
 1. One pass turns each text into its set of shingles (64-bit hashes): its size, a digest that names the set, and a 512-bit sketch that holds
    the parity of how many shingles fall in each of 512 partitions. Equal sets are one class from here on. The pass also counts shingles
-   in a table of fixed size (2^20 cells), from which rarity is read: it only orders shingles, so a shared cell costs speed, never a link.
+   in a table of fixed size (2^22 cells), from which rarity is read: it only orders shingles, so a shared cell costs speed, never a link.
 2. With a set's shingles in order of rarity, two sets that reach the threshold share one of their first n - ceil(t n) + 1. The sets of one
    prefix shingle form a list. Their sizes (length filter) and the places of the shingle (positional filter) bound what they can share.
    The suffix filter bounds the size of the symmetric difference from below by the partitions whose parity differs.
@@ -19,18 +19,22 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenant.llm.common import TEXT_ROWS_PER_BATCH, few, written
+from provenant.llm.common import TEXT_ROWS_PER_BATCH, discard, few, written
 from provenant.llm.components import components
 from provenant.llm.shingles import mix64, shingle_set
 
 WIDTH, PERCENT = 4, 85
-COUNT_BITS = 20
+COUNT_BITS = 22
+#: Shared shingles of a set up to which a list entry names the earlier ones.
+MOST_EARLIER = 48
 #: The table of counts travels in so many slices, each summed by itself.
 SLICES = 64
 SKETCH_WORDS = 8
@@ -82,14 +86,10 @@ def described(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def _squeezed(counts: np.ndarray) -> bytes:
-    import zstandard
-
     return zstandard.ZstdCompressor(level=1).compress(counts.astype("<i4").tobytes())
 
 
 def _expanded(data: bytes) -> np.ndarray:
-    import zstandard
-
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i4").astype(np.int64)
 
 
@@ -157,27 +157,38 @@ def _possible(x: str, y: str, percent: int, *, suffix: bool) -> Column:
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """a, b (digests): the pairs whose whole sets reach the threshold. Only texts that some pair names are turned into sets."""
+    """a, b (digests): the pairs whose whole sets reach the threshold. Only texts that some pair names travel, compressed: half as much as their sets."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, seen = zstandard.ZstdCompressor(level=1), set()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, width).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["digest", "shingles"])
+            keep = [not (d in seen or seen.add(d)) for d in b.column(0).to_pylist()]
+            b = b.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress((t or "").encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["digest", "body"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
+
+        @lru_cache(64)  # one text is in many pairs that come together
+        def of(_: int, body: bytes) -> np.ndarray:
+            return shingle_set(expand.decompress(body).decode(), width)
+
         for b in batches:
             keep = []
-            for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                s, t = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            for x, y, p, q in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s, t = of(x, p), of(y, q)
                 both = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     named = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(reps.select("digest", "id"), "digest").select("id", "digest")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    whole = texts.join(few(written(named, "named")), "id").select("digest", "text").mapInArrow(sets, "digest bigint, shingles binary")
-    whole = written(whole.dropDuplicates(["digest"]), "sets")
+    whole = texts.join(few(written(named, "named")), "id").select("digest", "text").mapInArrow(pressed, "digest bigint, body binary")
+    whole = written(whole, "texts")
     a, b = whole.toDF("a", "left"), whole.toDF("b", "right")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "left", "right").mapInArrow(compare, "a bigint, b bigint")
+    found = written(pairs.join(a, "a").join(b, "b").select("a", "b", "left", "right").mapInArrow(compare, "a bigint, b bigint"), "links")
+    discard(whole)
+    return found
 
 
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -188,7 +199,7 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
     spark = docs.sparkSession
     rows = written(described(docs, key, text, width), "described")
     facts = rows.filter("slice is null").drop("slice", "counts")
-    counts = spark.sparkContext.broadcast(frequencies(rows))  # 4 MB, always
+    counts = spark.sparkContext.broadcast(frequencies(rows))  # 16 MB, always
     # one representative a set; sets of one name and different sizes are kept apart
     reps = facts.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in _SKETCH))
     reps = written(reps, "sets-named")
@@ -209,17 +220,23 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
         along = Window.partitionBy("shingle").orderBy(*order)
         ahead = here.select("label", F.struct(*entry).alias("x"), F.lead(F.struct(*entry, "label")).over(along).alias("y")).filter("y is not null and label <> y.label")
         pairs = ahead.filter(_possible("x", "y", percent, suffix=False)).select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
-        found = written(verified(written(pairs, "pairs"), reps, docs, key, text, width, percent), "links")
+        found = verified(written(pairs, "pairs"), reps, docs, key, text, width, percent)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
     here = _labelled(lists, labels)
     mixed = here.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
-    here = written(here.join(mixed, "shingle").join(reps.drop("id"), "digest"), "mixed-lists")
+    here = here.join(mixed, "shingle").groupBy("digest", "n", "label").agg(F.array_sort(F.collect_list(F.struct("place", "shingle"))).alias("of"))
+    here = here.join(reps.drop("id"), "digest").select("digest", "n", "label", *_SKETCH, F.posexplode("of").alias("at", "e"), "of")
+    earlier = F.when(F.size("of") <= MOST_EARLIER, F.transform(F.slice("of", 1, F.col("at")), lambda e: e["shingle"])).otherwise(F.array().cast("array<bigint>"))
+    here = written(here.select("e.shingle", "e.place", "digest", "n", "label", *_SKETCH, earlier.alias("earlier")), "mixed-lists")
+    discard(lists)
     x, y = here.alias("x"), here.alias("y")
     apart = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.label") != F.col("y.label"))
-    rest = x.join(y, apart & _possible("x", "y", percent, suffix=True)).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
-    found = verified(written(rest, "pairs"), reps, docs, key, text, width, percent)
-    links = links.unionByName(written(found, "links"))
+    # a pair comes from the first list that holds both, so that it isn't made again by each further one
+    first = ~F.arrays_overlap("x.earlier", "y.earlier")
+    rest = written(x.join(y, apart & _possible("x", "y", percent, suffix=True) & first).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct(), "pairs")
+    discard(here)
+    links = links.unionByName(verified(rest, reps, docs, key, text, width, percent))
     groups = components(links).select(F.col("node").alias("digest"), F.col("component").alias("label"))
 
     # from the least digest of a component to the least key of its rows
