@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.llm import bpe, jaccard, langid, mixing, secrets
-from provenant.llm.common import few, table, written
+from provenant.llm.common import bounded_batches, few, table, written
 
 #: A language is taken as known from this share of a text's words on.
 LEAST_SCORE = 0.3
@@ -22,17 +22,20 @@ RANK_FILE = "byte_bpe_50k.tiktoken"
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model, fitted on the labelled ones, can tell."""
+    bounded_batches(spark)
     found = langid.identify(docs, langid.train(docs), keep=True)
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id."""
+    bounded_batches(spark)
     return jaccard.one_of_each(docs, jaccard.classes(docs, width=SHINGLE_WORDS, percent=PERCENT))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets masked; n_chars follows."""
+    bounded_batches(spark)
     found = secrets.scan(docs, secrets.fresh_ledger(docs), first=True)
     found = few(written(found.filter(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"]), "findings"), rows=50_000)
     masked = secrets.redact_found(docs, found)
@@ -46,6 +49,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, with their count and digests."""
+    bounded_batches(spark)
     rows = bpe.encode(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, decoded=True)
     return rows.select("doc_id", bpe.token_count().alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "token_ids")
 

@@ -25,11 +25,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import map_arrow
+from provenant.llm.common import held, map_arrow
 
 #: Entries kept per Python worker. A full cache starts anew; of pieces, the last full one stays readable.
-PIECE_CACHE = 250_000
-PAIR_CACHE = 1_000_000
+PIECE_CACHE = 150_000
+PAIR_CACHE = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -189,16 +189,9 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist())) if packed else b""
 
 
-_codecs: dict[tuple[str, int], Codec] = {}
-
-
 def _codec(shipped, pattern: str) -> Codec:
     """One codec for each Python worker and vocabulary."""
-    key = (pattern, shipped.value[0])
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(shipped.value[1], pattern)
-    return _codecs[key]
+    return held(("bpe", pattern, shipped.value[0]), lambda: Codec(shipped.value[1], pattern))
 
 
 def _ship(df: DataFrame, rank_file: str):

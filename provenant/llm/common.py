@@ -14,7 +14,25 @@ from pyspark.sql import functions as F
 TEXT_ROWS_PER_BATCH = 1000
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of TEXT_ROWS_PER_BATCH rows, unless the session says otherwise: a batch is held in memory several times over."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
+
+
+_held: dict = {}
+
+
+def held(name: tuple, make: Callable[[], object]) -> object:
+    """What `make` gives, made once in each Python worker, until another name is asked for: workers live on from one operator to the next."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

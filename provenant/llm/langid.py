@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import TEXT_ROWS_PER_BATCH
+from provenant.llm.common import TEXT_ROWS_PER_BATCH, held
 
 #: Documents of each language that the model is fitted on, at most about.
 SAMPLE = 1000
@@ -276,9 +276,6 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: st
     return fit([w for _, w in rows], [x for x, _ in rows])
 
 
-_caches: dict[int, _Scores] = {}
-
-
 def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """lang_pred and score beside `key`, or with `keep` beside all columns of `docs`."""
     shipped = docs.sparkSession.sparkContext.broadcast((int(np.random.default_rng().integers(1 << 62)), model))  # of fixed size
@@ -289,13 +286,11 @@ def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, fitted = shipped.value
-        if name not in _caches:
-            _caches.clear()
-            _caches[name] = _Scores(fitted)
+        scores = held(("language", name), lambda: _Scores(fitted))
         for batch in batches:
             for start in range(0, batch.num_rows, TEXT_ROWS_PER_BATCH):
                 b = batch.slice(start, TEXT_ROWS_PER_BATCH)
-                found = predict(b.column(at).to_pylist(), fitted, _caches[name])
+                found = predict(b.column(at).to_pylist(), fitted, scores)
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in places), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*names, "lang_pred", "score"])
 
     kept = [f for f in rows.schema.fields if keep or f.name != text]
