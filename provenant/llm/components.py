@@ -1,7 +1,9 @@
-"""Connected components of a table of links, by propagation of least labels with pointer jumps.
+"""Connected components of a table of links, by contraction.
 
-A round costs two joins and two sums by key and is written to the shared folder; rounds grow with the logarithm of a component's
-diameter. Nothing but the count of changes comes to the driver.
+In a round each node points at the least of itself and its neighbours; pointers are followed to their ends by doubling, and the links between different ends are
+the next round's. Each round at least halves the nodes that still have links, so the sum of all rounds' rows is bounded by a small multiple of the links,
+and rounds grow with the logarithm of the nodes. All tables are written to the shared folder; only counts come to the driver. Pointers are broadcast while the nodes are few
+enough, by count.
 """
 
 from __future__ import annotations
@@ -9,21 +11,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import written
+from provenant.llm.common import FEW_ROWS, discard, written
 
 
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
-    """node, component (its least node): one row for each node that has a link. No links give no rows."""
-    both = links.select(F.col(left).alias("x"), F.col(right).alias("y"))
-    both = written(both.union(both.select("y", "x").toDF("x", "y")).filter("x <> y").distinct(), "links")
-    labels = written(both.groupBy("x").agg(F.least("x", F.min("y")).alias("l")).toDF("node", "l"), "labels")
+    """node, component (its least node): one row for each node that has a link to another. No links give no rows."""
+    a, b = F.col(left), F.col(right)
+    edges = written(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct(), "links")
+    rounds: list[DataFrame] = []
     while True:
-        near = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("l").alias("near"))
-        met = labels.join(near, labels.node == near.x, "left").select("node", "l", F.least("l", "near").alias("m"))
-        up = labels.select(F.col("node").alias("up"), F.col("l").alias("top"))
-        step = met.join(up, met.m == up.up, "left").select("node", F.least("m", "top").alias("n"), "l")
-        step = written(step, "labels")
-        changed = step.filter("n <> l").limit(1).count()
-        labels = step.select("node", F.col("n").alias("l"))
-        if not changed:
-            return labels.toDF("node", "component")
+        both = edges.union(edges.select("b", "a")).toDF("x", "y")
+        ends = written(both.groupBy("x").agg(F.least("x", F.min("y")).alias("to")), "ends")
+        few = ends.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+        held = F.broadcast if few else lambda df: df
+        moved = True
+        while moved:
+            up = ends.select(F.col("x").alias("up"), F.col("to").alias("top"))
+            further = written(ends.join(held(up), F.col("to") == F.col("up")).select("x", F.col("top").alias("to"), (F.col("top") < F.col("to")).alias("moved")), "ends")
+            discard(ends)
+            ends, moved = further, bool(further.filter("moved").limit(1).count())
+        rounds.append(ends)
+        of = lambda name: held(ends.select(F.col("x").alias(f"at_{name}"), F.col("to").alias(f"to_{name}")))  # noqa: B023, E731
+        met = edges.join(of("a"), F.col("a") == F.col("at_a")).join(of("b"), F.col("b") == F.col("at_b"))
+        left_over = written(met.filter("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "links")
+        discard(edges)
+        edges = left_over
+        if not edges.limit(1).count():
+            break
+    found = rounds[-1].select("x", "to")
+    for ends in reversed(rounds[:-1]):
+        later = found.toDF("then", "last")
+        found = ends.join(later, F.col("to") == F.col("then"), "left").select("x", F.coalesce("last", "to").alias("to"))
+    return written(found.toDF("node", "component"), "components")

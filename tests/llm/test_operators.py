@@ -332,7 +332,7 @@ def test_shingle_hashes_are_of_words():
 def test_top_k(spark):
     random = np.random.default_rng(4)
     rows = [(i, [float(x) for x in random.normal(size=6)]) for i in range(300)] + [(300 + i, [0.5] * 6) for i in range(60)]
-    rows += [(400, None), (450, [1.0, None, 1, 1, 1, 1]), (451, [float("nan")] * 6), (452, [float("inf")] * 6), (500, [1.0, 2.0]), (501, [2.0, 1.0]), (550, [])]
+    rows += [(400, None), (450, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (451, [float("nan")] * 6), (452, [float("inf")] * 6), (500, [1.0, 2.0]), (501, [2.0, 1.0]), (550, [])]
     vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     found = defaultdict(list)
     for r in topk.search(vectors, vectors.filter("vec_id % 50 = 0"), block=16, chunk=3, group=40).orderBy("query_id", "rank").collect():
