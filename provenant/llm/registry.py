@@ -79,7 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_top_k": TOP_K_SQL, "op10_licenses": licenses.oracle_sql()}
+    return {"op4_secret_ledger": secrets.oracle_sql(), "op9_top_k": TOP_K_SQL, "op10_licenses": licenses.oracle_sql()}
 
 
 TOP_K_SQL = """

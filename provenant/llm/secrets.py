@@ -195,3 +195,27 @@ def fresh_ledger(docs: DataFrame) -> str:
 
 def digest_of(spans: str) -> str:
     return hashlib.sha256(spans.encode()).hexdigest()
+
+
+def oracle_sql() -> str:
+    """The same findings in DuckDB's SQL: places come from the lengths of what stands between the matches."""
+    any_case = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    words = "|".join(map(any_case, ("password", "passwd", "secret", "token"))) + "|" + any_case("api") + "_?" + any_case("key")
+    shown = {rule.kind: rule.pattern for rule in RULES} | {"assign": rf"""({words})["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)"""}
+    shown["hex"] = "[0-9a-f]{16,}"  # runs are maximal
+    quoted = lambda text: "'" + text.replace("\\'", "'").replace("'", "''") + "'"
+    rules = ", ".join(f"({quoted(r.kind)}, {i}, {quoted(shown[r.kind])}, {r.least}, {'true' if r.group else 'false'})" for i, r in enumerate(RULES))
+    counts = ", ".join(f"count(*) filter (where kind = {quoted(r.kind)}) as n_{r.kind}" for r in BASE)
+    joined = "string_agg(kind || ':' || a || ':' || (a + n), ',' order by a, place)"
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+k(kind, place, pattern, least, grouped) as (values {rules}),
+m as (select doc_id, kind, place, least, grouped, pattern, regexp_extract_all(t, pattern) as found, regexp_split_to_array(t, pattern) as between_ from d, k),
+u as (select *, unnest(range(1, len(found) + 1)) as i from m),
+s as (select doc_id, kind, place, length(found[i]) as n, found[i] as hit, pattern, least, grouped,
+        cast(list_sum(list_transform(between_[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) as bigint) as a from u),
+f as (select * from s where case when grouped then length(regexp_extract(hit, pattern, 2)) else n end >= least),
+g as (select doc_id, {counts}, {joined} as spans, {joined.replace(" order by", " order by")} filter (where place < {len(BASE)}) as base from f group by doc_id)
+select d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, sha256(d.t) as blob
+from d left join g using (doc_id)
+"""
