@@ -26,6 +26,9 @@ def explode_words(derived: DataFrame, key: str = "id", column: str = "segments_j
 
 def nest_segments(segments: DataFrame) -> DataFrame:
     """derived_text_id, segments (array in order) from rows (derived_text_id, segment_index, start_s, end_s, text), one word a segment's token with its leading space."""
-    token = F.transform(F.filter(F.split("text", r"(?= )"), lambda w: w != ""), lambda w, i: F.struct((F.col("start_s") + (F.col("end_s") - F.col("start_s")) * i / F.greatest(F.lit(1), F.size(F.filter(F.split("text", r"(?= )"), lambda x: x != "")))).alias("start"), (F.col("start_s") + (F.col("end_s") - F.col("start_s")) * (i + 1) / F.greatest(F.lit(1), F.size(F.filter(F.split("text", r"(?= )"), lambda x: x != "")))).alias("end"), w.alias("word")))
-    rows = segments.select("derived_text_id", F.struct("segment_index", F.col("start_s").alias("start"), F.col("end_s").alias("end"), "text", token.alias("words")).alias("s"))
+    # exploded, not projected: the lambda below would otherwise split the text anew for every word
+    cut = segments.withColumn("_tokens", F.explode(F.array(F.filter(F.split("text", r"(?= )"), lambda w: w != ""))))
+    step = (F.col("end_s") - F.col("start_s")) / F.greatest(F.lit(1), F.size("_tokens"))
+    words = F.transform("_tokens", lambda w, i: F.struct((F.col("start_s") + step * i).alias("start"), F.least(F.col("end_s"), F.col("start_s") + step * (i + 1)).alias("end"), w.alias("word")))
+    rows = cut.select("derived_text_id", F.struct("segment_index", F.col("start_s").alias("start"), F.col("end_s").alias("end"), "text", words.alias("words")).alias("s"))
     return rows.groupBy("derived_text_id").agg(F.array_sort(F.collect_list("s")).alias("s")).select("derived_text_id", F.transform("s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), s["words"].alias("words"))).alias("segments"))
