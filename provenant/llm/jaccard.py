@@ -181,7 +181,8 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text:
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(reps.select("digest", "id"), "digest").select("id", "digest")
+    named = pairs.select(F.col("a").alias("digest")).distinct().union(pairs.select(F.col("b").alias("digest")).distinct()).distinct()
+    named = named.join(reps.select("digest", "id"), "digest").select("id", "digest")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     whole = texts.join(few(written(named, "named")), "id").select("digest", "text").mapInArrow(pressed, "digest bigint, body binary")
     whole = written(whole, "texts")
