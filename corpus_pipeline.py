@@ -36,7 +36,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets masked; n_chars follows."""
     bounded_batches(spark)
-    found = secrets.scan(docs, secrets.fresh_ledger(docs), first=True)
+    found = secrets.scan(docs, secrets.fresh_ledger(docs))
     found = few(written(found.filter(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"]), "findings"), rows=50_000)
     masked = secrets.redact_found(docs, found)
     return masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))

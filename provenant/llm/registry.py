@@ -34,7 +34,7 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text, through a ledger of blobs."""
     docs = table(spark, sf_dir, "documents")
-    found = secrets.scan(docs, secrets.fresh_ledger(docs), first=True)
+    found = secrets.scan(docs, secrets.fresh_ledger(docs))
     counts = [secrets.kind_count(rule.kind).alias(f"n_{rule.kind}") for rule in secrets.BASE]
     base = secrets.spans_text("findings", tuple(rule.kind for rule in secrets.BASE))
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(base, 256).alias("base_sha256"), secrets.spans_text("findings").alias("spans"), "blob")

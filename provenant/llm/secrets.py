@@ -1,8 +1,9 @@
 """Secret scans with an incremental ledger of blobs.
 
 A text is a blob, named by its SHA-256. The ledger (a Parquet folder) has, for each blob and rule version that was ever
-scanned, the findings. A scan looks at the pairs of blob and rule version that the ledger lacks, each blob once however
-many paths hold it or held it in earlier versions, appends what it found and joins findings back to all paths.
+scanned, the findings, each named by rule and version (kind@version). A scan looks at the pairs of blob and rule version that the ledger lacks, each blob once however
+many paths hold it or held it in earlier versions, appends what it found and joins findings of the versions asked for back to all paths:
+what only an older version of a rule found stays in the ledger and is not reported.
 
 Spans are code points, end exclusive. Null texts count as empty. Repeated rows are separate paths to one blob.
 An empty table gives no rows; other columns are not read.
@@ -53,6 +54,7 @@ ADDED = (
 RULES = BASE + ADDED
 ORDER = {rule.kind: i for i, rule in enumerate(RULES)}
 FINDINGS = "array<struct<kind:string,start:int,end:int>>"
+LEDGER = f"blob string, versions array<string>, findings {FINDINGS}"
 
 
 def _matcher(rule: Rule):
@@ -69,8 +71,9 @@ def _matcher(rule: Rule):
 
 
 def find(text: str, matchers: list[tuple[str, object]]) -> list[dict]:
+    """Findings of the named matchers; a name is a kind or kind@version."""
     lower = text.lower()
-    found = [(start, ORDER.get(kind, len(ORDER)), kind, end) for kind, spans in matchers for start, end in spans(text, lower)]
+    found = [(start, ORDER.get(kind.partition("@")[0], len(ORDER)), kind, end) for kind, spans in matchers for start, end in spans(text, lower)]
     return [{"kind": kind, "start": start, "end": end} for start, _, kind, end in sorted(found)]
 
 
@@ -104,7 +107,7 @@ def scan(docs: DataFrame, ledger_path: str, *, rules: tuple[Rule, ...] = RULES,
     fresh = unseen(docs, ledger, rules, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matchers = {f"{r.kind}@{r.version}": (r.kind, _matcher(r)) for r in rules}
+        matchers = {name: (name, _matcher(r)) for r in rules for name in (f"{r.kind}@{r.version}",)}
         done: set[bytes] = set()
         for batch in batches:
             out = {"blob": [], "versions": [], "findings": []}
@@ -118,7 +121,7 @@ def scan(docs: DataFrame, ledger_path: str, *, rules: tuple[Rule, ...] = RULES,
                 out["findings"].append(find(body, [matchers[k] for k in kinds]))
             yield pa.RecordBatch.from_arrays([pa.array(out["blob"], pa.string()), pa.array(out["versions"], pa.list_(pa.string())), pa.array(out["findings"], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))], names=list(out))
 
-    found = fresh.mapInArrow(run, f"blob string, versions array<string>, findings {FINDINGS}")
+    found = fresh.mapInArrow(run, LEDGER)
     found = found.groupBy("blob").agg(F.first("versions").alias("versions"), F.first("findings").alias("findings"))
     found.write.mode("append").parquet(ledger_path)
     return join_back(docs, spark.read.parquet(ledger_path), rules, key, text)
@@ -129,15 +132,18 @@ def join_back(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULE
 
     Most blobs hold nothing: only those with findings are joined, so that a text copied a great many times is no hot key unless it has some.
     """
-    current = {f"{r.kind}@{r.version}" for r in rules}
-    kinds = F.array(*(F.lit(k.partition("@")[0]) for k in sorted(current)))
+    current = F.array(*(F.lit(f"{r.kind}@{r.version}") for r in rules))
+    # ledgers of before have the kind alone: its version is the one that the same row was scanned for
+    scanned = F.filter("versions", lambda v: F.substring_index(v, "@", 1) == F.col("f.kind"))
+    name = F.when(F.col("f.kind").contains("@"), F.col("f.kind")).otherwise(F.element_at(scanned, 1))
+    kind = F.substring_index("f.kind", "@", 1)
     place = F.create_map(*(F.lit(x) for r in rules for x in (r.kind, ORDER.get(r.kind, len(ORDER)))))
     found = (
         ledger.filter(F.size("findings") > 0)
-        .select("blob", F.explode("findings").alias("f"))
-        .filter(F.array_contains(kinds, F.col("f.kind")))
+        .select("blob", "versions", F.explode("findings").alias("f"))
+        .filter(F.array_contains(current, name))
         .groupBy("blob")
-        .agg(F.array_sort(F.collect_set(F.struct(F.col("f.start").alias("start"), place[F.col("f.kind")].alias("place"), F.col("f.kind").alias("kind"), F.col("f.end").alias("end")))).alias("x"))
+        .agg(F.array_sort(F.collect_set(F.struct(F.col("f.start").alias("start"), place[kind].alias("place"), kind.alias("kind"), F.col("f.end").alias("end")))).alias("x"))
         .select("blob", F.transform("x", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("findings"))
     )
     return blobs(docs, key, text).join(found, "blob", "left").select("path", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
@@ -190,7 +196,10 @@ def _masked(text: str, findings: list[dict], mask: str) -> str:
 
 
 def fresh_ledger(docs: DataFrame) -> str:
-    return new_path(docs.sparkSession, "secret-ledger")
+    """The path of a ledger that holds no blob yet."""
+    path = new_path(docs.sparkSession, "secret-ledger")
+    docs.sparkSession.createDataFrame([], LEDGER).write.parquet(path)
+    return path
 
 
 def digest_of(spans: str) -> str:

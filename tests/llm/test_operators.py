@@ -181,6 +181,27 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert secrets.unseen(two, spark.read.parquet(ledger), newer).count() == 0
 
 
+def test_ledger_forgets_what_a_newer_rule_rejects(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(1, "token=abcdefghijkl"), (2, "token=ABCDEFGHIJKL"), (3, "AKIA" + "A" * 20)], "doc_id bigint, text string")
+    secrets.scan(docs, ledger, rules=secrets.BASE, first=True)
+    narrower = (secrets.BASE[0]._replace(version=2, pattern="(token)=([a-z]+)", flags=0), *secrets.BASE[1:])
+    kinds = lambda found: sorted((r.path, [(f.kind, f.start, f.end) for f in r.findings]) for r in found.collect())
+    one, two, three = [("assign", 0, 18)], [], [("access", 0, 24)]
+    assert kinds(secrets.scan(docs, ledger, rules=narrower)) == [(1, one), (2, two), (3, three)]
+    assert kinds(secrets.scan(docs, ledger, rules=secrets.BASE)) == [(1, one), (2, one), (3, three)]
+    # rows of a ledger of before, with kinds alone
+    old = spark.createDataFrame([(r.blob, ["assign@1"], [("assign", 0, 18)]) for r in secrets.blobs(docs).filter("path = 2").collect()], secrets.LEDGER)
+    assert kinds(secrets.join_back(docs, old, secrets.BASE))[1] == (2, one) and kinds(secrets.join_back(docs, old, narrower))[1] == (2, two)
+
+
+def test_fresh_ledger_is_an_empty_table(spark, docs):
+    path = secrets.fresh_ledger(docs)
+    assert spark.read.parquet(path).count() == 0
+    secrets.scan(docs, path)
+    assert secrets.unseen(docs, spark.read.parquet(path), secrets.RULES).count() == 0
+
+
 def test_redaction(spark, tmp_path):
     text = 'é token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end deadbeefdeadbeef'
     df = spark.createDataFrame([(1, text), (2, None), (3, "clean")], "doc_id bigint, text string")
