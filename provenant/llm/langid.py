@@ -6,7 +6,8 @@ neighbours, so that a word is read in the light of its context and a switch of l
 marginals; a text's label is the one with most expected words, its score that share.
 
 The model is fitted on a bounded sample: about SAMPLE labelled documents a language, drawn by hash, and of each one chain at a place drawn by hash.
-What decides is counted over all documents: the languages and how many rows each has.
+What decides is counted over all documents: the languages, all of which are learned, and how many rows each has.
+The model and its fitting grow with the number of languages, not with the documents.
 All words of each text are labelled. Null texts and texts without a letter are `und` with score 0. Without any labelled row all texts are `und`.
 Repeated rows are labelled alike; other columns are not read.
 """
@@ -28,8 +29,6 @@ from provenant.llm.common import TEXT_ROWS_PER_BATCH, held
 SAMPLE = 1000
 #: Words of a chain.
 CHAIN = 64
-#: Most languages; those with most labelled rows are learned.
-MOST_LANGUAGES = 64
 TABLE_BITS = 16
 EPOCHS = 3
 WORD_CACHE = 200_000
@@ -251,15 +250,15 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learns from labelled rows of `docs` that are not held out. The driver gets at most about `sample` chains of CHAIN words a language."""
+    """Learns every label of the labelled rows of `docs` that are not held out. The driver gets at most about `sample` chains of CHAIN words a language."""
     labelled = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(label).alias("label"))
-    counts = labelled.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LANGUAGES).collect()
+    counts = labelled.groupBy("label").agg(F.count("*").alias("n")).collect()  # a row a language
     if not counts:
         return fit([], [])
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["label"]), F.lit(min(1.0, sample / r["n"])))))[F.col("label")]
+    shares = docs.sparkSession.createDataFrame([(r["label"], min(1.0, sample / r["n"])) for r in counts], "label string, share double")
     draw = F.shiftrightunsigned(F.xxhash64("id", F.lit(7)), 11) / F.lit(float(1 << 53))
     place = F.shiftrightunsigned(F.xxhash64("id", F.lit(8)), 11) / F.lit(float(1 << 53))
-    drawn = labelled.filter(draw < share).select("text", "label", place.alias("place"))
+    drawn = labelled.join(F.broadcast(shares), "label").filter(draw < F.col("share")).select("text", "label", place.alias("place"))
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -278,7 +277,7 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: st
 
 def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """lang_pred and score beside `key`, or with `keep` beside all columns of `docs`."""
-    shipped = docs.sparkSession.sparkContext.broadcast((int(np.random.default_rng().integers(1 << 62)), model))  # of fixed size
+    shipped = docs.sparkSession.sparkContext.broadcast((int(np.random.default_rng().integers(1 << 62)), model))  # grows with languages only
     rows = docs if keep else docs.select(key, text)
     at = rows.columns.index(text)
     places = [i for i in range(len(rows.columns)) if keep or i != at]

@@ -268,6 +268,17 @@ def test_language(spark, docs, odd):
     assert {r.doc_id: r.lang_pred == "und" for r in langid.identify(marks, model).collect()} == {1: True, 2: False}
 
 
+def test_every_language_is_learned(spark):
+    names = [f"l{n:02}" for n in range(70)]
+    # the words of each language are its own; the last ones have fewest rows
+    rows = [(n * 100 + i, " ".join(f"{chr(0x4E00 + 40 * n + (i + j) % 9)}{chr(0x4E20 + 40 * n + j % 9)}" for j in range(20)), name) for n, name in enumerate(names) for i in range(24 if n < 64 else 16)]
+    labelled = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(labelled)
+    assert model.languages == names
+    found = {r.doc_id: r.lang_pred for r in langid.identify(labelled.filter("doc_id >= 6400"), model).collect()}
+    assert np.mean([found[i] == name for i, _, name in rows if i in found]) > 0.9
+
+
 def test_forward_backward_is_enumeration():
     random = np.random.default_rng(1)
     e, t, s = random.normal(size=(1, 4, 3)), random.normal(size=(3, 3)), random.normal(size=3)
