@@ -1,10 +1,10 @@
 """Exact top-k inner-product search with block-at-a-time pruning.
 
 Vectors are packed, in the partitions that hold them, into blocks of neighbouring rows: a matrix (the forward index), its ids and the
-largest and smallest value of each term (component). A chunk of queries meets a group of blocks in one task. There, each query's blocks are
+largest and smallest value of each term (component). A cell is a bundle of query chunks and a group of blocks; all cells are made, each in one task. There, each query's blocks are
 put in order of an upper bound of their scores, the sum over terms of query value times block maximum (minimum where the query is
 negative), and are scored until the bound falls below the query's k-th score so far. The k best of each group then
-meet per query. Both chunk and group have a fixed number of rows, so tasks don't grow with the table.
+meet per query. Bundles and groups have about GROUP_ROWS rows each, so the number of cells grows with the table and the queries, but no cell does.
 
 Components become floor(scale * x), x as a double. Vectors that are null or hold null or non-finite components take no part; vectors of another
 length than the query's don't score with it. Ties go to the smaller id; rows with equal ids count as one row's copies only if
@@ -102,13 +102,21 @@ def search_cell(queries: tuple[np.ndarray, np.ndarray], blocks: list[tuple[np.nd
     return list(zip(names[r].tolist(), owner[r, c].tolist(), score[r, c].tolist(), strict=True))
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, k: int = K, scale: int = 256, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK_ROWS, chunk: int = QUERY_ROWS, group: int = GROUP_ROWS) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k best rows of `vectors` for each row of `queries`."""
-    rows = vectors.count()  # one number: how many groups there are
+def cells(vectors: DataFrame, queries: DataFrame, *, scale: int = 256, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK_ROWS, chunk: int = QUERY_ROWS, group: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Chunks of queries and blocks of rows, each with g and bundle: every bundle of queries meets every group of blocks."""
+    rows, wanted = vectors.count(), queries.count()  # two numbers: how many groups and bundles there are
     groups = max(1, min(-(-rows // block), max(-(-rows // group), 12)))
+    bundles = max(1, -(-wanted // group))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     blocks = packed(quantised(vectors, scale, key, vector), block).withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
-    asked = packed(quantised(queries, scale, key, vector).repartition(max(1, -(-rows // (50 * chunk)))), chunk)
-    asked = asked.select("dim", "ids", "values", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g")).withColumn("chunk", F.xxhash64("ids"))
+    # rows are dealt out in turn, so that bundles, which are partitions, are of a size
+    asked = packed(quantised(queries, scale, key, vector).repartition(bundles), chunk).withColumn("bundle", F.spark_partition_id())
+    return asked.select("dim", "ids", "values", "bundle", every(groups).alias("g")), blocks.select("*", every(bundles).alias("bundle"))
+
+
+def search(vectors: DataFrame, queries: DataFrame, *, k: int = K, scale: int = 256, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK_ROWS, chunk: int = QUERY_ROWS, group: int = GROUP_ROWS) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k best rows of `vectors` for each row of `queries`."""
+    asked, blocks = cells(vectors, queries, scale=scale, key=key, vector=vector, block=block, chunk=chunk, group=group)
 
     def cell(name: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
@@ -121,6 +129,6 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = K, scale: int = 2
                 found += search_cell((names, values), parts, k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    part = asked.groupBy("g").cogroup(blocks.groupBy("g")).applyInPandas(cell, "query_id bigint, vec_id bigint, score bigint")
+    part = asked.groupBy("g", "bundle").cogroup(blocks.groupBy("g", "bundle")).applyInPandas(cell, "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return part.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

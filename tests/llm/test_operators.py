@@ -382,6 +382,21 @@ def test_top_k(spark):
 # --- 10
 
 
+def test_top_k_cells_are_bounded(spark):
+    random = np.random.default_rng(8)
+    rows = [(i, random.normal(size=4).tolist()) for i in range(600)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    asked, blocks = topk.cells(vectors, vectors, block=8, chunk=16, group=100)
+    held = asked.groupBy("g", "bundle").agg(F.sum(F.length("ids") / 8).alias("n")).collect()
+    groups = blocks.select("g").distinct().count()
+    assert {r.bundle for r in held} == set(range(6)) and max(r.n for r in held) <= 110
+    assert sum(r.n for r in held if r.g == 0) == 600 and {(r.g, r.bundle) for r in blocks.collect()} <= {(r.g, r.bundle) for r in held}
+    assert blocks.select("g", "bundle").distinct().count() == 6 * groups
+    q = {i: np.floor(256 * np.array(v)).astype(int) for i, v in rows}
+    want = [(i, n + 1, j, -s) for i in q for n, (s, j) in enumerate(sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:5])]
+    assert sorted(map(tuple, topk.search(vectors, vectors, block=8, chunk=16, group=100).collect())) == want
+
+
 def test_licenses(spark, odd):
     mit = licenses.TEMPLATES["MIT"]
     rows = [(1, "intro\nReleased under the MIT License.\nend", "x"), (2, mit.upper().replace(" ", "\n", 3), "x"), (3, "x\n\n" + mit.replace("conditions:", "conditions:\n") + "\n\ny", "x"), (4, "Licensed under CC BY 4.0.", "x"), (5, None, "x"), (6, "", "x"), (7, "nothing of that kind here", "x"), (1, "plain", "x")]
