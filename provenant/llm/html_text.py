@@ -1,10 +1,12 @@
 """HTML to text by layout: a tree with implied tags, visibility rules, then block spacing, lists and aligned tables.
 
 The tree builder closes and opens what HTML lets an author leave out (p, li, dt/dd, option, tr, td/th, table parts, head and body). Hidden are elements that
-never show (script, style, template, head's own, form values), the attribute `hidden`, inline styles display:none and visibility:hidden,
+never show (script, style, template, head's own, what a drawing only defines and nowhere uses), the attribute `hidden`, inline styles display:none and visibility:hidden,
 and closed dialogs and details (but for the summary). All other text is in the result, whole. Blocks start a line, paragraphs and headings stand between
 blank lines, list items have a bullet or number and an indent, rows of a table are a line each with cells padded to their column (cells wider than WIDE are
-not waited for), preformatted text keeps its white space. Images give their alternative text.
+not waited for), preformatted text keeps its white space. Images give their alternative text. Forms give what their fields show: the value or else the
+placeholder of an input (not of hidden, password, check and file fields), all options, the content of a textarea. Of drawings and formulas the text is given, each label of a
+drawing on a line. In them a slash ends an element, and tags that can only be HTML end them.
 
 Null and empty pages give the empty text. Repeated rows give repeated results; other columns are not read. Nesting is worked off
 without recursion, so deep or broken markup is no harm.
@@ -23,8 +25,19 @@ from provenant.llm.common import map_arrow
 
 #: Element classes as the HTML standard has them.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-NEVER_SHOWN = set("head title script style template noscript noframes datalist iframe object audio video canvas svg math select textarea".split())
-BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li legend main menu nav ol p pre search section summary table caption tbody thead tfoot tr ul".split())
+NEVER_SHOWN = set("head title script style template noscript noframes datalist iframe object audio video canvas".split())
+#: Never shown in drawings and formulas.
+UNSEEN = set("desc metadata annotation annotation-xml".split())
+#: Drawn only where something uses them.
+DEFINED = set("defs symbol clippath mask pattern marker".split())
+FOREIGN = {"svg", "math"}
+#: Foreign elements whose content is HTML.
+HTML_INSIDE = set("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: Start tags that end foreign content.
+BREAKS_OUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Fields that show no text of theirs.
+NO_CAPTION = set("hidden password checkbox radio file range color".split())
+BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li legend main menu nav ol optgroup option p pre search section select summary table textarea caption tbody thead tfoot tr ul".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl menu dir table pre figure fieldset hr".split())
 HEAD_ONLY = set("base link meta title style script template noscript".split())
 #: An open element that a start tag closes, if no barrier stands between.
@@ -50,10 +63,14 @@ class TreeBuilder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
+        self.used: set[str] = set()  # ids that a drawing uses
         self.open = [self.root]
+        self.marks: list[int] = []  # where drawings, formulas and HTML in them begin among the open elements
 
     def _pop_to(self, at: int) -> None:
         del self.open[at:]
+        while self.marks and self.marks[-1] >= at:
+            self.marks.pop()
 
     def _close(self, names: set[str], barrier: set[str]) -> None:
         for at in range(len(self.open) - 1, 0, -1):
@@ -70,10 +87,34 @@ class TreeBuilder(HTMLParser):
         node = Node(tag, props)
         self.open[-1].children.append(node)
         if tag not in VOID:
+            if tag in FOREIGN:
+                self.marks.append(len(self.open))
             self.open.append(node)
 
+    def _foreign(self) -> int:
+        """Where the drawing or formula begins that the next tag is in; 0 for HTML."""
+        return self.marks[-1] if self.marks and self.open[self.marks[-1]].tag in FOREIGN else 0
+
+    def _in_textarea(self) -> bool:
+        return self.open[-1].tag == "textarea" and not self._foreign()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self._in_textarea():
+            self.open[-1].children.append(self.get_starttag_text())
+            return
         props = dict(attrs)
+        if at := self._foreign():
+            if tag not in BREAKS_OUT:
+                if tag == "use":
+                    self.used.add((props.get("href") or props.get("xlink:href") or "").removeprefix("#"))
+                node = Node(tag, props)
+                self.open[-1].children.append(node)
+                if tag in FOREIGN or tag in HTML_INSIDE:
+                    self.marks.append(len(self.open))
+                self.open.append(node)
+                return
+            while at := self._foreign():
+                self._pop_to(at)
         if tag == "html":
             self.root.props = props | self.root.props
             return
@@ -95,9 +136,15 @@ class TreeBuilder(HTMLParser):
         self._enter(tag, props)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)  # a slash ends no element that isn't void
+        inside = not self._in_textarea() and (tag in FOREIGN or self._foreign() and tag not in BREAKS_OUT)
+        self.handle_starttag(tag, attrs)  # a slash ends no element that isn't void, but for foreign ones
+        if inside:
+            self._pop_to(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
+        if self._in_textarea() and tag != "textarea":
+            self.open[-1].children.append(f"</{tag}>")
+            return
         if tag == "p" and not any(n.tag == "p" for n in self.open):
             self._enter("p", {})
         if tag == "br":
@@ -111,19 +158,33 @@ class TreeBuilder(HTMLParser):
             if name in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                 return
 
+    def handle_comment(self, data: str) -> None:
+        if self._in_textarea():
+            self.open[-1].children.append(f"<!--{data}-->")
+
     def handle_data(self, data: str) -> None:
+        if len(self.open) == 2 and self.open[1].tag == "head" and data.strip():
+            self._pop_to(1)
         self.open[-1].children.append(data)
 
 
 def visible(node: Node) -> bool:
     if node.tag in NEVER_SHOWN or "hidden" in node.props or node.tag == "dialog" and "open" not in node.props:
         return False
-    if node.tag == "input":
-        return False
     style = re.sub(r"\s+", "", (node.props.get("style") or "").lower())
     return "display:none" not in style and "visibility:hidden" not in style
 
 
+def _caption(node: Node) -> str:
+    """What an input shows."""
+    kind = (node.props.get("type") or "text").strip().lower()
+    if kind in NO_CAPTION:
+        return ""
+    if kind == "image":
+        return node.props.get("alt") or ""
+    return node.props.get("value") or ("" if kind in ("submit", "reset", "button") else node.props.get("placeholder") or "")
+
+
 class _Sink:
     """Lines of text; white space collapses, blocks ask for line ends, paragraphs for a blank line."""
 
@@ -231,16 +292,21 @@ def render(html: str | None) -> str:
     lists: list[list] = []  # kind, next number
     tables: list[list] = []  # rows of the tables that are open
     kept = 0  # depth of preformatted text
+    drawn = 0  # depth of drawings and formulas
     todo: list[tuple[str, Node | str]] = [("in", builder.root)]
     while todo:
         step, node = todo.pop()
         sink = sinks[-1]
         if isinstance(node, str):
-            sink.raw(node) if kept else sink.words(node)
+            if step == "in":
+                sink.raw(node) if kept else sink.words(node)
             continue
         tag = node.tag
-        if step == "in":
-            if not visible(node):
+        if step in ("in", "seek"):
+            if not visible(node) or drawn and tag in UNSEEN:
+                continue
+            if (step == "seek" or drawn and tag in DEFINED) and node.props.get("id") not in builder.used:
+                todo.extend(("seek", c) for c in reversed(node.children))
                 continue
             if tag == "br":
                 sink.line_break()
@@ -248,8 +314,21 @@ def render(html: str | None) -> str:
             if tag == "img":
                 sink.words(node.props.get("alt") or "")
                 continue
+            if tag == "input":
+                sink.words(_caption(node))
+                continue
             todo.append(("out", node))
             children = node.children
+            if tag == "option" and node.props.get("label"):
+                children = [node.props["label"]]
+            elif tag == "optgroup" and node.props.get("label"):
+                children = [node.props["label"], *children]
+            elif tag == "textarea":
+                # one line end after the tag is not shown
+                children = ["".join(c for c in children if isinstance(c, str)).removeprefix("\n") or node.props.get("placeholder") or ""]
+            elif drawn and (tag == "text" or tag == "tspan" and ("y" in node.props or "dy" in node.props)):
+                sink.block(1)
+            drawn += tag in FOREIGN
             if tag == "details" and "open" not in node.props:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"]
             todo.extend(("in", c) for c in reversed(children))
@@ -275,7 +354,7 @@ def render(html: str | None) -> str:
                 node.props = {**node.props, "\0": mark}
             elif tag in ("blockquote", "dd"):
                 sink.indent += "  "
-            elif tag == "pre":
+            elif tag in ("pre", "textarea"):
                 kept += 1
             continue
         # the element's end
@@ -298,8 +377,12 @@ def render(html: str | None) -> str:
             sink.mark = ""
         elif tag in ("blockquote", "dd"):
             sink.indent = sink.indent[:-2]
-        elif tag == "pre":
+        elif tag in ("pre", "textarea"):
             kept -= 1
+        elif tag in FOREIGN:
+            drawn -= 1
+        elif tag == "text" and drawn:
+            sink.block(1)
     return sinks[0].text()
 
 

@@ -86,6 +86,23 @@ PAGES = [
 ]
 
 
+SHOWN = [
+    ("<body><svg/>rest <b>of</b> it", "rest of it"), ("<svg><path d='x'/><text>one</text><text>two</text></svg>end", "one\ntwo\nend"),
+    ("<svg><title>no</title><defs><text id='a'>yes</text><text id='b'>no</text></defs><use href='#a'/></svg>", "yes"),
+    ("<svg><style>no</style><g><foreignObject><p>in</p></foreignObject></g><p>out", "in\n\nout"),
+    ("<math><mi>x</mi><mo>=</mo><mn>1</mn><mspace/><annotation>no</annotation></math> end", "x=1 end"),
+    ("<select><optgroup label=G><option>a<option selected>b</select>c", "G\na\nb\nc"), ("<div/>x<span/>y", "xy"),
+    ("x<textarea>\n a\n  <b>c</textarea>y", "x\n a\n  <b>c\ny"), ("<form><input type=submit value='Go on'> <input type=hidden value=no><input placeholder=Name></form>", "Go on Name"),
+    ("<svg><svg><g><desc/><text>a</text><div>b", "a\nb"), ("<desc>d</desc><mask>m</mask>", "dm"), ("<svg><title/><g/>" + "<g>" * 9000 + "<text>t", "t"), ("<textarea><!--c--></textarea>", "<!--c-->"),
+    ("<head><title>no</title>\n text after", "text after"), ("<head>\n<meta charset=x>\n<p>a", "a"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), SHOWN)
+def test_html_shows_what_browsers_show(html, text):
+    assert html_text.render(html) == text
+
+
 @pytest.mark.parametrize(("html", "text"), PAGES)
 def test_html(html, text):
     assert html_text.render(html) == text
