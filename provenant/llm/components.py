@@ -42,4 +42,6 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     for ends in reversed(rounds[:-1]):
         later = found.toDF("then", "last")
         found = ends.join(later, F.col("to") == F.col("then"), "left").select("x", F.coalesce("last", "to").alias("to"))
-    return written(found.toDF("node", "component"), "components")
+    out = written(found.toDF("node", "component"), "components")
+    discard(edges, *rounds)
+    return out

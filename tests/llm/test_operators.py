@@ -364,6 +364,38 @@ def test_jaccard_on_documents(spark, docs, odd):
     assert jaccard.classes(docs.limit(0)).count() == 0
 
 
+def plain_classes(rows, width, percent):
+    """As plain_components(), by rows: keys may be null or shared."""
+    found = plain_components(list(enumerate(t for _, t in rows)), width, percent)
+    keys = defaultdict(list)
+    for place, (n, top) in found.items():
+        keys[top if n else -1 - place].append(rows[place][0])
+    least = {top: min((k for k in own if k is not None), default=None) for top, own in keys.items()}
+    return sorted(((rows[place][0], n, least[top if n else -1 - place]) for place, (n, top) in found.items()), key=str)
+
+
+def chain(*parts):
+    """Texts in a row, each like the next but not like the one after it."""
+    words = [f"w{i}" for i in range(240)]
+    return [" ".join(words[p * 7 : p * 7 + 100]) for p in range(*parts)]
+
+
+@pytest.mark.parametrize("keys", [(1, None, 2), (9, 7, 8), (None, None, None), (3, 3, 3)])
+def test_jaccard_links_by_null_and_shared_keys(spark, keys):
+    rows = [*zip(keys, chain(3), strict=True), (7, "another text under a shared key here"), (None, None), (4, ""), (None, "a b c d e f g"), (None, "a b c d e f g")]
+    found = jaccard.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, found), key=str) == plain_classes(rows, 4, 85)
+    assert len({r.component_id for r in found if r.n_shingles == 97}) == 1
+
+
+def test_jaccard_deals_long_lists(spark):
+    rows = near_copies(11, 120)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    counts = spark.sparkContext.broadcast(jaccard.frequencies(jaccard.described(docs, "doc_id", "text", 4)))
+    assert jaccard.postings(docs, "text", counts, 4, 85, 5).agg(F.max("deals")).first()[0] > 2
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(docs, list_rows=5).collect()} == plain_components(rows, 4, 85)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (200, 200)]
     found = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
