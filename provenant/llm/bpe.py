@@ -29,6 +29,8 @@ from provenant.llm.common import held, map_arrow
 
 #: Entries kept per Python worker. A full cache starts anew; of pieces, the last full one stays readable.
 PIECE_CACHE = 150_000
+#: Characters of a piece up to which its ids are kept.
+LONG_PIECE = 64
 PAIR_CACHE = 400_000
 
 
@@ -73,24 +75,29 @@ def splitter(pattern: str):
 
 
 class _Pieces(dict):
-    """Piece of text -> its ids as little-endian unsigned 32-bit integers."""
+    """Piece of text -> its ids as little-endian unsigned 32-bit integers. Pieces beyond LONG_PIECE characters are not kept, so entries are small and the table is bounded in bytes, too."""
 
     def __init__(self, encode, limit: int):
         super().__init__()
         self.encode, self.limit, self.older = encode, limit, {}
 
     def __missing__(self, piece: str) -> bytes:
+        if len(piece) > LONG_PIECE:
+            return self._packed(piece)
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
         if (packed := self.older.get(piece)) is not None:
             self[piece] = packed
             return packed
+        packed = self[piece] = self._packed(piece)
+        return packed
+
+    def _packed(self, piece: str) -> bytes:
         ids = array("I", self.encode(piece.encode("utf-8", "replace")))
         if sys.byteorder == "big":
             ids.byteswap()
-        packed = self[piece] = ids.tobytes()
-        return packed
+        return ids.tobytes()
 
 
 class Codec:
