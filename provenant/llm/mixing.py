@@ -6,11 +6,12 @@ probability, in a random direction, so that the words they are expected to give
 until one of the two is at 0 or 1; the other goes on. Within a bucket of about `fan_in` documents this
 is a fold; what each bucket has left enters a bucket of the next level, and so on up a tree whose
 root holds one document a source, which is drawn. So the words taken of a source differ from its target
-by less than one document, no bucket grows with the source, and a hot source has just more buckets.
+by less than one document (but for documents that are drawn alone, below), no bucket grows with the source, and a hot source has just more buckets.
 
 Defined cases: sizes of null texts are 0; documents of size 0 have no words to balance and are drawn one by one.
-Exact repeats of a row (same key, source and text) are taken alike. A null source is a source of its own, last in order.
-An empty table gives no rows. Draws are hashes of key, text, source and seed, so reruns agree.
+Of r repeats of a row (same key, source and text), each with the fractional copies p, floor(r p) have one more copy than the others, and only what is left of r p is traded, so repeats
+miss no target by more than one document either. A null source is a source of its own, last in order.
+An empty table gives no rows; other columns are not read, whatever their names. Draws are hashes of key, text, source and seed, so reruns agree.
 """
 
 from __future__ import annotations
@@ -95,7 +96,10 @@ def _fold(items: str, kind: str, level: int, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, *, key: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, fan_in: int = FAN_IN, seed: int = 17) -> DataFrame:
-    """doc_id, source, text_hash, size, rows (equal rows of the input), source_size, target, copies, taken: one row for each distinct row of `docs`."""
+    """doc_id, source, text_hash, size, rows (equal rows of the input), source_size, target, copies, extra, taken: one row for each distinct row of `docs`.
+
+    Each of the equal rows has `copies`, and `extra` of them one more; taken is for all of them.
+    """
     kind = docs.schema[key].dataType.simpleString()
     items = written(
         docs.select(F.col(key).alias("doc_id"), "source", F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("size"))
@@ -112,13 +116,15 @@ def mix(docs: DataFrame, *, key: str = "doc_id", weights: tuple[float, ...] = WE
         items.alias("i").join(sources.alias("s"), F.expr("i.source <=> s.source"))
         .select("i.*", "source_size", "target", "docs", want.alias("want"))
         .withColumn("base", F.floor("want").cast("int"))
-        .withColumn("p", F.col("want") - F.col("base"))
+        .withColumn("p", (F.col("want") - F.col("base")) * F.col("rows"))
+        .withColumn("whole", F.floor("p").cast("long"))  # rows that have one copy more, whatever is drawn
+        .withColumn("p", F.col("p") - F.col("whole"))
         .withColumn("id", F.struct("doc_id", "source", "text_hash"))
     )
     item = ITEM.format(key=kind)
     waiting = (
         wanted.filter((F.col("p") > 0) & (F.col("size") > 0))
-        .select(F.struct("id", (F.col("size") * F.col("rows")).cast("double").alias("size"), "p").cast(item).alias("item"), "source",
+        .select(F.struct("id", F.col("size").cast("double").alias("size"), "p").cast(item).alias("item"), "source",
                 F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("docs") / fan_in)).alias("bucket"), "docs")
     )
     decided = None
@@ -138,19 +144,32 @@ def mix(docs: DataFrame, *, key: str = "doc_id", weights: tuple[float, ...] = WE
     extra = decided.unionByName(last).select("item.id.*", F.col("item.p").cast("int").alias("extra"))
     lone = (_uniform(F.col("w.id"), F.lit(seed + 2)) < F.col("w.p")).cast("int")
     same = F.expr("w.doc_id <=> e.doc_id and w.source <=> e.source and w.text_hash = e.text_hash")
-    copies = F.col("base") + F.when(F.col("size") == 0, lone).otherwise(F.coalesce("e.extra", F.lit(0)))
+    extra_rows = F.col("whole") + F.when(F.col("size") == 0, lone).otherwise(F.coalesce("e.extra", F.lit(0)))
     return (
         wanted.alias("w").join(extra.alias("e"), same, "left")
-        .select(*(F.col(f"w.{c}") for c in ("doc_id", "source", "text_hash", "size", "rows", "source_size", "target")), copies.alias("copies"))
-        .withColumn("taken", F.col("copies") * F.col("size"))
+        .select(*(F.col(f"w.{c}") for c in ("doc_id", "source", "text_hash", "size", "rows", "source_size", "target")), F.col("base").alias("copies"), extra_rows.cast("long").alias("extra"))
+        .withColumn("copies", F.col("copies") + (F.col("extra") == F.col("rows")).cast("int")).withColumn("extra", F.col("extra") % F.col("rows"))
+        .withColumn("taken", (F.col("copies") * F.col("rows") + F.col("extra")) * F.col("size"))
     )
 
 
+def each_row(mixed: DataFrame) -> DataFrame:
+    """As mix(), a row for each row of its input: copies and taken are the row's own."""
+    row = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("row")
+    rows = mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "extra", row)
+    own = F.col("copies") + (F.col("row") <= F.col("extra")).cast("int")
+    return rows.select("doc_id", "source", "size", "source_size", "target", own.alias("copies"), (own * F.col("size")).alias("taken"))
+
+
 def taken_rows(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The mix itself: each row of `docs` as often as `mixed` takes it, with the columns of `docs`."""
-    text_hash = F.xxhash64("d.text")
-    same = (F.col(f"d.{key}").eqNullSafe(F.col("m.doc_id"))) & (F.col("d.source").eqNullSafe(F.col("m.source"))) & (text_hash == F.col("m.text_hash"))
-    return (
-        docs.alias("d").join(mixed.filter("copies > 0").select("doc_id", "source", "text_hash", "copies").alias("m"), same)
-        .select("d.*", F.explode(F.sequence(F.lit(1), F.col("m.copies"))).alias("_copy")).drop("_copy")
-    )
+    """The mix itself: each row of `docs` as often as `mixed` takes it, with the columns of `docs`.
+
+    Rows are told from their repeats by a number, only where some of them have a copy more than others.
+    """
+    same = (F.col(f"d.row.{key}").eqNullSafe(F.col("m.doc_id"))) & (F.col("d.row.source").eqNullSafe(F.col("m.source"))) & (F.xxhash64("d.row.text") == F.col("m.text_hash"))
+    kept = written(mixed.filter("copies > 0 or extra > 0").select("doc_id", "source", "text_hash", "copies", "extra"), "mix-taken").alias("m")
+    found = docs.select(F.struct("*").alias("row")).alias("d").join(kept, same).select("d.row", "m.*")
+    alike = Window.partitionBy("doc_id", "source", "text_hash").orderBy(F.lit(0))
+    uneven = found.filter("extra > 0").withColumn("copies", F.col("copies") + (F.row_number().over(alike) <= F.col("extra")).cast("int")).filter("copies > 0")
+    times = lambda df: df.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("time")).select("row.*")
+    return times(found.filter("extra = 0")).union(times(uneven)) if kept.filter("extra > 0").limit(1).count() else times(found)
