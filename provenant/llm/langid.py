@@ -275,13 +275,13 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: st
     return fit([w for _, w in rows], [x for x, _ in rows])
 
 
-def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
-    """lang_pred and score beside `key`, or with `keep` beside all columns of `docs`."""
+def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", keep: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Label and score, named by `names`, beside `key`, or with `keep` beside all columns of `docs`, none of which may have these names."""
     shipped = docs.sparkSession.sparkContext.broadcast((int(np.random.default_rng().integers(1 << 62)), model))  # grows with languages only
     rows = docs if keep else docs.select(key, text)
     at = rows.columns.index(text)
     places = [i for i in range(len(rows.columns)) if keep or i != at]
-    names = [rows.columns[i] for i in places]
+    given = [rows.columns[i] for i in places]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, fitted = shipped.value
@@ -290,8 +290,8 @@ def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str =
             for start in range(0, batch.num_rows, TEXT_ROWS_PER_BATCH):
                 b = batch.slice(start, TEXT_ROWS_PER_BATCH)
                 found = predict(b.column(at).to_pylist(), fitted, scores)
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in places), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in places), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*given, *names])
 
     kept = [f for f in rows.schema.fields if keep or f.name != text]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{names[0]}` string", f"`{names[1]}` double"])
     return rows.mapInArrow(run, schema)

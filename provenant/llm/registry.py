@@ -27,14 +27,15 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", F.explode(F.expr("sequence(1, int(rows))")).alias("row")).drop("row")
+    return mixing.each_row(mixing.mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every text, through a ledger of blobs."""
+    """Secrets of every text, through a ledger of blobs: the base rules start it, the added ones come later and find all blobs known."""
     docs = table(spark, sf_dir, "documents")
-    found = secrets.scan(docs, secrets.fresh_ledger(docs))
+    ledger = secrets.fresh_ledger(docs)
+    secrets.scan(docs, ledger, rules=secrets.BASE)
+    found = secrets.scan(docs, ledger)
     counts = [secrets.kind_count(rule.kind).alias(f"n_{rule.kind}") for rule in secrets.BASE]
     base = secrets.spans_text("findings", tuple(rule.kind for rule in secrets.BASE))
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(base, 256).alias("base_sha256"), secrets.spans_text("findings").alias("spans"), "blob")

@@ -1,8 +1,8 @@
 """Secret scans with an incremental ledger of blobs.
 
 A text is a blob, named by its SHA-256. The ledger (a Parquet folder) has, for each blob and rule version that was ever
-scanned, the findings, each named by rule and version (kind@version). A scan looks at the pairs of blob and rule version that the ledger lacks, each blob once however
-many paths hold it or held it in earlier versions, appends what it found and joins findings of the versions asked for back to all paths:
+scanned, the findings, each named by rule and version (kind@version). A scan looks at the pairs of blob and rule version that the ledger lacks, each blob once (but for rows that
+repeat whole) however many paths hold it or held it in earlier versions, appends what it found and joins findings of the versions asked for back to all paths:
 what only an older version of a rule found stays in the ledger and is not reported.
 
 Spans are code points, end exclusive. Null texts count as empty. Repeated rows are separate paths to one blob.
@@ -17,10 +17,10 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.llm.common import map_arrow, new_path
+from provenant.llm.common import map_arrow, new_path, unused
 
 
 class Rule(NamedTuple):
@@ -82,29 +82,39 @@ def blobs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).alias("path"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
 
 
-def unseen(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """blob, text, kinds: each distinct blob of `docs` that lacks some rule version in the ledger, and the kinds it lacks."""
+def unseen(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """blob, text, kinds: each distinct blob of `docs` that lacks some rule version in the ledger, and the kinds it lacks.
+
+    Which blobs are new, and the least key that holds each, is found on digests alone; only then are texts looked up, those of the holders. So copies aren't scanned again,
+    and where little is new few texts move.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    named = docs.select(F.sha2(body, 256).alias("blob"), body.alias("text"))
+    named = docs.select(F.sha2(body, 256).alias("blob"), F.col(key).alias("key"))
     versions = F.array(*(F.lit(f"{r.kind}@{r.version}") for r in rules))
-    if ledger is not None:
-        seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("versions"))).alias("seen"))
-        named = named.join(seen, "blob", "left").withColumn("kinds", F.array_except(versions, F.coalesce("seen", F.array().cast("array<string>"))))
-        named = named.filter(F.size("kinds") > 0)
-    else:
-        named = named.withColumn("kinds", versions)
-    return named.select("blob", "text", "kinds")
+    seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("versions"))).alias("seen"))
+    # least key that is not null: a null key may be a great many rows'
+    wanted = named.groupBy("blob").agg(F.min("key").alias("holder")).join(seen, "blob", "left")
+    wanted = wanted.withColumn("kinds", F.array_except(versions, F.coalesce("seen", F.array().cast("array<string>")))).filter(F.size("kinds") > 0)
+    wanted = wanted.select(F.col("blob").alias("_blob"), "holder", "kinds")
+    texts = docs.select(F.sha2(body, 256).alias("blob"), F.col(key).alias("key"), body.alias("text"))
+    return texts.join(wanted, (F.col("blob") == F.col("_blob")) & F.col("key").eqNullSafe(F.col("holder"))).select("blob", "text", "kinds")
+
 
+def _ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at `path`; one without rows where there is none yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(path)
 
-def scan(docs: DataFrame, ledger_path: str, *, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", first: bool = False) -> DataFrame:
-    """Brings the ledger at `ledger_path` up to date with `docs` and returns path, blob, findings for each row of `docs`.
 
-    `first` says that there is no ledger yet. Copies of a text within a task are scanned once; those that several tasks
-    hold meet in the ledger's own dedupe, which moves digests and findings, not texts.
+def scan(docs: DataFrame, ledger_path: str, *, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Brings the ledger at `ledger_path` up to date with `docs` (starts it if there is none) and returns path, blob, findings for each row of `docs`.
+
+    Each new blob is scanned once, by the row of its least key. Only rows that repeat whole (key and text) are scanned again, once in each task that holds one.
     """
     spark = docs.sparkSession
-    ledger = None if first else spark.read.parquet(ledger_path)
-    fresh = unseen(docs, ledger, rules, key, text)
+    fresh = unseen(docs, _ledger(spark, ledger_path), rules, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matchers = {name: (name, _matcher(r)) for r in rules for name in (f"{r.kind}@{r.version}",)}
@@ -124,7 +134,7 @@ def scan(docs: DataFrame, ledger_path: str, *, rules: tuple[Rule, ...] = RULES,
     found = fresh.mapInArrow(run, LEDGER)
     found = found.groupBy("blob").agg(F.first("versions").alias("versions"), F.first("findings").alias("findings"))
     found.write.mode("append").parquet(ledger_path)
-    return join_back(docs, spark.read.parquet(ledger_path), rules, key, text)
+    return join_back(docs, _ledger(spark, ledger_path), rules, key, text)
 
 
 def join_back(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -173,17 +183,21 @@ def redact(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, text: str = "tex
 
 
 def redact_found(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", mask: str = "[secret]") -> DataFrame:
-    """As redact(), with blob and findings (one row a blob) from a ledger: a row's text is masked where its blob has findings. Native: no Python."""
-    named = docs.withColumn("_blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    joined = named.join(found.withColumnRenamed("blob", "_blob"), "_blob", "left")
+    """As redact(), with blob and findings (one row a blob) from a ledger: a row's text is masked where its blob has findings. Native: no Python.
+
+    Columns of `docs` may have any name.
+    """
+    blob, spans = unused(docs, "blob"), unused(docs, "findings")
+    named = docs.withColumn(blob, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    joined = named.join(found.select(F.col("blob").alias(blob), F.col("findings").alias(spans)), blob, "left")
     # walks the spans from the left: (text so far, position reached)
     masked = F.expr(f"""
-        aggregate(findings, named_struct('out', '', 'at', 0),
+        aggregate(`{spans}`, named_struct('out', '', 'at', 0),
           (s, f) -> if(f.start < s.at, named_struct('out', s.out, 'at', greatest(s.at, f.end)),
                        named_struct('out', concat(s.out, substring(`{text}`, s.at + 1, f.start - s.at), '{mask}'), 'at', f.end)),
           s -> concat(s.out, substring(`{text}`, s.at + 1)))
     """)
-    return joined.withColumn(text, F.when(F.col("findings").isNull(), F.col(text)).otherwise(masked)).select(*docs.columns)
+    return joined.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(masked)).select(*docs.columns)
 
 
 def _masked(text: str, findings: list[dict], mask: str) -> str:
@@ -196,10 +210,8 @@ def _masked(text: str, findings: list[dict], mask: str) -> str:
 
 
 def fresh_ledger(docs: DataFrame) -> str:
-    """The path of a ledger that holds no blob yet."""
-    path = new_path(docs.sparkSession, "secret-ledger")
-    docs.sparkSession.createDataFrame([], LEDGER).write.parquet(path)
-    return path
+    """The path of a ledger that is still to be started."""
+    return new_path(docs.sparkSession, "secret-ledger")
 
 
 def digest_of(spans: str) -> str:

@@ -151,15 +151,28 @@ def test_mix(spark, docs, odd):
     by = defaultdict(list)
     for r in rows:
         by[r.source].append(r)
-        assert r.taken == r.copies * r["size"] and 0 <= r.copies <= 3 and abs(r.copies - r.target / r.source_size) < 1
+        assert r.taken == (r.copies * r.rows + r.extra) * r["size"] and 0 <= r.copies <= 3 and r.extra < r.rows and abs(r.copies + r.extra / r.rows - r.target / r.source_size) < 1
     for own in by.values():
-        assert abs(sum(r.taken * r.rows for r in own) - own[0].target) <= max(r["size"] * r.rows for r in own)
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r["size"] for r in own)
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix(docs, fan_in=4).collect()), key=str)
-    assert mixing.taken_rows(docs, mixed).count() == sum(r.copies * r.rows for r in rows)
+    assert mixing.taken_rows(docs, mixed).count() == sum(r.copies * r.rows + r.extra for r in rows)
     assert {r.doc_id: r["size"] for r in mixing.mix(odd).collect() if r.doc_id in (1, 2, 4)} == {1: 0, 2: 0, 4: 30_000}
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.taken_rows(odd, mixing.mix(odd)).columns == odd.columns
 
 
+def test_mix_of_repeated_rows(spark):
+    rows = [(1, "a b c d", "s", 5, "x", 7)] * 1000 + [(i, "w " * (i % 9 + 1), "t", 5, "x", 7) for i in range(2, 300)] + [(None, "q q", None, 1, "y", 7)] * 11
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, copies int, extra string, _copy int")
+    mixed = mixing.mix(docs).collect()
+    for source in ("s", "t", None):
+        own = [r for r in mixed if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r["size"] for r in own)
+    per_row = mixing.each_row(mixing.mix(docs)).collect()
+    assert len(per_row) == len(rows) and all(r.taken <= 3 * r["size"] for r in per_row) and sum(r.taken for r in per_row) == sum(r.taken for r in mixed)
+    taken = mixing.taken_rows(docs, mixing.mix(docs))
+    assert taken.columns == docs.columns and sum(len(r.text.split()) for r in taken.collect()) == sum(r.taken for r in mixed)
+
+
 # --- 4
 
 
@@ -178,7 +191,7 @@ TRICKY = ["password: secret: abcdefghijklmnop", "TOKEN='0123456789abcdef0123'",
 def test_secrets(spark, docs, odd, tmp_path):
     tricky = spark.createDataFrame([(i, t, "en", "s", 1, "", "") for i, t in enumerate(TRICKY)], SCHEMA)
     for n, df in enumerate((docs, odd, tricky, odd.limit(0))):
-        found = secrets.scan(df, str(tmp_path / f"ledger{n}"), first=True).withColumn("base", secrets.spans_text("findings", ("assign", "access", "hex")))
+        found = secrets.scan(df, str(tmp_path / f"ledger{n}")).withColumn("base", secrets.spans_text("findings", ("assign", "access", "hex")))
         assert sorted((str(r.path), r.base) for r in found.collect()) == sorted((str(r.doc_id), plain_secrets(r.text or "")) for r in df.collect())
     kinds = {r.path: {f.kind for f in r.findings} for r in secrets.scan(tricky, str(tmp_path / "ledger2")).collect()}
     assert kinds[6] == {"pem"} and "forge" in kinds[7]
@@ -187,7 +200,7 @@ def test_secrets(spark, docs, odd, tmp_path):
 def test_ledger_scans_only_what_is_new(spark, tmp_path):
     ledger = str(tmp_path / "ledger")
     one = spark.createDataFrame([(1, "token=abcdefghijkl"), (2, "token=abcdefghijkl"), (3, "clean")], "doc_id bigint, text string")
-    base = secrets.scan(one, ledger, rules=secrets.BASE, first=True)
+    base = secrets.scan(one, ledger, rules=secrets.BASE)
     assert sorted((r.path, len(r.findings)) for r in base.collect()) == [(1, 1), (2, 1), (3, 0)]
     two = one.union(spark.createDataFrame([(4, "AKIA" + "A" * 20)], "doc_id bigint, text string"))
     assert [r.text[:4] for r in secrets.unseen(two, spark.read.parquet(ledger), secrets.BASE).collect()] == ["AKIA"]
@@ -201,7 +214,7 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
 def test_ledger_forgets_what_a_newer_rule_rejects(spark, tmp_path):
     ledger = str(tmp_path / "ledger")
     docs = spark.createDataFrame([(1, "token=abcdefghijkl"), (2, "token=ABCDEFGHIJKL"), (3, "AKIA" + "A" * 20)], "doc_id bigint, text string")
-    secrets.scan(docs, ledger, rules=secrets.BASE, first=True)
+    secrets.scan(docs, ledger, rules=secrets.BASE)
     narrower = (secrets.BASE[0]._replace(version=2, pattern="(token)=([a-z]+)", flags=0), *secrets.BASE[1:])
     kinds = lambda found: sorted((r.path, [(f.kind, f.start, f.end) for f in r.findings]) for r in found.collect())
     one, two, three = [("assign", 0, 18)], [], [("access", 0, 24)]
@@ -212,19 +225,25 @@ def test_ledger_forgets_what_a_newer_rule_rejects(spark, tmp_path):
     assert kinds(secrets.join_back(docs, old, secrets.BASE))[1] == (2, one) and kinds(secrets.join_back(docs, old, narrower))[1] == (2, two)
 
 
-def test_fresh_ledger_is_an_empty_table(spark, docs):
-    path = secrets.fresh_ledger(docs)
-    assert spark.read.parquet(path).count() == 0
-    secrets.scan(docs, path)
+def test_a_blob_is_scanned_once(spark, tmp_path):
+    rows = [(i, "token=abcdefghijkl") for i in range(50)] + [(None, "token=abcdefghijkl"), (None, "only here AKIA" + "A" * 20), (1, "other")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    none = spark.createDataFrame([], secrets.LEDGER)
+    assert sorted(r.text[:5] for r in secrets.unseen(docs, none, secrets.BASE).collect()) == ["only ", "other", "token"]
+    path = secrets.fresh_ledger(docs)  # nothing is there yet
+    secrets.scan(docs, path, rules=secrets.BASE)
+    left = secrets.unseen(docs, spark.read.parquet(path), secrets.RULES)
+    assert {tuple(r.kinds) for r in left.collect()} == {tuple(f"{r.kind}@1" for r in secrets.ADDED)}
+    assert sorted(str(r.path) for r in secrets.scan(docs, path).filter(F.size("findings") > 0).collect()) == sorted([*map(str, range(50)), "None", "None"])
     assert secrets.unseen(docs, spark.read.parquet(path), secrets.RULES).count() == 0
 
 
 def test_redaction(spark, tmp_path):
     text = 'é token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end deadbeefdeadbeef'
-    df = spark.createDataFrame([(1, text), (2, None), (3, "clean")], "doc_id bigint, text string")
-    found = secrets.scan(df, str(tmp_path / "l"), first=True).filter(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
+    df = spark.createDataFrame([(1, text, 1, "b"), (2, None, 1, "b"), (3, "clean", 1, "b")], "doc_id bigint, text string, Findings int, blob string")
+    found = secrets.scan(df, str(tmp_path / "l")).filter(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
     one = {r.doc_id: r.text for r in secrets.redact_found(df, found).collect()}
-    assert one == {r.doc_id: r.text for r in secrets.redact(df).collect()} == {1: 'é [secret]" end [secret]', 2: None, 3: "clean"}
+    assert secrets.redact_found(df, found).columns == df.columns and one == {r.doc_id: r.text for r in secrets.redact(df).collect()} == {1: 'é [secret]" end [secret]', 2: None, 3: "clean"}
 
 
 # --- 5
@@ -492,3 +511,16 @@ def test_pipeline(spark):
     for _, stage in pipeline.STAGES:
         empty = stage(spark, empty, DATA)
     assert empty.count() == 0
+
+
+def test_pipeline_with_clashing_columns(spark, docs):
+    import corpus_pipeline as pipeline
+
+    clash = {"score": 1, "lang_pred": 2, "findings": 3, "blob": 4, "copies": 5, "extra": 6, "row": 7, "time": 8, "size": 9, "component_id": 10, "n": 11, "text_hash": 12, "n_tokens": 13, "key": 14}
+    wide = docs.limit(60).withColumns({name: F.lit(value) for name, value in clash.items()})
+    state = wide
+    for name, stage in pipeline.STAGES[:-1]:
+        state = pipeline.written(stage(spark, state, DATA), name)
+        assert state.columns == wide.columns
+    assert state.count() > 0 and all(r[c] == v for r in state.select(*clash).distinct().collect() for c, v in clash.items())
+    assert pipeline.STAGES[-1][1](spark, state, DATA).count() == state.count()
