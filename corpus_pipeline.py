@@ -1,7 +1,8 @@
 """From `documents` to a mixed, encoded training corpus: five stages, each written as Parquet and read again by the next.
 
 Each stage works on every document that the one before kept. Repeated rows, null texts and null sources are defined by the operators. Texts that are null or without
-a letter leave in the first stage; an empty table goes through as one.
+a letter leave in the first stage; an empty table goes through as one. Columns beyond those of documents are carried to the last stage, whatever their names.
+A stage's table is deleted when the next stage has read it; the last one's stays, as the result is read from it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.llm import bpe, jaccard, langid, mixing, secrets
-from provenant.llm.common import bounded_batches, few, table, written
+from provenant.llm.common import bounded_batches, discard, few, table, unused, written
 
 #: A language is taken as known from this share of a text's words on.
 LEAST_SCORE = 0.3
@@ -23,8 +24,9 @@ RANK_FILE = "byte_bpe_50k.tiktoken"
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model, fitted on the labelled ones, can tell."""
     bounded_batches(spark)
-    found = langid.identify(docs, langid.train(docs), keep=True)
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    label, score = unused(docs, "lang_pred"), unused(docs, "score")
+    found = langid.identify(docs, langid.train(docs), keep=True, names=(label, score))
+    return found.filter((F.col(label) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
