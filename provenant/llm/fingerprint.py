@@ -7,7 +7,8 @@ is a sum over the buckets' quartile steps and the differences of the head, each
 most it can be, so 1 for equal digests.
 
 Null texts count as empty; the empty text and texts of fewer than three bytes have a digest with no counts, equal for equal
-texts by the check sum. Repeated rows follow one another in the order of neighbours, larger text first. An empty table gives no rows.
+texts by the check sum. Rows that share a key (or have none: they come last) follow one another in the order of a hash of their texts; a key that a great many rows share
+is cut by that hash into as many ranges as it needs. Equal rows are one another's neighbours. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 256
+#: Bytes of text in one range of keys, about, and the ranges that a small table has at least.
+PART_BYTES = 32 << 20
+LEAST_PARTS = 24
+_LEAST_TIE = -(1 << 31)
 #: Bytes counted at a time, so that a very long text needs no more memory.
 BLOCK = 1 << 20
 #: Most that each part may add to a difference.
@@ -104,46 +109,92 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def ranges(docs: DataFrame, key: str, count: int) -> list[int]:
-    """Up to `count`-1 inner bounds that cut the keys into ranges of like size; `count` is a parameter, not a property of the data."""
-    bounds = docs.agg(F.percentile_approx(key, [i / count for i in range(1, count)], 20 * count).alias("b")).first()[0] or []
-    return sorted(set(bounds))
+def ranges(keyed: DataFrame, part_bytes: int = PART_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Lower bounds (key, tie) of all ranges but the first, so that a range has about `part_bytes` bytes of text; ties are uniform hashes of 32 bits.
 
+    The driver sees a few numbers a range: quantiles of the keys, then the bytes between them.
+    """
+    total = keyed.agg(F.sum("bytes").alias("bytes")).first()[0] or 0
+    fine = 4 * max(LEAST_PARTS, -(-total // part_bytes))
+    quantiles = keyed.agg(F.percentile_approx("k", [i / fine for i in range(1, fine)], 20 * fine).alias("b")).first()[0] or []
+    often = {a for a, b in zip(quantiles, quantiles[1:], strict=False) if a == b}  # keys that a great many rows share get a range of their own
+    cuts = sorted({*quantiles, *(k + 1 for k in often if k < (1 << 63) - 1)})
+    rows = _placed(keyed, np.array(cuts, np.int64), np.full(len(cuts), _LEAST_TIE)).groupBy("part").agg(F.sum("bytes").alias("bytes"), F.min("k").alias("least"), F.max("k").alias("most"))
+    found: list[tuple[int, int]] = []
+    size = 0
+    target = min(part_bytes, max(1, total // LEAST_PARTS))
+    for _, here, least, most in sorted(map(tuple, rows.collect())):
+        if found and size + here <= target:
+            size += here
+            continue
+        found.append((least, _LEAST_TIE))
+        size = here
+        if least == most and here > target:  # one key: ranges of its ties
+            pieces = -(-here // target)
+            found += [(least, _LEAST_TIE + (i << 32) // pieces) for i in range(1, pieces)]
+            size = target
+    bounds = found[1:]
+    return np.array([k for k, _ in bounds], np.int64), np.array([t for _, t in bounds], np.int64)
+
+
+def _placed(rows: DataFrame, keys: np.ndarray, ties: np.ndarray) -> DataFrame:
+    """`rows` (k, tie, ...) with part: how many of the bounds, which are in order, are not above (k, tie)."""
+    shipped = rows.sparkSession.sparkContext.broadcast((keys, ties))  # two numbers a range
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bound, tie = shipped.value
+        twice = np.unique(bound[1:][bound[1:] == bound[:-1]])
+        for b in batches:
+            k, t = (b.column(i).to_numpy() for i in (0, 1))
+            part = np.searchsorted(bound, k, "right")
+            for hot in twice:
+                own, low = k == hot, np.searchsorted(bound, hot, "left")
+                part[own] = low + np.searchsorted(tie[bound == hot], t[own], "right")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part.astype(np.int32))], names=[*b.schema.names, "part"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{fields}, part int")
 
-def with_following(docs: DataFrame, *, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
+
+def with_following(docs: DataFrame, *, key: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """`key`, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The document that follows is the next one by falling key (null keys last), after the last the first. Ranges of keys are
-    sorted each in one task; the first row of each range also goes, as a guest, to the end of the range before it, so that no task
-    needs another's rows. Texts move once, compressed. The driver sees one key a range.
+    The document that follows is the next one by falling key (null keys last), after the last the first. Each range of keys is
+    sorted in a task of its own; the first row of each range also goes, as a guest, to the end of the range before it, so that no task
+    needs another's rows. Texts move once, compressed. The driver sees a few numbers a range.
     """
-    spark = docs.sparkSession
     low = -(1 << 63)
+    kind = docs.schema[key].dataType.simpleString()
+    tie = F.hash("text").cast("long")
     keyed = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(low)).alias("k"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = parts or max(24, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = ranges(keyed, "k", parts)
-    part = F.lit(0)
-    if bounds:
-        part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("k")))
-    tops = sorted(keyed.groupBy(part.alias("part")).agg(F.max("k").alias("top")).collect())
-    if not tops:
-        tops = [(0, low)]
+    light = keyed.select("k", tie.alias("tie"), F.octet_length("text").cast("long").alias("bytes"))
+    bounds = ranges(light, part_bytes)
+    tops = [(p, (k, t)) for p, k, t in sorted(map(tuple, _placed(light, *bounds).groupBy("part").agg(F.max(F.struct("k", "tie")).alias("top")).select("part", "top.k", "top.tie").collect()))] or [(0, (low, 0))]
     # the range that ends before a range's first row is the next higher one that has rows
-    guest_of = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}
-    host = F.coalesce(F.create_map(*(F.lit(x) for pair in guest_of.items() for x in pair))[F.col("k")], F.lit(-1))
+    hosts = docs.sparkSession.sparkContext.broadcast({top: (part, tops[(i + 1) % len(tops)][0]) for i, (part, top) in enumerate(tops)})
+    place = {part: i for i, (part, _) in enumerate(tops)}
+    places = docs.sparkSession.sparkContext.broadcast(place)
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
+        guests: set[tuple[int, int]] = set()
         for b in batches:
-            yield b.set_column(b.schema.get_field_index("text"), "text", pa.array([press.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary()))
-
-    kind = docs.schema[key].dataType.simpleString()
-    marked = keyed.select("k", "id", part.cast("int").alias("part"), host.cast("int").alias("host"), F.hash("text").alias("tie"), "text")
-    small = marked.mapInArrow(shrink, f"k bigint, id {kind}, part int, host int, tie int, text binary")
+            k, name, ties, texts, parts = b.columns
+            rows, to, guest = list(range(b.num_rows)), [places.value[p] for p in parts.to_pylist()], [0] * b.num_rows
+            for i, first in enumerate(zip(k.to_pylist(), ties.to_pylist(), strict=True)):
+                if first in hosts.value and first not in guests:
+                    guests.add(first)
+                    rows.append(i)
+                    to.append(places.value[hosts.value[first][1]])
+                    guest.append(1)
+            packed = pa.array([press.compress(t.encode()) for t in texts.to_pylist()], pa.binary())
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(guest, pa.int32()), k.take(at), ties.take(at), name.take(at), packed.take(at)], names=["part", "guest", "k", "tie", "id", "text"])
+
+    marked = _placed(keyed.select("k", tie.alias("tie"), "id", "text"), *bounds).select("k", "id", "tie", "text", "part")
     dealt = (
-        small.select("k", "id", "tie", "text", F.explode(F.when(F.col("host") >= 0, F.array(F.struct(F.col("part"), F.lit(0).alias("guest")), F.struct(F.col("host").alias("part"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("part"), F.lit(0).alias("guest"))))).alias("to"))
-        .select("to.part", "to.guest", "k", "tie", "id", "text")
-        .repartition(len(tops), "part")
+        marked.mapInArrow(shrink, f"part int, guest int, k bigint, tie bigint, id {kind}, text binary")
+        .repartitionById(len(tops), F.col("part"))
         .sortWithinPartitions("part", "guest", F.desc("k"), F.desc("tie"))
     )
 

@@ -249,20 +249,78 @@ def test_redaction(spark, tmp_path):
 # --- 5
 
 
-def test_fingerprints(spark, docs, odd):
-    for df in (docs, odd):
-        rows = sorted(df.select("doc_id", "text").collect(), key=lambda r: -(r.doc_id if r.doc_id is not None else -1))
-        found = fingerprint.with_following(df, parts=5).collect()
-        assert sorted(str(r.doc_id) for r in found) == sorted(str(r.doc_id) for r in rows)
-        want = defaultdict(set)
-        for i, r in enumerate(rows):
-            want[r.doc_id].add(hashlib.sha256(fingerprint.edit(r.text or "", rows[(i + 1) % len(rows)].text or "").encode()).hexdigest())
+def plain_fingerprint(data):
+    """The digest, bucket by bucket in plain integers."""
+    counts = [0] * 256
+    for at in range(len(data)):
+        for factors, places in zip(fingerprint._FACTORS.tolist(), ((0, 1, 2), (0, 1, 3), (0, 2, 3)), strict=True):
+            if at + places[2] < len(data):
+                h = sum((data[at + p] + 1) * f for p, f in zip(places, factors, strict=True)) % 2**32
+                h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+                counts[h >> 24] += 1
+    ranked = sorted(counts)
+    cuts = ranked[63], ranked[127], ranked[191]
+    codes = [sum(c > q for q in cuts) for c in counts]
+    length = min(255, round(12 * np.log1p(len(data))))
+    spread = round(15 * (cuts[0] + cuts[1]) / (2 * cuts[2])) * 16 + round(15 * cuts[0] / cuts[2]) if cuts[2] else 0
+    head = [length, min(spread, 255), hashlib.md5(data).digest()[0]]
+    return head, codes
+
+
+def plain_likeness(a, b):
+    (head, codes), (other, others) = plain_fingerprint(a), plain_fingerprint(b)
+    total = sum((0, 1, 2, 6)[abs(x - y)] for x, y in zip(codes, others, strict=True)) + min(400, 16 * abs(head[0] - other[0])) + 8 * (head[2] != other[2])
+    total += min(40, 2 * (abs((head[1] >> 4) - (other[1] >> 4)) + abs(head[1] % 16 - other[1] % 16)))
+    return 1 - total / (6 * 256 + 400 + 40 + 8)
+
+
+def test_fingerprint_is_the_plain_one(docs):
+    texts = [b"", b"ab", b"abc", "zażółć gęślą jaźń ".encode() * 30, *(t.text.encode()[:3000] for t in docs.filter("text is not null").orderBy("doc_id").limit(12).collect())]
+    for data in texts:
+        head, codes = plain_fingerprint(data)
+        want = bytes(head) + bytes(codes[i] * 64 + codes[i + 1] * 16 + codes[i + 2] * 4 + codes[i + 3] for i in range(0, 256, 4))
+        assert fingerprint.digest(data) == want.hex()
+    for a, b in combinations(texts, 2):
+        assert fingerprint.likeness(fingerprint.digest(a), fingerprint.digest(b)) == pytest.approx(plain_likeness(a, b))
+    n = fingerprint.BLOCK + 100  # counted in two blocks
+    assert fingerprint._counts(b"a" * n).sum() == (n - 2) + 2 * (n - 3)
+
+
+def test_fingerprint_ranges_split_a_hot_key(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(1000).cast("long").alias("k"), F.hash("id").cast("long").alias("tie"), F.lit(100).cast("long").alias("bytes"))
+    bounds = fingerprint.ranges(rows, 10_000)
+    held = [r.n for r in fingerprint._placed(rows, *bounds).groupBy("part").agg(F.count("*").alias("n")).collect()]
+    assert sum(held) == 3000 and max(held) < 200 and len(held) > 20
+
+
+@pytest.mark.parametrize("part_bytes", [1 << 30, 20_000])
+def test_fingerprints(spark, docs, odd, part_bytes):
+    many = spark.createDataFrame([(7 if i % 3 else None, f"text {i} of a hot key " * 40) for i in range(300)] + [(i, "x" * i) for i in range(20)], "doc_id bigint, text string")
+    for df in (docs, odd, many):
+        rows = sorted(((r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()), key=lambda r: -(r[0] if r[0] is not None else -1))
+        found = fingerprint.with_following(df, part_bytes=part_bytes).collect()
+        assert sorted(str(r.doc_id) for r in found) == sorted(str(i) for i, _ in rows)
+        # rows that share a key may follow one another in any order, so what follows is one of them or one of the next key's
+        keys = list(dict.fromkeys(i for i, _ in rows))
+        own = defaultdict(list)
+        for i, t in rows:
+            own[i].append(t)
+        want = defaultdict(dict)
+        for n, i in enumerate(keys):
+            for t in own[i]:
+                for after in [*own[keys[(n + 1) % len(keys)]], *(own[i] if len(own[i]) > 1 else [])]:
+                    changed = fingerprint.edit(t, after)
+                    want[i][hashlib.sha256(changed.encode()).hexdigest(), len(t)] = (t, changed, after)
+        seen = []
         for r in found:
-            assert r.edited_sha256 in want[r.doc_id] and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-    by = {r.doc_id: r for r in fingerprint.with_following(docs).collect()}
+            t, changed, after = want[r.doc_id][r.edited_sha256, r.n_chars]
+            seen.append((str(r.doc_id), t))
+            assert r.fingerprint == fingerprint.digest(t.encode()) and r.edited_fingerprint == fingerprint.digest(changed.encode()) and r.near_edited == fingerprint.likeness(r.fingerprint, r.edited_fingerprint)
+            if len(own[r.doc_id]) == 1 and len(t) > 3:
+                assert r.near_next == fingerprint.likeness(r.fingerprint, fingerprint.digest(after.encode())) or len(own[keys[(keys.index(r.doc_id) + 1) % len(keys)]]) > 1
+        assert len(set(seen)) == len({(str(i), t) for i, t in rows}) or df is odd
+    by = {r.doc_id: r for r in fingerprint.with_following(docs, part_bytes=part_bytes).collect()}
     assert np.mean([r.near_edited > r.near_next for r in by.values()]) > 0.97
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    assert all(by[i].fingerprint == fingerprint.digest((t or "").encode()) for i, t in texts.items())
     assert fingerprint.with_following(docs.limit(0)).count() == 0 and fingerprint.with_following(docs.limit(1)).count() == 1
     assert fingerprint.likeness(fingerprint.digest(b""), fingerprint.digest(b"")) == 1 and fingerprint.digest(b"ab") != fingerprint.digest(b"ba")
 
