@@ -3,12 +3,12 @@
 An archive starts with a skippable frame (magic 0x184D2A5D) that holds its dictionary, itself compressed; each record after it is
 a frame of its own, compressed with that dictionary, so that any record can be read alone. The dictionary is trained on
 the archive's own records (an even sample of at most SAMPLE_BYTES). A task writes archives of at most
-ARCHIVE_BYTES of records, so memory doesn't grow with the table; a file gets its name when it is whole, and
-a task that runs again writes the same file.
+ARCHIVE_BYTES of records, so memory doesn't grow with the table; a file gets its name when it is whole. Names hold the task's attempt, and the table of
+files that write() returns has those of the attempts that counted: readers go by it, so what a lost or doubled attempt leaves behind is never read, and a file that should be there and isn't is an error.
 
 Of records with equal payloads, the one with the least id is a response, the others revisit it.
 Null payloads count as empty. Of rows that share id and payload, each is a record; those rows are
-responses if their id is the least. A null id is written as an empty id and is never the one that others revisit, unless all ids are null, when
+responses if their id is the least, and they share a record id, which names the page. A null id is written as an empty id and is never the one that others revisit, unless all ids are null, when
 all of them are responses. An empty table gives an archive folder without files and no rows.
 """
 
@@ -18,17 +18,18 @@ import base64
 import hashlib
 import io
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provenant.llm.common import new_path
+from provenant.llm.common import few, new_path, written
 
 MAGIC_DICTIONARY = 0x184D2A5D
 ARCHIVE_BYTES = 16 << 20
@@ -36,17 +37,23 @@ SAMPLE_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 6
 _SCHEMA = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
+_FILES = "file string, records bigint, bytes bigint"
+#: Most payloads with repeats that are broadcast, about 100 bytes each.
+MOST_REPEATED = 200_000
 
 
 def dedupe(pages: DataFrame, key: str = "page_id", payload: str = "html", least_bytes: int = 0) -> DataFrame:
-    """`pages` with record_type and refers_to. The table of least ids is summed per digest before it meets the rows;
-    a payload that a great part of the rows share is a hot key of a plain equi-join, which adaptive execution splits."""
+    """`pages` with record_type and refers_to. The least id of each payload is found on digests alone, and only payloads that several rows have are met with
+    the rows: a small table of them is broadcast, so that payloads don't move; a large one meets them in a join, which adaptive execution splits where a payload is hot."""
     body = F.coalesce(F.col(payload), F.lit(""))
-    named = pages.select(F.col(key).cast("long").alias("page_id"), *([F.col("url").cast("string")] if "url" in pages.columns else [F.lit(None).cast("string").alias("url")]), body.alias("payload"), F.sha2(body, 256).alias("digest"))
-    least = named.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    digest = F.unhex(F.sha2(body, 256))
+    least = pages.select(digest.alias("_digest"), F.col(key).cast("long").alias("id")).groupBy("_digest").agg(F.min("id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    least = few(written(least, "repeated-payloads"), MOST_REPEATED)
+    url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
+    named = pages.select(F.col(key).cast("long").alias("page_id"), url.alias("url"), body.alias("payload"), digest.alias("digest"))
     revisit = (F.octet_length("payload") >= least_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return (
-        named.join(least, "digest", "left")
+        named.join(least, F.col("digest") == F.col("_digest"), "left")
         .withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
         .select("page_id", "url", "record_type", F.when(revisit, F.col("first")).alias("refers_to"), "payload")
     )
@@ -126,8 +133,8 @@ def records(data: bytes) -> Iterator[bytes]:
 
 
 def _save(folder: str, name: str, data: bytes) -> None:
-    """Under a passing name first, then its own: no reader meets half a file."""
-    if "://" not in folder or folder.startswith("file:"):
+    """Under a passing name first, then its own: no reader meets half a file. `folder` names its file system."""
+    if folder.startswith("file:"):
         root = folder.removeprefix("file://").removeprefix("file:")
         os.makedirs(root, exist_ok=True)
         passing = f"{root}/_{uuid.uuid4().hex}"
@@ -137,7 +144,7 @@ def _save(folder: str, name: str, data: bytes) -> None:
         return
     from pyarrow import fs
 
-    store, root = fs.FileSystem.from_uri(folder)
+    store, root = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
     store.create_dir(root, recursive=True)
     passing = f"{root}/_{uuid.uuid4().hex}"
     with store.open_output_stream(passing) as f:
@@ -145,17 +152,24 @@ def _save(folder: str, name: str, data: bytes) -> None:
     store.move(passing, f"{root}/{name}")
 
 
+def _whole_path(spark: SparkSession, folder: str) -> str:
+    """`folder` with its file system, so that tasks take it as the driver does: a folder without one is the default file system's, not each machine's own."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def write(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes the rows of dedupe() as archives below `folder`; returns file, records, bytes of each."""
+    """Writes the rows of dedupe() as archives below `folder`; returns file, records, bytes of each, written as a table of its own (`folder`/_files)."""
+    folder = _whole_path(rows.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, held, size, count = TaskContext.get().partitionId(), [], 0, 0
+        task, held, size, count = TaskContext.get(), [], 0, 0
 
         def close() -> pa.RecordBatch:
             nonlocal held, size, count
-            name, data = f"part-{part:06d}-{count:05d}.warc.zst", archive(held)
+            name, data = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{count:05d}.warc.zst", archive(held)
             _save(folder, name, data)
             out = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64()), pa.array([len(data)], pa.int64())], names=["file", "records", "bytes"])
             held, size, count = [], 0, count + 1
@@ -170,12 +184,19 @@ def write(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> D
         if held:
             yield close()
 
-    return rows.select("page_id", "url", "record_type", "refers_to", "payload").mapInArrow(run, "file string, records bigint, bytes bigint")
+    files = rows.select("page_id", "url", "record_type", "refers_to", "payload").mapInArrow(run, _FILES)
+    files.write.mode("append").parquet(f"{folder}/_files")
+    return rows.sparkSession.read.schema(_FILES).parquet(f"{folder}/_files")
 
 
 def read(spark, folder: str, *, with_payload: bool = False) -> DataFrame:
-    """One row for each record of the archives below `folder`. Bounded archives make bounded rows of whole files."""
-    files = spark.read.schema(T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])).format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
+    """One row for each record of the archives that write() has listed for `folder`. Bounded archives make bounded rows of whole files; the driver holds their names, as it does for any files."""
+    folder = _whole_path(spark, folder)
+    listed = [f"{folder}/{r.file}" for r in spark.read.schema(_FILES).parquet(f"{folder}/_files").select("file").toLocalIterator()]
+    if not listed:
+        found = spark.createDataFrame([], _SCHEMA)
+        return found if with_payload else found.drop("payload")
+    files = spark.read.schema(T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])).format("binaryFile").load(listed).select("content")
     names = [x.split(" ")[0] for x in _SCHEMA.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
@@ -206,7 +227,5 @@ def round_trip(pages: DataFrame, key: str = "page_id", payload: str = "html") ->
     """Archives `pages` in the shared folder and reads them back."""
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
-    write(dedupe(pages, key, payload), folder).agg(F.sum("records")).collect()  # one row: runs the writer
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)  # an empty table writes no file
+    write(dedupe(pages, key, payload), folder)
     return read(spark, folder)
