@@ -3,7 +3,8 @@
 Vectors are packed, in the partitions that hold them, into blocks of neighbouring rows: a matrix (the forward index), its ids and the
 largest and smallest value of each term (component). A cell is a bundle of query chunks and a group of blocks; all cells are made, each in one task. There, each query's blocks are
 put in order of an upper bound of their scores, the sum over terms of query value times block maximum (minimum where the query is
-negative), and are scored until the bound falls below the query's k-th score so far. The k best of each group then
+negative), and are scored until the bound falls below the query's k-th score so far. Each bundle meets one group first, whose k-th scores are the floor that its
+queries bring to all other groups: a block whose bound is below it is not scored anywhere. The k best of each group then
 meet per query. Bundles and groups have about GROUP_ROWS rows each, so the number of cells grows with the table and the queries, but no cell does.
 
 Components become floor(scale * x), x as a double. Vectors that are null or hold null or non-finite components take no part; vectors of another
@@ -70,20 +71,27 @@ def _scores(queries: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     return np.clip(wide, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
-def search_cell(queries: tuple[np.ndarray, np.ndarray], blocks: list[tuple[np.ndarray, ...]], k: int) -> list[tuple[int, int, int]]:
-    """(query id, id, score): the k best of the blocks for each query, by the block order and stop rule above."""
+def _matrix(values: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(values, "<i8").reshape(rows, dim)
+
+
+def search_cell(queries: tuple[np.ndarray, np.ndarray], blocks: list[tuple[np.ndarray, ...]], k: int, floor: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(query id, id, score): the k best of the blocks for each query, by the block order and stop rule above.
+
+    `floor` is a score for each query that k rows of the table are known to reach; rows below it may be left out.
+    """
     names, q = queries
+    floor = np.full(len(q), np.iinfo(np.int64).min) if floor is None else floor
     plus, minus = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
     bounds = np.stack([plus @ high.astype(np.float64) + minus @ low.astype(np.float64) for _, _, high, low in blocks], 1)
     bounds += np.abs(bounds) * 1e-9  # rounding never lowers a bound
     order = np.argsort(-bounds, 1, kind="stable")
-    best = np.full((len(q), 0), 0, np.int64), np.full((len(q), 0), 0, np.int64)
     score, owner = (np.full((len(q), k), np.iinfo(np.int64).min), np.full((len(q), k), np.iinfo(np.int64).max))
     filled = np.zeros((len(q), k), bool)
     active = np.arange(len(q))
     for step in range(len(blocks)):
         ahead = bounds[active, order[active, step]]
-        active = active[~(filled[active, k - 1] & (ahead < score[active, k - 1]))]
+        active = active[~((ahead < floor[active]) | filled[active, k - 1] & (ahead < score[active, k - 1]))]
         if not len(active):
             break
         for at in np.unique(order[active, step]):
@@ -97,13 +105,12 @@ def search_cell(queries: tuple[np.ndarray, np.ndarray], blocks: list[tuple[np.nd
             pick = np.lexsort((i_all, -s_all.astype(np.float64) if np.abs(s_all[ok]).max(initial=0) < 2**53 else ~s_all, ~ok), axis=1)[:, :k]
             rows = np.arange(len(some))[:, None]
             score[some], owner[some], filled[some] = s_all[rows, pick], i_all[rows, pick], ok[rows, pick]
-    del best
     r, c = np.nonzero(filled)
     return list(zip(names[r].tolist(), owner[r, c].tolist(), score[r, c].tolist(), strict=True))
 
 
-def cells(vectors: DataFrame, queries: DataFrame, *, scale: int = 256, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK_ROWS, chunk: int = QUERY_ROWS, group: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Chunks of queries and blocks of rows, each with g and bundle: every bundle of queries meets every group of blocks."""
+def cells(vectors: DataFrame, queries: DataFrame, *, scale: int = 256, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK_ROWS, chunk: int = QUERY_ROWS, group: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame, int]:
+    """Chunks of queries and blocks of rows, each with g and bundle, and the number of groups: every bundle of queries meets every group of blocks."""
     rows, wanted = vectors.count(), queries.count()  # two numbers: how many groups and bundles there are
     groups = max(1, min(-(-rows // block), max(-(-rows // group), 12)))
     bundles = max(1, -(-wanted // group))
@@ -111,24 +118,43 @@ def cells(vectors: DataFrame, queries: DataFrame, *, scale: int = 256, key: str
     blocks = packed(quantised(vectors, scale, key, vector), block).withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
     # rows are dealt out in turn, so that bundles, which are partitions, are of a size
     asked = packed(quantised(queries, scale, key, vector).repartition(bundles), chunk).withColumn("bundle", F.spark_partition_id())
-    return asked.select("dim", "ids", "values", "bundle", every(groups).alias("g")), blocks.select("*", every(bundles).alias("bundle"))
+    return asked.select("dim", "ids", "values", "bundle", every(groups).alias("g")), blocks.select("*", every(bundles).alias("bundle")), groups
 
 
 def search(vectors: DataFrame, queries: DataFrame, *, k: int = K, scale: int = 256, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK_ROWS, chunk: int = QUERY_ROWS, group: int = GROUP_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows of `vectors` for each row of `queries`."""
-    asked, blocks = cells(vectors, queries, scale=scale, key=key, vector=vector, block=block, chunk=chunk, group=group)
+    asked, blocks, groups = cells(vectors, queries, scale=scale, key=key, vector=vector, block=block, chunk=chunk, group=group)
+
+    def matrices(rows: pd.DataFrame, dim: int) -> list[tuple[np.ndarray, ...]]:
+        own = rows[rows.dim == dim]
+        return [(np.frombuffer(b.ids, "<i8"), _matrix(b.values, len(b.ids) // 8, dim), np.frombuffer(b.high, "<i8")[:dim], np.frombuffer(b.low, "<i8")[:dim]) for b in own.itertuples()]
+
+    def raise_floor(name: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for q in left.itertuples():
+            names, parts = np.frombuffer(q.ids, "<i8"), matrices(right, int(q.dim))
+            floor = np.full(len(names), np.iinfo(np.int64).min)
+            scores: dict[int, list[int]] = {}
+            for query, _, score in search_cell((names, _matrix(q.values, len(names), int(q.dim))), parts, k) if parts else []:
+                scores.setdefault(query, []).append(score)
+            for i, query in enumerate(names.tolist()):
+                # a query id on several rows has the scores of all: then nothing is known of each
+                if len(scores.get(query, ())) == k:
+                    floor[i] = min(scores[query])
+            out.append((q.dim, q.ids, q.values, floor.astype("<i8").tobytes(), q.bundle))
+        return pd.DataFrame(out, columns=["dim", "ids", "values", "floor", "bundle"])
 
     def cell(name: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
         for q in left.itertuples():
-            dim = int(q.dim)
-            names, values = np.frombuffer(q.ids, "<i8"), np.frombuffer(q.values, "<i8").reshape(-1, dim) if dim else np.zeros((len(q.ids) // 8, 0), np.int64)
-            own = right[right.dim == dim]
-            parts = [(np.frombuffer(b.ids, "<i8"), np.frombuffer(b.values, "<i8").reshape(-1, dim) if dim else np.zeros((len(b.ids) // 8, 0), np.int64), np.frombuffer(b.high, "<i8")[:dim], np.frombuffer(b.low, "<i8")[:dim]) for b in own.itertuples()]
+            names, parts = np.frombuffer(q.ids, "<i8"), matrices(right, int(q.dim))
             if parts:
-                found += search_cell((names, values), parts, k)
+                found += search_cell((names, _matrix(q.values, len(names), int(q.dim))), parts, k, np.frombuffer(q.floor, "<i8"))
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
+    first = F.col("g") == F.pmod(F.col("bundle"), F.lit(groups))
+    known = asked.filter(first).groupBy("g", "bundle").cogroup(blocks.filter(first).groupBy("g", "bundle")).applyInPandas(raise_floor, "dim int, ids binary, values binary, floor binary, bundle int")
+    asked = known.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     part = asked.groupBy("g", "bundle").cogroup(blocks.groupBy("g", "bundle")).applyInPandas(cell, "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return part.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -337,6 +337,29 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_only_listed_archives_are_read(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>page {i % 40}" * 20, "x") for i in range(90)], "page_id bigint, url string, html string, digest string").repartition(4)
+    folder = str(tmp_path / "archive")
+    listed = warc.write(warc.dedupe(pages), folder, archive_bytes=5000)
+    assert listed.agg(F.sum("records")).first()[0] == 90 and listed.count() > 4
+    # what another attempt of a task left
+    kept = listed.first().file
+    (tmp_path / "archive" / "part-000000-999999-00000.warc.zst").write_bytes((tmp_path / "archive" / kept).read_bytes())
+    assert sorted(r.page_id for r in warc.read(spark, folder).collect()) == list(range(90))
+    texts = {r.page_id: bytes(r.payload).decode() for r in warc.read(spark, folder, with_payload=True).filter("record_type = 'response'").collect()}
+    assert texts == {i: f"<p>page {i}" * 20 for i in range(40)}
+    (tmp_path / "archive" / kept).unlink()
+    with pytest.raises(Exception, match="kept|not.*exist|NOT_FOUND|not found"):
+        warc.read(spark, folder).count()
+
+
+def test_payloads_meet_a_large_table_of_repeats(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_REPEATED", 1)
+    pages = spark.createDataFrame([(i, "u", f"page {i % 3}") for i in range(30)], "page_id bigint, url string, html string")
+    found = {r.page_id: (r.record_type, r.refers_to) for r in warc.dedupe(pages).collect()}
+    assert found == {i: ("revisit", i % 3) if i > 2 else ("response", None) for i in range(30)}
+
+
 def test_archive_has_its_dictionary():
     records = [warc.record(i, "u", "response", None, f"<p>page {i} of many words and more".encode() * 20) for i in range(300)]
     data = warc.archive(records)
@@ -512,7 +535,7 @@ def test_top_k_cells_are_bounded(spark):
     random = np.random.default_rng(8)
     rows = [(i, random.normal(size=4).tolist()) for i in range(600)]
     vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
-    asked, blocks = topk.cells(vectors, vectors, block=8, chunk=16, group=100)
+    asked, blocks, _ = topk.cells(vectors, vectors, block=8, chunk=16, group=100)
     held = asked.groupBy("g", "bundle").agg(F.sum(F.length("ids") / 8).alias("n")).collect()
     groups = blocks.select("g").distinct().count()
     assert {r.bundle for r in held} == set(range(6)) and max(r.n for r in held) <= 110
