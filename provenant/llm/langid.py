@@ -1,11 +1,13 @@
 """Language identification with a linear-chain conditional random field over words.
 
-A word is what stands between white space; its letters in lower case count. Each word of a chain (up to CHAIN words in a row) has a label. A word's emission score is the sum of the weights of its features:
+A word is what stands between white space; its letters in lower case count. Each word of a text has a label, and the text is one chain. A word's emission score is the sum of the weights of its features:
 the lexicon entry of the whole word, affixes and character n-grams, hashed into a table. Learned transitions join
 neighbours, so that a word is read in the light of its context and a switch of language has its price. Forward-backward gives each word's
-marginals; a text's label is the one with most expected words, its score that share.
+marginals; a text's label is the one with most expected words, its score that share. The recursions go over whole texts in blocks of BLOCK words, which carry the forward sums on; only
+the sums at the borders of blocks are kept, so a very long text needs little memory.
 
-The model is fitted on a bounded sample: about SAMPLE labelled documents a language, drawn by hash, and of each one chain at a place drawn by hash.
+The model is fitted on a bounded sample: about SAMPLE different labelled texts a language, drawn by hash, whole, in pieces of CHAIN words. A share of the pieces is spliced with pieces of other languages,
+so that transitions are learned on text that switches.
 What decides is counted over all documents: the languages, all of which are learned, and how many rows each has.
 The model and its fitting grow with the number of languages, not with the documents.
 All words of each text are labelled. Null texts and texts without a letter are `und` with score 0. Without any labelled row all texts are `und`.
@@ -25,10 +27,14 @@ from pyspark.sql import functions as F
 
 from provenant.llm.common import TEXT_ROWS_PER_BATCH, held
 
-#: Documents of each language that the model is fitted on, at most about.
-SAMPLE = 1000
-#: Words of a chain.
+#: Texts of each language that the model is fitted on, at most about.
+SAMPLE = 500
+#: Words of a piece of training text, and the share of pieces that are spliced.
 CHAIN = 64
+SPLICED = 0.2
+#: Words of each text in one block of the recursions, and words of a group of texts that go through them together.
+BLOCK = 1024
+GROUP_WORDS = 400_000
 TABLE_BITS = 16
 EPOCHS = 3
 WORD_CACHE = 200_000
@@ -110,7 +116,7 @@ def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np
 
 
 def fit(chains: list[list[str]], labels: list[str]) -> Model:
-    """Adaptive gradient ascent on the likelihood of the labels given the words."""
+    """Adaptive gradient ascent on the likelihood of the words' labels given the words; chains are of one label each, some are spliced here."""
     languages = sorted(set(labels))
     size = len(languages)
     weights, transitions, start = np.zeros((1 << TABLE_BITS, size)), np.eye(size), np.zeros(size)
@@ -123,17 +129,26 @@ def fit(chains: list[list[str]], labels: list[str]) -> Model:
     owner, flat = cells(vocabulary)
     by_word = np.argsort(owner, kind="stable")
     flat, first = flat[by_word], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(vocabulary)))])
-    gold = np.array([of[x] for x in labels])
-    squares, squares_t, squares_s = np.full_like(weights, 1e-6), np.full_like(transitions, 1e-6), np.full_like(start, 1e-6)
+    gold = [np.full(len(row), of[label]) for row, label in zip(rows, labels, strict=True)]
     order, random = np.arange(len(rows)), np.random.default_rng(5)
+    # two chains swap their ends where they are cut
+    for i, j in random.permutation(len(rows))[: int(SPLICED * len(rows)) // 2 * 2].reshape(-1, 2):
+        at, to = random.integers(len(rows[i]) + 1), random.integers(len(rows[j]) + 1)
+        for parts in (rows, gold):
+            left, right = parts[i], parts[j]
+            parts[i], parts[j] = np.concatenate([left[:at], right[to:]]), np.concatenate([right[:to], left[at:]])
+    whole = [i for i in order if len(rows[i])]
+    rows, gold = [rows[i] for i in whole], [gold[i] for i in whole]
+    order = np.arange(len(rows))
+    squares, squares_t, squares_s = np.full_like(weights, 1e-6), np.full_like(transitions, 1e-6), np.full_like(start, 1e-6)
     for _ in range(EPOCHS):
         random.shuffle(order)
         for at in range(0, len(order), 512):
             some = order[at : at + 512]
             lengths = np.array([len(rows[i]) for i in some])
-            padded = np.zeros((len(some), lengths.max()), np.int64)
+            padded, labelled = np.zeros((2, len(some), lengths.max()), np.int64)
             for k, i in enumerate(some):
-                padded[k, : lengths[k]] = rows[i]
+                padded[k, : lengths[k]], labelled[k, : lengths[k]] = rows[i], gold[i]
             used, inverse = np.unique(padded, return_inverse=True)
             many = first[used + 1] - first[used]
             o = np.repeat(np.arange(len(used)), many)
@@ -142,15 +157,15 @@ def fit(chains: list[list[str]], labels: list[str]) -> Model:
             marginals, both = forward_backward(word_scores[inverse.reshape(padded.shape)], lengths, transitions, start)
             inside = np.arange(padded.shape[1])[None, :] < lengths[:, None]
             truth = np.zeros_like(marginals)
-            truth[np.arange(len(some)), :, gold[some]] = 1
+            np.put_along_axis(truth, labelled[:, :, None], 1, 2)
             slope = (truth * inside[:, :, None] - marginals) / len(some)
             on_words = np.stack([np.bincount(inverse.ravel(), slope[:, :, c].ravel(), len(used)) for c in range(size)], 1)
             g = np.stack([np.bincount(f, on_words[o, c], len(weights)) for c in range(size)], 1) - 1e-6 * weights
             squares += g * g
             weights += 0.2 * g / np.sqrt(squares)
             seen = np.zeros((size, size))
-            np.add.at(seen, (gold[some], gold[some]), lengths - 1)
-            g = (seen - both) / len(some) - 1e-2 * transitions  # labels that never switch would make a switch impossible
+            np.add.at(seen, (labelled[:, :-1][inside[:, 1:]], labelled[:, 1:][inside[:, 1:]]), 1)
+            g = (seen - both) / len(some) - 1e-3 * transitions
             squares_t += g * g
             transitions += 0.1 * g / np.sqrt(squares_t)
             g = slope[:, 0].sum(0)
@@ -180,68 +195,116 @@ class _Scores(dict):
         self.rows = np.concatenate([self.rows, rows.astype(np.float32)])
 
 
-def predict(texts: list[str | None], model: Model, scores: _Scores) -> list[tuple[str, float]]:
-    """Label and score of each text; all chains of all texts go through forward-backward together, those of like length at once."""
-    out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-    if not model.languages:
-        return out
-    found, tokens = [], []
+def _groups(texts: list[str | None]) -> Iterator[tuple[list[int], list[list[str]]]]:
+    """Texts that have words, with their places, in groups of about GROUP_WORDS words."""
+    places, words, size = [], [], 0
     for i, t in enumerate(texts):
         if t and (own := t.split()):
-            found.append((i, len(own)))
-            tokens += own
-    if not found:
-        return out
+            places.append(i)
+            words.append(own)
+            size += len(own)
+            if size >= GROUP_WORDS:
+                yield places, words
+                places, words, size = [], [], 0
+    if places:
+        yield places, words
+
+
+def _rows_of(words: list[list[str]], scores: _Scores) -> np.ndarray:
+    """Of every token of every text, its row in the table of scores."""
+    tokens = [t for own in words for t in own]
     fresh = {t for t in tokens if t not in scores}
     if fresh:
         scores.learn(list(set(tokens)) if len(scores) + len(fresh) > WORD_CACHE else list(fresh))
-    flat = np.fromiter(map(scores.__getitem__, tokens), np.int64, len(tokens))
-    total = np.zeros((len(found), len(model.languages)))
-    begins, owners, lengths = [], [], []
-    at = 0
-    for k, (_, n) in enumerate(found):
-        for s in range(0, n, CHAIN):
-            begins.append(at + s)
-            owners.append(k)
-            lengths.append(min(CHAIN, n - s))
-        at += n
-    begins, owners, lengths = np.array(begins), np.array(owners), np.array(lengths)
-    order = np.argsort(lengths, kind="stable")
-    for cut in range(0, len(order), 2048):
-        some = order[cut : cut + 2048]
-        most = lengths[some].max()
-        inside = np.arange(most)[None, :] < lengths[some][:, None]
-        where = np.where(inside, begins[some][:, None] + np.arange(most), 0)
-        rows = scores.rows[flat[where]]
-        marginals = _marginals(rows[:, :, :-1], lengths[some], model)
-        np.add.at(total, owners[some], (marginals * rows[:, :, -1:]).sum(1))
-    sums = total.sum(1, keepdims=True)
-    total /= np.maximum(sums, 1e-9)
-    best = total.argmax(1)
-    for k, (i, _) in enumerate(found):
-        if sums[k, 0] > 0:
-            out[i] = (model.languages[best[k]], float(min(1.0, total[k, best[k]])))
+    return np.fromiter(map(scores.__getitem__, tokens), np.int64, len(tokens))
+
+
+def predict(texts: list[str | None], model: Model, scores: _Scores) -> list[tuple[str, float]]:
+    """Label and score of each text; all texts of a group go through forward-backward together."""
+    out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+    if not model.languages:
+        return out
+    for places, words in _groups(texts):
+        flat = _rows_of(words, scores)
+        total = np.zeros((len(places), len(model.languages)))
+        for owner, at, marginals in marginal_blocks(scores.rows[:, :-1], flat, np.array([len(w) for w in words]), model):
+            share = marginals * scores.rows[flat[at], -1:]
+            for c in range(total.shape[1]):
+                total[:, c] += np.bincount(owner, share[:, c], len(places))
+        sums = total.sum(1, keepdims=True)
+        total /= np.maximum(sums, 1e-9)
+        best = total.argmax(1)
+        for k, i in enumerate(places):
+            if sums[k, 0] > 0:
+                out[i] = (model.languages[best[k]], float(min(1.0, total[k, best[k]])))
     return out
 
 
-def _marginals(emissions: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray:
-    """As forward_backward(), without expected transitions."""
-    e = np.exp(emissions - emissions.max(2, keepdims=True))
-    step = np.exp(model.transitions).astype(e.dtype)
-    inside = np.arange(e.shape[1])[None, :] < lengths[:, None]
-    alpha, b = np.empty_like(e), np.ones_like(e[:, 0])
-    a = e[:, 0] * np.exp(model.start).astype(e.dtype)
-    alpha[:, 0] = a / a.sum(1, keepdims=True)
-    for t in range(1, e.shape[1]):
-        a = (alpha[:, t - 1] @ step) * e[:, t]
-        alpha[:, t] = a / a.sum(1, keepdims=True)
-    for t in range(e.shape[1] - 1, -1, -1):
-        if t < e.shape[1] - 1:
-            n = (e[:, t + 1] * b) @ step.T
-            b = np.where(inside[:, t + 1 : t + 2], n / n.sum(1, keepdims=True), 1).astype(e.dtype)
-        alpha[:, t] *= b
-    alpha /= alpha.sum(2, keepdims=True)
-    return alpha * inside[:, :, None]
+def predict_words(texts: list[str | None], model: Model, scores: _Scores) -> list[list[tuple[str, str, float]]]:
+    """Of each text its words with their labels and these labels' probabilities; words without a letter are `und`."""
+    out: list[list[tuple[str, str, float]]] = [[] for _ in texts]
+    for places, words in _groups(texts):
+        if not model.languages:
+            labels = [(UNKNOWN, 0.0)] * sum(map(len, words))
+        else:
+            flat = _rows_of(words, scores)
+            best, sure = np.zeros(len(flat), np.int64), np.zeros(len(flat))
+            for _, at, marginals in marginal_blocks(scores.rows[:, :-1], flat, np.array([len(w) for w in words]), model):
+                best[at], sure[at] = marginals.argmax(1), marginals.max(1)
+            labels = [(model.languages[x], p) if has else (UNKNOWN, 0.0) for x, p, has in zip(best.tolist(), sure.tolist(), (scores.rows[flat, -1] > 0).tolist(), strict=True)]
+        at = 0
+        for i, own in zip(places, words, strict=True):
+            out[i] = [(w, *label) for w, label in zip(own, labels[at : at + len(own)], strict=True)]
+            at += len(own)
+    return out
+
+
+def marginal_blocks(table: np.ndarray, flat: np.ndarray, lengths: np.ndarray, model: Model, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, place in `flat`, marginals) of the words of each block, last blocks first; a text's words follow one another in `flat`, rows of `table` are their emission scores.
+
+    Texts run side by side, longest first, so that the texts that reach a word are the first ones. A pass forward keeps the forward sums at the borders of blocks; the
+    pass back works each block's forward sums out again and meets them with the backward sums.
+    """
+    order = np.argsort(-lengths, kind="stable")
+    begins, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    most = int(sizes[0])
+    alive = np.searchsorted(-sizes, -np.arange(most), "left")  # texts with more than t words
+    step, start = np.exp(model.transitions).astype(np.float32), np.exp(model.start).astype(np.float32)
+
+    def emissions(first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of words first to last, word by word: texts, places, scaled emissions, and where each word's texts begin among these."""
+        many = alive[first:last]
+        edges = np.concatenate([[0], np.cumsum(many)])
+        owner = np.arange(edges[-1]) - np.repeat(edges[:-1], many)
+        at = begins[owner] + np.repeat(np.arange(first, last), many)
+        e = table[flat[at]]
+        return owner, at, np.exp(e - e.max(1, keepdims=True)), edges
+
+    def forward(a: np.ndarray | None, e: np.ndarray, edges: np.ndarray) -> Iterator[np.ndarray]:
+        for t in range(len(edges) - 1):
+            here = e[edges[t] : edges[t + 1]]
+            a = here * start if a is None else (a[: len(here)] @ step) * here
+            a /= a.sum(1, keepdims=True)
+            yield a
+
+    borders: list[np.ndarray | None] = [None]
+    for first in range(0, most - block, block):
+        _, _, e, edges = emissions(first, first + block)
+        for a in forward(borders[-1], e, edges):
+            pass
+        borders.append(a)
+    back = np.ones((len(sizes), len(step)), np.float32)
+    for number in range(len(borders) - 1, -1, -1):
+        first = number * block
+        owner, at, e, edges = emissions(first, min(most, first + block))
+        gamma = np.concatenate(list(forward(borders[number], e, edges)))
+        for t in range(len(edges) - 2, -1, -1):
+            rows = slice(edges[t], edges[t + 1])
+            now = back[: edges[t + 1] - edges[t]]
+            gamma[rows] *= now
+            n = (e[rows] * now) @ step.T
+            back[: len(n)] = n / n.sum(1, keepdims=True)
+        yield order[owner], at, gamma / gamma.sum(1, keepdims=True)
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -250,28 +313,26 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learns every label of the labelled rows of `docs` that are not held out. The driver gets at most about `sample` chains of CHAIN words a language."""
+    """Learns every label of the labelled rows of `docs` that are not held out. The driver gets about `sample` different texts a language at most, whole."""
     labelled = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(label).alias("label"))
     counts = labelled.groupBy("label").agg(F.count("*").alias("n")).collect()  # a row a language
     if not counts:
         return fit([], [])
     shares = docs.sparkSession.createDataFrame([(r["label"], min(1.0, sample / r["n"])) for r in counts], "label string, share double")
-    draw = F.shiftrightunsigned(F.xxhash64("id", F.lit(7)), 11) / F.lit(float(1 << 53))
-    place = F.shiftrightunsigned(F.xxhash64("id", F.lit(8)), 11) / F.lit(float(1 << 53))
-    drawn = labelled.join(F.broadcast(shares), "label").filter(draw < F.col("share")).select("text", "label", place.alias("place"))
+    # drawn by text, so that copies, rows without a key and rows that share one can't bring more than their text; a label's draw is as likely as its rows are many
+    draw = F.shiftrightunsigned(F.xxhash64("text", F.lit(7)), 11) / F.lit(float(1 << 53))
+    drawn = labelled.join(F.broadcast(shares), "label").filter(draw < F.col("share")).groupBy("label", F.xxhash64("text").alias("name")).agg(F.first("text").alias("text"))
 
-    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, names = [], []
-            for t, name, where in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for t, name in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = [w for x in t.split() if (w := letters(x))]
-                if words:
-                    at = int(where * max(1, len(words) - CHAIN + 1))
-                    out.append(words[at : at + CHAIN])
-                    names.append(name)
+                out += [words[at : at + CHAIN] for at in range(0, len(words), CHAIN)]
+                names += [name] * -(-len(words) // CHAIN)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())), pa.array(names, pa.string())], names=["words", "label"])
 
-    rows = sorted((r["label"], list(r["words"])) for r in drawn.mapInArrow(chains, "words array<string>, label string").toLocalIterator())
+    rows = sorted((r["label"], list(r["words"])) for r in drawn.select("text", "label").mapInArrow(pieces, "words array<string>, label string").toLocalIterator())
     return fit([w for _, w in rows], [x for x, _ in rows])
 
 
@@ -295,3 +356,21 @@ def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str =
     kept = [f for f in rows.schema.fields if keep or f.name != text]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{names[0]}` string", f"`{names[1]}` double"])
     return rows.mapInArrow(run, schema)
+
+
+def label_words(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`key`, words: every word of each text with its label and how sure that is."""
+    shipped = docs.sparkSession.sparkContext.broadcast((int(np.random.default_rng().integers(1 << 62)), model))  # grows with languages only
+    kind = docs.schema[key].dataType.simpleString()
+    word = pa.list_(pa.struct([("word", pa.string()), ("label", pa.string()), ("probability", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, fitted = shipped.value
+        scores = held(("language", name), lambda: _Scores(fitted))
+        for batch in batches:
+            for start in range(0, batch.num_rows, TEXT_ROWS_PER_BATCH):
+                b = batch.slice(start, TEXT_ROWS_PER_BATCH)
+                found = predict_words(b.column(1).to_pylist(), fitted, scores)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[{"word": w, "label": x, "probability": p} for w, x, p in own] for own in found], word)], names=[key, "words"])
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, words array<struct<word:string,label:string,probability:double>>")

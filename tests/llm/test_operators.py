@@ -403,7 +403,52 @@ def test_forward_backward_is_enumeration():
     weight = np.exp([s[p[0]] + sum(e[0, i, x] for i, x in enumerate(p)) + sum(t[a, b] for a, b in zip(p, p[1:], strict=False)) for p in paths])
     want = np.array([[weight[paths[:, i] == c].sum() for c in range(3)] for i in range(4)]) / weight.sum()
     assert np.allclose(langid.forward_backward(e, np.array([4]), t, s)[0][0], want)
-    assert np.allclose(langid._marginals(e, np.array([4]), langid.Model(list("abc"), None, t, s))[0], want)
+    model = langid.Model(list("abc"), None, t, s)
+    for block in (1, 2, 3, 9):
+        found = [(at, g) for _, at, g in langid.marginal_blocks(e[0], np.arange(4), np.array([4]), model, block)]
+        got = np.zeros((4, 3))
+        for at, g in found:
+            got[at] = g
+        assert np.allclose(got, want, atol=1e-5)
+
+
+def test_blocks_of_a_text_carry_on():
+    random = np.random.default_rng(6)
+    lengths = np.array([3, 50, 1, 17, 50, 8])
+    table, t, s = random.normal(size=(40, 4)).astype(np.float32), random.normal(size=(4, 4)), random.normal(size=4)
+    flat, model = random.integers(0, 40, lengths.sum()), langid.Model(list("abcd"), None, t, s)
+    ends = np.cumsum(lengths)
+    for block in (7, 16, 64):
+        got, owners = np.zeros((len(flat), 4)), np.full(len(flat), -1)
+        for owner, at, g in langid.marginal_blocks(table, flat, lengths, model, block):
+            got[at], owners[at] = g, owner
+        assert owners.tolist() == np.repeat(np.arange(6), lengths).tolist()
+        for begin, end in zip(ends - lengths, ends, strict=True):
+            want = langid.forward_backward(table[flat[begin:end]][None].astype(float), np.array([end - begin]), t, s)[0][0]
+            assert np.allclose(got[begin:end], want, atol=1e-4)
+
+
+def test_words_are_labelled(spark, docs):
+    model = langid.train(docs)
+    texts = {r.lang: r.text for r in docs.filter("length(text) between 400 and 4000").orderBy("doc_id").collect() if r.lang in ("en", "de")}
+    parts = [texts["en"].split()[:40], texts["de"].split()[:40]]
+    mixed = spark.createDataFrame([(1, " ".join(parts[0] + ["123"] + parts[1])), (2, None), (None, " ")], "doc_id bigint, text string")
+    found = {r.doc_id: r.words for r in langid.label_words(mixed, model).collect()}
+    assert found[2] == found[None] == [] and [w.word for w in found[1]] == [*parts[0], "123", *parts[1]] and found[1][40].label == "und"
+    right = [w.label == want for w, want in zip(found[1], ["en"] * 40 + ["und"] + ["de"] * 40, strict=True)]
+    assert np.mean(right) > 0.9
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(None, f"same text of row {i % 3}", "a") for i in range(4000)] + [(1, f"word{i} other{i}", "b") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    seen = []
+    real, langid.fit = langid.fit, lambda chains, labels: seen.extend(labels) or real(chains, labels)
+    try:
+        langid.train(df, sample=100)
+    finally:
+        langid.fit = real
+    assert seen.count("a") <= 3 and 60 <= seen.count("b") <= 140
 
 
 def test_code_switching_is_seen(docs):
