@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from provenant.llm.common import TEXT_ROWS_PER_BATCH, held
 
 #: Texts of each language that the model is fitted on, at most about.
-SAMPLE = 500
+SAMPLE = 300
 #: Words of a piece of training text, and the share of pieces that are spliced.
 CHAIN = 64
 SPLICED = 0.2
