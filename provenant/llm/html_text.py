@@ -1,21 +1,25 @@
 """HTML to text by layout: a tree with implied tags, visibility rules, then block spacing, lists and aligned tables.
 
 The tree builder closes and opens what HTML lets an author leave out (p, li, dt/dd, option, tr, td/th, table parts, head and body). Hidden are elements that
-never show (script, style, template, head's own, what a drawing only defines and nowhere uses), the attribute `hidden`, inline styles display:none and visibility:hidden,
-and closed dialogs and details (but for the summary). All other text is in the result, whole. Blocks start a line, paragraphs and headings stand between
-blank lines, list items have a bullet or number and an indent, rows of a table are a line each with cells padded to their column (cells wider than WIDE are
-not waited for), preformatted text keeps its white space. Images give their alternative text. Forms give what their fields show: the value or else the
+never show (script, style, template, head's own, what a drawing only defines and nowhere uses), the attribute `hidden`, display:none and visibility:hidden (a descendant may be
+visible again) by inline styles or by rules of the page's style elements that name one element, class or id, and closed dialogs and details (but for the summary). Scripts aren't run,
+so noscript is shown; other rules and style sheets elsewhere are not read. All other text is in the result, whole. Blocks start a line, paragraphs and headings stand between
+blank lines, list items have a bullet or number and an indent (of at most MOST_INDENT columns), rows of a table are a line each with cells padded to their column (cells wider than WIDE are
+not waited for, nothing is padded beyond column MOST_PADDED, a column in which no cell begins takes no room), cells that span rows keep their columns in the rows below;
+tables in more than MOST_TABLES tables are laid out as blocks. Preformatted text keeps its white space. Images give their alternative text. Forms give what their fields show: the value or else the
 placeholder of an input (not of hidden, password, check and file fields), all options, the content of a textarea. Of drawings and formulas the text is given, each label of a
 drawing on a line. In them a slash ends an element, and tags that can only be HTML end them.
 
-Null and empty pages give the empty text. Repeated rows give repeated results; other columns are not read. Nesting is worked off
-without recursion, so deep or broken markup is no harm.
+Null and empty pages give the empty text. Repeated rows give repeated results; other columns are not read; an empty table gives no rows. Nesting is worked off
+without recursion and open elements are found by their name, so time and output are in proportion to the page, however deep or broken its markup.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -25,7 +29,7 @@ from provenant.llm.common import map_arrow
 
 #: Element classes as the HTML standard has them.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-NEVER_SHOWN = set("head title script style template noscript noframes datalist iframe object audio video canvas".split())
+NEVER_SHOWN = set("head title script style template noframes datalist iframe object audio video canvas".split())
 #: Never shown in drawings and formulas.
 UNSEEN = set("desc metadata annotation annotation-xml".split())
 #: Drawn only where something uses them.
@@ -50,13 +54,18 @@ BARRIER = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "optio
 P_ENDS = set("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 SCOPE = set("table td th caption button object html body".split())
 WIDE = 40
+#: Columns of the deepest indent, columns up to which cells are padded, and tables in one another that are aligned.
+MOST_INDENT, MOST_PADDED, MOST_TABLES = 40, 400, 6
+#: Columns in which a cell that spans rows keeps its place; text further right is beyond MOST_PADDED, so not aligned in any case.
+MOST_TALL = 200
 
 
 class Node:
-    __slots__ = ("children", "props", "tag")
+    __slots__ = ("before", "children", "props", "tag")
 
     def __init__(self, tag: str, props: dict[str, str | None]):
         self.tag, self.props, self.children = tag, props, []
+        self.before: object = None  # what the renderer puts back at the element's end
 
 
 class TreeBuilder(HTMLParser):
@@ -65,23 +74,33 @@ class TreeBuilder(HTMLParser):
         self.root = Node("html", {})
         self.used: set[str] = set()  # ids that a drawing uses
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {"html": [0]}  # where the open elements of a name are
+        self.styles: list[str] = []
         self.marks: list[int] = []  # where drawings, formulas and HTML in them begin among the open elements
 
+    def _push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
     def _pop_to(self, at: int) -> None:
-        del self.open[at:]
+        while len(self.open) > at:
+            self.places[self.open.pop().tag].pop()
         while self.marks and self.marks[-1] >= at:
             self.marks.pop()
 
+    def _last(self, names: set[str]) -> int:
+        """The place of the innermost open element of these names; 0 if none is open (the root never closes)."""
+        found, places = 0, self.places
+        for name in names:
+            if (own := places.get(name)) and own[-1] > found:
+                found = own[-1]
+        return found
+
     def _close(self, names: set[str], barrier: set[str]) -> None:
-        for at in range(len(self.open) - 1, 0, -1):
+        while (at := self._last(names)) and at > self._last(barrier):
             tag = self.open[at].tag
-            if tag in barrier:
-                return
-            if tag in names:
-                self._pop_to(at)
-                names = names - {tag} if tag in ("td", "th", "tr") else names
-                if not names & {n.tag for n in self.open}:
-                    return
+            self._pop_to(at)
+            names = names - {tag} if tag in ("td", "th", "tr") else names
 
     def _enter(self, tag: str, props: dict) -> None:
         node = Node(tag, props)
@@ -89,7 +108,7 @@ class TreeBuilder(HTMLParser):
         if tag not in VOID:
             if tag in FOREIGN:
                 self.marks.append(len(self.open))
-            self.open.append(node)
+            self._push(node)
 
     def _foreign(self) -> int:
         """Where the drawing or formula begins that the next tag is in; 0 for HTML."""
@@ -111,7 +130,7 @@ class TreeBuilder(HTMLParser):
                 self.open[-1].children.append(node)
                 if tag in FOREIGN or tag in HTML_INSIDE:
                     self.marks.append(len(self.open))
-                self.open.append(node)
+                self._push(node)
                 return
             while at := self._foreign():
                 self._pop_to(at)
@@ -120,7 +139,7 @@ class TreeBuilder(HTMLParser):
             return
         if tag == "body":
             self._close({"head"}, set())
-            if any(n.tag == "body" for n in self.open):
+            if self.places.get("body"):
                 return
         elif len(self.open) == 2 and self.open[1].tag == "head" and tag not in HEAD_ONLY:
             self._pop_to(1)
@@ -145,34 +164,79 @@ class TreeBuilder(HTMLParser):
         if self._in_textarea() and tag != "textarea":
             self.open[-1].children.append(f"</{tag}>")
             return
-        if tag == "p" and not any(n.tag == "p" for n in self.open):
+        if tag == "p" and not self.places.get("p"):
             self._enter("p", {})
         if tag == "br":
             self._enter("br", {})
             return
-        for at in range(len(self.open) - 1, 0, -1):
-            name = self.open[at].tag
-            if name == tag:
-                self._pop_to(at)
-                return
-            if name in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                return
+        at = self._last({tag})
+        if at and (tag in _ENDS_CELLS or at >= self._last(_CELLS)):
+            self._pop_to(at)
 
     def handle_comment(self, data: str) -> None:
         if self._in_textarea():
             self.open[-1].children.append(f"<!--{data}-->")
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1].tag == "style":
+            self.styles.append(data)
+            return
         if len(self.open) == 2 and self.open[1].tag == "head" and data.strip():
             self._pop_to(1)
         self.open[-1].children.append(data)
 
 
-def visible(node: Node) -> bool:
+#: End tags that end the cells they are around; others stay within their cell.
+_ENDS_CELLS = set("table tr tbody thead tfoot body html".split())
+_CELLS = {"td", "th", "table"}
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SELECTOR = re.compile(r"([a-z][a-z0-9]*|\*)?([.#][\w-]+)?", re.IGNORECASE)
+
+
+@lru_cache(4096)
+def _said(style: str) -> tuple[bool | None, bool | None]:
+    """Whether declarations say that an element is displayed, and that it is visible; None where they don't say."""
+    display = visibility = None
+    for part in style.lower().split(";"):
+        name, _, value = part.partition(":")
+        value = value.replace("!important", "").strip()
+        if name.strip() == "display" and value:
+            display = value != "none"
+        elif name.strip() == "visibility" and value:
+            visibility = value not in ("hidden", "collapse")
+    return display, visibility
+
+
+def _rules(styles: list[str]) -> dict[str, tuple[bool | None, bool | None]]:
+    """Selector -> what it says, for selectors of one element, class or id, or an element with one of these; later rules count."""
+    found: dict[str, tuple[bool | None, bool | None]] = {}
+    for selectors, body in _RULE.findall(re.sub(r"(?s)/\*.*?\*/", "", "\n".join(styles))):
+        said = _said(body)
+        if said != (None, None):
+            for one in selectors.split(","):
+                if (one := one.strip()) and (m := _SELECTOR.fullmatch(one)):
+                    name = (m[1] or "").lower().replace("*", "") + (m[2] or "")
+                    old = found.get(name, (None, None))
+                    found[name] = tuple(o if n is None else n for o, n in zip(old, said, strict=True))
+    return found
+
+
+def shown(node: Node, rules: dict[str, tuple[bool | None, bool | None]]) -> tuple[bool, bool | None]:
+    """Whether an element is displayed, and what it says of its visibility (None: as its parent)."""
     if node.tag in NEVER_SHOWN or "hidden" in node.props or node.tag == "dialog" and "open" not in node.props:
-        return False
-    style = re.sub(r"\s+", "", (node.props.get("style") or "").lower())
-    return "display:none" not in style and "visibility:hidden" not in style
+        return False, None
+    display = visibility = None
+    if rules:
+        names = ["", *(f".{c}" for c in (node.props.get("class") or "").split()), *([f"#{i}"] if (i := node.props.get("id")) else [])]
+        for name in names:
+            for key in (name, node.tag + name):
+                if key in rules:
+                    d, v = rules[key]
+                    display, visibility = display if d is None else d, visibility if v is None else v
+    if style := node.props.get("style"):
+        d, v = _said(style)
+        display, visibility = display if d is None else d, visibility if v is None else v
+    return display is not False, visibility
 
 
 def _caption(node: Node) -> str:
@@ -188,12 +252,12 @@ def _caption(node: Node) -> str:
 class _Sink:
     """Lines of text; white space collapses, blocks ask for line ends, paragraphs for a blank line."""
 
-    def __init__(self, indent: str = ""):
+    def __init__(self):
         self.lines: list[str] = []
         self.now: list[str] = []
         self.gap = 0  # line ends owed: 1 for a block, 2 for a paragraph
         self.space = False
-        self.indent = indent
+        self.indent = 0
         self.mark = ""
 
     def words(self, text: str) -> None:
@@ -214,7 +278,8 @@ class _Sink:
                 self.lines.append("")
             self.gap = 0
         if not self.now and (self.indent or self.mark):
-            self.now.append(self.indent[: len(self.indent) - len(self.mark)] + self.mark if self.mark else self.indent)
+            room = min(self.indent, MOST_INDENT)
+            self.now.append(" " * (room - len(self.mark)) + self.mark)
             self.mark = ""
             self.space = False
             self.now.append("")
@@ -254,32 +319,51 @@ def _width(text: str) -> int:
     return sum(2 if unicodedata.east_asian_width(c) in "WF" else not unicodedata.combining(c) for c in text)
 
 
-def _table(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Rows of (text, columns spanned) as aligned lines; cells of several lines take as many."""
-    widths: dict[int, int] = {}
+def _table(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Rows of (text, columns spanned, rows spanned) as aligned lines; cells of several lines take as many. Columns are those in which some cell begins."""
+    placed: list[list[tuple[list[str], int, int]]] = []  # lines, first column, column after the last
+    taken: dict[int, int] = {}  # column -> rows that a cell above still takes
     for row in rows:
-        at = 0
-        for text, span in row:
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), min(WIDE, max((_width(x) for x in text.split("\n")), default=0)))
+        at, cells, below = 0, [], {}
+        for text, span, tall in row:
+            while at in taken:
+                at += 1
+            cells.append((text.split("\n"), at, at + span))
+            if tall > 1:
+                below.update(dict.fromkeys(range(at, min(at + span, MOST_TALL)), tall))
             at += span
+        taken = {c: n - 1 for c, n in {**taken, **below}.items() if n > 1}
+        placed.append(cells)
+    starts = sorted({first for cells in placed for _, first, _ in cells})
+    index = {first: i for i, first in enumerate(starts)}
+    widths = [0] * len(starts)
+    for cells in placed:
+        for lines, first, last in cells:
+            if bisect.bisect_left(starts, last) == index[first] + 1:
+                widths[index[first]] = max(widths[index[first]], min(WIDE, max(map(_width, lines))))
+    ends = [0]  # where each column's room ends
+    for width in widths:
+        ends.append(ends[-1] + width + 2)
     out = []
-    for row in rows:
-        cells = [(text.split("\n"), span) for text, span in row]
-        for n in range(max((len(c) for c, _ in cells), default=0)):
-            line, at = [], 0
-            for lines, span in cells:
+    for cells in placed:
+        for n in range(max((len(lines) for lines, _, _ in cells), default=0)):
+            line: list[str] = []
+            used = 0
+            for lines, first, _ in cells:
                 text = lines[n] if n < len(lines) else ""
-                room = sum(widths.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)
-                line.append(text + " " * max(0, room - _width(text)))
-                at += span
-            out.append("  ".join(line).rstrip())
+                if not text:
+                    continue
+                room = min(ends[index[first]], MOST_PADDED)
+                pad = max(room - used, 2 if used else 0)
+                line += [" " * pad, text]
+                used += pad + _width(text)
+            out.append("".join(line).rstrip())
     return out
 
 
-def _span(node: Node) -> int:
-    value = (node.props.get("colspan") or "1").strip()
-    return min(1000, max(1, int(value))) if value.isdecimal() else 1
+def _span(node: Node, name: str, most: int) -> int:
+    value = (node.props.get(name) or "1").strip()
+    return min(most, max(1, int(value[:6]))) if value.isdecimal() else 1
 
 
 def render(html: str | None) -> str:
@@ -288,36 +372,38 @@ def render(html: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
+    rules = _rules(builder.styles) if builder.styles else {}
     sinks = [_Sink()]
     lists: list[list] = []  # kind, next number
     tables: list[list] = []  # rows of the tables that are open
     kept = 0  # depth of preformatted text
     drawn = 0  # depth of drawings and formulas
+    veiled = False  # within visibility:hidden
     todo: list[tuple[str, Node | str]] = [("in", builder.root)]
     while todo:
         step, node = todo.pop()
         sink = sinks[-1]
         if isinstance(node, str):
-            if step == "in":
+            if step == "in" and not veiled:
                 sink.raw(node) if kept else sink.words(node)
             continue
         tag = node.tag
         if step in ("in", "seek"):
-            if not visible(node) or drawn and tag in UNSEEN:
+            displayed, seen = shown(node, rules)
+            if not displayed or drawn and tag in UNSEEN:
                 continue
             if (step == "seek" or drawn and tag in DEFINED) and node.props.get("id") not in builder.used:
                 todo.extend(("seek", c) for c in reversed(node.children))
                 continue
-            if tag == "br":
-                sink.line_break()
-                continue
-            if tag == "img":
-                sink.words(node.props.get("alt") or "")
-                continue
-            if tag == "input":
-                sink.words(_caption(node))
+            if tag in ("br", "img", "input"):
+                if tag == "br":
+                    sink.line_break()
+                elif not (veiled if seen is None else not seen):
+                    sink.words((node.props.get("alt") or "") if tag == "img" else _caption(node))
                 continue
             todo.append(("out", node))
+            node.before = veiled
+            veiled = veiled if seen is None else not seen
             children = node.children
             if tag == "option" and node.props.get("label"):
                 children = [node.props["label"]]
@@ -332,13 +418,16 @@ def render(html: str | None) -> str:
             if tag == "details" and "open" not in node.props:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"]
             todo.extend(("in", c) for c in reversed(children))
-            if tag in ("td", "th") and tables:
+            aligned = 0 < len(tables) <= MOST_TABLES
+            if tag in ("td", "th") and aligned:
                 sinks.append(_Sink())
                 continue
+            if tag in ("td", "th"):
+                sink.block(1)
             if tag == "table":
                 tables.append([])
                 sink.block(2)
-            elif tag == "tr" and tables:
+            elif tag == "tr" and aligned:
                 tables[-1].append([])
             elif tag in BLOCK:
                 sink.block(1 if tag in ("ul", "ol", "menu", "dir") and lists else 2 if tag in SPACED else 1)
@@ -349,22 +438,26 @@ def render(html: str | None) -> str:
                 kind = lists[-1] if lists else ["ul", 1]
                 mark = f"{kind[1]}. " if kind[0] == "ol" else "* "
                 kind[1] += 1
-                sink.mark = mark
-                sink.indent += " " * len(mark)
-                node.props = {**node.props, "\0": mark}
+                sink.mark = "" if veiled else mark
+                sink.indent += len(mark)
+                node.before = (node.before, len(mark))
             elif tag in ("blockquote", "dd"):
-                sink.indent += "  "
+                sink.indent += 2
             elif tag in ("pre", "textarea"):
                 kept += 1
             continue
         # the element's end
-        if tag in ("td", "th") and len(sinks) > 1:
+        aligned = 0 < len(tables) <= MOST_TABLES
+        if tag in ("td", "th") and aligned:
             text = sinks.pop().text()
             if not tables[-1]:
                 tables[-1].append([])
-            tables[-1][-1].append((text, _span(node)))
+            tables[-1][-1].append((text, _span(node, "colspan", 1000), _span(node, "rowspan", 65534)))
+        elif tag in ("td", "th"):
+            sink.block(1)
         elif tag == "table":
-            for line in _table(tables.pop()):
+            lines = _table(tables.pop())
+            for line in lines if aligned else ():
                 sink.raw(line)
                 sink.block(1)
             sink.block(2)
@@ -373,16 +466,18 @@ def render(html: str | None) -> str:
         if tag in ("ul", "ol", "menu", "dir"):
             lists.pop()
         elif tag == "li":
-            sink.indent = sink.indent[: -len(node.props["\0"])]
+            node.before, wide = node.before
+            sink.indent -= wide
             sink.mark = ""
         elif tag in ("blockquote", "dd"):
-            sink.indent = sink.indent[:-2]
+            sink.indent -= 2
         elif tag in ("pre", "textarea"):
             kept -= 1
         elif tag in FOREIGN:
             drawn -= 1
         elif tag == "text" and drawn:
             sink.block(1)
+        veiled = node.before
     return sinks[0].text()
 
 

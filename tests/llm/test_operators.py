@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import re
+import time
 from collections import defaultdict
+from html.parser import HTMLParser
 from itertools import combinations
 
 import numpy as np
@@ -108,6 +110,71 @@ def test_html(html, text):
     assert html_text.render(html) == text
 
 
+LAID_OUT = [
+    ("<table><tr><td rowspan=2>tall<td>a<tr><td>b<tr><td>c<td>d</table>", "tall  a\n      b\nc     d"),
+    ("<table><tr><td colspan=1000>wide<td>x<tr><td>a<td>b</table>", "wide  x\na  b"),
+    ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>end", "yes\nend"),
+    ("<style>.gone, #off {display:none} p.veil{visibility:hidden} b{visibility:visible} div p{display:none}</style><p class='x gone'>no<p id=off>no<p class=veil>no<b>yes</b><div><p>kept", "yes\n\nkept"),
+    ("<style>.a{display:none}</style><p class=a style='display:block'>yes", "yes"), ("<noscript>no scripts here</noscript>x", "no scripts herex"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), LAID_OUT)
+def test_html_layout(html, text):
+    assert html_text.render(html) == text
+
+
+def test_html_tables_in_many_tables():
+    assert html_text.render("<table><tr><td>a" + "<table><tr><td>b" * 9 + "</table>" * 10 + "z").split() == ["a", *"b" * 9, "z"]
+
+
+@pytest.mark.parametrize("html", [
+    "<div>" * 60_000 + "x", "<blockquote>x" * 6000, "<p><span>" * 20_000 + "x", "<p><button>" + "<div>" * 20_000, "<table><tr><td>x" * 6000, "<table><tr>" + "<td colspan=1000>a" * 1500 + "</table>",
+    "<table><tr>" + "<td rowspan=60000>abcdefgh" * 1000 + "<tr><td>x" * 2000, "<table>" + "<tr><td rowspan=65534 colspan=1000>y" * 1500 + "</table>", "<ul><li>x" * 6000, "</div>" * 20_000 + "<b>" * 20_000 + "</i>" * 20_000,
+])
+def test_html_is_linear(html):
+    begin = time.process_time()
+    text = html_text.render(html)
+    assert time.process_time() - begin < 10 and len(text) < 10 * len(html) + (500 * html.count("<tr"))
+
+
+class PlainWalker(HTMLParser):
+    """Words of a page in order, by a plain stack: hidden elements count up, void ones don't nest."""
+
+    def __init__(self):
+        super().__init__()
+        self.words, self.hidden = [], []
+
+    def handle_starttag(self, tag, attrs):
+        props = dict(attrs)
+        if tag == "img":
+            self.words += (props.get("alt") or "").split()
+        if tag in html_text.VOID:
+            return
+        style = (props.get("style") or "").replace(" ", "").lower()
+        if self.hidden or tag in ("script", "style", "head", "title", "template") or "hidden" in props or "display:none" in style or "visibility:hidden" in style:
+            self.hidden.append(tag)
+
+    def handle_endtag(self, tag):
+        if self.hidden and tag in self.hidden:
+            while self.hidden.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.words += data.split()
+
+
+def test_html_has_the_words_of_a_plain_walk(spark):
+    mark = re.compile(r"\*|\d+\.")
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        walker = PlainWalker()
+        walker.feed(r.html or "")
+        walker.close()
+        own, plain = "".join(w for w in html_text.render(r.html).split() if not mark.fullmatch(w)), "".join(w for w in walker.words if not mark.fullmatch(w))
+        assert sorted(own) == sorted(plain)
+
+
 def test_html_deep_and_null(spark):
     assert html_text.render("<div>" * 20_000 + "x") == "x"
     rows = html_text.extract(spark.createDataFrame([(1, None, "u"), (1, "<p>a", "u"), (1, "<p>a", "u")], "page_id bigint, html string, text string")).collect()
