@@ -116,7 +116,9 @@ def phone_candidate(c: Column) -> Column:
 _SPAN_FIELDS = [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())]
 SPANS = T.ArrayType(T.StructType(_SPAN_FIELDS))
 STAMPS = T.ArrayType(T.StructType([*_SPAN_FIELDS, T.StructField("normalized", T.StringType())]))
+#: Fixed value: which runs of a file name count.
 _STAMP = re.compile(r"(?<!\d)(20\d{2})[-_.]?(\d{2})[-_.]?(\d{2})(?:[T _-]?(\d{2})[:_.-]?(\d{2})(?:[:_.-]?(\d{2}))?)?(?!\d)")
+#: Fixed value: which runs of a file name count.
 _PHONE = re.compile(r"(?<![A-Za-z0-9+])\+?\d(?:[ ()-]?\d){5,14}(?![A-Za-z0-9])")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,13 +54,27 @@ def file_coverage(issues: DataFrame, benign: list[str]) -> DataFrame:
 
 
 def word_timing_report(segments: DataFrame, most: int = 10_000) -> DataFrame:
-    """Per version: segments with word times, without, and available / partial / unavailable. Expects `reason` (null: valid words) and n_words."""
+    """Per version: segments with word times, without, and available / partial / unavailable; complete is false where the version has more than `most` segments, of which the rest isn't counted.
+    Expects `reason` (null: valid words) and n_words."""
     place = F.row_number().over(Window.partitionBy("derived_text_id").orderBy("segment_index"))
-    some = segments.withColumn("place", place).filter(F.col("place") <= most)
-    out = some.groupBy("derived_text_id").agg(F.count_if(F.col("reason").isNull()).alias("available"), F.count("*").alias("segments"), F.sum(F.when(F.col("reason").isNull(), F.col("n_words")).otherwise(0)).alias("words"))
+    some = segments.withColumn("place", place).filter(F.col("place") <= most + 1)
+    out = some.groupBy("derived_text_id").agg((F.max("place") <= most).alias("complete"), *_word_counts(most))
     return out.withColumn("status", F.when(F.col("available") == F.col("segments"), "available").when(F.col("available") > 0, "partial").otherwise("unavailable"))
 
 
+def _word_counts(most: int) -> list[Column]:
+    inside = F.col("place") <= most
+    fine = inside & F.col("reason").isNull()
+    return [F.count_if(fine).alias("available"), F.count_if(inside).alias("segments"), F.sum(F.when(fine, F.col("n_words")).otherwise(0)).alias("words")]
+
+
+def package_counts(tables: dict[str, DataFrame], core: list[str]) -> DataFrame:
+    """table, rows: one row for each of the core tables, 0 for those that aren't there; tables are summed each by itself."""
+    spark = next(iter(tables.values())).sparkSession
+    there = reduce(DataFrame.unionByName, [df.agg(F.lit(name).alias("table"), F.count("*").alias("rows")) for name, df in sorted(tables.items()) if name in core])
+    return spark.createDataFrame([(c,) for c in core], "table string").join(there, "table", "left").select("table", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
 def validity_flags(violations: DataFrame, groups: list[str]) -> DataFrame:
     """One column a group of checks: true if it has no error."""
     errors = F.col("severity") == "error"

@@ -120,18 +120,41 @@ def create_citations(requests: DataFrame, versions: DataFrame, derived: DataFram
     return made, audit
 
 
-def verify_anchors(anchors: DataFrame, versions: DataFrame) -> DataFrame:
-    """Codes of stored segment anchors (id, derived_text_id, indices, quote_text, quote_sha256, start_ms, end_ms) that a rebuilt quote doesn't bear out."""
-    own = ["quote_text", "quote_sha256", "start_ms", "end_ms"]
-    stored = anchors.select("id", "derived_text_id", "indices", *(F.col(c).alias(f"stored_{c}") for c in own))
-    built = cite_segments(stored, versions)
+SELECTOR = "kind string, text_join string, indices array<int>, word_refs array<struct<segment_index:int,word_index:int>>"
+
+
+def verify_anchors(anchors: DataFrame, versions: DataFrame, derived: DataFrame | None = None) -> DataFrame:
+    """id, code: what a quote rebuilt from the stored selector doesn't bear out of anchors (id, artifact_id, derived_text_id, selector_json, quote_text, quote_sha256, start_ms, end_ms).
+
+    Selectors of segments and of words are read from selector_json, which must say just what the rebuilt one says. With `derived` (id, artifact_id, kind) an anchor must
+    pin a transcript of its own artifact; nothing else is said of one that doesn't.
+    """
+    own = ["quote_text", "quote_sha256", "start_ms", "end_ms", "selector_json"]
+    stored = anchors.select("id", "derived_text_id", *(["artifact_id"] if derived is not None else []), *(F.col(c).alias(f"stored_{c}") for c in own), F.from_json("selector_json", SELECTOR).alias("_s"))
+    lost = None
+    if derived is not None:
+        pinned = derived.filter("kind = 'transcript'").select(F.col("id").alias("derived_text_id"), F.col("artifact_id").alias("_owner"))
+        met = stored.join(pinned, "derived_text_id", "left").withColumn("_fits", F.coalesce(F.col("_owner") == F.col("artifact_id"), F.lit(False)))
+        lost, stored = met.filter("not _fits").select("id", F.lit("anchor_version_mismatch").alias("code")), met.filter("_fits").drop("_owner", "_fits", "artifact_id")
+    by = lambda kind: stored.filter(F.col("_s.kind") == kind)
+    built = cite_segments(by("segments").withColumn("indices", F.col("_s.indices")), versions).drop("indices")
+    built = built.unionByName(cite_words(by("words").withColumn("word_refs", F.col("_s.word_refs")), versions).drop("word_refs"))
+    neither = stored.filter(~F.coalesce(F.col("_s.kind"), F.lit("")).isin("segments", "words"))
+    for c, kind in {"reason": "string", "quote_text": "string", "quote_sha256": "string", "start_ms": "bigint", "end_ms": "bigint", "selector_json": "string"}.items():
+        neither = neither.withColumn(c, F.lit("unknown_selector" if c == "reason" else None).cast(kind))
+    built = built.unionByName(neither)
+    plain = lambda c: F.to_json(F.try_parse_json(c))
+    same = plain("selector_json").eqNullSafe(plain("stored_selector_json"))
+    for c in ("quote_text", "quote_sha256", "start_ms", "end_ms"):
+        same = same & F.col(c).eqNullSafe(F.col(f"stored_{c}"))
+    whole = F.col("stored_start_ms").isNotNull() & F.col("stored_end_ms").isNotNull() & (F.col("stored_start_ms") >= 0) & (F.col("stored_end_ms") >= F.col("stored_start_ms"))
     codes = F.array_compact(F.array(
-        F.when(F.sha2("stored_quote_text", 256) != F.col("stored_quote_sha256"), F.lit("anchor_quote_digest_mismatch")),
-        F.when((F.col("stored_start_ms") < 0) | (F.col("stored_end_ms") < F.col("stored_start_ms")), F.lit("invalid_anchor_interval")),
-        F.when(F.col("reason").isNotNull(), F.lit("invalid_anchor_selector")),
-        F.when(F.col("reason").isNull() & ~(F.col("quote_text").eqNullSafe(F.col("stored_quote_text")) & F.col("start_ms").eqNullSafe(F.col("stored_start_ms")) & F.col("end_ms").eqNullSafe(F.col("stored_end_ms"))), F.lit("anchor_selector_mismatch")),
+        F.when(~F.sha2("stored_quote_text", 256).eqNullSafe(F.col("stored_quote_sha256")), F.lit("anchor_quote_digest_mismatch")),
+        F.when(~whole, F.lit("invalid_anchor_interval")), F.when(F.col("reason").isNotNull(), F.lit("invalid_anchor_selector")),
+        F.when(F.col("reason").isNull() & ~same, F.lit("anchor_selector_mismatch")),
     ))
-    return built.select("id", F.explode(codes).alias("code"))
+    found = built.select("id", F.explode(codes).alias("code"))
+    return found if lost is None else found.unionByName(lost)
 
 
 def created_matches(expected: DataFrame, saved: DataFrame) -> DataFrame:

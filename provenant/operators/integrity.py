@@ -19,12 +19,12 @@ class Reference(NamedTuple):
 
 #: Which columns point at which tables.
 REFERENCES = tuple(Reference(*r) for r in [
-    ("sources", "case_id", "cases"), ("artifacts", "source_id", "sources"), ("artifacts", "parent_artifact_id", "artifacts", "id", True),
-    ("events", "artifact_id", "artifacts", "id", True), ("events", "source_id", "sources"), ("derived_text", "artifact_id", "artifacts"), ("derived_text", "run_id", "processing_runs", "id", True),
+    ("sources", "case_id", "cases"), ("artifacts", "source_id", "sources", "id", True), ("artifacts", "parent_artifact_id", "artifacts", "id", True),
+    ("events", "artifact_id", "artifacts", "id", True), ("events", "source_id", "sources", "id", True), ("derived_text", "artifact_id", "artifacts"), ("derived_text", "run_id", "processing_runs", "id", True),
     ("annotations", "artifact_id", "artifacts", "id", True), ("annotations", "event_id", "events", "id", True), ("annotations", "derived_text_id", "derived_text", "id", True),
     ("artifact_tags", "artifact_id", "artifacts"), ("artifact_tags", "tag_id", "tags"), ("event_tags", "event_id", "events"), ("event_tags", "tag_id", "tags"),
-    ("jobs", "artifact_id", "artifacts", "id", True), ("source_observations", "artifact_id", "artifacts"), ("source_observations", "source_id", "sources"),
-    ("processing_runs", "job_id", "jobs"), ("processing_runs", "artifact_id", "artifacts", "id", True), ("evidence_anchors", "artifact_id", "artifacts"), ("evidence_anchors", "derived_text_id", "derived_text"),
+    ("jobs", "artifact_id", "artifacts", "id", True), ("source_observations", "artifact_id", "artifacts"), ("source_observations", "source_id", "sources", "id", True),
+    ("processing_runs", "job_id", "jobs", "id", True), ("processing_runs", "artifact_id", "artifacts", "id", True), ("evidence_anchors", "artifact_id", "artifacts"), ("evidence_anchors", "derived_text_id", "derived_text"),
 ])
 #: Kinds of objects that links may name, and their tables.
 LINK_TABLES = {"artifact": "artifacts", "event": "events", "derived_text": "derived_text", "annotation": "annotations", "source": "sources", "case": "cases", "job": "jobs", "tag": "tags", "source_observation": "source_observations", "processing_run": "processing_runs", "evidence_anchor": "evidence_anchors", "link": "links"}
@@ -78,17 +78,24 @@ def bad_identity(tables: dict[str, DataFrame], keys: dict[str, list[str]]) -> Da
 
 
 def broken_references(tables: dict[str, DataFrame], references: tuple[Reference, ...] = REFERENCES, key: dict[str, str] | None = None) -> DataFrame:
-    """References to rows that aren't there, and needed ones that are null; one anti join each."""
+    """References to rows that aren't there, and needed ones that are null.
+
+    All references to one table, from whatever columns, go through one anti join with its ids; each table that refers is read once a target.
+    """
     key = key or {}
     parts = []
-    for r in references:
-        if r.table not in tables or r.target not in tables:
-            continue
-        df, path = tables[r.table], _path(r.table, key.get(r.table, "id"), r.column)
-        there = tables[r.target].select(F.col(r.target_column).alias("_there"))
-        parts.append(violation(df.filter(F.col(r.column).isNotNull()).join(there, F.col(r.column) == F.col("_there"), "left_anti"), "broken_reference", path, f"no such row in {r.target}"))
-        if not r.optional:
-            parts.append(violation(df.filter(F.col(r.column).isNull()), "missing_reference", path, f"a row of {r.target} is needed"))
+    known = [r for r in references if r.table in tables and r.target in tables]
+    for target, column in dict.fromkeys((r.target, r.target_column) for r in known):
+        pointers = []
+        for table in dict.fromkeys(r.table for r in known if (r.target, r.target_column) == (target, column)):
+            own = [r for r in known if (r.table, r.target, r.target_column) == (table, target, column)]
+            ends = F.array(*(F.struct(F.col(r.column).cast("long").alias("to"), _path(table, key.get(table, "id"), r.column).alias("path"), F.lit(r.optional).alias("optional")) for r in own))
+            pointers.append(tables[table].select(F.explode(ends).alias("p")).select("p.*").filter("to is not null or not optional"))
+        pointers = union(pointers)
+        there = tables[target].select(F.col(column).cast("long").alias("_there"))
+        lost = pointers.join(there, F.col("to") == F.col("_there"), "left_anti")  # a null finds nothing either
+        code = F.when(F.col("to").isNull(), "missing_reference").otherwise("broken_reference")
+        parts.append(violation(lost, code, F.col("path"), f"a row of {target} is needed"))
     return union(parts)
 
 
@@ -110,8 +117,28 @@ def case_boundaries(artifacts: DataFrame, cases: DataFrame) -> DataFrame:
     ])
 
 
+def event_case_boundaries(events: DataFrame, annotations: DataFrame, sources: DataFrame, derived: DataFrame, cases: DataFrame) -> DataFrame:
+    """Events whose source is of another case than their artifact, and annotations whose event's source is of another case than an artifact that they, their event or their text name.
+
+    cases (artifact_id, cases ARRAY) as for case_boundaries(); where a case isn't known nothing is said.
+    """
+    case = sources.select(F.col("id").alias("source_id"), F.col("case_id").alias("event_case"))
+    own = cases.select("artifact_id", "cases")
+    cased = events.select(F.col("id").alias("event_id"), "artifact_id", "source_id").join(case.filter("event_case is not null"), "source_id")
+    apart = (F.size("cases") > 0) & (F.col("cases") != F.array("event_case"))
+    crossed = cased.join(own, "artifact_id").filter(apart)
+    texts = derived.select(F.col("id").alias("derived_text_id"), F.col("artifact_id").alias("_text"))
+    noted = annotations.select("id", "artifact_id", "event_id", "derived_text_id").join(cased.select("event_id", F.col("artifact_id").alias("_event"), "event_case"), "event_id").join(texts, "derived_text_id", "left")
+    named = noted.select("id", "event_case", F.explode(F.array_distinct(F.array_compact(F.array("artifact_id", "_event", "_text")))).alias("artifact_id"))
+    noted = named.join(own, "artifact_id").filter(apart).select("id").distinct()
+    return union([
+        violation(crossed, "cross_case_event", _path("events", "event_id"), "an event's source and artifact are of one case"),
+        violation(noted, "cross_case_annotation_event", _path("annotations"), "an annotation's event and artifacts are of one case"),
+    ])
+
+
 def run_consistency(runs: DataFrame, jobs: DataFrame, derived: DataFrame) -> DataFrame:
-    of_job = runs.alias("r").join(jobs.alias("j"), F.col("r.job_id") == F.col("j.id")).filter(~F.col("r.artifact_id").eqNullSafe(F.col("j.artifact_id"))).select("r.id")
+    of_job = runs.alias("r").join(jobs.alias("j"), F.col("r.job_id") == F.col("j.id")).filter(F.col("j.artifact_id").isNotNull() & ~F.col("r.artifact_id").eqNullSafe(F.col("j.artifact_id"))).select("r.id")
     of_text = derived.alias("d").join(runs.alias("r"), F.col("d.run_id") == F.col("r.id")).filter(~F.col("d.artifact_id").eqNullSafe(F.col("r.artifact_id"))).select("d.id")
     return violation(of_job, "run_job_artifact_mismatch", _path("processing_runs"), "a run is on its job's artifact").unionByName(violation(of_text, "text_run_artifact_mismatch", _path("derived_text"), "a text is of its run's artifact"))
 
@@ -123,39 +150,124 @@ def annotation_targets(annotations: DataFrame, events: DataFrame, derived: DataF
     return violation(found.filter(several), "annotation_artifact_mismatch", _path("annotations"), "all targets are of one artifact")
 
 
+def _ends_lost(ends: DataFrame, tables: dict[str, DataFrame], unknown: str, severity: str) -> DataFrame:
+    """Of ends (kind, to, path): those of no known kind, and those that aren't there."""
+    there = union([df.select(F.lit(kind).alias("kind"), F.col("id").alias("to")) for kind, name in LINK_TABLES.items() if (df := tables.get(name)) is not None])
+    known = F.coalesce(F.col("kind").isin(*LINK_TABLES), F.lit(False))
+    named = ends.filter(F.col("kind").isNotNull() | F.col("to").isNotNull())
+    lost = violation(named.filter(known).join(there, ["kind", "to"], "left_anti"), "broken_object_reference", F.col("path"), "the object isn't there")
+    return violation(named.filter(~known), unknown, F.col("path"), "no table holds this kind", severity=severity).unionByName(lost)
+
+
 def polymorphic_links(links: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """Ends of links (left_kind, left_id, right_kind, right_id) of no known kind, or that aren't there."""
-    ends = links.select("id", F.explode(F.array(F.struct(F.col("left_kind").alias("kind"), F.col("left_id").alias("to"), F.lit("left").alias("side")), F.struct(F.col("right_kind").alias("kind"), F.col("right_id").alias("to"), F.lit("right").alias("side")))).alias("e")).select("id", "e.*")
-    there = union([df.select(F.lit(kind).alias("kind"), F.col("id").alias("to")) for kind, name in LINK_TABLES.items() if (df := tables.get(name)) is not None])
-    known = F.col("kind").isin(*LINK_TABLES)
-    path = F.concat(_path("links"), F.lit("/"), F.col("side"))
-    return violation(ends.filter(~known), "unknown_link_target_kind", path, "no table holds this kind").unionByName(violation(ends.filter(known).join(there, ["kind", "to"], "left_anti"), "broken_object_reference", path, "the object isn't there"))
+    end = lambda side: F.struct(F.col(f"{side}_kind").alias("kind"), F.col(f"{side}_id").alias("to"), F.concat(_path("links"), F.lit(f"/{side}")).alias("path"))
+    return _ends_lost(links.select(F.explode(F.array(end("left"), end("right"))).alias("e")).select("e.*"), tables, "unknown_link_target_kind", "error")
+
+
+def audit_targets(audit: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Objects that audit rows (object_kind, object_id) name: kinds of the domain alone are a warning."""
+    return _ends_lost(audit.select(F.col("object_kind").alias("kind"), F.col("object_id").alias("to"), _path("audit_log").alias("path")), tables, "unknown_audit_target_kind", "warning")
 
 
-def anchor_checks(anchors: DataFrame, versions: DataFrame) -> DataFrame:
+def anchor_checks(anchors: DataFrame, versions: DataFrame, derived: DataFrame) -> DataFrame:
     from provenant.operators.citations import verify_anchors
 
-    return violation(verify_anchors(anchors, versions), F.col("code"), _path("evidence_anchors"), "the quote isn't what the version says", "anchors")
+    return violation(verify_anchors(anchors, versions, derived), F.col("code"), _path("evidence_anchors"), "the quote isn't what the version says", "anchors")
 
 
-def missing_tables(present: DataFrame, declared: DataFrame, core: list[str]) -> DataFrame:
-    """Tables (name) that a package lacks (a warning), and those it has and yet declares missing (an error)."""
-    needed = present.sparkSession.createDataFrame([(c,) for c in core], "name string")
-    lacking = needed.join(present, "name", "left_anti")
+def payload_digest(digests: DataFrame, flags: DataFrame) -> DataFrame:
+    """payload_sha256 (one row): over the tables' digests in order of name, and the package's flags (one row)."""
+    said = F.to_json(F.struct(*sorted(flags.columns)), {"ignoreNullFields": "false"})
+    tables = digests.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table", "digest"))), lambda x: F.concat_ws(":", x["table"], x["digest"])), ",").alias("t"))  # a row a table
+    return tables.crossJoin(flags.select(said.alias("f"))).select(F.sha2(F.concat("t", F.lit("\n"), "f"), 256).alias("payload_sha256"))  # one row each
+
+
+def payload_digest_mismatch(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Both have one row (payload_sha256)."""
+    found = expected.select(F.col("payload_sha256").alias("e")).crossJoin(actual.select(F.col("payload_sha256").alias("a"))).filter(~F.col("e").eqNullSafe(F.col("a")))
+    return violation(found, "payload_digest_mismatch", F.lit("integrity/payload_sha256"), "the package isn't what was signed", "digest")
+
+
+#: What a package says of itself.
+FLAGS = {"metadata_only": True, "source_bytes_included": False, "replay_supported": False, "signed": False}
+
+
+def package_flags(packages: DataFrame, schema: str, key: str = "id") -> DataFrame:
+    """Packages (key, schema, the FLAGS) that claim what they can't do, or are of another schema."""
+    codes = F.array_compact(F.array(
+        F.when(~F.col("schema").eqNullSafe(schema), F.struct(F.lit("unsupported_schema").alias("code"), F.lit("schema").alias("at"))),
+        *(F.when(~F.col(name).eqNullSafe(value), F.struct(F.lit("invalid_capability_flag").alias("code"), F.lit(name).alias("at"))) for name, value in FLAGS.items()),
+    ))
+    found = packages.select(F.col(key).alias("id"), F.explode(codes).alias("c"))
+    return violation(found, F.col("c.code"), F.concat(F.col("id").cast("string"), F.lit("/"), F.col("c.at")), "a package is metadata alone, unsigned and can't be replayed", "digest")
+
+
+def missing_tables(rows: DataFrame, declared: DataFrame, core: list[str], key: str = "package") -> DataFrame:
+    """Of packages: declared (key, name) as missing a table that isn't a core one or that has rows (key, name, rows; errors), or rightly (a warning); core tables with neither rows nor
+    declaration are empty, which is fine, if `rows` lists them with 0."""
+    there = rows.select(key, "name", F.col("rows").alias("_rows"))
+    said = declared.select(key, "name").distinct()
+    met = said.join(there, [key, "name"], "left")
+    path = F.concat(F.col(key).cast("string"), F.lit("/"), F.coalesce("name", F.lit("?")))
+    is_core = F.coalesce(F.col("name").isin(*core), F.lit(False))
+    listed = there.select(key).distinct().withColumn("name", F.explode(F.array(*map(F.lit, core))))
     return union([
-        violation(lacking, "legacy_incomplete_schema", F.col("name"), "the package is of an older schema", "schema", "warning"),
-        violation(declared.join(present, "name", "left_semi"), "contradictory_missing_table", F.col("name"), "declared missing but there", "schema"),
-        violation(lacking.join(declared, "name", "left_anti"), "undeclared_missing_table", F.col("name"), "missing and not declared", "schema"),
+        violation(met.filter(~is_core), "invalid_missing_tables", path, "only core tables can be declared missing", "schema"),
+        violation(met.filter(is_core), "legacy_incomplete_schema", path, "the package is of an older schema", "schema", "warning"),
+        violation(met.filter(is_core & (F.col("_rows") > 0)), "contradictory_missing_table", path, "declared missing but there", "schema"),
+        violation(listed.join(there, [key, "name"], "left_anti").join(said, [key, "name"], "left_anti"), "missing_or_invalid_table", path, "a core table is there or declared missing", "schema"),
     ])
 
 
 def inspect_packets(packets: DataFrame) -> DataFrame:
-    """Independent re-check of packets (packet_id, payload_json, payload_sha256, quote_text, quote_sha256, start_ms, end_ms)."""
+    """Independent re-check of packets (packet_id, payload_json, payload_sha256) by what the payload itself holds.
+
+    Checked are the digest, the ids and references between the parts, the scope, the observations, and the quote rebuilt from the included version by the stored selector.
+    """
+    from provenant.operators.citations import verify_anchors
+
+    read = packets.select("packet_id", "payload_sha256", F.sha2("payload_json", 256).alias("_sha"), F.from_json("payload_json", PACKET).alias("p"), F.try_parse_json("payload_json").isNotNull().alias("_json"))
+    same = lambda a, b: F.col(f"p.{a}").eqNullSafe(F.col(f"p.{b}"))
+    positive = lambda c: F.coalesce(F.col(f"p.{c}") > 0, F.lit(False))
+    given = lambda c: F.col(f"p.{c}").isNotNull()
+    held = lambda f: F.coalesce(F.exists("p.observations", f), F.lit(False))
+    claims = F.lit(False)
+    for name in ("source_bytes_included", "media_bytes_included", "live_restore_supported", "tasks_imported"):
+        claims = claims | ~F.col(f"p.scope.{name}").eqNullSafe(F.lit(False))
+    fine = F.col("_json") & given("artifact") & given("version") & given("anchor")
     codes = F.array_compact(F.array(
-        F.when(F.try_parse_json("payload_json").isNull(), F.lit("invalid_payload")), F.when(F.sha2("payload_json", 256) != F.col("payload_sha256"), F.lit("payload_digest_mismatch")),
-        F.when(F.sha2("quote_text", 256) != F.col("quote_sha256"), F.lit("anchor_quote_digest_mismatch")), F.when((F.col("start_ms") < 0) | (F.col("end_ms") < F.col("start_ms")), F.lit("invalid_anchor_interval")),
+        F.when(~F.coalesce(fine, F.lit(False)), F.lit("invalid_payload")), F.when(~F.col("_sha").eqNullSafe(F.col("payload_sha256")), F.lit("payload_digest_mismatch")),
+        *(F.when(fine & bad, F.lit(code)) for code, bad in (
+            ("invalid_identity", ~(positive("artifact.id") & positive("version.id") & positive("anchor.anchor_id"))),
+            ("artifact_reference_mismatch", ~(same("artifact.id", "version.artifact_id") & same("artifact.id", "anchor.artifact_id"))),
+            ("pinned_version_mismatch", ~same("anchor.derived_text_id", "version.id") | ~F.col("p.version.kind").eqNullSafe("transcript")),
+            ("source_reference_mismatch", ~same("artifact.source_id", "source.id")),
+            ("run_mismatch", ~same("version.run_id", "run.id") | (given("run") & ~same("artifact.id", "run.artifact_id"))),
+            ("observation_mismatch", held(lambda o: F.coalesce(o["observation_id"] <= 0, F.lit(True))) | (F.size(F.array_distinct(F.transform("p.observations", lambda o: o["observation_id"]))) < F.size("p.observations"))),
+            ("acquisition_content_mismatch", held(lambda o: (o["sha256"] != F.col("p.artifact.sha256")) | (o["size_bytes"] != F.col("p.artifact.size_bytes")))),
+            ("unsupported_scope_claim", claims | ~F.col("p.scope.locators").eqNullSafe("literal_inert_metadata")),
+            ("lease_token_included", given("run.lease_token")), ("stored_path_scope_mismatch", given("artifact.stored_path") != F.coalesce(F.col("p.scope.stored_path_included"), F.lit(False))),
+        )),
     ))
-    return violation(packets.withColumn("code", F.explode(codes)), F.col("code"), F.concat(F.lit("packets/"), F.col("packet_id").cast("string")), "the packet doesn't bear itself out", "packets")
+    path = F.concat(F.lit("packets/"), F.col("packet_id").cast("string"))
+    own = violation(read.select("packet_id", F.explode(codes).alias("code")), F.col("code"), path, "the packet doesn't bear itself out", "packets")
+    # each packet brings its own version, so packets are told apart by their id, not the version's
+    quoted = read.filter(fine).select(F.col("packet_id").alias("id"), F.col("packet_id").alias("derived_text_id"), *(f"p.anchor.{c}" for c in ("quote_text", "quote_sha256", "start_ms", "end_ms", "selector_json")), "p.version.segments_json")
+    from provenant.sources.transcripts import parsed_segments
+
+    texts = quoted.select("derived_text_id", F.transform(parsed_segments(F.col("segments_json")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.transform(s["words"], lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["word"].alias("word"))).alias("words"))).alias("segments"))
+    rebuilt = verify_anchors(quoted.drop("segments_json"), texts)
+    return own.unionByName(violation(rebuilt.withColumnRenamed("id", "packet_id"), F.col("code"), path, "the quote isn't what the included version says", "packets"))
+
+
+#: The parts of a packet that are checked; others are ignored.
+PACKET = (
+    "artifact struct<id:bigint,source_id:bigint,sha256:string,size_bytes:bigint,stored_path:string>, version struct<id:bigint,artifact_id:bigint,kind:string,run_id:bigint,segments_json:string>, "
+    "source struct<id:bigint>, run struct<id:bigint,artifact_id:bigint,status:string,lease_token:string>, observations array<struct<observation_id:bigint,sha256:string,size_bytes:bigint>>, "
+    "anchor struct<anchor_id:bigint,artifact_id:bigint,derived_text_id:bigint,quote_text:string,quote_sha256:string,start_ms:bigint,end_ms:bigint,selector_json:string>, "
+    "scope struct<source_bytes_included:boolean,media_bytes_included:boolean,live_restore_supported:boolean,tasks_imported:boolean,locators:string,stored_path_included:boolean>"
+)
 
 
 def fixity_check(files: DataFrame, artifacts: DataFrame, chunk: int = 1 << 20) -> DataFrame:

@@ -74,16 +74,51 @@ def phone_disagreements(row_phones: DataFrame, file_phones: DataFrame, links: Da
     return links.join(rows, "row_id").join(files, "file_id").filter(~F.arrays_overlap("row_phones", "file_phones"))
 
 
-def citation_packets(anchors: DataFrame, artifacts: DataFrame, derived: DataFrame, sources: DataFrame, observations: DataFrame) -> DataFrame:
-    """An anchor with its artifact, the version it pins, the source if known and the observations; missing lists what is not."""
-    seen = observations.groupBy("artifact_id").agg(F.sort_array(F.collect_list("observation_id")).alias("observations"))
-    return (
-        anchors.join(artifacts.select(F.col("id").alias("artifact_id"), "original_name", "source_id"), "artifact_id")
-        .join(derived.select(F.col("id").alias("derived_text_id"), "artifact_id", "language"), ["derived_text_id", "artifact_id"])
-        .join(sources.select(F.col("id").alias("source_id"), F.col("label").alias("source_label")), "source_id", "left")
+def selected_candidates(recordings: DataFrame, files: DataFrame) -> DataFrame:
+    """Files that some chosen recording names, each URI once."""
+    return recording_candidates(recordings, files).dropDuplicates(["uri"])
+
+
+#: What a run should say of its making, and the codes of what a packet doesn't know.
+RUN_FIELDS = ("tool", "tool_version", "provider", "model", "model_version")
+SCOPE = {"source_bytes_included": False, "media_bytes_included": False, "live_restore_supported": False, "tasks_imported": False, "locators": "literal_inert_metadata", "stored_path_included": False}
+
+
+def _whole(df: DataFrame, *left_out: str, name: str):
+    """All columns of a row but `left_out` as one struct; null columns for those that a shorter table lacks aren't made up."""
+    return F.struct(*(F.col(c) for c in df.columns if c not in left_out)).alias(name)
+
+
+def citation_packets(anchors: DataFrame, artifacts: DataFrame, derived: DataFrame, sources: DataFrame, observations: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row an anchor (anchor_id, artifact_id, derived_text_id, what was quoted): the whole artifact, the version it pins, the source, the run and the observations, each as a nested
+    record, with unknowns, scope and errors.
+
+    Storage paths and lease tokens stay out. errors names references that lead nowhere (a source or run that isn't there, or a run of another artifact); unknowns what the records
+    don't say. A packet with errors must not be written.
+    """
+    seen = observations.groupBy("artifact_id").agg(F.sort_array(F.collect_list(F.struct("observation_id", *(c for c in observations.columns if c not in ("observation_id", "artifact_id"))))).alias("observations"))
+    quoted = [c for c in anchors.columns if c not in ("artifact_id", "derived_text_id")]
+    found = (
+        anchors.select("artifact_id", "derived_text_id", F.struct(*quoted, "artifact_id", "derived_text_id").alias("anchor"), "anchor_id")
+        .join(artifacts.select(F.col("id").alias("artifact_id"), _whole(artifacts, "stored_path", name="artifact")), "artifact_id")
+        .join(derived.filter("kind = 'transcript'").select(F.col("id").alias("derived_text_id"), "artifact_id", _whole(derived, name="version")), ["derived_text_id", "artifact_id"])
+        .join(sources.select(F.col("id").alias("_source"), _whole(sources, name="source")), F.col("artifact.source_id") == F.col("_source"), "left")
+        .join(runs.select(F.col("id").alias("_run"), _whole(runs, "lease_token", name="run")), F.col("version.run_id") == F.col("_run"), "left")
         .join(seen, "artifact_id", "left")
-        .withColumn("missing", F.array_compact(F.array(F.when(F.col("source_label").isNull(), F.lit("source")), F.when(F.col("observations").isNull(), F.lit("observations")))))
     )
+    has = lambda name, column: column in found.schema[name].dataType.fieldNames()
+    lost = F.col("artifact.source_id").isNotNull() & F.col("source").isNull()
+    foreign = F.col("version.run_id").isNotNull() & (F.col("run").isNull() | ~F.col("run.artifact_id").eqNullSafe(F.col("artifact_id")))
+    unknowns = [
+        *(F.when(F.col(f"artifact.{c}").isNull(), F.lit(code)) for c, code in (("sha256", "source_content_digest_unknown"), ("size_bytes", "source_size_unknown")) if has("artifact", c)),
+        F.when(F.col("source").isNull(), F.lit("source_record_unknown")), F.when(F.col("observations").isNull(), F.lit("acquisition_history_unknown")),
+        *([F.when(F.exists("observations", lambda o: o["acquisition_kind"] == "legacy_snapshot"), F.lit("acquisition_history_partial"))] if "acquisition_kind" in observations.columns else []),
+        F.when(F.col("run").isNull(), F.lit("processing_run_unknown")),
+        F.when(F.col("run").isNotNull() & ~F.col("run.status").eqNullSafe("done"), F.lit("processing_run_success_unconfirmed")),
+        *(F.when(F.col("run").isNotNull() & F.coalesce(F.col(f"run.{c}"), F.lit("")).isin("", "unknown"), F.lit(f"processing_run.{c}_unknown")) for c in RUN_FIELDS if has("run", c)),
+    ]
+    errors = F.array_compact(F.array(F.when(lost, F.lit("missing_source")), F.when(foreign, F.lit("missing_or_foreign_run"))))
+    return found.withColumn("errors", errors).withColumn("unknowns", F.array_compact(F.array(*unknowns))).withColumn("scope", F.struct(*(F.lit(v).alias(k) for k, v in SCOPE.items()))).drop("_source", "_run")
 
 
 def dedupe_ingest(new: DataFrame, known: DataFrame) -> DataFrame:

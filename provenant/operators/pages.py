@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from provenant.functions.scalars import contains_ci, email_domain_match, preview
 
-EVENT_TIME = "coalesce(ts_start, created_at)"
+
+def event_time(events: DataFrame) -> Column:
+    """When an event began, else when its record was made (imported records often don't say when)."""
+    return F.coalesce("ts_start", "created_at") if "created_at" in events.columns else F.col("ts_start")
 
 
 def timeline(events: DataFrame, phone: str | None = None, event_type: str | None = None, limit: int = 500) -> DataFrame:
-    """Newest first, ties by id; at most 10,000."""
+    """Newest first by event_time(), ties by id; at most 10,000."""
     found = events
     if phone is not None:
         found = found.filter(F.col("phone_or_address") == phone)
     if event_type is not None:
         found = found.filter(F.col("event_type") == event_type)
-    return found.orderBy(F.desc("ts_start"), F.desc("id")).limit(max(1, min(limit, 10_000)))
+    return found.orderBy(event_time(events).desc(), F.desc("id")).limit(max(1, min(limit, 10_000)))
 
 
 def recent_artifacts(artifacts: DataFrame, n: int = 30) -> DataFrame:
@@ -25,7 +28,7 @@ def recent_artifacts(artifacts: DataFrame, n: int = 30) -> DataFrame:
 
 
 def recent_events(events: DataFrame, n: int = 30) -> DataFrame:
-    return events.orderBy(F.desc("ts_start"), F.desc("id")).limit(n).withColumn("preview", preview(F.col("body"), 240)["text"])
+    return events.orderBy(event_time(events).desc(), F.desc("id")).limit(n).withColumn("preview", preview(F.col("body"), 240)["text"])
 
 
 def artifact_events(events: DataFrame, artifact_id: int, n: int = 100) -> DataFrame:
@@ -50,13 +53,13 @@ def keyset_page(df: DataFrame, owner: int, limit: int, before_id: int | None = N
 
 
 def first_pages(df: DataFrame, limit: int) -> DataFrame:
-    """The first page of every owner at once, with its snapshot and whether more follow."""
-    own = Window.partitionBy("artifact_id")
-    place = F.row_number().over(own.orderBy(F.desc("id")))
-    return (
-        df.withColumn("place", place).withColumn("snapshot_max_id", F.max("id").over(own)).withColumn("has_more", F.count("*").over(own) > limit)
-        .filter(F.col("place") <= limit)
-    )
+    """The first page of every owner at once, with its snapshot and whether more follow.
+
+    The counts are an aggregate; the ranked filter lets tasks drop all but an owner's first rows before anything is shuffled.
+    """
+    owners = df.groupBy("artifact_id").agg(F.max("id").alias("snapshot_max_id"), (F.count("*") > limit).alias("has_more"))
+    place = F.row_number().over(Window.partitionBy("artifact_id").orderBy(F.desc("id")))
+    return df.withColumn("place", place).filter(F.col("place") <= limit).join(owners, "artifact_id")
 
 
 def budget_prefix(df: DataFrame, size: Column, *, row_cap: int, page_cap: int, item_cap: int | None = None, owner: str = "artifact_id", order: Column | None = None) -> DataFrame:
@@ -107,8 +110,20 @@ def select_messages(sms: DataFrame, mms: DataFrame, phones: DataFrame, senders:
     return chosen.filter(F.coalesce("_chosen", F.lit(False)) | F.coalesce(named, F.lit(False)) | keyed).drop("_chosen").orderBy(F.desc(F.coalesce("t", F.lit(""))), F.desc("id"))
 
 
-def select_calls(calls: DataFrame, phones: DataFrame) -> DataFrame:
-    return calls.join(phones.select("phone").distinct(), "phone", "left_semi").orderBy(F.desc(F.coalesce("t", F.lit(""))), F.desc("id"))
+def _of_phones(rows: DataFrame, phones: DataFrame, keywords: list[str]) -> DataFrame:
+    """Rows of chosen phones, or whose contact has a keyword."""
+    words = F.array(*map(F.lit, keywords)).cast("array<string>")
+    chosen = rows.join(phones.select("phone").distinct().withColumn("_chosen", F.lit(True)), "phone", "left")
+    return chosen.filter(F.coalesce("_chosen", F.lit(False)) | F.coalesce(F.exists(words, lambda k: contains_ci(F.col("contact"), k)), F.lit(False))).drop("_chosen")
+
+
+def select_calls(calls: DataFrame, phones: DataFrame, keywords: list[str] = ()) -> DataFrame:
+    return _of_phones(calls, phones, list(keywords)).orderBy(F.desc(F.coalesce("t", F.lit(""))), F.desc("id"))
+
+
+def select_recordings(recordings: DataFrame, phones: DataFrame, keywords: list[str] = ()) -> DataFrame:
+    """Recordings (phone, contact, resolved_time, call_start) by the same rule; newest first by the resolved time, else the call's."""
+    return _of_phones(recordings, phones, list(keywords)).orderBy(F.desc(F.coalesce("resolved_time", "call_start", F.lit(""))), F.desc("id"))
 
 
 def select_emails(identities: DataFrame, explicit: list[str], domains: list[str]) -> DataFrame:
@@ -133,6 +148,11 @@ def cap_rows(rows: DataFrame, per_file: int, total: int, file: str = "file", ord
     return kept, counts.select(F.col(file), F.explode(codes).alias("code"))
 
 
+def truncated_cells(cells: DataFrame, max_chars: int, *place: str, value: str = "value") -> DataFrame:
+    """An issue for each cell that truncate_cells() cuts: its place, code and how many characters it had."""
+    return cells.filter(F.length(value) > max_chars).select(*place, F.lit("cell_character_limit").alias("code"), F.length(value).cast("long").alias("characters"))
+
+
 def truncate_cells(cells: DataFrame, max_chars: int, value: str = "value") -> DataFrame:
     return cells.withColumn("complete", F.coalesce(F.length(value) <= max_chars, F.lit(True))).withColumn(value, F.substring(value, 1, max_chars))
 
@@ -156,3 +176,11 @@ def list_versions(derived: DataFrame, artifact_id: int) -> DataFrame:
 
 def list_observations(observations: DataFrame, artifact_id: int) -> DataFrame:
     return observations.filter(F.col("artifact_id") == artifact_id).orderBy("id")
+
+
+def list_citations(anchors: DataFrame, artifact_id: int) -> DataFrame:
+    return anchors.filter(F.col("artifact_id") == artifact_id).orderBy("id")
+
+
+def list_annotations(annotations: DataFrame, artifact_id: int) -> DataFrame:
+    return annotations.filter(F.col("artifact_id") == artifact_id).orderBy(F.desc("id"))

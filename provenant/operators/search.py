@@ -1,12 +1,14 @@
 """Ranked full-text search over titles and contents, on a table of postings.
 
-Terms are runs of letters and digits, lower-cased, with the signs of letters that decompose left out (`ó` is `o`; `ł` stays). A query is built of
-parts; parts are joined on document ids, so a batch of queries is one job. Rank is negative, best first, ties by id.
+Terms are runs of letters and digits, lower-cased, with the signs of letters that decompose left out (`ó` is `o`; `ł` stays). A query is built of phrases (of terms, the last of which may
+be a prefix, in any or one column, anywhere or at its start) and of phrases near one another. Ranked search works on the tokens of each row: texts are taken apart once, and only what a query
+found in a row, with the row's length, is kept and counted. Rank is negative, best first, ties by id. Boolean parts over a stored table of postings are below.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +49,20 @@ def build_index(docs: DataFrame, key: str = "object_id", columns: tuple[str, ...
     return reduce(DataFrame.unionByName, parts)
 
 
+def store_index(index: DataFrame, path: str, parts: int) -> DataFrame:
+    """Writes postings once for many queries: terms dealt into `parts` folders and in order within each, so that a query reads the folders of its terms alone."""
+    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
+    dealt = index.withColumn("part", part).repartition(parts, "part").sortWithinPartitions("part", "term", "doc")
+    dealt.write.partitionBy("part").parquet(path)
+    return index.sparkSession.read.parquet(path)
+
+
+def stored_terms(index: DataFrame, terms: list[str], parts: int) -> DataFrame:
+    """The postings of `terms` in an index that store_index() wrote."""
+    of = index.sparkSession.range(1).select(F.array(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(parts)).cast("int") for t in terms))).first()[0]
+    return index.filter(F.col("part").isin(*of) & F.col("term").isin(*terms)).drop("part")
+
+
 def _tokens(docs: DataFrame, key: str, column: str) -> DataFrame:
     terms = F.regexp_extract_all(fold(F.coalesce(F.col(column), F.lit(""))), F.lit(TERM), F.lit(0))
     return docs.select(F.col(key).alias("doc"), F.lit(column).alias("column"), F.posexplode(terms).alias("pos", "term"))
@@ -99,31 +115,123 @@ def initial_token(index: DataFrame, term: str) -> DataFrame:
     return index.filter((F.col("term") == term) & (F.col("pos") == 0)).select("doc", "column").distinct()
 
 
-def document_stats(index: DataFrame, docs: DataFrame, key: str = "object_id") -> tuple[DataFrame, DataFrame]:
-    """Lengths of documents, and one row with their number and mean length."""
-    lengths = docs.select(F.col(key).alias("doc")).join(index.groupBy("doc").agg(F.count("*").alias("len")), "doc", "left").select("doc", F.coalesce("len", F.lit(0)).alias("len"))
-    return lengths, lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean"))
+class Phrase(NamedTuple):
+    """Terms in a row; the last one may stand for all terms that start with it."""
 
+    terms: tuple[str, ...]
+    prefix: bool = False
+    column: str | None = None
+    initial: bool = False
 
-def search_many(index: DataFrame, docs: DataFrame, queries: DataFrame, limit: int, key: str = "object_id") -> DataFrame:
-    """query_id, doc, rank, place: the best documents with any term of each query (query_id, term)."""
-    lengths, total = document_stats(index, docs, key)
-    counts = index.groupBy("term", "doc").agg(F.count("*").alias("tf"))
-    wanted = counts.join(queries.distinct(), "term")
-    known = counts.join(queries.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    scored = wanted.join(known, "term").join(lengths, "doc").crossJoin(F.broadcast(total))  # total: one row
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
-    part = -idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    ranked = scored.groupBy("query_id", "doc").agg(F.sum(part).alias("rank"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "doc"))
-    return ranked.withColumn("place", place).filter(F.col("place") <= limit)
+
+class Near(NamedTuple):
+    """Phrases in one column, each with at most `between` tokens between it and the first."""
+
+    phrases: tuple[Phrase, ...]
+    between: int = 10
+
+
+COLUMNS = ("title", "content")
+
+
+def _tokens_of(docs: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """doc, and the tokens of each column as an array."""
+    terms = [F.regexp_extract_all(fold(F.coalesce(F.col(c), F.lit(""))), F.lit(TERM), F.lit(0)).alias(f"in_{c}") for c in columns]
+    # exploded, not projected: each use of the tokens below would otherwise take the text apart anew
+    return docs.select(F.col(key).alias("doc"), F.explode(F.array(F.struct(*terms))).alias("t")).select("doc", "t.*")
+
+
+def _starts(phrase: Phrase, column: str) -> Column:
+    """Where the phrase stands in a column: an array of positions."""
+    tokens = F.col(f"in_{column}")
+    places = F.array(F.lit(0)) if phrase.initial else F.sequence(F.lit(0), F.size(tokens) - 1)
+
+    def here(i: Column) -> Column:
+        fits = F.lit(True)
+        for j, term in enumerate(phrase.terms):
+            token = F.get(tokens, i + j)
+            fits = fits & F.coalesce(token.startswith(term) if phrase.prefix and j == len(phrase.terms) - 1 else token == term, F.lit(False))
+        return fits
+
+    return F.when(F.size(tokens) > 0, F.filter(places, here)).otherwise(F.array().cast("array<int>"))
 
 
-def bm25(index: DataFrame, docs: DataFrame, terms: list[str], key: str = "object_id") -> DataFrame:
+def _count(phrase: Phrase, columns: tuple[str, ...]) -> Column:
+    return sum((F.size(_starts(phrase, c)) for c in columns if phrase.column in (None, c)), F.lit(0))
+
+
+def _near(near: Near, columns: tuple[str, ...]) -> Column:
+    first, *others = near.phrases
+    found = F.lit(False)
+    for c in columns:
+        if any(p.column not in (None, c) for p in near.phrases):
+            continue
+
+        def close(i: Column, p: Phrase, c: str = c) -> Column:
+            gap = lambda j: F.when(j > i, j - i - len(first.terms)).otherwise(i - j - len(p.terms))
+            return F.exists(_starts(p, c), lambda j: (j != i) & (gap(j) >= 0) & (gap(j) <= near.between))
+
+        found = found | F.exists(_starts(first, c), lambda i: reduce(lambda a, b: a & b, (close(i, p) for p in others), F.lit(True)))
+    return found
+
+
+def matched(docs: DataFrame, *, all: tuple = (), any: tuple = (), none: tuple = (), key: str = "object_id", columns: tuple[str, ...] = COLUMNS) -> DataFrame:  # noqa: A002
+    """doc, len (tokens), counts (of each phrase that is to be found), hit: one row for each document. Parts are phrases and near groups: all of `all`, one of `any` if given, none of `none`."""
+    phrases = _phrases((*all, *any))
+    if not phrases or len(phrases) + len(none) > MOST_TERMS:
+        raise ValueError(f"1 to {MOST_TERMS} parts, one of them to be found")
+    place = {p: i for i, p in enumerate(phrases)}
+    rows = _tokens_of(docs, key, columns).withColumn("len", sum((F.size(f"in_{c}") for c in columns), F.lit(0)).cast("long"))
+    rows = rows.withColumn("counts", F.explode(F.array(F.array(*(_count(p, columns) for p in phrases)))))
+    said = lambda part: _near(part, columns) if isinstance(part, Near) else F.col("counts")[place[part]] > 0 if part in place else _count(part, columns) > 0
+    hit = reduce(lambda a, b: a & b, map(said, all), F.lit(True))
+    hit = hit & reduce(lambda a, b: a | b, map(said, any)) if any else hit
+    hit = hit & ~reduce(lambda a, b: a | b, map(said, none)) if none else hit
+    return rows.select("doc", "len", "counts", hit.alias("hit"))
+
+
+def _phrases(parts: tuple) -> list[Phrase]:
+    return list(dict.fromkeys(p for part in parts for p in (part.phrases if isinstance(part, Near) else (part,))))
+
+
+def _part(n: Column, tf: Column) -> Column:
+    """What a phrase in `n` documents, `tf` times in this one, adds to the rank."""
+    idf = F.greatest(F.log((F.col("n_docs") - n + 0.5) / (n + 0.5)), F.lit(1e-6))
+    return -idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+
+
+def ranked(found: DataFrame) -> DataFrame:
+    """doc, rank of the rows of matched() that are hits. The rows are kept while they are counted and ranked: numbers alone, no text."""
+    found = found.persist()
+    n = len(found.first()["counts"]) if found.limit(1).count() else 0
+    if not n:
+        return found.select("doc", F.lit(0.0).alias("rank")).limit(0)
+    total = found.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean"), F.array(*(F.count_if(F.col("counts")[i] > 0) for i in range(n))).alias("ns"))
+    scored = found.filter("hit").crossJoin(F.broadcast(total))  # total: one row
+    return scored.select("doc", sum((_part(F.col("ns")[i], F.col("counts")[i]) for i in range(n)), F.lit(0.0)).alias("rank"))
+
+
+def bm25(docs: DataFrame, terms: list[str], key: str = "object_id", columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """doc, rank of all documents with any of the terms."""
-    spark = docs.sparkSession
-    query = spark.createDataFrame([(0, t) for t in sorted({*terms})], "query_id int, term string")
-    return search_many(index, docs, query, 2**31 - 1, key).select("doc", "rank")
+    return ranked(matched(docs, any=tuple(Phrase((t,)) for t in sorted({*terms})), key=key, columns=columns))
+
+
+def search_many(docs: DataFrame, queries: DataFrame, limit: int, key: str = "object_id", columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """query_id, doc, rank, place: the best documents with any term of each query (query_id, term), a batch of at most some thousand terms.
+
+    Each text is taken apart once; of its tokens only those that some query names go on.
+    """
+    wanted = queries.agg(F.collect_set("term").alias("wanted"))  # one row
+    everything = reduce(F.concat, [F.col(f"in_{c}") for c in columns])
+    rows = _tokens_of(docs, key, columns).select("doc", F.explode(F.array(everything)).alias("terms")).crossJoin(F.broadcast(wanted))
+    rows = rows.select("doc", F.size("terms").cast("long").alias("len"), F.filter("terms", lambda t: F.array_contains("wanted", t)).alias("hits")).persist()
+    counts = rows.filter(F.size("hits") > 0).select("doc", "len", F.explode("hits").alias("term")).groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
+    known = counts.groupBy("term").agg(F.count("*").alias("n"))
+    total = rows.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean"))
+    scored = counts.join(F.broadcast(known.join(queries.distinct(), "term")), "term").crossJoin(F.broadcast(total))  # known: a row a term and query; total: one
+    best = scored.groupBy("query_id", "doc").agg(F.sum(_part(F.col("n"), F.col("tf"))).alias("rank"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "doc"))
+    return best.withColumn("place", place).filter(F.col("place") <= limit)
 
 
 def snippet(docs: DataFrame, terms: list[str], n: int = 24, key: str = "object_id", content: str = "content") -> DataFrame:
@@ -140,11 +248,14 @@ def snippet(docs: DataFrame, terms: list[str], n: int = 24, key: str = "object_i
     return found.select(key, F.concat(F.when(F.col("at") > 0, "…").otherwise(""), text, F.when(F.col("at") + n < F.size("words"), "…").otherwise("")).alias("snippet"))
 
 
-def search_page(index: DataFrame, docs: DataFrame, terms: list[str], limit: int, key: str = "object_id") -> DataFrame:
-    """The best documents that have all terms, with place and has_more; a blank query gives an empty page."""
+def search_page(docs: DataFrame, limit: int, *, all: tuple = (), any: tuple = (), none: tuple = (), key: str = "object_id", columns: tuple[str, ...] = COLUMNS) -> DataFrame:  # noqa: A002
+    """The best documents that a query of phrases and near groups finds, with rank, place and has_more; a query without parts gives an empty page."""
     if not 1 <= limit <= 200:
         raise ValueError("a page has 1 to 200 rows")
-    ranked = bm25(index, docs, terms or ["\0"], key)
-    ranked = ranked.join(match_all(index, terms or ["\0"]), "doc", "left_semi").orderBy("rank", "doc").limit(limit + 1)
+    if not (all or any):
+        found = docs.select(F.col(key).alias("doc"), F.lit(0.0).alias("rank")).limit(0)
+    else:
+        found = ranked(matched(docs, all=all, any=any, none=none, key=key, columns=columns))
+    found = found.orderBy("rank", "doc").limit(limit + 1)
     order = Window.orderBy("rank", "doc")  # over limit + 1 rows
-    return ranked.withColumn("place", F.row_number().over(order)).withColumn("has_more", F.count("*").over(Window.partitionBy(F.lit(1))) > limit).filter(F.col("place") <= limit)
+    return found.withColumn("place", F.row_number().over(order)).withColumn("has_more", F.count("*").over(Window.partitionBy(F.lit(1))) > limit).filter(F.col("place") <= limit)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provenant.functions import scalars as S
@@ -62,12 +62,12 @@ def a04_infer_delimiter(b):
 CHAT = """select conv_id as file, case when turn % 3 = 2 then text else concat(cast(1 + conv_id % 28 as varchar(3)), '/', cast(1 + turn % 12 as varchar(3)), '/2024, ', cast(10 + turn as varchar(3)), ':30 - ', role, ': ', text) end as line, turn from {conversations}"""
 
 
-@query(f"""with l as ({CHAT.format(conversations="conversations")}), r as (select *, row_number() over (partition by file order by turn) as rn from l where not contains(line, chr(10))),
+@query(f"""with t as ({CHAT.format(conversations="conversations")}), l as (select file, turn, unnest(regexp_split_to_array(line, '\\r\\n|[\\n\\r]')) as line, unnest(range(len(regexp_split_to_array(line, '\\r\\n|[\\n\\r]')))) as i from t where line is not null), r as (select *, row_number() over (partition by file order by turn, i) as rn from l),
   h as (select *, regexp_matches(line, '^[0-9]+/[0-9]+/2024, ') as header from r), m as (select *, sum(case when header then 1 else 0 end) over (partition by file order by rn) as message_no from h)
   select file, message_no, min(rn) as line_start, max(rn) as line_end, max(case when header then regexp_extract(line, ' - ([^:]+): ', 1) end) as sender,
   string_agg(case when header then regexp_replace(line, '^[^:]+:[0-9]+ - [^:]+: ', '') else line end, chr(10) order by rn) as body from m group by file, message_no""")
 def a09_chat_messages(b):
-    lines = b.sql(CHAT).filter(~F.contains("line", F.lit("\n")))
+    lines = b.sql(CHAT).filter("line is not null")
     texts = lines.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("text"))
     return messages.chat_messages(texts).select("file", F.col("message_no"), "line_start", "line_end", "sender", "body")
 
@@ -272,9 +272,9 @@ def b25_unknown_if_blank(b):
 # --- lists and pages ---
 
 
-@query("select id, ts_start from ev_events where event_type = 'click' order by ts_start desc, id desc limit 500")
+@query("select id, ts_start from ev_records where event_type = 'click' order by coalesce(ts_start, created_at) desc, id desc limit 500")
 def c01_timeline(b):
-    return P.timeline(b.events, event_type="click").select("id", "ts_start")
+    return P.timeline(b.records, event_type="click").select("id", "ts_start")
 
 
 @query("select id, original_name from ev_artifacts order by id desc limit 30")
@@ -282,9 +282,9 @@ def c02_recent_artifacts(b):
     return P.recent_artifacts(b.artifacts).select("id", "original_name")
 
 
-@query("select id, substr(body, 1, 240) as preview from ev_events order by ts_start desc, id desc limit 30")
+@query("select id, substr(body, 1, 240) as preview from ev_records order by coalesce(ts_start, created_at) desc, id desc limit 30")
 def c02_recent_events(b):
-    return P.recent_events(b.events).select("id", "preview")
+    return P.recent_events(b.records).select("id", "preview")
 
 
 @query("select id, row_number() over (order by ts_start, id) as place, (select count(*) from ev_events where artifact_id = 7) > 10 as has_more from ev_events where artifact_id = 7 order by ts_start, id limit 10")
@@ -352,6 +352,24 @@ def c10_select_messages(b):
     return P.select_messages(e.filter("id % 2 = 0"), e.filter("id % 2 = 1"), phones, ["INFO"], ["bank"]).select("id", "phone")
 
 
+CALLS = "select id, phone_or_address as phone, case when id % 9 = 0 then 'Bank Info' end as contact, cast(ts_start as varchar(30)) as t from ev_events"
+
+
+@query(f"with m as ({CALLS}) select id, phone from m where cast(phone as bigint) % 10 = 3 or contact is not null")
+def c10_select_calls(b):
+    calls = b.events.select("id", F.col("phone_or_address").alias("phone"), F.when(F.col("id") % 9 == 0, "Bank Info").alias("contact"), F.col("ts_start").cast("string").alias("t"))
+    return P.select_calls(calls, calls.filter(F.col("phone").cast("long") % 10 == 3).select("phone"), ["bank"]).select("id", "phone")
+
+
+@query(f"with m as ({CALLS}), r as (select id, phone, row_number() over (order by coalesce(case when id % 3 = 0 then t end, case when id % 5 <> 0 then t end, '') desc, id desc) as place from m where cast(phone as bigint) % 10 = 3 or contact is not null) select id, phone, place from r where place <= 50")
+def c10_select_recordings(b):
+    t = F.col("ts_start").cast("string")
+    rows = b.events.select("id", F.col("phone_or_address").alias("phone"), F.when(F.col("id") % 9 == 0, "Bank Info").alias("contact"), F.when(F.col("id") % 3 == 0, t).alias("resolved_time"), F.when(F.col("id") % 5 != 0, t).alias("call_start"))
+    newest = P.select_recordings(rows, rows.filter(F.col("phone").cast("long") % 10 == 3).select("phone"), ["bank"]).limit(50)
+    place = F.row_number().over(Window.orderBy(F.desc(F.coalesce("resolved_time", "call_start", F.lit(""))), F.desc("id")))  # over 50 rows
+    return newest.select("id", "phone", place.alias("place"))
+
+
 @query("select lower(original_name || '@' || case when id % 2 = 0 then 'a.org' else 'b.org' end) as email from ev_artifacts where id % 2 = 0 or id = 5")
 def c10_select_emails(b):
     rows = b.artifacts.select(F.concat("original_name", F.lit("@"), F.when(F.col("id") % 2 == 0, "A.org").otherwise("b.org")).alias("email"))
@@ -375,6 +393,11 @@ def c13_truncate_cells(b):
     return P.truncate_cells(b.documents.select("doc_id", F.col("text").alias("value")), 100).select("doc_id", "value", "complete")
 
 
+@query("select doc_id, 'cell_character_limit' as code, length(text) as characters from documents where length(text) > 100")
+def c13_truncated_cells(b):
+    return P.truncated_cells(b.documents.select("doc_id", F.col("text").alias("value")), 100, "doc_id")
+
+
 @query('select l_orderkey as table_id, l_linenumber as "column", max(l_linenumber) over (partition by l_orderkey) <= 4 as table_complete from lineitem qualify l_linenumber <= 4')
 def c14_cap_columns(b):
     return P.cap_columns(b.lineitem.select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("column")), 4)
@@ -395,6 +418,22 @@ def c16_list_versions(b):
     return P.list_versions(b.derived_text, newest).select("id", "language", "text")
 
 
+@query("select id, place from (select observation_id as id, row_number() over (order by observation_id) as place from ev_observations where artifact_id = 3)")
+def c16_list_observations(b):
+    rows = b.observations.withColumnRenamed("observation_id", "id")
+    return windows.ordinals(P.list_observations(rows, 3), "artifact_id", "id").select("id", (F.col("ordinal") + 1).cast("long").alias("place"))
+
+
+@query("select id, quote_text from ev_anchors where artifact_id = 3")
+def c16_list_citations(b):
+    return P.list_citations(b.anchors, 3).select("id", "quote_text")
+
+
+@query("select id, kind from ev_annotations where artifact_id = 3")
+def c16_list_annotations(b):
+    return P.list_annotations(b.annotations, 3).select("id", "kind")
+
+
 # --- joins ---
 
 
@@ -441,17 +480,28 @@ def d06_candidate_links(b):
     return J.candidate_links(b.pages.select((F.col("page_id") * 2).alias("observation_id"), F.col("url").alias("value")), files).select("observation_id", "file_id", "ambiguous")
 
 
-@query("select o_orderkey as recording_id, c_custkey as uri from orders join customer on o_custkey % 100 = c_custkey % 100 and c_custkey < 40 where o_orderkey % 20 = 0")
+NAMES = "with f as (select page_id as uri, list_extract(string_split(url, '/'), -1) as name from pages), r as (select o_orderkey as recording_id, o_custkey as k from orders), n as (select r.recording_id, p.name from r join f p on p.uri = r.k)"
+
+
+def _recordings(b):
+    """Recordings named as the page of their customer's number is; a name that several pages have gives several candidates."""
+    files = b.pages.select(F.col("page_id").alias("uri"), S.basename(F.col("url")).alias("name"))
+    return b.orders.join(files, F.col("o_custkey") == F.col("uri")).select(F.col("o_orderkey").alias("recording_id"), F.col("name").alias("recording_name")), files
+
+
+@query(f"{NAMES} select recording_id, f.uri from n join f using (name)")
 def d07_recording_candidates(b):
-    recordings = b.orders.filter("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("recording_id"), (F.col("o_custkey") % 100).cast("string").alias("recording_name"))
-    files = b.customer.filter("c_custkey < 40").select(F.col("c_custkey").alias("uri"), (F.col("c_custkey") % 100).cast("string").alias("name"))
-    return J.recording_candidates(recordings, files).select("recording_id", "uri")
+    return J.recording_candidates(*_recordings(b)).select("recording_id", "uri")
 
 
-@query("select count(*) as linked from orders where o_custkey % 100 in (select c_custkey % 100 from customer where c_custkey < 40)")
+@query(f"{NAMES} select count(*) as linked from n where name in (select name from f)")
 def d07_linked_count(b):
-    recordings = b.orders.select((F.col("o_custkey") % 100).cast("string").alias("recording_name"))
-    return J.linked_count(recordings, b.customer.filter("c_custkey < 40").select((F.col("c_custkey") % 100).cast("string").alias("name")))
+    return J.linked_count(*_recordings(b))
+
+
+@query(f"{NAMES} select distinct f.uri from n join f using (name)")
+def d07_selected_candidates(b):
+    return J.selected_candidates(*_recordings(b)).select("uri")
 
 
 @query("""with r as (select l_orderkey as row_id, list_sort(list_distinct(list(l_suppkey % 7))) as row_phones from lineitem group by all), f as (select o_custkey as file_id, list_sort(list_distinct(list(o_orderkey % 7))) as file_phones from orders group by all)
@@ -462,13 +512,25 @@ def d08_phone_disagreements(b):
     return J.phone_disagreements(rows, files, b.orders.select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("file_id"))).select("row_id", "file_id", "row_phones", "file_phones")
 
 
-@query("""with x as (select d.id as anchor_id, d.id as derived_text_id, d.artifact_id from ev_derived_text d), o as (select artifact_id, count(*) as n, min(observation_id) as lo, max(observation_id) as hi from ev_observations group by artifact_id)
-  select anchor_id, a.original_name, d.language, s.label as source_label, coalesce(o.n, 0) as n_observations, o.lo as first_observation, case when s.label is null and o.n is null then 'source,observations' when s.label is null then 'source' when o.n is null then 'observations' else '' end as missing
-  from x join ev_artifacts a on x.artifact_id = a.id join ev_derived_text d on d.id = x.derived_text_id and d.artifact_id = x.artifact_id left join ev_sources s on a.source_id = s.id left join o on o.artifact_id = a.id""")
-def d09_citation_packets(b):
+PACKETS = """with o as (select artifact_id, count(*) as n, min(observation_id) as lo from ev_observations group by artifact_id),
+  x as (select d.id as anchor_id, a.original_name, d.language, d.run_id, a.source_id, s.label, r.id as run, r.status, r.artifact_id = d.artifact_id as own, coalesce(o.n, 0) as n, o.lo from ev_derived_text d join ev_artifacts a on d.artifact_id = a.id
+    left join ev_sources s on a.source_id = s.id left join ev_runs r on d.run_id = r.id left join o on o.artifact_id = a.id)
+  select anchor_id, original_name, language, label as source_label, status as run_status, n as n_observations, lo as first_observation,
+  concat_ws(',', case when source_id is not null and label is null then 'missing_source' end, case when run_id is not null and (run is null or not own) then 'missing_or_foreign_run' end) as errors,
+  concat_ws(',', case when label is null then 'source_record_unknown' end, case when n = 0 then 'acquisition_history_unknown' end, case when run is null then 'processing_run_unknown' end, case when run is not null and status is distinct from 'done' then 'processing_run_success_unconfirmed' end) as unknowns from x"""
+
+
+def _packets(b):
     anchors = b.derived_text.select(F.col("id").alias("anchor_id"), F.col("id").alias("derived_text_id"), "artifact_id")
-    found = J.citation_packets(anchors, b.artifacts, b.derived_text, b.sources, b.observations)
-    return found.select("anchor_id", "original_name", "language", "source_label", F.coalesce(F.size("observations"), F.lit(0)).cast("long").alias("n_observations"), F.get("observations", F.lit(0)).alias("first_observation"), F.array_join("missing", ",").alias("missing"))
+    return J.citation_packets(anchors, b.artifacts, b.derived_text, b.sources, b.observations, b.runs)
+
+
+@query(PACKETS)
+def d09_citation_packets(b):
+    return _packets(b).select(
+        "anchor_id", "artifact.original_name", "version.language", F.col("source.label").alias("source_label"), F.col("run.status").alias("run_status"), F.coalesce(F.size("observations"), F.lit(0)).cast("long").alias("n_observations"),
+        F.get("observations", F.lit(0))["observation_id"].alias("first_observation"), F.array_join("errors", ",").alias("errors"), F.array_join("unknowns", ",").alias("unknowns"),
+    )
 
 
 @query("""with k as (select sha256(text) as h, source, min(doc_id) as id, arg_min(n_chars, doc_id) as size from documents where doc_id % 2 = 0 group by all)
@@ -573,13 +635,18 @@ def e07_file_coverage(b):
     return A.file_coverage(b.events.select(F.col("event_type").alias("code")), ["click", "view"])
 
 
-@query("""with s as (select derived_text_id, segment_index, trim(text) = '' as blank, len(string_split(text, ' ')) as n from ev_segments) select derived_text_id, count(*) filter (where not blank) as available, count(*) as segments, cast(coalesce(sum(case when not blank then n end), 0) as bigint) as words,
+@query("""with s as (select derived_text_id, segment_index, trim(text) = '' as blank, len(string_split(text, ' ')) as n from ev_segments) select derived_text_id, count(*) <= 10000 as complete, count(*) filter (where not blank) as available, count(*) as segments, cast(coalesce(sum(case when not blank then n end), 0) as bigint) as words,
   case when count(*) filter (where blank) = 0 then 'available' when count(*) filter (where not blank) > 0 then 'partial' else 'unavailable' end as status from s group by 1""")
 def e08_word_timing_report(b):
     rows = b.segments.select("derived_text_id", "segment_index", F.when(F.trim("text") == "", "blank_segment").alias("reason"), F.size(F.split("text", " ")).alias("n_words"))
     return A.word_timing_report(rows)
 
 
+@query("select 'artifacts' as \"table\", (select count(*) from ev_artifacts) as rows union all select 'jobs', (select count(*) from ev_jobs) union all select 'tags', 0")
+def e09_package_counts(b):
+    return A.package_counts({"artifacts": b.artifacts, "jobs": b.jobs}, ["artifacts", "jobs", "tags"])
+
+
 @query("select true as digest_valid, count(*) filter (where toxic = 1) = 0 as relationships_valid from labels")
 def e09_validity_flags(b):
     found = b.labels.select(F.when(F.col("toxic") == 1, "relationships").otherwise("anchors").alias("group"), F.lit("error").alias("severity"))
@@ -680,12 +747,33 @@ def g04_valid_words(b):
     return s.select("derived_text_id", F.col("segment_index").cast("long"), G.valid_words_reason("s").alias("reason"))
 
 
-@query("""select derived_text_id as id, 'anchor_quote_digest_mismatch' as code from ev_segments where segment_index = 0 and derived_text_id % 3 = 0 union all select derived_text_id, 'anchor_selector_mismatch' from ev_segments where segment_index = 0 and derived_text_id % 5 = 0""")
+def _anchors(b):
+    """Anchors as created: of the first segment of each version, and (negative ids) of its first word; some spoiled, some that pin what they must not."""
+    one = F.array(F.struct(F.lit(0).alias("segment_index"), F.lit(0).alias("word_index")))
+    versions = b.segments.select("derived_text_id").distinct()
+    made = G.cite_segments(versions.withColumn("indices", F.array(F.lit(0))), _versions(b)).drop("indices").withColumn("id", F.col("derived_text_id"))
+    words = G.cite_words(versions.withColumn("word_refs", one), _versions(b)).drop("word_refs").withColumn("id", -F.col("derived_text_id"))
+    k = F.abs("id")
+    return (
+        made.unionByName(words).filter("reason is null").drop("reason")
+        .withColumn("artifact_id", F.when(k % 11 == 0, -1).otherwise(F.col("derived_text_id")))
+        .withColumn("quote_sha256", F.when(k % 3 == 0, "0").otherwise(F.col("quote_sha256"))).withColumn("end_ms", F.when(k % 5 == 0, F.col("end_ms") + 1).otherwise(F.col("end_ms")))
+        .withColumn("selector_json", F.when(k % 7 == 0, F.lit('{"kind": "pages"}')).otherwise(F.col("selector_json")))
+    )
+
+
+def _owners(b):
+    return b.segments.select(F.col("derived_text_id").alias("id"), F.col("derived_text_id").alias("artifact_id"), F.lit("transcript").alias("kind")).distinct()
+
+
+ANCHORS = """with k as (select derived_text_id as k from ev_segments where segment_index = 0), i as (select k, k as id from k union all select k, -k from k),
+  c as (select id, 'anchor_version_mismatch' as code from i where k % 11 = 0 union all select id, 'anchor_quote_digest_mismatch' from i where k % 11 <> 0 and k % 3 = 0
+  union all select id, 'invalid_anchor_selector' from i where k % 11 <> 0 and k % 7 = 0 union all select id, 'anchor_selector_mismatch' from i where k % 11 <> 0 and k % 7 <> 0 and (k % 3 = 0 or k % 5 = 0))"""
+
+
+@query(f"{ANCHORS} select id, code from c")
 def g05_verify_anchors(b):
-    rows = b.segments.select("derived_text_id").distinct().withColumn("indices", F.array(F.lit(0)))
-    made = G.cite_segments(rows, _versions(b)).withColumn("id", F.col("derived_text_id"))
-    spoiled = made.withColumn("quote_sha256", F.when(F.col("id") % 3 == 0, "0").otherwise(F.col("quote_sha256"))).withColumn("end_ms", F.when(F.col("id") % 5 == 0, F.col("end_ms") + 1).otherwise(F.col("end_ms")))
-    return G.verify_anchors(spoiled, _versions(b))
+    return G.verify_anchors(_anchors(b), _versions(b), _owners(b))
 
 
 @query("select id, id % 3 <> 0 as matches from ev_events")
@@ -756,23 +844,38 @@ BM25 = """, l as (select d.object_id as doc, count(p.term) as len from ev_docs d
 
 @query(f"with {FOLDED} {BM25.format(terms=chr(39) + 'licensed' + chr(39) + ', ' + chr(39) + 'license' + chr(39), group='', join='')} select doc, round(rank, 8) as rank from r")
 def h09_bm25(b):
-    return H.bm25(_index(b), b.docs, ["licensed", "license"]).select("doc", F.round("rank", 8).alias("rank"))
+    return H.bm25(b.docs, ["licensed", "license"], columns=("content",)).select("doc", F.round("rank", 8).alias("rank"))
 
 
-@query(None)
+@query(r"""with w as (select object_id, string_split(trim(regexp_replace(content, '\s+', ' ', 'g')), ' ') as w from ev_docs where content is not null),
+  h as (select object_id, w, list_transform(w, lambda x: cast(len(list_intersect(regexp_extract_all(strip_accents(lower(x)), '[\p{L}\p{N}]+'), ['licensed', 'license'])) > 0 as int)) as h, greatest(0, len(w) - 24) as last from w),
+  s as (select object_id, w, last, h, unnest(range(0, last + 1)) as i from h), c as (select object_id, w, i, coalesce(list_sum(h[i + 1:i + 24]), 0) as n from s where i = 0 or i = last or h[i + 1] = 1),
+  b as (select object_id, arg_min({'w': w, 'i': i}, (-n, i)) as x from c group by object_id)
+  select object_id, case when x.i > 0 then '…' else '' end || array_to_string(x.w[x.i + 1:x.i + 24], ' ') || case when x.i + 24 < len(x.w) then '…' else '' end as snippet from b""")
 def h10_snippet(b):
-    return H.snippet(b.docs, ["licensed", "license"])
+    return H.snippet(b.docs.filter("content is not null"), ["licensed", "license"])
+
+
+COMPOSED = """, a as (select p.doc, count(*) as tf from p join p q on p.doc = q.doc and q.pos = p.pos + 1 where p.term = 'licensed' and q.term = 'under' group by 1), c as (select doc, count(*) as tf from p where term like 'comm%' group by 1),
+  d as (select doc, count(*) as tf from p where term = 'mit' group by 1), e as (select doc, count(*) as tf from p where term = 'license' group by 1),
+  near as (select distinct m.doc from p m join p l on m.doc = l.doc and m.term = 'mit' and l.term = 'license' and abs(m.pos - l.pos) - 1 <= 2), bad as (select distinct doc from p where term = 'gnu'),
+  t as (select 1 as i, doc, tf from a union all select 2, doc, tf from c union all select 3, doc, tf from d union all select 4, doc, tf from e), f as (select i, count(*) as n from t group by i),
+  l as (select d.object_id as doc, count(p.term) as len from ev_docs d left join p on p.doc = d.object_id group by 1), s as (select count(*) as n_docs, avg(len) as mean from l),
+  r as (select t.doc, sum(-greatest(ln((n_docs - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as rank from t join f using (i) join l using (doc) cross join s group by 1),
+  o as (select r.doc, rank, row_number() over (order by round(rank, 9), r.doc) as place, count(*) over () > 10 as has_more from r where r.doc in (select doc from a) and (r.doc in (select doc from c) or r.doc in (select doc from near)) and r.doc not in (select doc from bad))"""
 
 
-@query(f"with {FOLDED} {BM25.format(terms=chr(39) + 'licensed' + chr(39) + ', ' + chr(39) + 'under' + chr(39), group='', join='')}, a as (select doc from c group by doc having count(*) = 2), o as (select r.doc, rank, row_number() over (order by rank, r.doc) as place, count(*) over () > 10 as has_more from r join a on r.doc = a.doc) select doc, place, has_more from o where place <= 10")
+@query(f"with {FOLDED} {COMPOSED} select doc, place, has_more from o where place <= 10")
 def h11_search_page(b):
-    return H.search_page(_index(b), b.docs, ["licensed", "under"], 10).select("doc", "place", "has_more")
+    """licensed under, as a phrase, with comm* or mit and license near each other, without gnu."""
+    near = H.Near((H.Phrase(("mit",)), H.Phrase(("license",))), 2)
+    return H.search_page(b.docs, 10, all=(H.Phrase(("licensed", "under")),), any=(H.Phrase(("comm",), prefix=True), near), none=(H.Phrase(("gnu",)),), columns=("content",)).select("doc", "place", "has_more")
 
 
 @query(f"with {FOLDED} , q(query_id, term) as (values (1, 'licensed'), (1, 'license'), (2, 'password'), (2, 'token'), (3, 'rights')) {BM25.format(terms='select term from q', group='q.query_id,', join='join q using (term)')} select query_id, doc, place from (select query_id, doc, row_number() over (partition by query_id order by rank, doc) as place from r) where place <= 20")
 def h12_search_many(b):
     asked = b.spark.createDataFrame([(1, "licensed"), (1, "license"), (2, "password"), (2, "token"), (3, "rights")], "query_id int, term string")
-    return H.search_many(_index(b), b.docs, asked, 20).select("query_id", "doc", "place")
+    return H.search_many(b.docs, asked, 20, columns=("content",)).select("query_id", "doc", "place")
 
 
 # --- integrity ---
@@ -782,17 +885,22 @@ def _tables(b):
     return {"cases": b.region.select(F.col("r_regionkey").alias("id")), "sources": b.sources, "artifacts": b.artifacts, "events": b.events.drop("source_id").withColumn("source_id", F.col("artifact_id") % 25), "derived_text": b.derived_text, "jobs": b.jobs, "processing_runs": b.runs, "source_observations": b.observations.withColumnRenamed("observation_id", "id")}
 
 
-@query("select 'artifacts' as \"table\", count(*) as rows from ev_artifacts union all select 'jobs', count(*) from ev_jobs")
+@query("""with r as (select id, sha256('{"id":"' || id || '","status":"' || status || '"}') as d from ev_jobs), p as (select cast(floor(id / 10000) as bigint) as part, count(*) as n, sha256(string_agg(d, '' order by id, d)) as d from r group by 1)
+  select 'jobs' as "table", cast(sum(n) as bigint) as rows, sha256(string_agg(d, '' order by part)) as digest from p""")
 def i01_table_digests(b):
-    return I.table_digests({"artifacts": b.artifacts, "jobs": b.jobs}, {"artifacts": "id", "jobs": "id"}).select("table", "rows")
+    return I.table_digests({"jobs": b.jobs.select("id", "status")}, {"jobs": "id"}).select("table", "rows", "digest")
 
 
-@query("select 'table_digest_mismatch' as code, 'jobs' as path")
+def _signed(b, jobs):
+    digests = I.table_digests({"artifacts": b.artifacts, "jobs": jobs}, {"artifacts": "id", "jobs": "id"})
+    return digests, I.payload_digest(digests, b.spark.range(1).select(*(F.lit(v).alias(k) for k, v in I.FLAGS.items())))
+
+
+# some row of status running has another priority: where there is one, table and payload differ
+@query("select code, path from (values ('table_digest_mismatch', 'jobs'), ('payload_digest_mismatch', 'integrity/payload_sha256')) v(code, path) where (select count(*) from ev_jobs where status = 'running' and priority <> 9) > 0")
 def i02_digest_mismatch(b):
-    keys = {"artifacts": "id", "jobs": "id"}
-    before = I.table_digests({"artifacts": b.artifacts, "jobs": b.jobs}, keys)
-    after = I.table_digests({"artifacts": b.artifacts, "jobs": b.jobs.withColumn("priority", F.when(F.col("id") == F.lit(20), 9).otherwise(F.col("priority")))}, keys)
-    return I.digest_mismatch(before, after).select("code", "path")
+    (before, signed), (after, found) = _signed(b, b.jobs), _signed(b, b.jobs.withColumn("priority", F.when(F.col("status") == "running", 9).otherwise(F.col("priority"))))
+    return I.digest_mismatch(before, after).unionByName(I.payload_digest_mismatch(signed, found)).select("code", "path")
 
 
 @query("""select 'invalid_identity' as code, 'artifacts/' || id as path from ev_artifacts where id <= 0 union all select 'invalid_identity', 'jobs/' || (id % 500) from ev_jobs where id % 500 = 0 group by all union all select 'duplicate_identity', 'jobs/' || (id % 500) from ev_jobs group by all having count(*) > 1""")
@@ -817,11 +925,28 @@ def i05_content_mismatch(b):
     return I.content_mismatch(seen, files).select("code", "path")
 
 
-@query("""with p as (select id as artifact_id, source_id from ev_artifacts union all select artifact_id, source_id from ev_observations where observation_id % 40 = 0), c as (select artifact_id, list_sort(list_distinct(list(case_id))) as cases from p join ev_sources s on p.source_id = s.id group by 1)
+CASES = """with p as (select id as artifact_id, source_id from ev_artifacts union all select artifact_id, case when artifact_id % 40 = 0 then artifact_id % 25 end from ev_observations), c as (select artifact_id, list_sort(list_distinct(list(case_id))) as cases from p join ev_sources s on p.source_id = s.id group by 1)"""
+
+
+def _cases(b):
+    """Cases by the artifacts' own sources, and by another source where observations know one."""
+    seen = b.observations.select("artifact_id", F.when(F.col("artifact_id") % 40 == 0, F.col("artifact_id") % 25).alias("source_id"))
+    return A.provenance_cases(b.artifacts, seen, b.sources)
+
+
+@query(f"""{CASES}
   select 'cross_case_artifact' as code, 'artifacts/' || a.id as path from ev_artifacts a join c on c.artifact_id = a.id where len(cases) > 1 union all select 'unknown_artifact_case', 'artifacts/' || a.id from ev_artifacts a left join c on c.artifact_id = a.id where c.cases is null
   union all select 'cross_case_parent_artifact', 'artifacts/' || a.id from ev_artifacts a join c on c.artifact_id = a.id join c p on p.artifact_id = a.parent_artifact_id where c.cases <> p.cases""")
 def i06_case_boundaries(b):
-    return I.case_boundaries(b.artifacts, A.provenance_cases(b.artifacts, b.observations.filter("observation_id % 40 = 0"), b.sources)).select("code", "path")
+    return I.case_boundaries(b.artifacts, _cases(b)).select("code", "path")
+
+
+@query(f"""{CASES}, e as (select e.id, e.artifact_id, s.case_id from ev_events e join ev_sources s on e.source_id = s.id), n as (select l.doc_id as id, l.doc_id % 50 as artifact_id, e.artifact_id as of_event, e.case_id from labels l join e on e.id = l.doc_id)
+  select 'cross_case_event' as code, 'events/' || e.id as path from e join c using (artifact_id) where cases <> [case_id]
+  union all select distinct 'cross_case_annotation_event', 'annotations/' || n.id from n join c on c.artifact_id in (n.artifact_id, n.of_event) where cases <> [n.case_id]""")
+def i06_event_cases(b):
+    notes = b.labels.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 50).alias("artifact_id"), F.col("doc_id").alias("event_id"), F.lit(None).cast("long").alias("derived_text_id"))
+    return I.event_case_boundaries(b.events, notes, b.sources, b.derived_text, _cases(b)).select("code", "path")
 
 
 @query("""select 'run_job_artifact_mismatch' as code, 'processing_runs/' || r.id as path from ev_runs r join ev_jobs j on r.job_id = j.id where r.artifact_id <> j.artifact_id union all select 'text_run_artifact_mismatch', 'derived_text/' || d.id from ev_derived_text d join ev_runs r on d.run_id = r.id where d.artifact_id <> r.artifact_id""")
@@ -843,26 +968,59 @@ def i09_polymorphic_links(b):
     return I.polymorphic_links(links, {"artifacts": b.artifacts, "events": b.events}).select("code", "path")
 
 
-@query("select 'anchor_quote_digest_mismatch' as code, 'evidence_anchors/' || derived_text_id as path from ev_segments where segment_index = 0 and derived_text_id % 3 = 0")
+@query(f"{ANCHORS} select code, 'evidence_anchors/' || id as path from c")
 def i10_anchor_checks(b):
-    rows = b.segments.select("derived_text_id").distinct().withColumn("indices", F.array(F.lit(0)))
-    made = G.cite_segments(rows, _versions(b)).withColumn("id", F.col("derived_text_id"))
-    return I.anchor_checks(made.withColumn("quote_sha256", F.when(F.col("id") % 3 == 0, "0").otherwise(F.col("quote_sha256"))), _versions(b)).select("code", "path")
+    return I.anchor_checks(_anchors(b), _versions(b), _owners(b)).select("code", "path")
 
 
-@query("""select 'legacy_incomplete_schema' as code, 'EUROPE' as path union all select 'undeclared_missing_table', 'EUROPE' union all select 'contradictory_missing_table', 'ASIA'""")
+@query("""with r as (select l_orderkey as package, l_returnflag as name, count(*) as rows from lineitem group by all), d as (select o_orderkey as package, case when o_orderkey % 7 = 0 then 'X' else 'N' end as name from orders where o_orderkey % 3 = 0)
+  select 'invalid_missing_tables' as code, package || '/' || name as path from d where name = 'X' union all select 'legacy_incomplete_schema', package || '/N' from d where name = 'N' union all select 'contradictory_missing_table', package || '/N' from d where name = 'N' and package in (select package from r where name = 'N')
+  union all select 'missing_or_invalid_table', p.package || '/' || t.name from (select distinct package from r) p cross join (values ('A'), ('N'), ('R')) t(name) where not exists (select 1 from r where r.package = p.package and r.name = t.name) and not exists (select 1 from d where d.package = p.package and d.name = t.name)""")
 def i11_missing_tables(b):
-    present = b.region.filter("r_name <> 'EUROPE'").select(F.col("r_name").alias("name"))
-    return I.missing_tables(present, b.region.filter("r_name = 'ASIA'").select(F.col("r_name").alias("name")), ["EUROPE", "ASIA", "AFRICA"]).select("code", "path")
-
-
-@query("""select 'payload_digest_mismatch' as code, 'packets/' || id as path from ev_events where id % 6 = 0 union all select 'invalid_payload', 'packets/' || id from ev_events where id % 5 = 0 union all select 'invalid_anchor_interval', 'packets/' || id from ev_events where id % 7 = 0""")
+    rows = b.lineitem.groupBy(F.col("l_orderkey").alias("package"), F.col("l_returnflag").alias("name")).agg(F.count("*").alias("rows"))
+    declared = b.orders.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("package"), F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise("N").alias("name"))
+    return I.missing_tables(rows, declared, ["A", "N", "R"]).select("code", "path")
+
+
+@query("""select 'unsupported_schema' as code, o_orderkey || '/schema' as path from orders where o_orderstatus = 'P' union all select 'invalid_capability_flag', o_orderkey || '/signed' from orders where o_orderkey % 4 = 0 union all select 'invalid_capability_flag', o_orderkey || '/metadata_only' from orders where o_orderkey % 9 = 0""")
+def i11_package_flags(b):
+    k = F.col("o_orderkey")
+    packages_ = b.orders.select(k.alias("id"), F.when(F.col("o_orderstatus") != "P", "v1").alias("schema"), (k % 9 != 0).alias("metadata_only"), F.lit(False).alias("source_bytes_included"), F.lit(False).alias("replay_supported"), F.when(k % 4 != 0, False).alias("signed"))
+    return I.package_flags(packages_, "v1").select("code", "path")
+
+
+def _written_packets(b):
+    """Packets of the first segment of each version, as they are written, each with its digest."""
+    versions = b.segments.groupBy("derived_text_id").agg(F.array_sort(F.collect_list(F.struct("segment_index", F.col("start_s").alias("start"), F.col("end_s").alias("end"), "text"))).alias("s"))
+    derived = versions.select(F.col("derived_text_id").alias("id"), F.col("derived_text_id").alias("artifact_id"), F.lit("transcript").alias("kind"), F.to_json(F.transform("s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))).alias("segments_json"), F.when(F.col("derived_text_id") % 2 == 0, F.col("derived_text_id") + 5).alias("run_id"))
+    anchors = G.cite_segments(b.segments.select("derived_text_id").distinct().withColumn("indices", F.array(F.lit(0))), _versions(b)).filter("reason is null").drop("reason", "indices").withColumn("artifact_id", F.col("derived_text_id")).withColumn("anchor_id", F.col("derived_text_id"))
+    artifacts = derived.select("id", F.lit("sha").alias("sha256"), F.lit(7).cast("long").alias("size_bytes"), (F.col("id") % 25).alias("source_id"))
+    sources = derived.select((F.col("id") % 25).alias("id")).distinct()
+    runs = derived.filter("run_id is not null").select(F.col("run_id").alias("id"), "artifact_id", F.lit("done").alias("status"), F.lit("t").alias("lease_token"))
+    seen = derived.select((F.col("id") * 10).alias("observation_id"), F.col("id").alias("artifact_id"), F.when(F.col("id") % 13 == 0, "other").otherwise("sha").alias("sha256"), F.lit(7).cast("long").alias("size_bytes"))
+    made = J.citation_packets(anchors, artifacts, derived, sources, seen, runs)
+    return made.select(F.col("anchor_id").alias("packet_id"), packages.packet_json(made).alias("payload_json"))
+
+
+@query("""with k as (select derived_text_id as k, text from ev_segments where segment_index = 0 and trim(text) <> '')
+  select 'payload_digest_mismatch' as code, 'packets/' || k as path from k where k % 6 = 0 union all select 'acquisition_content_mismatch', 'packets/' || k from k where k % 13 = 0
+  union all select 'artifact_reference_mismatch', 'packets/' || k from k where k % 7 = 0 union all select 'unsupported_scope_claim', 'packets/' || k from k where k % 11 = 0""")
 def i12_inspect_packets(b):
-    payload = F.when(F.col("id") % 5 == 0, F.lit("{")).otherwise(F.col("body"))
-    rows = b.events.select(F.col("id").alias("packet_id"), payload.alias("payload_json"), F.when(F.col("id") % 6 == 0, "0").otherwise(F.sha2(payload, 256)).alias("payload_sha256"), F.col("body").alias("quote_text"), F.sha2("body", 256).alias("quote_sha256"), F.lit(5).alias("start_ms"), F.when(F.col("id") % 7 == 0, 1).otherwise(9).alias("end_ms"))
+    p, k = F.col("payload_json"), F.col("packet_id")
+    spoiled = F.when(k % 7 == 0, F.regexp_replace(p, r'"version":\{"id":(\d+),"artifact_id":\d+', r'"version":{"id":$1,"artifact_id":0')).otherwise(p)
+    spoiled = F.when(k % 11 == 0, F.regexp_replace(spoiled, '"tasks_imported":false', '"tasks_imported":true')).otherwise(spoiled)
+    rows = _written_packets(b).select("packet_id", spoiled.alias("payload_json")).withColumn("payload_sha256", F.when(k % 6 == 0, "0").otherwise(F.sha2("payload_json", 256)))
     return I.inspect_packets(rows).select("code", "path")
 
 
+@query("""with a as (select event_id as id, case event_id % 3 when 0 then 'artifact' when 1 then 'screen' end as object_kind, case when event_id % 3 < 2 then user_id * 4 end as object_id from events)
+  select 'unknown_audit_target_kind' as code, 'audit_log/' || id as path from a where object_kind = 'screen' union all select 'broken_object_reference', 'audit_log/' || id from a where object_kind = 'artifact' and object_id not in (select id from ev_artifacts)""")
+def i09_audit_targets(b):
+    k = F.col("event_id") % 3
+    audit = b.table("events").select(F.col("event_id").alias("id"), F.when(k == 0, "artifact").when(k == 1, "screen").alias("object_kind"), F.when(k < 2, F.col("user_id") * 4).alias("object_id"))
+    return I.audit_targets(audit, {"artifacts": b.artifacts}).select("code", "path")
+
+
 @query("select doc_id as id, case when doc_id % 8 = 0 then 'bad_record' when doc_id % 7 = 0 then 'missing' when doc_id % 6 = 0 then 'changed' else 'ok' end as status, case when doc_id % 7 = 0 then null else cast(greatest(1, ceil(strlen(text) / 1000.0)) as int) end as n_chunks from documents")
 def i13_fixity_check(b):
     content = F.col("text").cast("binary")

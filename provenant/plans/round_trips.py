@@ -12,7 +12,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provenant.operators import joins as J
+from provenant.operators import aggregates as A
+from provenant.plans import registry
 from provenant.plans.registry import query
 from provenant.sources import corpus, delimited, files, messages, packages, wav, xlsx
 from provenant.streaming import ingest
@@ -24,31 +25,36 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/round-trip-{uuid.uuid4().hex}"
 
 
-@query("select cast(count(*) as bigint) as files, count(distinct r_name) as folders, 'other' as kind from region")
+def _page_files(b, path: str) -> None:
+    """A text file a page, in a folder a name: many small files, dealt by page."""
+    b.pages.select("page_id", F.lit("page").alias("kind"), F.coalesce(F.col("html"), F.lit("")).alias("value")).repartition("page_id").write.option("lineSep", "\x1e").partitionBy("kind", "page_id").text(path)
+
+
+@query("select 'kind=page/page_id=' || page_id as folder, 'other' as kind, 'txt' as ext, cast(octet_length(encode(coalesce(html, ''))) + 1 as bigint) as size from pages")
 def a01_file_inventory(b):
     path = folder(b.spark)
-    b.region.select(F.concat("r_name", F.lit(".txt")).alias("folder"), F.col("r_name").alias("value")).repartition(1).write.partitionBy("folder").text(path)
-    found = files.file_inventory(b.spark, path).filter(F.col("ext") == "txt")
-    return found.groupBy("kind").agg(F.count("*").alias("files"), F.count_distinct(F.regexp_extract("path", "folder=([A-Z ]+|[^/]*)/", 1)).alias("folders"))
+    _page_files(b, path)
+    found = files.file_inventory(b.spark, path).filter("ext = 'txt'")
+    return found.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "kind", "ext", "size")
 
 
-@query("select sha256(r_name || chr(10)) as sha256, 'complete' as hash_status from region")
+@query("select sha256(coalesce(html, '') || chr(30)) as sha256, 'complete' as hash_status from pages where octet_length(encode(coalesce(html, ''))) < 2000 union all select null, 'unknown_over_limit' from pages where octet_length(encode(coalesce(html, ''))) >= 2000")
 def a02_content_digest(b):
     path = folder(b.spark)
-    b.region.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("value")).repartition(1).write.partitionBy("k").text(path)
-    return files.content_digest(b.spark, path, 1 << 20).filter(F.col("path").endswith(".txt")).select("sha256", "hash_status")
+    _page_files(b, path)
+    return files.content_digest(b.spark, path, 2000).filter(F.col("path").endswith(".txt")).select("sha256", "hash_status")
 
 
 def _order_files(b):
-    line = F.concat_ws(";", F.col("o_orderkey").cast("string"), F.concat(F.lit('"'), "o_orderpriority", F.lit('"')), F.col("o_orderstatus"))
+    line = F.concat_ws(";", F.col("o_orderkey").cast("string"), F.concat(F.lit('"'), "o_orderpriority", F.lit('"')), F.concat("o_orderstatus", F.lit("\u2028x\f")))
     body = F.concat(F.lit("Numer;Priority;Status\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"]), "\n"), F.lit("\n"))
     return b.orders.groupBy("o_custkey").agg(body.alias("body")).select(F.concat(F.col("o_custkey").cast("string"), F.lit(".csv")).alias("path"), F.col("body").cast("binary").alias("content"))
 
 
-@query("""select o_custkey || '.csv' as file, n as row, unnest([0, 1, 2]) as "column", unnest([cast(o_orderkey as varchar), o_orderpriority, o_orderstatus]) as value from (select *, row_number() over (partition by o_custkey order by o_orderkey) as n from orders)
-  union all select distinct o_custkey || '.csv', 0, unnest([0, 1, 2]), unnest(['Numer', 'Priority', 'Status']) from orders""")
+@query("""select o_custkey || '.csv' as file, n as row, unnest([0, 1, 2]) as "column", unnest([cast(o_orderkey as varchar), o_orderpriority, o_orderstatus || chr(8232) || 'x' || chr(12)]) as value, true as complete from (select *, row_number() over (partition by o_custkey order by o_orderkey) as n from orders)
+  union all select distinct o_custkey || '.csv', 0, unnest([0, 1, 2]), unnest(['Numer', 'Priority', 'Status']), true from orders""")
 def a03_delimited_cells(b):
-    return delimited.delimited_cells(_order_files(b)).select("file", "row", "column", "value")
+    return delimited.delimited_cells(_order_files(b)).select("file", "row", "column", "value", "complete")
 
 
 @query("select doc_id, case doc_id % 4 when 0 then 'utf-8-sig' when 1 then 'utf-16-be' when 2 then 'utf-8' else 'unknown' end as encoding from documents where text is not null")
@@ -74,11 +80,13 @@ def _workbook(rows: pd.Series) -> pd.Series:
     return rows.map(one)
 
 
-@query("""select c_nationkey || '.xlsx' as file, 'S' as sheet, n as row, 1 as "column", cast(c_custkey as varchar) as value from (select *, row_number() over (partition by c_nationkey order by c_custkey) as n from customer) union all select c_nationkey || '.xlsx', 'S', n, 2, c_mktsegment from (select *, row_number() over (partition by c_nationkey order by c_custkey) as n from customer)""")
+@query("""with c as (select *, cast(floor(c_custkey / 100) as bigint) as book from customer), r as (select *, row_number() over (partition by book order by c_custkey) as n from c)
+  select book || '.xlsx' as file, 'S' as sheet, n as row, 1 as "column", cast(c_custkey as varchar) as value from r union all select book || '.xlsx', 'S', n, 2, c_mktsegment from r""")
 def a06_xlsx_cells(b):
-    rows = b.customer.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment"))).alias("rows"))
+    book = F.floor(F.col("c_custkey") / 100)  # a workbook has a hundred keys at most, at any size of the table
+    rows = b.customer.groupBy(book.alias("book")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment"))).alias("rows"))
     cell = F.transform("rows", lambda r, i: F.format_string('<row r="%d"><c r="A%d"><v>%d</v></c><c r="B%d" t="inlineStr"><is><t>%s</t></is></c></row>', i + 1, i + 1, r["c_custkey"], i + 1, r["c_mktsegment"]))
-    books = rows.select(F.concat(F.col("c_nationkey").cast("string"), F.lit(".xlsx")).alias("path"), F.array_join(cell, "").alias("x")).select("path", _workbook("x").alias("content"))
+    books = rows.select(F.concat(F.col("book").cast("string"), F.lit(".xlsx")).alias("path"), F.array_join(cell, "").alias("x")).select("path", _workbook("x").alias("content"))
     return xlsx.xlsx_cells(books).select("file", "sheet", "row", "column", "value")
 
 
@@ -107,20 +115,26 @@ def _sms_files(b):
     return e.groupBy("user_id").agg(F.concat(F.lit("<smses>"), body, F.lit("</smses>")).alias("x")).select(F.concat(F.col("user_id").cast("string"), F.lit(".xml")).alias("path"), F.col("x").cast("binary").alias("content"))
 
 
-@query("select cast(n_nationkey as varchar) as \"publicId\", n_name as label, n_regionkey as interactions from nation")
+@query("select cast(c_custkey as varchar) as \"publicId\", c_name as label, c_nationkey as interactions from customer")
 def a10_corpus_seed(b):
+    """Catalogues of a hundred contacts each, many in one folder."""
     path = folder(b.spark)
-    contact = F.struct(F.col("n_nationkey").cast("string").alias("publicId"), F.col("n_name").alias("label"), F.col("n_regionkey").alias("interactions"), F.lit(1).alias("unused"))
-    b.nation.agg(F.to_json(F.struct(F.collect_list(contact).alias("contacts"))).alias("value")).write.text(path)  # 25 rows
-    return corpus.read_corpus_seed(b.spark, path)["contacts"].select("publicId", "label", "interactions")
+    contact = F.struct(F.col("c_custkey").cast("string").alias("publicId"), F.col("c_name").alias("label"), F.col("c_nationkey").alias("interactions"), F.lit(1).alias("unused"))
+    books = b.customer.groupBy(F.floor(F.col("c_custkey") / 100).alias("book")).agg(F.collect_list(contact).alias("contacts"))
+    books.select("book", F.to_json(F.struct("contacts")).alias("value")).repartition("book").write.partitionBy("book").text(path)
+    return corpus.read_corpus_seed(b.spark, path)["contacts"].select("publicId", "label", F.col("interactions").cast("int").alias("interactions"))
 
 
-@query("select r_regionkey as id, r_name as name from region")
+@query("select 'artifacts' as part, id, original_name as name from ev_artifacts union all select 'jobs', id, status from ev_jobs union all select 'sources', id, label from ev_sources")
 def a12_read_package(b):
+    """Packages of one JSON document each, dealt by range of ids; 13 of the 16 tables are missing in each."""
     path = folder(b.spark)
-    row = F.struct(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
-    b.region.agg(F.to_json(F.struct(F.lit("v1").alias("schema"), F.struct(F.collect_list(row).alias("cases")).alias("tables"))).alias("value")).write.text(path)  # 5 rows
-    return packages.read_package(b.spark, path, {"cases": "id bigint, name string"})["cases"]
+    part = lambda df, name: df.groupBy(F.floor(F.col("id") / 500).alias("package")).agg(F.collect_list(F.struct(*df.columns)).alias(name))
+    rows = part(b.artifacts, "artifacts").join(part(b.jobs, "jobs"), "package", "full").join(part(b.sources, "sources"), "package", "full")
+    rows.select("package", F.to_json(F.struct(F.lit("v1").alias("schema"), F.struct("artifacts", "jobs", "sources").alias("tables"))).alias("value")).repartition("package").write.partitionBy("package").text(path)
+    found = packages.read_package(b.spark, path)
+    one = lambda name, column: found[name].select(F.lit(name).alias("part"), "id", F.col(column).alias("name"))
+    return one("artifacts", "original_name").unionByName(one("jobs", "status")).unionByName(one("sources", "label"))
 
 
 @query("select cast(id as varchar) as id, event_type, phone_or_address from ev_events")
@@ -130,43 +144,59 @@ def a13_events_csv(b):
     return b.spark.read.option("header", True).csv(path).select("id", "event_type", "phone_or_address")
 
 
-@query("select 'files' as part, count(*) as rows from documents union all select 'issues', count(*) from labels where toxic = 1")
+@query("select 'files' as part, count(*) as rows from documents union all select 'issues', count(*) from labels where toxic = 1 union all select 'coverage', (select count(*) from documents)")
 def a14_scan_manifest(b):
     path = folder(b.spark)
-    packages.write_scan_manifest({"files": b.documents.select("doc_id", "source"), "issues": b.labels.filter("toxic = 1")}, path)
+    listed = b.documents.select(F.col("doc_id").alias("sha256"), F.col("source").alias("folder"))
+    cells = b.lineitem.select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("row"), F.col("l_returnflag").alias("value"))
+    issues = b.labels.filter("toxic = 1")
+    packages.write_scan_manifest({"files": listed, "issues": issues}, path, A.scan_coverage(listed, cells, issues))
     part = lambda name: b.spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("part"), F.count("*").alias("rows"))
-    return part("files").unionByName(part("issues"))
+    return part("files").unionByName(part("issues")).unionByName(b.spark.read.parquet(f"{path}/coverage").select(F.lit("coverage").alias("part"), F.col("files_seen").alias("rows")))
 
 
-@query("select 'jobs' as name, true as present, (select count(*) from ev_jobs) as rows union all select 'artifacts', true, (select count(*) from ev_artifacts) union all select 'tags', false, null")
+@query("""select 'jobs' as name, true as present, (select count(*) from ev_jobs) as rows, true as metadata_only, false as signed, 'tags' as missing union all select 'artifacts', true, (select count(*) from ev_artifacts), true, false, 'tags' union all select 'tags', false, null, true, false, 'tags'""")
 def a15_export_package(b):
     path = folder(b.spark)
     there = packages.export_package({"jobs": b.jobs, "artifacts": b.artifacts}, {"jobs": "id", "artifacts": "id"}, path, ["jobs", "artifacts", "tags"])
-    return there.join(b.spark.read.parquet(f"{path}/digests").select(F.col("table").alias("name"), "rows"), "name", "left")
+    envelope = b.spark.read.parquet(f"{path}/envelope").select("metadata_only", "signed", F.array_join("missing_tables", ",").alias("missing"))
+    return there.join(b.spark.read.parquet(f"{path}/digests").select(F.col("table").alias("name"), "rows"), "name", "left").crossJoin(envelope)  # one row
+
+
+JOB = "id bigint, artifact_id bigint, kind string, status string, priority int"
 
 
-@query("select id, artifact_id, status, priority from ev_jobs")
+@query("select id, artifact_id, kind, status, priority from ev_jobs")
 def a16_archive(b):
     path = folder(b.spark)
     packages.write_archive({"jobs": b.jobs}, {"jobs": "id"}, path)
-    return packages.read_archive(b.spark, path, {"jobs": "id bigint, artifact_id bigint, status string, priority int"})["jobs"]
+    return packages.read_archive(b.spark, path, {"jobs": JOB})["jobs"]
+
+
+@query("select 'jobs' as \"table\", count(*) as rows, true as exact from ev_jobs union all select '*', null, true")
+def a16_archive_is_exact(b):
+    path = folder(b.spark)
+    packages.write_archive({"jobs": b.jobs}, {"jobs": "id"}, path)
+    return packages.verify_archive(b.spark, path, {"jobs": JOB}, {"jobs": "id"})
 
 
-@query("select d.id as anchor_id, a.original_name, d.language from ev_derived_text d join ev_artifacts a on d.artifact_id = a.id")
+@query("select d.id as packet_id, a.original_name, d.language, r.status as run_status from ev_derived_text d join ev_artifacts a on d.artifact_id = a.id join ev_sources s on a.source_id = s.id left join ev_runs r on d.run_id = r.id where d.run_id is null or r.artifact_id = d.artifact_id")
 def a17_citation_packets(b):
     path = folder(b.spark)
-    anchors = b.derived_text.select(F.col("id").alias("anchor_id"), F.col("id").alias("derived_text_id"), "artifact_id")
-    packages.write_citation_packets(J.citation_packets(anchors, b.artifacts, b.derived_text, b.sources, b.observations), path)
-    return b.spark.read.schema("anchor_id bigint, original_name string, language string").json(path)
+    packages.write_citation_packets(registry._packets(b), path)
+    found = packages.read_citation_packets(b.spark, path).filter(F.sha2("payload_json", 256) == F.col("payload_sha256"))
+    of = lambda at, name: F.get_json_object("payload_json", f"$.{at}").alias(name)
+    return found.select("packet_id", of("artifact.original_name", "original_name"), of("version.language", "language"), of("run.status", "run_status"))
 
 
-@query("select n_regionkey as account, 'sms' as event_type, count(*) as events from nation group by 1")
+@query("select user_id % 40 as account, 'sms' as event_type, count(*) as events from events group by 1")
 def k01_stream_ingest(b):
-    """A file of messages a region goes into an inbox; the stream imports it, twice, and each message is there once."""
+    """Files of messages, one an account, go into an inbox; the stream imports them, twice, and each message is there once."""
     path = folder(b.spark)
-    line = F.format_string('<sms date="%d" type="1" address="%d" body="%s"/>', F.col("n_nationkey") * 1000, F.col("n_regionkey"), F.col("n_name"))
-    rows = b.nation.groupBy("n_regionkey").agg(F.concat(F.lit("<smses>"), F.array_join(F.array_sort(F.collect_list(line)), ""), F.lit("</smses>")).alias("value"))
-    rows.repartition("n_regionkey").write.partitionBy("n_regionkey").text(f"{path}/out")
+    rows = b.table("events").withColumn("account", F.col("user_id") % 40)
+    line = F.format_string('<sms date="%d" type="1" address="%d" body="%s"/>', F.col("event_id") * 1000, F.col("account"), F.col("event_type"))
+    rows = rows.groupBy("account", F.floor(F.col("event_id") / 50_000).alias("part")).agg(F.concat(F.lit("<smses>"), F.array_join(F.array_sort(F.collect_list(line)), ""), F.lit("</smses>")).alias("value"))
+    rows.repartition("account", "part").write.partitionBy("account", "part").text(f"{path}/out")
     for _ in range(2):
-        ingest.stream_ingest(b.spark, f"{path}/out/*", f"{path}/events", f"{path}/conflicts", f"{path}/state", "*.txt").awaitTermination()
+        ingest.stream_ingest(b.spark, f"{path}/out/*/*", f"{path}/events", f"{path}/conflicts", f"{path}/state", "*.txt").awaitTermination()
     return b.spark.read.parquet(f"{path}/events").groupBy(F.col("phone_or_address").cast("long").alias("account"), "event_type").agg(F.count("*").alias("events"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import csv
-
+import io
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DELIMITERS = (",", ";", "\t", "|")
-CELLS = "file string, row int, column int, value string, raw_record string, start_line int, encoding string, delimiter string, issue string"
+CELLS = "file string, row int, column int, value string, raw_record string, start_line int, encoding string, delimiter string, complete boolean, issue string"
 
 
 def infer_delimiter(lines: DataFrame, key: str = "file", line: str = "line", delimiters: tuple[str, ...] = DELIMITERS) -> DataFrame:
@@ -31,23 +31,36 @@ def _decode(content: bytes) -> tuple[str, str]:
         return content.decode("cp1250", "replace"), "cp1250"
 
 
-def _delimiter(text: str, name: str) -> tuple[str, int]:
-    """The delimiter and how many lines announce it: a `sep=` line, the ending .tsv, else the commonest in the first line."""
-    first = text.splitlines()[0] if text else ""
-    if first.lower().startswith("sep=") and len(first) == 5:
-        return first[4], 1
+#: Characters that the delimiter is guessed from.
+SNIFFED = 8192
+
+
+def _lines(text: str) -> list[str]:
+    """Physical lines with their ends (CR, LF, CRLF); line and page separators within a cell are text."""
+    return list(io.StringIO(text, newline=""))
+
+
+def _delimiter(text: str, lines: list[str], name: str) -> tuple[str, int]:
+    """The delimiter and how many lines announce it: a `sep=` line, the ending .tsv, what a sniff of the start finds, else the commonest in the first line."""
+    first = lines[0] if lines else ""
+    announced = first.rstrip("\r\n")
+    if announced.lower().startswith("sep=") and len(announced) == 5:
+        return announced[4], 1
     if name.lower().endswith(".tsv"):
         return "\t", 0
-    return max(DELIMITERS, key=first.count) if any(map(first.count, DELIMITERS)) else ",", 0
+    try:
+        return csv.Sniffer().sniff(text[:SNIFFED], "".join(DELIMITERS)).delimiter, 0
+    except csv.Error:
+        return max(DELIMITERS, key=first.count) if any(map(first.count, DELIMITERS)) else ",", 0
 
 
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["file", "row", "column", "value", "raw_record", "start_line", "encoding", "delimiter", "issue"]
+    names = ["file", "row", "column", "value", "raw_record", "start_line", "encoding", "delimiter", "complete", "issue"]
     for b in batches:
         for path, content in zip(b.path, b.content, strict=True):
             text, encoding = _decode(content)
-            delimiter, skip = _delimiter(text, path)
-            lines = text.splitlines(keepends=True)
+            lines = _lines(text)
+            delimiter, skip = _delimiter(text, lines, path)
             reader = csv.reader(lines[skip:], delimiter=delimiter, strict=True)
             issue = "encoding_fallback_cp1250" if encoding == "cp1250" else None
             out, row, at = [], 0, skip
@@ -55,19 +68,20 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for record in reader:
                     end = skip + reader.line_num
                     raw = "".join(lines[at:end])
-                    out += [(path, row, i, value, raw if i == 0 else None, at + 1, encoding, delimiter, issue if row == 0 and i == 0 else None) for i, value in enumerate(record)]
+                    out += [(path, row, i, value, raw if i == 0 else None, at + 1, encoding, delimiter, True, issue if row == 0 and i == 0 else None) for i, value in enumerate(record)]
                     row, at = row + 1, end
                     if len(out) >= 5000:
                         yield pd.DataFrame(out, columns=names)
                         out = []
             except csv.Error as bad:
-                out.append((path, row, None, None, "".join(lines[at:])[:4096], at + 1, encoding, delimiter, f"malformed_record: {bad}"))
+                out.append((path, row, None, None, "".join(lines[at:]), at + 1, encoding, delimiter, False, f"malformed_record: {bad}"))
             if out:
                 yield pd.DataFrame(out, columns=names)
 
 
 def delimited_cells(files: DataFrame) -> DataFrame:
-    """A row for each cell of files (path, content); a record's text stands with its first cell; what can't be read is an issue with the fragment."""
+    """A row for each cell of files (path, content); a record's text stands with its first cell; what can't be read is an issue with
+    the whole rest of the file, complete being false."""
     return files.select("path", "content").mapInPandas(_cells, CELLS)
 
 

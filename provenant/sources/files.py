@@ -10,10 +10,13 @@ from provenant.sources.messages import BINARY
 
 
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """file_id, path, name, ext, size, mtime, kind of every file below `root`; contents are not read."""
+    """file_id, path (relative to `root`), name, ext, size, mtime, kind of every file below `root`; contents are not read."""
     files = spark.read.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(root).select("path", "modificationTime", "length")
-    relative = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
-    return files.select(F.sha2(F.to_json(F.array(F.lit(root), relative)), 256).alias("file_id"), "path", basename(F.col("path")).alias("name"), extension(F.col("path")).alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), file_kind(F.col("path")).alias("kind"))
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().getPath().rstrip("/") + "/"
+    plain = F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?/*", "/")
+    relative = F.when(plain.startswith(base), F.substring(plain, len(base) + 1, 2**31 - 1)).otherwise(plain)
+    return files.select(F.sha2(F.to_json(F.array(F.lit(root), relative)), 256).alias("file_id"), relative.alias("path"), basename(F.col("path")).alias("name"), extension(F.col("path")).alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), file_kind(F.col("path")).alias("kind"))
 
 
 def content_digest(spark: SparkSession, root: str, max_bytes: int) -> DataFrame:

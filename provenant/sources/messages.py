@@ -70,7 +70,7 @@ def read_sms_backup(spark: SparkSession, path: str) -> DataFrame:
     return parse_sms_files(read_files(spark, path, "*.xml"))
 
 
-#: Line ends and white space as the exporting apps use them.
+#: Line ends, white space and line heads as the exporting apps write them.
 LINE_ENDS = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 HEADER = r"^[\x{200e}\x{200f}]*(\[)?(\d{1,2}[./-]\d{1,2}[./-]\d{2,4}),?[\s\x{202f}\x{a0}]+(\d{1,2}:\d{2}(?::\d{2})?)(?:[\s\x{202f}\x{a0}]*([aApP]\.?[mM]\.?))?[\x{200e}\x{200f}]*(\])?\s*([-–])?\s*(.*)$"
 MESSAGE = r"^([^:]{1,120}):\s(.*)$"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,133 +17,133 @@ SCHEMA = "file string, status string, riff_declared_bytes bigint, " + ", ".join(
 WIDTHS = {1: (8, 16, 24, 32), 3: (32, 64)}
 
 
-class _Declared:
-    """A walk over the chunks of one prefix, with what it found wrong."""
-
-    def __init__(self, prefix: bytes, size: int | None, whole: bool):
-        self.data, self.size, self.whole = prefix[:PREFIX], size, whole and len(prefix) <= PREFIX
-        self.values: dict[str, int] = {}
-        self.issues: list[str] = ["prefix_limit"] if len(prefix) > PREFIX else []
-        self.faults: set[str] = set()
-        self.chunks: set[bytes] = set()
-
-    def note(self, code: str, fault: str | None = None) -> None:
-        if code not in self.issues:
-            self.issues.append(code)
-        if fault:
-            self.faults.add(fault)
-
-    def cut(self) -> None:
-        """Something lies beyond the bytes at hand."""
-        self.note("truncated_header", "malformed") if self.whole else self.note("header_prefix_incomplete", "partial")
-
-    def walk(self) -> None:
-        data = self.data
-        if len(data) < 12:
-            return self.cut()
-        riff, body, form = struct.unpack_from("<4sI4s", data)
-        if riff != b"RIFF":
-            return self.note("unsupported_container", "unsupported")
-        if form != b"WAVE":
-            return self.note("unsupported_wave_type", "unsupported")
-        extent = self.values["riff_declared_bytes"] = body + 8
-        if extent < 12:
-            return self.note("invalid_riff_extent", "malformed")
-        if self.size is not None and self.size != extent:
-            self.note("provider_size_mismatch", "size_mismatch")
-        if self.whole and len(data) != extent:
-            self.note("truncated_or_trailing_container", "malformed")
-        if len(data) > extent:
-            self.note("trailing_bytes", "malformed")
-        at = self._chunks(extent)
-        if not {b"fmt ", b"data"} <= self.chunks:
-            self.note("missing_required_chunk", "malformed") if at >= extent or self.whole else self.note("required_header_unobserved", "partial")
-        return self.note("audio_body_not_validated")
-
-    def _chunks(self, extent: int) -> int:
-        at = 12
-        while at < extent:
-            if extent - at < 8:
-                self.note("truncated_chunk_header", "malformed")
-                break
-            if at + 8 > len(self.data):
-                self.cut()
-                break
-            name, size = struct.unpack_from("<4sI", self.data, at)
-            after = at + 8 + size + size % 2
-            if after > extent:
-                self.note("chunk_extent_outside_riff", "malformed")
-                break
-            if name == b"fmt " and not self._format(at, size):
-                break
-            if name == b"data":
-                self._body(size)
-            if after > len(self.data):
-                if self.whole:
-                    self.note("truncated_chunk_payload", "malformed")
-                elif name == b"data":
-                    self.note("data_body_uninspected")
-                    if after < extent:
-                        self.note("trailing_chunks_uninspected")
-                else:
-                    self.note("header_prefix_incomplete", "partial")
-                break
-            at = after
-        return at
-
-    def _format(self, at: int, size: int) -> bool:
-        """False where the fields are out of reach."""
-        if b"fmt " in self.chunks:
-            self.note("duplicate_fmt", "malformed")
-            return True
-        self.chunks.add(b"fmt ")
-        if size < 16:
-            self.note("invalid_fmt_size", "malformed")
-            return True
-        if at + 24 > len(self.data):
-            self.cut()
-            return False
-        code, channels, rate, byte_rate, align, bits = struct.unpack_from("<HHIIHH", self.data, at + 8)
-        self.values |= dict(zip(FIELDS, (code, channels, rate, byte_rate, align, bits), strict=False))
-        if code not in WIDTHS:
-            self.note("unsupported_format", "unsupported")
-        elif bits not in WIDTHS[code]:
-            self.note("unsupported_sample_width", "unsupported")
-        if size not in (16, 18):
-            self.note("unsupported_fmt_extension", "unsupported")
-        if size == 18:
-            if at + 26 > len(self.data):
-                self.cut()
-                return False
-            if struct.unpack_from("<H", self.data, at + 24)[0]:
-                self.note("unsupported_fmt_extension", "unsupported")
-        if not (channels and rate and byte_rate and align and bits) or bits % 8 or align != channels * bits // 8 or byte_rate != rate * align:
-            self.note("invalid_format_geometry", "malformed")
-        return True
-
-    def _body(self, size: int) -> None:
-        if b"data" in self.chunks:
-            self.note("duplicate_data", "malformed")
-        else:
-            self.values["data_declared_bytes"] = size
-        if b"fmt " not in self.chunks:
-            self.note("data_before_fmt", "malformed")
-        self.chunks.add(b"data")
-        if (align := self.values.get("block_align_bytes")) and size % align:
-            self.note("unaligned_data_size", "malformed")
-
-    def result(self) -> tuple:
-        self.walk()
-        v = self.values
-        known = not self.faults and {"format_code", "data_declared_bytes"} <= v.keys() and v.get("byte_rate")
-        status = next((f for f in ("malformed", "unsupported", "size_mismatch") if f in self.faults), "observed" if known else "partial")
-        seconds = v["data_declared_bytes"] / v["byte_rate"] if known else None
-        return status, v.get("riff_declared_bytes"), *(v.get(f) for f in FIELDS), seconds, self.issues
+class Chunk(NamedTuple):
+    """One entry of the table of chunks; `body` is as much of it as lies in the prefix."""
+
+    name: bytes
+    at: int
+    size: int
+    body: bytes
+
+    @property
+    def end(self) -> int:
+        """Where the next chunk begins: bodies of odd size are padded."""
+        return self.at + 8 + self.size + self.size % 2
+
+
+class Layout(NamedTuple):
+    """What lies where in a RIFF prefix: its chunks, and what ended the table (None where it reaches the extent)."""
+
+    extent: int
+    chunks: list[Chunk]
+    stopped: str | None
+
+
+def layout(data: bytes) -> Layout:
+    """The table of chunks, as far as the prefix shows it; nothing is judged here."""
+    extent = struct.unpack_from("<I", data, 4)[0] + 8
+    chunks: list[Chunk] = []
+    at = 12
+    while at < extent:
+        if extent - at < 8 or at + 8 > len(data):
+            return Layout(extent, chunks, "no room" if extent - at < 8 else "out of sight")
+        name, size = struct.unpack_from("<4sI", data, at)
+        chunk = Chunk(name, at, size, data[at + 8 : at + 8 + size])
+        if chunk.end > extent:
+            return Layout(extent, chunks, "too large")
+        chunks.append(chunk)
+        if chunk.end > len(data):
+            return Layout(extent, chunks, "cut")
+        at = chunk.end
+    return Layout(extent, chunks, None)
+
+
+def _reach(found: Layout) -> list[Chunk]:
+    """Chunks up to a format whose fields lie outside the prefix: nothing after it can be read in its light."""
+    for i, c in enumerate(found.chunks):
+        if c.name == b"fmt " and c.size >= 16 and len(c.body) < min(c.size, 18):
+            return found.chunks[: i + 1] if len(c.body) < 16 or c.size == 18 else found.chunks
+    return found.chunks
+
+
+def _fields(chunk: Chunk) -> dict[str, int]:
+    return dict(zip(FIELDS, struct.unpack_from("<HHIIHH", chunk.body), strict=False)) if len(chunk.body) >= 16 else {}
+
+
+#: What each issue makes of the file; others only inform. Of several the first kind in KINDS counts.
+KINDS = ("malformed", "unsupported", "size_mismatch", "partial")
+WEIGHT = {
+    "malformed": "truncated_header invalid_riff_extent truncated_or_trailing_container trailing_bytes truncated_chunk_header chunk_extent_outside_riff duplicate_fmt invalid_fmt_size invalid_format_geometry duplicate_data data_before_fmt unaligned_data_size truncated_chunk_payload missing_required_chunk".split(),
+    "unsupported": "unsupported_container unsupported_wave_type unsupported_format unsupported_fmt_extension unsupported_sample_width".split(),
+    "size_mismatch": ["provider_size_mismatch"],
+    "partial": "header_prefix_incomplete required_header_unobserved".split(),
+}
+
+
+def _format_rules(chunk: Chunk, fields: dict[str, int]) -> dict[str, bool]:
+    """Rules on the format chunk alone."""
+    if not fields:
+        return {"invalid_fmt_size": chunk.size < 16}
+    code, bits, align = fields["format_code"], fields["bits_per_sample"], fields["block_align_bytes"]
+    frame = fields["channels"] * bits // 8
+    return {
+        "unsupported_format": code not in WIDTHS,
+        "unsupported_sample_width": code in WIDTHS and bits not in WIDTHS[code],
+        "unsupported_fmt_extension": chunk.size not in (16, 18) or chunk.size == 18 and any(chunk.body[16:18]),
+        "invalid_format_geometry": not all(fields.values()) or bits % 8 != 0 or align != frame or fields["byte_rate"] != fields["sample_rate_hz"] * align,
+    }
 
 
 def probe(prefix: bytes, size: int | None = None, whole: bool = False) -> tuple:
-    """status, declared extent, FIELDS, seconds, issue codes."""
-    return _Declared(prefix, size, whole).result()
+    """status, declared extent, FIELDS, seconds, issue codes. `whole`: the prefix is all of the file; `size`: what its keeper says it has."""
+    data, whole = prefix[:PREFIX], whole and len(prefix) <= PREFIX
+    beyond = "truncated_header" if whole else "header_prefix_incomplete"  # what is missing at the end of the bytes at hand
+    issues = {"prefix_limit": len(prefix) > PREFIX}
+    fields: dict[str, int] = {}
+    extent = None
+    if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        issues |= {beyond: len(data) < 12, "unsupported_container": len(data) >= 12 and data[:4] != b"RIFF", "unsupported_wave_type": len(data) >= 12 and data[:4] == b"RIFF"}
+    else:
+        found = layout(data)
+        extent = found.extent
+        issues |= {"invalid_riff_extent": extent < 12}
+        if extent >= 12:
+            seen = _reach(found)
+            unread = len(seen) < len(found.chunks) or bool(seen) and seen[-1].name == b"fmt " and len(seen[-1].body) < min(seen[-1].size, 18 if seen[-1].size == 18 else 16) and seen[-1].size >= 16
+            formats, bodies = ([c for c in seen if c.name == name] for name in (b"fmt ", b"data"))
+            fields = _fields(formats[0]) if formats and formats[0].size >= 16 else {}
+            if bodies:
+                fields["data_declared_bytes"] = bodies[0].size
+            align = fields.get("block_align_bytes")
+            judged = [c for c in bodies if formats and formats[0].at < c.at]
+            last = seen[-1] if seen else None
+            cut = found.stopped == "cut" and not unread and last is not None
+            issues |= {
+                "provider_size_mismatch": size is not None and size != extent,
+                "truncated_or_trailing_container": whole and len(data) != extent,
+                "trailing_bytes": len(data) > extent,
+                **(_format_rules(formats[0], _fields(formats[0])) if formats else {}),
+                "duplicate_fmt": len(formats) > 1,
+                "duplicate_data": len(bodies) > 1,
+                "data_before_fmt": len(judged) < len(bodies),
+                "unaligned_data_size": bool(align) and any(c.size % align for c in judged),
+                "truncated_chunk_header": found.stopped == "no room" and not unread,
+                "chunk_extent_outside_riff": found.stopped == "too large" and not unread,
+                "truncated_chunk_payload": cut and whole,
+                "data_body_uninspected": cut and not whole and last.name == b"data",
+                "trailing_chunks_uninspected": cut and not whole and last.name == b"data" and last.end < extent,
+            }
+            out_of_sight = unread or found.stopped == "out of sight"
+            issues[beyond] = out_of_sight or issues.get(beyond, False)
+            issues["header_prefix_incomplete"] = issues.get("header_prefix_incomplete", False) or cut and not whole and last.name != b"data"
+            lacking = not (formats and bodies)
+            ended = found.stopped is None or whole
+            issues |= {"missing_required_chunk": lacking and ended, "required_header_unobserved": lacking and not ended, "audio_body_not_validated": True}
+    codes = [code for code, holds in issues.items() if holds]
+    worst = next((kind for kind in KINDS if any(code in WEIGHT[kind] for code in codes)), None)
+    known = worst is None and "format_code" in fields and "data_declared_bytes" in fields and fields.get("byte_rate")
+    seconds = fields["data_declared_bytes"] / fields["byte_rate"] if known else None
+    return worst or ("observed" if known else "partial"), extent, *(fields.get(f) for f in FIELDS), seconds, codes
 
 
 def wav_headers(files: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,16 +19,20 @@ def stream_ingest(spark: SparkSession, inbox: str, events_path: str, conflicts_p
     columns = ["event_type", "ts_start", "ts_end", "direction", "contact_label", "phone_or_address", "body"]
 
     def each(batch: DataFrame, number: int) -> None:
-        new = parse_sms_files(batch).withColumn("artifact_id", F.xxhash64("file")).withColumn("source_id", F.xxhash64("file")).drop("issues")
-        new = new.dropDuplicates(["artifact_id", "source_id", "event_type", "external_id"])
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(events_path)
-        if jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
-            known = spark.read.parquet(events_path)
-        else:
-            known = new.limit(0).withColumn("id", F.lit(None).cast("bigint"))
-        found = upsert_events(new, known, columns).persist()
-        found.filter("outcome = 'conflict'").withColumn("batch", F.lit(number)).write.mode("append").parquet(conflicts_path)
-        found.filter("outcome = 'inserted'").drop("outcome", "known_id").withColumn("id", F.xxhash64("artifact_id", "external_id")).write.mode("append").parquet(events_path)
-        found.unpersist()
+        # elements of no known type have no id of their own: they are issues of the export, not events
+        new = parse_sms_files(batch).filter("external_id is not null").withColumn("artifact_id", F.xxhash64("file")).withColumn("source_id", F.xxhash64("file")).drop("issues")
+        # of one key within the batch the first row leads; the others meet it as they meet what is known: equal, or in conflict
+        own = Window.partitionBy("artifact_id", "source_id", "event_type", "external_id").orderBy("file", "row", F.xxhash64(*columns))
+        new = new.withColumn("place", F.row_number().over(own)).persist()
+        first, later = new.filter("place = 1").drop("place"), new.filter("place > 1").drop("place")
+        path = spark._jvm.org.apache.hadoop.fs.Path(events_path)
+        known = spark.read.parquet(events_path) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else first.limit(0).withColumn("id", F.lit(None).cast("bigint"))
+        met = upsert_events(first, known, columns).persist()
+        added = met.filter("outcome = 'inserted'").drop("outcome", "known_id").withColumn("id", F.xxhash64("artifact_id", "external_id"))
+        again = upsert_events(later, known.unionByName(added), columns)
+        met.unionByName(again).filter("outcome = 'conflict'").withColumn("batch", F.lit(number)).write.mode("append").parquet(conflicts_path)
+        added.write.mode("append").parquet(events_path)
+        met.unpersist()
+        new.unpersist()
 
     return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
