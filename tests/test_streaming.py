@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from provenant.streaming import ingest, leases
 
 SMS = '<smses><sms date="1700000000000" address="1" type="1" body="{}"/><sms date="1700000000001" address="2" type="2" body="b"/></smses>'
@@ -43,3 +45,15 @@ def test_ingest_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(out).count() == 4  # another file is another source
     ingest.stream_ingest(spark, inbox, out, odd, str(tmp_path / "fresh")).awaitTermination(120)
     assert spark.read.parquet(out).count() == 4 and spark.read.parquet(odd).count() == 0
+
+
+def test_one_key_with_two_payloads_in_a_batch_is_a_conflict(spark, tmp_path, monkeypatch):
+    inbox, out, odd, state = (str(tmp_path / x) for x in ("inbox", "events", "conflicts", "state"))
+    (tmp_path / "inbox").mkdir()
+    (tmp_path / "inbox" / "a.xml").write_text(SMS.format("a"))
+    real = ingest.parse_sms_files
+    # the batch holds each row twice, and the second row a third time with another body
+    monkeypatch.setattr(ingest, "parse_sms_files", lambda files: (one := real(files)).unionByName(one).unionByName(one.filter("row = 2").withColumn("body", F.lit("other"))))
+    ingest.stream_ingest(spark, inbox, out, odd, state).awaitTermination(120)
+    assert sorted(r.row for r in spark.read.parquet(out).collect()) == [1, 2] and [r.row for r in spark.read.parquet(odd).collect()].count(2) >= 1
+    assert {r.row for r in spark.read.parquet(odd).collect()} == {2}
