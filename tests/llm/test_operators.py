@@ -658,6 +658,11 @@ def test_top_k_cells_are_bounded(spark):
     assert sorted(map(tuple, topk.search(vectors, vectors, block=8, chunk=16, group=100).collect())) == want
 
 
+def plain_dice(a, b):
+    x, y = licenses.plain_bigrams(a), licenses.plain_bigrams(b)
+    return 2 * len(x & y) / (len(x) + len(y))
+
+
 def test_licenses(spark, odd):
     mit = licenses.TEMPLATES["MIT"]
     rows = [(1, "intro\nReleased under the MIT License.\nend", "x"), (2, mit.upper().replace(" ", "\n", 3), "x"), (3, "x\n\n" + mit.replace("conditions:", "conditions:\n") + "\n\ny", "x"), (4, "Licensed under CC BY 4.0.", "x"), (5, None, "x"), (6, "", "x"), (7, "nothing of that kind here", "x"), (1, "plain", "x")]
@@ -666,6 +671,34 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == len(ODD) and licenses.scan(odd.limit(0)).count() == 0
 
 
+def test_whole_licences_within_longer_texts(spark):
+    prose = "The quick words of this page speak of rivers and of the hills behind them. Nobody wrote them down before. " * 12
+    wrapped = lambda text: "\n".join(" ".join(line) for p in text.split("\n\n") for line in [*(p.split()[i : i + 11] for i in range(0, len(p.split()), 11)), []])
+    texts = licenses._whole_texts()
+    rows = [(i, prose + "\n\nCopyright 2020 A B\n\n" + (wrapped(t) if i % 2 else t) + "\n\n" + prose, name) for i, (name, t) in enumerate(sorted(texts.items()))]
+    header = licenses.TEMPLATES["Apache-2.0-header"].replace("License. You", "License.\n\nYou").replace("2.0 Unless", "2.0\n\nUnless")
+    rows += [(100, prose + "\n" + header + "\n" + prose, "Apache-2.0-header"), (101, "Our page. This project is licensed under the MIT License. More of our page here.", "MIT-licensed"), (102, prose, None)]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")).collect()}
+    for i, _, name in rows:
+        assert (found[i].licence is None) if name is None else name in found[i].licences.split(","), name
+    assert len(texts) >= 12
+
+
+def test_key_words_lose_no_match():
+    words = set(licenses.key_words(licenses.TEMPLATES, 0.8))
+    random = np.random.default_rng(3)
+    for name, text in licenses.TEMPLATES.items():
+        grams = licenses.plain_bigrams(text)
+        # whatever unit reaches the threshold has more of the template's bigrams than are without a key word
+        bare = [g for g in grams if not words & set(g.split())]
+        assert len(bare) < 0.4 * (1 + 0.8 / 1.2) * len(grams), name
+        spoiled = text.split()
+        for at in random.integers(0, len(spoiled), max(1, len(spoiled) // 40)):
+            spoiled[at] = "zzz"
+        if plain_dice(text, " ".join(spoiled)) >= 0.8:
+            assert words & set(re.sub("[^a-z0-9]+", " ", " ".join(spoiled).lower()).split())
+
+
 @pytest.mark.parametrize("name", ["op4_secret_ledger", "op9_top_k", "op10_licenses"])
 def test_against_sql(spark, name):
     from compare import connection, rows_of, rows_of_sql
