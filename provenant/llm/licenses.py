@@ -61,9 +61,9 @@ def bigrams(words: str) -> Column:
 
 
 def _template_table(docs: DataFrame, templates: dict[str, str]) -> DataFrame:
-    rows = docs.sparkSession.createDataFrame(sorted(templates.items()), "licence string, body string")
-    rows = rows.select("licence", F.split(normalised(F.col("body")), " ").alias("words"))
-    return rows.select("licence", bigrams("words").alias("grams")).select("licence", F.size("grams").alias("size"), "grams")
+    """licence, size, grams: worked out once here, a row a template, as the key words are."""
+    rows = [(name, len(grams := plain_bigrams(text)), sorted(grams)) for name, text in sorted(templates.items())]
+    return docs.sparkSession.createDataFrame(rows, "licence string, size int, grams array<string>")
 
 
 def bounds(size: int, threshold: float) -> tuple[float, float]:
