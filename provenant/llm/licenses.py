@@ -20,6 +20,8 @@ from importlib.resources import files
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provenant.llm.common import written
+
 #: Notices as their licences word them. The whole licences are files in `licence_texts`.
 NOTICES = {
     "MIT-notice": "Released under the MIT License.",
@@ -95,15 +97,27 @@ def key_words(templates: dict[str, str], threshold: float) -> list[str]:
     return sorted(found)
 
 
+def any_of(words: list[str]) -> str:
+    """A pattern of all words that tries each letter once: a plain list of some hundred words is tried word by word at each place of a text."""
+    tails: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            tails.setdefault(w[0], []).append(w[1:])
+    inner = "|".join(head + any_of(rest) for head, rest in sorted(tails.items()))
+    if not inner or len(tails) == 1 and "" not in words:
+        return inner
+    return f"(?:{inner})" + ("?" if "" in words else "")
+
+
 def _sentences(text: str) -> Column:
     return F.split(F.regexp_replace(text, r"([.!?])[ \t\n\r\f]+", "$1\n"), "\n")
 
 
 def _once(docs: DataFrame, templates: dict[str, str], threshold: float, key: str, text: str) -> DataFrame:
     """doc_id, text_hash, text of each different row that has a key word."""
-    word = f"(?<![a-z0-9])(?:{'|'.join(key_words(templates, threshold))})(?![a-z0-9])"
+    word = f"(?<![a-z0-9])(?:{any_of(key_words(templates, threshold))})(?![a-z0-9])"
     rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return rows.filter(F.lower("text").rlike(word)).dropDuplicates(["doc_id", "text_hash"])
+    return written(rows.filter(F.lower("text").rlike(word)).dropDuplicates(["doc_id", "text_hash"]), "licence-texts")  # read three times below
 
 
 def _runs(docs: DataFrame, known: DataFrame) -> DataFrame:

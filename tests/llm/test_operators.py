@@ -684,6 +684,13 @@ def test_whole_licences_within_longer_texts(spark):
     assert len(texts) >= 12
 
 
+def test_pattern_of_words():
+    words = licenses.key_words(licenses.TEMPLATES, 0.8)
+    found = re.compile(licenses.any_of(words))
+    assert all(found.fullmatch(w) for w in words) and not any(found.fullmatch(w + x) for w in words for x in ("q", "zz") if w + x not in words)
+    assert not any(found.fullmatch(w[:-1]) for w in words if w[:-1] not in words)
+
+
 def test_key_words_lose_no_match():
     words = set(licenses.key_words(licenses.TEMPLATES, 0.8))
     random = np.random.default_rng(3)
