@@ -31,6 +31,13 @@ def held(name: tuple, make: Callable[[], object]) -> object:
     return _held[name]
 
 
+def let_go() -> None:
+    """Frees what this Python worker holds from an earlier operator; for those that hold nothing of their own."""
+    if _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenant.llm.common import TEXT_ROWS_PER_BATCH, discard, few, written
+from provenant.llm.common import TEXT_ROWS_PER_BATCH, discard, few, let_go, written
 from provenant.llm.components import components
 from provenant.llm.shingles import mix64, shingle_set
 
@@ -67,6 +67,7 @@ def described(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     cut = (1 << COUNT_BITS) // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         counts, seen = np.zeros(1 << COUNT_BITS, np.int32), set()
         ints = pa.int64()
         for batch in batches:
@@ -129,6 +130,7 @@ def postings(docs: DataFrame, text: str, counts, width: int, percent: int, list_
     """shingle, digest, n, place, deals: the prefix of each distinct set of a partition, rarest shingles first; deals is in how many parts the shingle's list is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         table, seen = counts.value, set()
         room = max(list_rows, 8 * float(table.mean()))
         for batch in batches:
@@ -171,6 +173,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text:
     """a, b (digests): the pairs whose whole sets reach the threshold. Only texts that some pair names travel, compressed: half as much as their sets."""
 
     def pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         press, seen = zstandard.ZstdCompressor(level=1), set()
         for b in batches:
             keep = [not (d in seen or seen.add(d)) for d in b.column(0).to_pylist()]
@@ -178,6 +181,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress((t or "").encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["digest", "body"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         expand = zstandard.ZstdDecompressor()
 
         @lru_cache(64)  # one text is in many pairs that come together

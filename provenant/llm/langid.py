@@ -34,7 +34,9 @@ CHAIN = 64
 SPLICED = 0.2
 #: Words of each text in one block of the recursions, and words of a group of texts that go through them together.
 BLOCK = 1024
-GROUP_WORDS = 400_000
+GROUP_WORDS = 100_000
+#: Words whose features are worked out together.
+LEARN_WORDS = 10_000
 TABLE_BITS = 16
 EPOCHS = 3
 WORD_CACHE = 200_000
@@ -186,13 +188,15 @@ class _Scores(dict):
             self.clear()
             self.rows = self.rows[:0]
         new = [t for t in dict.fromkeys(tokens) if t not in self]
-        words = [letters(t) for t in new]
-        owner, cell = cells(words) if new else (np.zeros(0, int), np.zeros(0, int))
-        weights = self.model.weights
-        some = np.fromiter((bool(w) for w in words), bool, len(words))
-        rows = np.stack([np.bincount(owner, weights[cell, c], len(new)) * some for c in range(weights.shape[1])] + [some], 1)
+        weights, tables = self.model.weights, [self.rows]
+        for at in range(0, len(new), LEARN_WORDS):
+            words = [letters(t) for t in new[at : at + LEARN_WORDS]]
+            owner, cell = cells(words)
+            some = np.fromiter((bool(w) for w in words), bool, len(words))
+            rows = [np.bincount(owner, weights[cell, c], len(words)) * some for c in range(weights.shape[1])]
+            tables.append(np.stack([*rows, some], 1).astype(np.float32))
         self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
-        self.rows = np.concatenate([self.rows, rows.astype(np.float32)])
+        self.rows = np.concatenate(tables)
 
 
 def _groups(texts: list[str | None]) -> Iterator[tuple[list[int], list[list[str]]]]:
