@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.llm import bpe, fingerprint, html_text, jaccard, langid, licenses, mixing, secrets, topk, warc
+from provenant.llm import bpe, chat, fingerprint, html_text, jaccard, langid, licenses, mixing, secrets, topk, warc
 from provenant.llm.common import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -74,13 +74,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that speaks in control strings: as logs, folded, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    two = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.element_at(F.array(F.lit("user"), F.lit("assistant")), F.col("id").cast("int") + 1).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    rows = rows.unionByName(two)
+    return chat.digests(chat.read_back(chat.render(chat.fold(chat.as_log(rows)))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_byte_bpe, op2_html_text, op3_source_mix, op4_secret_ledger, op5_fingerprint, op6_warc, op7_language, op8_jaccard, op9_top_k, op10_licenses]
+    own = [op1_byte_bpe, op2_html_text, op3_source_mix, op4_secret_ledger, op5_fingerprint, op6_warc, op7_language, op8_jaccard, op9_top_k, op10_licenses, op12_chat_format]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_ledger": secrets.oracle_sql(), "op9_top_k": TOP_K_SQL, "op10_licenses": licenses.oracle_sql()}
+    return {"op4_secret_ledger": secrets.oracle_sql(), "op9_top_k": TOP_K_SQL, "op10_licenses": licenses.oracle_sql(), "op12_chat_format": chat.oracle_sql()}
 
 
 TOP_K_SQL = """
