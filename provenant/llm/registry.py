@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.llm import bpe, chat, fingerprint, html_text, jaccard, langid, licenses, mixing, secrets, topk, warc
+from provenant.llm import bpe, chat, fingerprint, html_text, jaccard, langid, licenses, mixing, runs, secrets, topk, warc
 from provenant.llm.common import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -74,6 +74,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every text, every tenth of which repeats itself from some word on."""
+    return runs.digests(runs.find_runs(runs.spliced(table(spark, sf_dir, "documents"))))
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that speaks in control strings: as logs, folded, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -83,7 +88,7 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_byte_bpe, op2_html_text, op3_source_mix, op4_secret_ledger, op5_fingerprint, op6_warc, op7_language, op8_jaccard, op9_top_k, op10_licenses, op12_chat_format]
+    own = [op1_byte_bpe, op2_html_text, op3_source_mix, op4_secret_ledger, op5_fingerprint, op6_warc, op7_language, op8_jaccard, op9_top_k, op10_licenses, op11_runs, op12_chat_format]
     return {f.__name__: f for f in own}
 
 
