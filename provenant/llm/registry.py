@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.llm import bpe, chat, fingerprint, html_text, jaccard, langid, licenses, mixing, runs, secrets, topk, warc
+from provenant.llm import alignment, bpe, chat, fingerprint, html_text, jaccard, langid, licenses, mixing, runs, secrets, topk, warc
 from provenant.llm.common import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
+BYTE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +88,13 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.render(chat.fold(chat.as_log(rows)))))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two vocabularies, aligned in every text, and what the corpus says of their links."""
+    return alignment.digests(alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_FILE), public_tokenizers.path(PIECE_FILE)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_byte_bpe, op2_html_text, op3_source_mix, op4_secret_ledger, op5_fingerprint, op6_warc, op7_language, op8_jaccard, op9_top_k, op10_licenses, op11_runs, op12_chat_format]
+    own = [op1_byte_bpe, op2_html_text, op3_source_mix, op4_secret_ledger, op5_fingerprint, op6_warc, op7_language, op8_jaccard, op9_top_k, op10_licenses, op11_runs, op12_chat_format, op13_alignment]
     return {f.__name__: f for f in own}
 
 
