@@ -6,9 +6,9 @@ neighbours, so that a word is read in the light of its context and a switch of l
 marginals; a text's label is the one with most expected words, its score that share. The recursions go over whole texts in blocks of BLOCK words, which carry the forward sums on; only
 the sums at the borders of blocks are kept, so a very long text needs little memory.
 
-The model is fitted on a bounded sample: about SAMPLE different labelled texts a language, drawn by hash, whole, in pieces of CHAIN words. A share of the pieces is spliced with pieces of other languages,
-so that transitions are learned on text that switches.
-What decides is counted over all documents: the languages, all of which are learned, and how many rows each has.
+The model is fitted on a bounded sample: of each language the first SAMPLE different labelled texts in the order of a hash, all if they are fewer, whole, up to the one that fills SAMPLE_WORDS words, in pieces of CHAIN words.
+A share of the pieces is spliced with pieces of other languages, so that transitions are learned on text that switches.
+What decides is counted over all documents: the languages, all of which are learned that have a text with a letter, and how many different texts each has; copies of a text count once.
 The model and its fitting grow with the number of languages, not with the documents.
 All words of each text are labelled. Null texts and texts without a letter are `und` with score 0. Without any labelled row all texts are `und`.
 Repeated rows are labelled alike; other columns are not read.
@@ -22,13 +22,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenant.llm.common import TEXT_ROWS_PER_BATCH, held
 
-#: Texts of each language that the model is fitted on, at most about.
+#: Texts of each language that the model is fitted on, at most, and words that they have together before the last one is taken.
 SAMPLE = 300
+SAMPLE_WORDS = 500_000
 #: Words of a piece of training text, and the share of pieces that are spliced.
 CHAIN = 64
 SPLICED = 0.2
@@ -317,15 +318,16 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learns every label of the labelled rows of `docs` that are not held out. The driver gets about `sample` different texts a language at most, whole."""
-    labelled = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(label).alias("label"))
-    counts = labelled.groupBy("label").agg(F.count("*").alias("n")).collect()  # a row a language
-    if not counts:
-        return fit([], [])
-    shares = docs.sparkSession.createDataFrame([(r["label"], min(1.0, sample / r["n"])) for r in counts], "label string, share double")
-    # drawn by text, so that copies, rows without a key and rows that share one can't bring more than their text; a label's draw is as likely as its rows are many
-    draw = F.shiftrightunsigned(F.xxhash64("text", F.lit(7)), 11) / F.lit(float(1 << 53))
-    drawn = labelled.join(F.broadcast(shares), "label").filter(draw < F.col("share")).groupBy("label", F.xxhash64("text").alias("name")).agg(F.first("text").alias("text"))
+    """Learns every label of the labelled rows of `docs` that are not held out. The driver gets `sample` different texts a language at most, whole, and no more once they have SAMPLE_WORDS words."""
+    labelled = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(text).alias("text"), F.col(label).alias("label"), F.xxhash64(F.col(text), F.lit(7)).alias("name"))
+    # texts are many or few, whatever number of rows repeats them; of many about the first 4 * sample by hash go on, so that at least `sample` are left if the estimate is off
+    texts = labelled.groupBy("label").agg(F.approx_count_distinct("name").alias("texts"))  # a row a language
+    place = F.shiftrightunsigned("name", 11) / F.lit(float(1 << 53))
+    near = labelled.join(F.broadcast(texts), "label").filter(place < F.lit(4.0 * sample) / F.col("texts")).groupBy("label", "name").agg(F.min("text").alias("text"))
+    first = Window.partitionBy("label").orderBy(F.shiftrightunsigned("name", 11), "name")  # over some 4 * sample texts
+    size = F.size(F.split("text", r"\s+"))
+    ranked = near.withColumn("place", F.row_number().over(first)).withColumn("before", F.sum(size).over(first) - size)
+    drawn = ranked.filter((F.col("place") <= sample) & (F.col("before") < SAMPLE_WORDS))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

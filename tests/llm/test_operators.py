@@ -506,6 +506,27 @@ def test_words_are_labelled(spark, docs):
     assert np.mean(right) > 0.9
 
 
+def test_languages_of_few_texts_with_many_copies_are_learned(spark):
+    rows = [(None, " ".join(f"{chr(0x4E00 + 50 * n + (7 * j) % 40)}{chr(0x4E00 + 50 * n + j % 40)}" for j in range(30)), f"l{n:02}") for n in range(10) for _ in range(900)]
+    rows += [(i, f"word{i} and other{i} words", "many") for i in range(3000)]
+    labelled = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5)
+    model = langid.train(labelled)
+    assert model.languages == [*(f"l{n:02}" for n in range(10)), "many"]
+    found = langid.identify(labelled.dropDuplicates(["text"]).select(F.col("lang").alias("doc_id"), "text"), model).collect()
+    assert all(r.doc_id == r.lang_pred for r in found if r.doc_id != "many")
+
+
+def test_sample_is_bounded_in_words(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_WORDS", 1000)
+    df = spark.createDataFrame([(None, f"w{i} " * 300, "a") for i in range(50)] + [(None, "x y " * 5000, "b")], "doc_id bigint, text string, lang string")
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda chains, labels: seen.append((chains, labels)))
+    langid.train(df)
+    chains, labels = seen[0]
+    total = {x: sum(len(c) for c, y in zip(chains, labels, strict=True) if y == x) for x in "ab"}
+    assert total == {"a": 1200, "b": 10_000}
+
+
 def test_language_sample_is_bounded(spark):
     rows = [(None, f"same text of row {i % 3}", "a") for i in range(4000)] + [(1, f"word{i} other{i}", "b") for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
@@ -515,7 +536,7 @@ def test_language_sample_is_bounded(spark):
         langid.train(df, sample=100)
     finally:
         langid.fit = real
-    assert seen.count("a") <= 3 and 60 <= seen.count("b") <= 140
+    assert 1 <= seen.count("a") <= 3 and seen.count("b") == 100
 
 
 def test_code_switching_is_seen(docs):
