@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 from provenant.llm.common import FEW_ROWS, held, map_arrow, written
 
 #: Entries that a Python worker remembers of stretches and of windows; a full table starts anew, and the one before it stays readable.
-STRETCHES, WINDOWS = 200_000, 200_000
+STRETCHES, WINDOWS = 80_000, 80_000
 #: Characters of a stretch, bytes of a window's ids up to which they are remembered: so the tables are bounded in bytes, too.
 LONG_STRETCH, LONG_WINDOW = 64, 256
+#: Texts whose new stretches are encoded together.
+TOGETHER = 100
 #: Most pairs of ids that are broadcast when not all of them are few.
 MOST_FREQUENT = 500_000
 #: The pattern by which the byte-level format splits texts.
@@ -45,15 +47,20 @@ class Byte:
     """A byte-level vocabulary in the format of `tokenizers`. Where its merges are in the order of their ids and it splits texts by the usual pattern, `tiktoken` encodes with it: the same ids, several times as fast."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        file = json.loads(Path(path).read_text("utf-8"))
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that a vocabulary shows as themselves; others as 256 and up
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         of = lambda token: bytes(map(byte.__getitem__, token)) if all(c in byte for c in token) else token.encode()
-        self.bytes = list(map(of, map(self.model.id_to_token, range(self.model.get_vocab_size()))))
-        self.quick = self._quick(json.loads(Path(path).read_text("utf-8")), of)
+        ids = file["model"]["vocab"] | {t["content"]: t["id"] for t in file["added_tokens"]}
+        self.bytes = [b""] * (max(ids.values()) + 1)
+        for token, i in ids.items():
+            self.bytes[i] = of(token)
+        self.quick = self._quick(file, of)
+        if self.quick is None:
+            from tokenizers import Tokenizer
+
+            self.model = Tokenizer.from_file(path)
+            self.model.encode_special_tokens = True
 
     def _quick(self, file: dict, of):
         split, model = file["pre_tokenizer"] or {}, file["model"]
@@ -62,7 +69,7 @@ class Byte:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         made = [vocab.get(x + y, -1) for x, y in merges]
         # ids as ranks say the same as the list of merges if they ascend along it, after the single bytes
-        if not plain or len(vocab) != 256 + len(merges) or made != sorted(made) or sorted(made) != list(range(256, 256 + len(merges))):
+        if not plain or len(vocab) != 256 + len(merges) or made != list(range(256, 256 + len(merges))):
             return None
         import tiktoken
 
@@ -157,17 +164,20 @@ class Aligner:
         get = lambda p: known.get(p) or made.get(p) or older[p]
         out = []
         for text, some in zip(texts, parts):
-            found = [get(p) for p in some]
-            a, b = b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
-            same = all([x[2] for x in found]) or self._text(a, self.a) == self._text(b, self.b) == (" " + text).encode()
-            out.append((a, b) if same else None)
+            try:
+                found = list(map(known.__getitem__, some))
+            except KeyError:
+                found = list(map(get, some))
+            a, b, same = zip(*found)
+            a, b = b"".join(a), b"".join(b)
+            out.append((a, b) if all(same) or self._text(a, self.a) == self._text(b, self.b) == (" " + text).encode() else None)
         return out
 
     def _made(self, stretches: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        of_a, of_b, out = self.a.bytes, self.b.bytes, []
+        of_a, of_b, sure, out = self.a.bytes, self.b.bytes, self.a.quick is not None, []  # a byte-level vocabulary with all bytes gives every text back
         for t, x, y in zip(stretches, self.a.encode(stretches), self.b.encode(stretches)):
             data = (" " + t).encode()
-            same = b"".join([of_b[i] for i in y]) == data and b"".join([of_a[i] for i in x]) == data
+            same = b"".join([of_b[i] for i in y]) == data and (sure or b"".join([of_a[i] for i in x]) == data)
             out.append((array("i", x).tobytes(), array("i", y).tobytes(), same))
         return out
 
@@ -190,8 +200,8 @@ class Aligner:
         if not i or i[0] or j[0]:
             i, j = [0, *i], [0, *j]
         windows = self.windows
-        found = [windows[a[p:q], b[r:s]] for p, q, r, s in zip(i, [*i[1:], len(a)], j, [*j[1:], len(b)])]
-        return ";".join([x[0] for x in found]), b"".join([x[1] for x in found]), sum([x[2] for x in found])
+        groups, links, counts = zip(*[windows[a[p:q], b[r:s]] for p, q, r, s in zip(i, [*i[1:], len(a)], j, [*j[1:], len(b)])])
+        return ";".join(groups), b"".join(links), sum(counts)
 
 
 def align(df: DataFrame, a_file: str, b_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,10 +216,12 @@ def align(df: DataFrame, a_file: str, b_file: str, key: str = "doc_id", text: st
         aligner = held(("alignment", a_file, b_file), lambda: Aligner(Byte(a_file), Piece(b_file)))
         groups, links, counts = [""] * rows.num_rows, [b""] * rows.num_rows, np.zeros((3, rows.num_rows), np.int64)
         full = [(k, t) for k, t in enumerate(rows.column(1).to_pylist()) if t]
-        for (k, _), ids in zip(full, aligner.encode([t for _, t in full])):
-            if ids is not None:
-                groups[k], links[k], n = aligner.align(*ids)
-                counts[:, k] = len(ids[0]) // 4, len(ids[1]) // 4, n
+        for at in range(0, len(full), TOGETHER):
+            some = full[at : at + TOGETHER]
+            for (k, _), ids in zip(some, aligner.encode([t for _, t in some])):
+                if ids is not None:
+                    groups[k], links[k], n = aligner.align(*ids)
+                    counts[:, k] = len(ids[0]) // 4, len(ids[1]) // 4, n
         offsets = np.concatenate(([0], np.cumsum([len(x) // 8 for x in links])))
         flat = pa.array(np.frombuffer(b"".join(links), np.int64))
         columns = [rows.column(0), *map(pa.array, counts), pa.array(groups, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)]

@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from provenant.llm import alignment, registry
 
@@ -18,7 +19,11 @@ FILES = public_tokenizers.path(registry.BYTE_FILE), public_tokenizers.path(regis
 
 @pytest.fixture(scope="module")
 def both():
-    return alignment.Byte(FILES[0]), alignment.Piece(FILES[1])
+    a, b = alignment.Byte(FILES[0]), alignment.Piece(FILES[1])
+    a.model = Tokenizer.from_file(FILES[0])
+    a.model.encode_special_tokens = True
+    assert a.bytes[50256] == b"<|endoftext|>" and len(a.bytes) == 50257
+    return a, b
 
 
 @pytest.fixture(scope="module")
