@@ -2,7 +2,9 @@
 
 Terms are runs of letters and digits, lower-cased, with the signs of letters that decompose left out (`ó` is `o`; `ł` stays). A query is built of phrases (of terms, the last of which may
 be a prefix, in any or one column, anywhere or at its start) and of phrases near one another. Ranked search works on the tokens of each row: texts are taken apart once, and only what a query
-found in a row, with the row's length, is kept and counted. Rank is negative, best first, ties by id. Boolean parts over a stored table of postings are below.
+found in a row, with the row's length, is kept and counted. Rank is negative, best first, ties by id. Boolean parts work on a table of tokens (term, doc, column, pos).
+
+This module reads all texts for each query, for tables that are searched once; `index` has the same queries over a stored index that reads their terms alone.
 """
 
 from __future__ import annotations
@@ -49,20 +51,6 @@ def build_index(docs: DataFrame, key: str = "object_id", columns: tuple[str, ...
     return reduce(DataFrame.unionByName, parts)
 
 
-def store_index(index: DataFrame, path: str, parts: int) -> DataFrame:
-    """Writes postings once for many queries: terms dealt into `parts` folders and in order within each, so that a query reads the folders of its terms alone."""
-    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
-    dealt = index.withColumn("part", part).repartition(parts, "part").sortWithinPartitions("part", "term", "doc")
-    dealt.write.partitionBy("part").parquet(path)
-    return index.sparkSession.read.parquet(path)
-
-
-def stored_terms(index: DataFrame, terms: list[str], parts: int) -> DataFrame:
-    """The postings of `terms` in an index that store_index() wrote."""
-    of = index.sparkSession.range(1).select(F.array(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(parts)).cast("int") for t in terms))).first()[0]
-    return index.filter(F.col("part").isin(*of) & F.col("term").isin(*terms)).drop("part")
-
-
 def _tokens(docs: DataFrame, key: str, column: str) -> DataFrame:
     terms = F.regexp_extract_all(fold(F.coalesce(F.col(column), F.lit(""))), F.lit(TERM), F.lit(0))
     return docs.select(F.col(key).alias("doc"), F.lit(column).alias("column"), F.posexplode(terms).alias("pos", "term"))
@@ -177,7 +165,7 @@ def _near(near: Near, columns: tuple[str, ...]) -> Column:
 
 def matched(docs: DataFrame, *, all: tuple = (), any: tuple = (), none: tuple = (), key: str = "object_id", columns: tuple[str, ...] = COLUMNS) -> DataFrame:  # noqa: A002
     """doc, len (tokens), counts (of each phrase that is to be found), hit: one row for each document. Parts are phrases and near groups: all of `all`, one of `any` if given, none of `none`."""
-    phrases = _phrases((*all, *any))
+    phrases = phrases_of((*all, *any))
     if not phrases or len(phrases) + len(none) > MOST_TERMS:
         raise ValueError(f"1 to {MOST_TERMS} parts, one of them to be found")
     place = {p: i for i, p in enumerate(phrases)}
@@ -190,20 +178,23 @@ def matched(docs: DataFrame, *, all: tuple = (), any: tuple = (), none: tuple =
     return rows.select("doc", "len", "counts", hit.alias("hit"))
 
 
-def _phrases(parts: tuple) -> list[Phrase]:
+def phrases_of(parts: tuple) -> list[Phrase]:
     return list(dict.fromkeys(p for part in parts for p in (part.phrases if isinstance(part, Near) else (part,))))
 
 
+def bm25_part(n: Column, tf: Column, length: Column, n_docs: Column, mean: Column) -> Column:
+    """What a phrase in `n` of `n_docs` documents, `tf` times in this one, adds to the rank."""
+    idf = F.greatest(F.log((n_docs - n + 0.5) / (n + 0.5)), F.lit(1e-6))
+    return -idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
 def _part(n: Column, tf: Column) -> Column:
-    """What a phrase in `n` documents, `tf` times in this one, adds to the rank."""
-    idf = F.greatest(F.log((F.col("n_docs") - n + 0.5) / (n + 0.5)), F.lit(1e-6))
-    return -idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    return bm25_part(n, tf, F.col("len"), F.col("n_docs"), F.col("mean"))
 
 
 def ranked(found: DataFrame) -> DataFrame:
-    """doc, rank of the rows of matched() that are hits. The rows are kept while they are counted and ranked: numbers alone, no text."""
-    found = found.persist()
-    n = len(found.first()["counts"]) if found.limit(1).count() else 0
+    """doc, rank of the rows of matched() that are hits."""
+    n = len(head[0]["counts"]) if (head := found.select("counts").head(1)) else 0
     if not n:
         return found.select("doc", F.lit(0.0).alias("rank")).limit(0)
     total = found.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean"), F.array(*(F.count_if(F.col("counts")[i] > 0) for i in range(n))).alias("ns"))
@@ -216,24 +207,6 @@ def bm25(docs: DataFrame, terms: list[str], key: str = "object_id", columns: tup
     return ranked(matched(docs, any=tuple(Phrase((t,)) for t in sorted({*terms})), key=key, columns=columns))
 
 
-def search_many(docs: DataFrame, queries: DataFrame, limit: int, key: str = "object_id", columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """query_id, doc, rank, place: the best documents with any term of each query (query_id, term), a batch of at most some thousand terms.
-
-    Each text is taken apart once; of its tokens only those that some query names go on.
-    """
-    wanted = queries.agg(F.collect_set("term").alias("wanted"))  # one row
-    everything = reduce(F.concat, [F.col(f"in_{c}") for c in columns])
-    rows = _tokens_of(docs, key, columns).select("doc", F.explode(F.array(everything)).alias("terms")).crossJoin(F.broadcast(wanted))
-    rows = rows.select("doc", F.size("terms").cast("long").alias("len"), F.filter("terms", lambda t: F.array_contains("wanted", t)).alias("hits")).persist()
-    counts = rows.filter(F.size("hits") > 0).select("doc", "len", F.explode("hits").alias("term")).groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
-    known = counts.groupBy("term").agg(F.count("*").alias("n"))
-    total = rows.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean"))
-    scored = counts.join(F.broadcast(known.join(queries.distinct(), "term")), "term").crossJoin(F.broadcast(total))  # known: a row a term and query; total: one
-    best = scored.groupBy("query_id", "doc").agg(F.sum(_part(F.col("n"), F.col("tf"))).alias("rank"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "doc"))
-    return best.withColumn("place", place).filter(F.col("place") <= limit)
-
-
 def snippet(docs: DataFrame, terms: list[str], n: int = 24, key: str = "object_id", content: str = "content") -> DataFrame:
     """`key`, snippet: the `n` tokens of the content with most matches (the earliest such), an ellipsis where something is left out."""
     words = F.split(F.trim(F.regexp_replace(F.col(content), r"\s+", " ")), " ")

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from provenant.functions import scalars as S
 from provenant.operators import aggregates as A
 from provenant.operators import citations as G
+from provenant.operators import index as X
 from provenant.operators import integrity as I
 from provenant.operators import joins as J
 from provenant.operators import pages as P
 from provenant.operators import search as H
 from provenant.operators import sets, windows
+from provenant.plans import folders
 from provenant.plans.bridge import Bridge, with_views
 from provenant.sources import delimited, messages, packages, transcripts
 from provenant.streaming import leases
@@ -794,8 +796,8 @@ POSTINGS = r"""select object_id as doc, 'content' as "column", unnest(regexp_ext
 FOLDED = rf"""p as (select doc, "column", strip_accents(term) as term, pos from ({POSTINGS}))"""
 
 
-def _index(b):
-    return H.build_index(b.docs, columns=("content",))
+def _stored(b):
+    return folders.stored_index(b.docs, ("content",))
 
 
 @query("select 'artifact' as object_kind, id as object_id, original_name as title from ev_artifacts union all select 'event', id, event_type from ev_events union all select 'derived_text', id, kind from ev_derived_text")
@@ -805,7 +807,18 @@ def h01_search_docs(b):
 
 @query(f"with {FOLDED} select term, count(*) as tf, count(distinct doc) as df from p group by term")
 def h02_build_index(b):
-    return _index(b).groupBy("term").agg(F.count("*").alias("tf"), F.count_distinct("doc").alias("df"))
+    """Builds and stores an index anew, and reads its dictionary."""
+    return X.dictionary(X.create_index(b.docs, folders.folder(b.spark, "index"), columns=("content",)))
+
+
+@query(f"with {FOLDED} select term, count(*) as tf, count(distinct doc) as df from p where doc % 10 <> 3 group by term")
+def h02_index_in_batches(b):
+    """An index of half the texts, then the other half and a tenth of them again, then a tenth is deleted: what is left is what an index of the rest says."""
+    docs = b.docs
+    half = F.col("object_id") % 2 == 0
+    stored = X.create_index(docs.filter(half), folders.folder(b.spark, "index"), columns=("content",))
+    stored = X.add(stored, docs.filter(~half | (F.col("object_id") % 10 == 4)))
+    return X.dictionary(X.delete(stored, docs.filter("object_id % 10 = 3").select(F.col("object_id").alias("doc"))))
 
 
 @query("select object_id, strip_accents(lower(content)) as folded from ev_docs")
@@ -815,27 +828,27 @@ def h03_fold(b):
 
 @query(f"with {FOLDED} select doc from p where term in ('the', 'of') group by doc having count(distinct term) = 2 except select doc from p where term = 'by'")
 def h04_match(b):
-    return H.match(_index(b), all=["the", "of"], none=["by"])
+    return H.match(X.documents_with(_stored(b), ["the", "of", "by"]), all=["the", "of"], none=["by"])
 
 
 @query(f'with {FOLDED} select distinct a.doc, a.pos as start from p a join p c on a.doc = c.doc and c.pos = a.pos + 1 where a.term = \'of\' and c.term = \'the\'')
 def h05_match_phrase(b):
-    return H.match_phrase(_index(b), ["of", "the"]).select("doc", F.col("start").cast("long"))
+    return H.match_phrase(X.tokens(_stored(b), ["of", "the"]), ["of", "the"]).select("doc", F.col("start").cast("long"))
 
 
 @query(f"with {FOLDED} select distinct doc from p where term like 'anre%'")
 def h06_match_prefix(b):
-    return H.match_prefix(_index(b), "anre")
+    return H.match_prefix(X.documents_with(_stored(b), [], ["anre"]), "anre")
 
 
 @query(f"with {FOLDED} select distinct a.doc from p a join p c on a.doc = c.doc where a.term = 'que' and c.term = 'de' and abs(a.pos - c.pos) - 1 <= 3")
 def h07_match_near(b):
-    return H.match_near(_index(b), "que", "de", 3)
+    return H.match_near(X.tokens(_stored(b), ["que", "de"]), "que", "de", 3)
 
 
 @query(f"with {FOLDED} select distinct doc from p where term = 'the' and pos = 0")
 def h08_initial_token(b):
-    return H.initial_token(H.column_filter(_index(b), "content"), "the").select("doc")
+    return H.initial_token(H.column_filter(X.tokens(_stored(b), ["the"]), "content"), "the").select("doc")
 
 
 BM25 = """, l as (select d.object_id as doc, count(p.term) as len from ev_docs d left join p on p.doc = d.object_id group by 1), s as (select count(*) as n, avg(len) as mean from l), c as (select term, doc, count(*) as tf from p where term in ({terms}) group by all),
@@ -844,7 +857,7 @@ BM25 = """, l as (select d.object_id as doc, count(p.term) as len from ev_docs d
 
 @query(f"with {FOLDED} {BM25.format(terms=chr(39) + 'licensed' + chr(39) + ', ' + chr(39) + 'license' + chr(39), group='', join='')} select doc, round(rank, 8) as rank from r")
 def h09_bm25(b):
-    return H.bm25(b.docs, ["licensed", "license"], columns=("content",)).select("doc", F.round("rank", 8).alias("rank"))
+    return X.bm25(_stored(b), ["licensed", "license"]).select("doc", F.round("rank", 8).alias("rank"))
 
 
 @query(r"""with w as (select object_id, string_split(trim(regexp_replace(content, '\s+', ' ', 'g')), ' ') as w from ev_docs where content is not null),
@@ -869,13 +882,13 @@ COMPOSED = """, a as (select p.doc, count(*) as tf from p join p q on p.doc = q.
 def h11_search_page(b):
     """licensed under, as a phrase, with vers* or mit and license near each other, without gnu."""
     near = H.Near((H.Phrase(("mit",)), H.Phrase(("license",))), 2)
-    return H.search_page(b.docs, 10, all=(H.Phrase(("licensed", "under")),), any=(H.Phrase(("vers",), prefix=True), near), none=(H.Phrase(("gnu",)),), columns=("content",)).select("doc", "place", "has_more")
+    return X.search_page(_stored(b), 10, all=(H.Phrase(("licensed", "under")),), any=(H.Phrase(("vers",), prefix=True), near), none=(H.Phrase(("gnu",)),)).select("doc", "place", "has_more")
 
 
 @query(f"with {FOLDED} , q(query_id, term) as (values (1, 'licensed'), (1, 'license'), (2, 'password'), (2, 'token'), (3, 'rights')) {BM25.format(terms='select term from q', group='q.query_id,', join='join q using (term)')} select query_id, doc, place from (select query_id, doc, row_number() over (partition by query_id order by rank, doc) as place from r) where place <= 20")
 def h12_search_many(b):
     asked = b.spark.createDataFrame([(1, "licensed"), (1, "license"), (2, "password"), (2, "token"), (3, "rights")], "query_id int, term string")
-    return H.search_many(b.docs, asked, 20, columns=("content",)).select("query_id", "doc", "place")
+    return X.search_many(_stored(b), asked, 20).select("query_id", "doc", "place")
 
 
 # --- integrity ---

@@ -3,28 +3,20 @@
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 import zipfile
 
 import pandas as pd
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provenant.operators import aggregates as A
 from provenant.plans import registry
+from provenant.plans.folders import folder
 from provenant.plans.registry import query
 from provenant.sources import corpus, delimited, files, messages, packages, wav, xlsx
 from provenant.streaming import ingest
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, a temporary one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/round-trip-{uuid.uuid4().hex}"
-
-
 def _page_files(b, path: str) -> None:
     """A text file a page, in a folder a name: many small files, dealt by page."""
     b.pages.select("page_id", F.lit("page").alias("kind"), F.coalesce(F.col("html"), F.lit("")).alias("value")).repartition("page_id").write.option("lineSep", "\x1e").partitionBy("kind", "page_id").text(path)
