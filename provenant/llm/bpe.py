@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from provenant.llm.common import held, map_arrow
 
 #: Entries kept per Python worker. A full cache starts anew; of pieces, the last full one stays readable.
-PIECE_CACHE = 150_000
+PIECE_CACHE = 80_000
 #: Characters of a piece up to which its ids are kept.
 LONG_PIECE = 64
-PAIR_CACHE = 400_000
+PAIR_CACHE = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,10 +26,20 @@ def bounded_batches(spark: SparkSession) -> None:
 _held: dict = {}
 
 
+def _free() -> None:
+    """Gives back to the system what was freed: a worker lives on, and its executor has a limit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only this C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def held(name: tuple, make: Callable[[], object]) -> object:
     """What `make` gives, made once in each Python worker, until another name is asked for: workers live on from one operator to the next."""
     if name not in _held:
-        _held.clear()
+        if _held:
+            _held.clear()
+            _free()
         _held[name] = make()
     return _held[name]
 
@@ -35,7 +48,7 @@ def let_go() -> None:
     """Frees what this Python worker holds from an earlier operator; for those that hold nothing of their own."""
     if _held:
         _held.clear()
-        pa.default_memory_pool().release_unused()
+        _free()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
