@@ -58,4 +58,6 @@ def with_views(body: str) -> str:
     if not views:
         return body
     body = body.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {views}, {body[15:]}"
     return f"with {views}, {body[5:]}" if body.lower().startswith("with ") else f"with {views} {body}"

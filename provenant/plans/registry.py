@@ -1095,7 +1095,19 @@ def _lease_events(b):
     return e.select(F.col("artifact_id").alias("job_id"), F.col("id").alias("seq"), F.expr("case event_type when 'click' then 'claim' when 'view' then 'renew' when 'error' then 'fail' else 'finish' end").alias("event"), F.concat(F.lit("t"), F.expr("id % 2")).alias("token"), F.lit(36000.0).alias("lease_seconds"), F.col("ts_start").cast("timestamp").alias("ts"))
 
 
-@query(None)
+@query("""with recursive e as (select artifact_id as job_id, case event_type when 'click' then 'claim' when 'view' then 'renew' when 'error' then 'fail' else 'finish' end as event, 't' || (id % 2) as by_token, epoch(ts_start) as ts,
+    row_number() over (partition by artifact_id order by ts_start, id) as n from ev_events),
+  f(job_id, n, status, attempts, token, expires, abandoned) as (
+    select distinct job_id, 0::bigint, 'queued', 0::int, null::varchar, null::double, 0::int from e
+    union all
+    select job_id, n, case when event = 'claim' and st = 'queued' then 'running' when held and event = 'finish' then 'done' when held and event = 'fail' then 'failed' else st end, case when event = 'claim' and st = 'queued' then a + 1 else a end,
+      case when event = 'claim' and st = 'queued' then by_token when held and event in ('finish', 'fail') then null else tok end, case when event = 'claim' and st = 'queued' or held and event = 'renew' then ts + 36000 when held and event in ('finish', 'fail') then null else ex end, ab
+    from (select *, coalesce(tok = by_token and ex > ts, false) as held from (
+      select f.job_id, e.n, e.event, e.by_token, e.ts, f.attempts as a, case when o.past then 'queued' else f.status end as st, case when not o.past then f.token end as tok, case when not o.past then f.expires end as ex, f.abandoned + cast(o.past as int) as ab
+      from f join e on e.job_id = f.job_id and e.n = f.n + 1, lateral (select coalesce(f.status = 'running' and f.expires <= e.ts, false) as past) o))),
+  l as (select job_id, unnest(arg_max({'status': status, 'attempts': attempts, 'token': token, 'expires': expires, 'abandoned': abandoned}, n)) from f group by job_id), now as (select max(ts) as now from e),
+  x as (select l.*, coalesce(status = 'running' and expires <= now, false) as past from l, now)
+  select job_id, case when past then 'queued' else status end as status, attempts, case when not past then token end as token, case when not past then expires end as expires, abandoned + cast(past as int) as abandoned from x""")
 def k02_lease_state(b):
     log = _lease_events(b)
     last = log.agg(F.max(F.col("ts").cast("double"))).first()[0] or 0.0  # one number

@@ -191,4 +191,4 @@ def k01_stream_ingest(b):
     rows.repartition("account", "part").write.partitionBy("account", "part").text(f"{path}/out")
     for _ in range(2):
         ingest.stream_ingest(b.spark, f"{path}/out/*/*", f"{path}/events", f"{path}/conflicts", f"{path}/state", "*.txt").awaitTermination()
-    return b.spark.read.parquet(f"{path}/events").groupBy(F.col("phone_or_address").cast("long").alias("account"), "event_type").agg(F.count("*").alias("events"))
+    return ingest.imported(b.spark, f"{path}/events").groupBy(F.col("phone_or_address").cast("long").alias("account"), "event_type").agg(F.count("*").alias("events"))

@@ -6,11 +6,13 @@ moves the end; an end that passes makes the attempt abandoned and the job queued
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 STATE = "status string, attempts int, token string, expires double, abandoned int"
@@ -34,50 +36,68 @@ def lease_state(events: DataFrame, now: float) -> DataFrame:
     return events.groupBy("job_id").agg(log.alias("log")).select("job_id", F.explode(F.array(folded)).alias("s")).select("job_id", "s.*")
 
 
+def step(state: tuple, at: float, event: str, token: str | None, lease: float | None) -> tuple:
+    """status, attempts, token, expires, abandoned after an event, as lease_state() folds it."""
+    status, attempts, holder, expires, abandoned = state
+    if status == "running" and expires <= at:
+        status, holder, expires, abandoned = "queued", None, None, abandoned + 1
+    held = holder is not None and holder == token and expires > at
+    if event == "claim" and status == "queued":
+        return "running", attempts + 1, token, at + lease, abandoned
+    if event == "renew" and held:
+        return status, attempts, holder, at + lease, abandoned
+    if event in ("finish", "fail") and held:
+        return "done" if event == "finish" else "failed", attempts, None, None, abandoned
+    return status, attempts, holder, expires, abandoned
+
+
+WAITING = "at bigint, seq bigint, event string, token string, lease double"
+
+
 class LeaseProcessor(StatefulProcessor):
-    """The same fold, event by event, with a timer at the lease's end."""
+    """The same fold in the order of event time, whatever order events arrive in.
+
+    An event waits in a list until the watermark reaches it: no earlier one can come any more. Timers stand at the times of waiting events and at the lease's end, in milliseconds.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("lease", STATE)
-
-    def _rows(self, key: tuple, s: tuple) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *s)], columns=["job_id", "status", "attempts", "token", "expires", "abandoned"])
+        self.waiting = handle.getListState("waiting", WAITING)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, attempts, token, expires, abandoned = self.state.get() if self.state.exists() else ("queued", 0, None, None, 0)
-        log = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        for e in log.itertuples():
-            at = e.ts.timestamp()
-            if status == "running" and expires <= at:
-                status, token, expires, abandoned = "queued", None, None, abandoned + 1
-            held = token is not None and token == e.token
-            if e.event == "claim" and status == "queued":
-                status, attempts, token, expires = "running", attempts + 1, e.token, at + e.lease_seconds
-            elif e.event == "renew" and held:
-                expires = at + e.lease_seconds
-            elif e.event in ("finish", "fail") and held:
-                status, token, expires = "done" if e.event == "finish" else "failed", None, None
-        self.state.update((status, attempts, token, expires, abandoned))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        if expires is not None:
-            self.handle.registerTimer(int(expires * 1000))
-        yield self._rows(key, (status, attempts, token, expires, abandoned))
+        plain = lambda x: None if pd.isna(x) else x
+        new = [(int(e.ts.value // 1000), int(e.seq), e.event, plain(e.token), plain(e.lease_seconds)) for some in rows for e in some.itertuples()]
+        self.waiting.appendList(new)
+        for at in {-(-t // 1000) for t, *_ in new}:
+            self.handle.registerTimer(at)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, attempts, token, expires, abandoned = self.state.get()
-        if status == "running" and expires * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
-            status, token, expires, abandoned = "queued", None, None, abandoned + 1
-            self.state.update((status, attempts, token, expires, abandoned))
-            yield self._rows(key, (status, attempts, token, expires, abandoned))
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        due = sorted((tuple(e) for e in waiting if e[0] <= mark), key=lambda e: (e[0], e[1], e[2] or "", e[3] or "", e[4] or 0.0))
+        before = tuple(self.state.get()) if self.state.exists() else None
+        state = before or ("queued", 0, None, None, 0)
+        for at, _, event, token, lease in due:
+            state = step(state, at / 1e6, event, token, lease)
+        state = step(state, mark / 1e6, "look", None, None)
+        if due:
+            later = [tuple(e) for e in waiting if e[0] > mark]
+            self.waiting.put(later) if later else self.waiting.clear()
+        if state == before:
+            return
+        self.state.update(state)
+        if state[3] is not None:
+            self.handle.registerTimer(math.ceil(state[3] * 1000))
+        yield pd.DataFrame([(key[0], *state)], columns=["job_id", "status", "attempts", "token", "expires", "abandoned"])
 
     def close(self) -> None:
         pass
 
 
 def lease_stream(events: DataFrame, watermark: str = "1 minute") -> DataFrame:
-    """A changed state for each job and batch; needs the RocksDB state store."""
+    """Each state that a job comes to, up to the watermark: what lease_state() says of the events up to there. Events later than the watermark allows are dropped. Needs the RocksDB state store."""
     timed = events.withWatermark("ts", watermark)
     return timed.groupBy("job_id").transformWithStateInPandas(LeaseProcessor(), outputStructType=OUT, outputMode="update", timeMode="EventTime")
 
@@ -90,6 +110,33 @@ def fence_results(results: DataFrame, leases: DataFrame) -> DataFrame:
     return found.withColumn("rejected", why).withColumn("accepted", F.col("rejected").isNull()).drop("_token", "_expires")
 
 
+def fence_stream(results: DataFrame, leases: DataFrame, *, delay: str = "1 minute", horizon: str = "1 hour") -> DataFrame:
+    """results (id, job_id, token, published) with rejected and accepted, judged by the leases (job_id, token, since, expires: a row a claim or renewal) that were in force when they were published.
+
+    Both are streams that may be late by `delay`. A result waits until no lease for its time can come any more, so one that comes before its lease is judged by it all the same; leases that began more than `horizon`
+    before are forgotten, and a verdict comes once the watermark is that far past its result. Ids tell results apart: one that comes twice is judged once.
+    """
+    held = leases.withWatermark("since", delay).select(F.col("job_id").alias("_job"), F.col("token").alias("_token"), "since", "expires")
+    told = results.withWatermark("published", delay)
+    within = (F.col("job_id") == F.col("_job")) & (F.col("published") >= F.col("since")) & (F.col("published") < F.col("since") + F.expr(f"interval {horizon}"))
+    met = told.join(held, within, "left")
+    own, on = F.col("token") == F.col("_token"), F.col("published") < F.col("expires")
+    any_of = lambda c: F.coalesce(F.max(F.coalesce(c, F.lit(False)).cast("int")), F.lit(0)) == 1
+    judged = met.groupBy("id", "job_id", "token", "published").agg(any_of(own & on).alias("accepted"), any_of(~own & on).alias("_other"), any_of(F.col("_job").isNotNull()).alias("_some"))
+    why = F.when(F.col("accepted"), None).when(F.col("_other"), "stale_token").when(F.col("_some"), "expired").otherwise("no_lease")
+    return judged.withColumn("rejected", why).drop("_other", "_some")
+
+
+def write_fenced(judged: DataFrame, accepted_path: str, rejected_path: str, checkpoint: str) -> StreamingQuery:
+    """Accepted results go to one table, rejected ones to another. A batch is a folder of each, written over when the batch runs again, so nothing is there twice."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        for path, rows in ((accepted_path, batch.filter("accepted")), (rejected_path, batch.filter("not accepted"))):
+            rows.drop("accepted").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return judged.writeStream.foreachBatch(each).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def run_history(events: DataFrame) -> DataFrame:
     """Each claim is a run of its own; each success a new version."""
     along = Window.partitionBy("job_id").orderBy("ts", "seq")

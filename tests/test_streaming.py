@@ -1,6 +1,8 @@
 """Streams against their batch twins."""
 
 import datetime as dt
+import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -22,15 +24,120 @@ def test_batch_fold(spark):
     assert found == {1: ("done", 1, None, 0), 2: ("running", 2, "c", 1), 3: ("queued", 0, None, 0)}
 
 
+def streamed(spark, tmp_path, name, df, folder="in", files=1):
+    query = df.writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    return spark.table(name).collect()
+
+
 def test_stream_fold(spark, tmp_path):
-    log(spark).write.parquet(str(tmp_path / "in"))
+    late = (99, 1, "claim", "z", 1.0, 10_000)  # moves the watermark on
+    log(spark, [*EVENTS, late]).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(log(spark).schema).parquet(str(tmp_path / "in"))
-    query = leases.lease_stream(stream).writeStream.format("memory").queryName("leases").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
     rows = {}
-    for r in spark.table("leases").collect():
-        rows[r.job_id] = max(rows.get(r.job_id, ()), (r.attempts, r.status, r.token or "", r.abandoned))
-    assert rows[1] == (1, "done", "", 0) and rows[2] == (2, "running", "c", 1) and rows[3] == (0, "queued", "", 0)
+    for r in streamed(spark, tmp_path, "leases", leases.lease_stream(stream)):
+        rows[r.job_id] = (r.attempts, r.status, r.token or "", r.abandoned)
+    assert rows[1] == (1, "done", "", 0) and rows[2] == (2, "queued", "", 2) and rows[3] == (0, "queued", "", 0) and 99 not in rows
+
+
+def test_events_that_arrive_in_any_order_fold_in_order(spark, tmp_path):
+    rnd = random.Random(4)
+    some = [(rnd.randrange(6), i, rnd.choice(["claim", "claim", "renew", "finish", "fail"]), rnd.choice("ab"), rnd.choice([30.0, 200.0]), rnd.randrange(0, 3000)) for i in range(150)]
+    delay = 400
+    arrival = sorted(some, key=lambda e: e[5] + rnd.randrange(delay - 1))
+    (tmp_path / "in").mkdir()
+    for i in range(6):
+        part = arrival[i * 25 : i * 25 + 25]
+        log(spark, part).coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+        file = next((tmp_path / f"part{i}").glob("*.parquet"))
+        os.utime(file, (1_000_000 + i, 1_000_000 + i))
+        file.rename(tmp_path / "in" / f"{i}.parquet")
+    stream = spark.readStream.schema(log(spark).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    last = {}
+    for r in streamed(spark, tmp_path, "shuffled", leases.lease_stream(stream, f"{delay} seconds")):
+        last[r.job_id] = tuple(r)
+    mark = START.replace(tzinfo=dt.UTC).timestamp() + max(e[5] for e in some) - delay
+    seen = log(spark, [e for e in some if START.replace(tzinfo=dt.UTC).timestamp() + e[5] <= mark])
+    assert last == {r.job_id: tuple(r) for r in leases.lease_state(seen, mark).collect()}
+
+
+def test_step_is_the_batch_fold(spark):
+    rnd = random.Random(9)
+    some = [(rnd.randrange(40), i, rnd.choice(["claim", "renew", "finish", "fail", "other"]), rnd.choice(["a", "b", None]), rnd.choice([5.0, 60.0]), rnd.randrange(0, 400)) for i in range(800)]
+    start = START.replace(tzinfo=dt.UTC).timestamp()
+    want = {}
+    for job, _, event, token, lease, at in sorted(some, key=lambda e: (e[5], e[1])):
+        want[job] = leases.step(want.get(job, ("queued", 0, None, None, 0)), start + at, event, token, lease)
+    want = {job: leases.step(state, start + 500, "look", None, None) for job, state in want.items()}
+    assert {r.job_id: tuple(r)[1:] for r in leases.lease_state(log(spark, some), start + 500).collect()} == want
+
+
+def test_results_are_fenced_in_a_stream(spark, tmp_path):
+    at = lambda s: START + dt.timedelta(seconds=s)
+    held = [(1, "a", 0, 100), (1, "a", 80, 200), (1, "b", 300, 400), (2, "c", 50, 60), (9, "z", 5000, 5001)]
+    told = [(10, 1, "a", 50), (11, 1, "a", 150), (12, 1, "a", 250), (13, 1, "a", 350), (14, 1, "b", 350), (15, 2, "c", 55), (16, 3, "x", 10), (17, 2, "c", 40), (10, 1, "a", 50), (99, 9, "z", 5000)]
+    lease = spark.createDataFrame([(j, t, at(s), at(e)) for j, t, s, e in held], "job_id bigint, token string, since timestamp, expires timestamp")
+    result = spark.createDataFrame([(i, j, t, at(s)) for i, j, t, s in told], "id bigint, job_id bigint, token string, published timestamp")
+    # results come first, in order of no kind; their leases come with a later batch
+    for name, df in (("results", result), ("leases", lease)):
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+    read = lambda name, df: spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+    (tmp_path / "none").mkdir()
+    lease_file = next((tmp_path / "leases").glob("*.parquet"))
+    lease_file.rename(tmp_path / "later.parquet")
+    paths = [str(tmp_path / x) for x in ("accepted", "rejected", "state")]
+    run = lambda: leases.write_fenced(leases.fence_stream(read("results", result), read("leases", lease), horizon="20 minutes"), *paths).awaitTermination(300)
+    run()
+    (tmp_path / "later.parquet").rename(lease_file)
+    run()
+    for name, df, after in (("results", result, "published"), ("leases", lease, "since")):  # time goes on on both sides
+        df.filter("job_id = 9").withColumn(after, F.lit(at(9000))).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    run()
+    run()
+    accepted = sorted(r.id for r in spark.read.parquet(paths[0]).collect())
+    rejected = sorted((r.id, r.rejected) for r in spark.read.parquet(paths[1]).collect())
+    assert accepted == [10, 11, 14, 15, 99]
+    assert rejected == [(12, "expired"), (13, "stale_token"), (16, "no_lease"), (17, "no_lease")]
+
+
+def test_a_crash_between_the_two_writes_leaves_nothing_twice(spark, tmp_path, monkeypatch):
+    inbox, out, odd, state = (str(tmp_path / x) for x in ("inbox", "events", "conflicts", "state"))
+    (tmp_path / "inbox").mkdir()
+    (tmp_path / "inbox" / "a.xml").write_text(SMS.format("a"))
+    ingest.stream_ingest(spark, inbox, out, odd, state).awaitTermination(120)
+    real, commit = ingest.parse_sms_files, ingest._commit
+    twice = lambda files: (one := real(files)).unionByName(one.filter("row = 2").withColumn("body", F.lit("other")))
+    monkeypatch.setattr(ingest, "parse_sms_files", twice)
+    (tmp_path / "inbox" / "b.xml").write_text(SMS.format("b"))
+
+    def crash(*_):
+        raise RuntimeError("power is off")
+
+    monkeypatch.setattr(ingest, "_commit", crash)
+    query = ingest.stream_ingest(spark, inbox, out, odd, state)
+    try:
+        query.awaitTermination(120)
+    except Exception as e:
+        assert "power is off" in str(e)
+    assert ingest.imported(spark, out).count() == 2 and ingest.conflicts(spark, out, odd).count() == 0  # written, not committed
+    monkeypatch.setattr(ingest, "_commit", commit)
+    for checkpoint in (state, state, str(tmp_path / "fresh")):
+        ingest.stream_ingest(spark, inbox, out, odd, checkpoint).awaitTermination(120)
+    assert ingest.imported(spark, out).count() == 4
+    assert [r.row for r in ingest.conflicts(spark, out, odd).filter(F.col("batch").contains("-1")).collect()] == [2]
+
+
+def test_a_batch_opens_its_own_buckets_only(spark, tmp_path, monkeypatch):
+    inbox, out, odd, state = (str(tmp_path / x) for x in ("inbox", "events", "conflicts", "state"))
+    (tmp_path / "inbox").mkdir()
+    for name in "abcdefgh":
+        (tmp_path / "inbox" / f"{name}.xml").write_text(SMS.format(name))
+    ingest.stream_ingest(spark, inbox, out, odd, state).awaitTermination(120)
+    seen, real = [], ingest.imported
+    monkeypatch.setattr(ingest, "imported", lambda *a, **b: seen.append((df := real(*a, **b)) and len(df.inputFiles())) or df)
+    (tmp_path / "inbox" / "z.xml").write_text(SMS.format("z"))
+    ingest.stream_ingest(spark, inbox, out, odd, state).awaitTermination(120)
+    assert seen in ([None], [1], [2]) and real(spark, out).count() == 18
 
 
 def test_ingest_is_idempotent(spark, tmp_path):
@@ -39,12 +146,12 @@ def test_ingest_is_idempotent(spark, tmp_path):
     (tmp_path / "inbox" / "a.xml").write_text(SMS.format("a"))
     for _ in range(2):
         ingest.stream_ingest(spark, inbox, out, odd, state).awaitTermination(120)
-    assert spark.read.parquet(out).count() == 2
+    assert ingest.imported(spark, out).count() == 2
     (tmp_path / "inbox" / "b.xml").write_text(SMS.format("a"))
     ingest.stream_ingest(spark, inbox, out, odd, state).awaitTermination(120)
-    assert spark.read.parquet(out).count() == 4  # another file is another source
+    assert ingest.imported(spark, out).count() == 4  # another file is another source
     ingest.stream_ingest(spark, inbox, out, odd, str(tmp_path / "fresh")).awaitTermination(120)
-    assert spark.read.parquet(out).count() == 4 and spark.read.parquet(odd).count() == 0
+    assert ingest.imported(spark, out).count() == 4 and ingest.conflicts(spark, out, odd).count() == 0
 
 
 def test_one_key_with_two_payloads_in_a_batch_is_a_conflict(spark, tmp_path, monkeypatch):
@@ -55,5 +162,5 @@ def test_one_key_with_two_payloads_in_a_batch_is_a_conflict(spark, tmp_path, mon
     # the batch holds each row twice, and the second row a third time with another body
     monkeypatch.setattr(ingest, "parse_sms_files", lambda files: (one := real(files)).unionByName(one).unionByName(one.filter("row = 2").withColumn("body", F.lit("other"))))
     ingest.stream_ingest(spark, inbox, out, odd, state).awaitTermination(120)
-    assert sorted(r.row for r in spark.read.parquet(out).collect()) == [1, 2] and [r.row for r in spark.read.parquet(odd).collect()].count(2) >= 1
-    assert {r.row for r in spark.read.parquet(odd).collect()} == {2}
+    assert sorted(r.row for r in ingest.imported(spark, out).collect()) == [1, 2] and [r.row for r in ingest.conflicts(spark, out, odd).collect()].count(2) >= 1
+    assert {r.row for r in ingest.conflicts(spark, out, odd).collect()} == {2}
