@@ -18,7 +18,7 @@ import json
 import os
 import re
 from array import array
-from itertools import islice
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import FEW_ROWS, held, map_arrow, written
+from provenant.llm.common import FEW_ROWS, free, held, written
 
 #: Entries that a Python worker remembers of stretches and of windows; a full table starts anew, and the one before it stays readable.
-STRETCHES, WINDOWS = 80_000, 80_000
+STRETCHES, WINDOWS = 120_000, 120_000
 #: Characters of a stretch, bytes of a window's ids up to which they are remembered: so the tables are bounded in bytes, too.
 LONG_STRETCH, LONG_WINDOW = 64, 256
-#: Texts whose new stretches are encoded together.
-TOGETHER = 100
+#: Rows of a batch that tasks give back, texts whose new stretches are encoded together.
+ROWS, TOGETHER = 250, 250
 #: Most pairs of ids that are broadcast when not all of them are few.
 MOST_FREQUENT = 500_000
 #: The pattern by which the byte-level format splits texts.
@@ -95,53 +95,38 @@ class Piece:
         return self.model.encode(texts, num_threads=1)
 
 
-class _Windows(dict):
-    """Ids of a window, as two strings of 32-bit integers -> its groups as text, its links as 64-bit integers, their number. `a`, `b`: bytes of each id's token."""
+class _Kept(dict):
+    """A table of at most `most` entries; a full one starts anew, and the one before it stays readable."""
 
-    def __init__(self, a: list[int], b: list[int]):
+    def __init__(self, most: int):
         super().__init__()
-        self.a, self.b, self.older = a, b, {}
-        self.shown = list(map(str, range(max(len(a), len(b)))))
-
-    def __missing__(self, ids: tuple[bytes, bytes]) -> tuple[str, bytes, int]:
-        found = self.older.get(ids)
-        if found is None:
-            found = self._found(ids)
-            if len(ids[0]) + len(ids[1]) > LONG_WINDOW:
-                return found
-        if len(self) >= WINDOWS:
+        self.most, self.older = most, {}
+
+    def those(self, keys: list, make: Callable[[list], list], keep: Callable[[object], bool]) -> dict:
+        """The entries of `keys`; what is in neither table is made together."""
+        found, older = dict.fromkeys(keys), self.older
+        new = [k for k in found if k not in self]
+        unknown = [k for k in new if k not in older]
+        found.update((k, x) for k in found if (x := self.get(k) or older.get(k)))
+        if unknown:
+            found.update(zip(unknown, make(unknown)))
+        kept = [k for k in new if keep(k)]
+        if len(self) + len(kept) > self.most:
             self.older = dict(self)
             self.clear()
-        self[ids] = found
+        self.update((k, found[k]) for k in kept[: self.most])
         return found
 
-    def _found(self, ids: tuple[bytes, bytes]) -> tuple[str, bytes, int]:
-        a, b = memoryview(ids[0]).cast("i").tolist(), memoryview(ids[1]).cast("i").tolist()
-        size_a, size_b, shown, groups, links = self.a, self.b, self.shown, [], []
-        ahead, j, end, of_a, of_b = 0, 0, len(b), "", ""  # how many bytes A is ahead of B
-        for x in a:
-            ahead += size_a[x]
-            of_a = f"{of_a},{shown[x]}" if of_a else shown[x]
-            while ahead > 0 and j < end:
-                y = b[j]
-                j += 1
-                ahead -= size_b[y]
-                of_b = f"{of_b},{shown[y]}" if of_b else shown[y]
-            if not ahead:
-                groups.append(f"{of_a}|{of_b}")
-                links.append(x << 32 | y)
-                of_a = of_b = ""
-        return ";".join(groups), array("q", links).tobytes(), len(links)
-
 
 class Aligner:
     def __init__(self, a: Byte, b: Piece):
         self.a, self.b = a, b
         self.size_a, self.size_b = (np.array([len(t) for t in x.bytes], np.int64) for x in (a, b))
         self.space_a, self.space_b = (np.array([t[:1] == b" " for t in x.bytes]) for x in (a, b))
-        self.windows = _Windows(self.size_a.tolist(), self.size_b.tolist())
-        self.stretches: dict[str, tuple[bytes, bytes, bool]] = {}
-        self.older: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.windows, self.stretches = _Kept(WINDOWS), _Kept(STRETCHES)
+        # each id with what follows it in a group: `,` or, as the last one, `|` for A and `;` for B
+        self.shown = [f"{i}{end}" for of, ends in ((a, ",|"), (b, ",;")) for i in range(len(of.bytes)) for end in ends]
+        self.shown_size = np.array(list(map(len, self.shown)), np.int64)
         # a stretch can be encoded by itself if no piece of B goes on over a space
         self.parted = not any(b" " in t.lstrip(b" ") for t in b.bytes)
 
@@ -151,57 +136,97 @@ class Aligner:
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Ids of both, as 32-bit integers, of each text; None where the texts that they give back differ from it."""
         parts = [self.split(t) for t in texts]
-        known = self.stretches
-        new = list(dict.fromkeys(p for some in parts for p in some if p not in known))
-        older = self.older
-        made = {p: older[p] for p in new if p in older}
-        new = [p for p in new if p not in made]
-        made |= zip(new, self._made(new))
-        if len(known) + len(made) > STRETCHES:
-            self.older = older = dict(known)
-            known.clear()
-        known |= islice(((p, x) for p, x in made.items() if len(p) <= LONG_STRETCH), STRETCHES - len(known))
-        get = lambda p: known.get(p) or made.get(p) or older[p]
+        known = self.stretches.those([p for some in parts for p in some], self._made, lambda p: len(p) <= LONG_STRETCH)
         out = []
         for text, some in zip(texts, parts):
-            try:
-                found = list(map(known.__getitem__, some))
-            except KeyError:
-                found = list(map(get, some))
-            a, b, same = zip(*found)
+            a, b, same = zip(*map(known.__getitem__, some))
             a, b = b"".join(a), b"".join(b)
             out.append((a, b) if all(same) or self._text(a, self.a) == self._text(b, self.b) == (" " + text).encode() else None)
         return out
 
     def _made(self, stretches: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        of_a, of_b, sure, out = self.a.bytes, self.b.bytes, self.a.quick is not None, []  # a byte-level vocabulary with all bytes gives every text back
+        """Ids of both vocabularies, and whether they give the stretch back. Stretches between single spaces are encoded in one go and cut apart where their bytes end."""
+        joined = self._cut(stretches) if self.parted and len(stretches) > 1 and not any(t[0].isspace() or t[-1].isspace() for t in stretches) else None
+        if joined is not None:
+            return joined
+        of_a, of_b, out = self.a.bytes, self.b.bytes, []
         for t, x, y in zip(stretches, self.a.encode(stretches), self.b.encode(stretches)):
             data = (" " + t).encode()
-            same = b"".join([of_b[i] for i in y]) == data and (sure or b"".join([of_a[i] for i in x]) == data)
+            same = b"".join([of_b[i] for i in y]) == data and b"".join([of_a[i] for i in x]) == data
             out.append((array("i", x).tobytes(), array("i", y).tobytes(), same))
         return out
 
+    def _cut(self, stretches: list[str]) -> list[tuple[bytes, bytes, bool]] | None:
+        """As _made(), from one text of all stretches; None if a vocabulary doesn't give it back, so that they must be looked at one by one."""
+        whole = " ".join(stretches)
+        data = (" " + whole).encode()
+        ends = np.cumsum([len(t.encode()) + 1 for t in stretches])
+        sides = []
+        for of, size in ((self.a, self.size_a), (self.b, self.size_b)):
+            (ids,) = of.encode([whole])
+            ids = np.array(ids, np.int32)
+            if self._text(ids, of) != data:
+                return None
+            at = np.searchsorted(np.cumsum(size[ids]), ends, "right") * 4
+            packed = ids.tobytes()
+            sides.append([packed[i:j] for i, j in zip([0, *at[:-1].tolist()], at.tolist())])
+        return [(x, y, True) for x, y in zip(*sides)]
+
     @staticmethod
-    def _text(ids: bytes, of: Byte | Piece) -> bytes:
+    def _text(ids: bytes | np.ndarray, of: Byte | Piece) -> bytes:
         return b"".join([of.bytes[i] for i in np.frombuffer(ids, np.int32).tolist()])
 
-    def align(self, a: bytes, b: bytes) -> tuple[str, bytes, int]:
-        """Groups as text, links, number of groups of a text's ids."""
-        ids_a, ids_b = np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)
+    def forget(self) -> None:
+        """Empties the tables."""
+        for table in (self.stretches, self.windows):
+            table.clear()
+            table.older.clear()
+
+    def _cuts(self, a: bytes, b: bytes) -> list[tuple[bytes, bytes]]:
+        """A text's ids, cut where tokens of both begin with a space at the same byte."""
         starts = []
-        for ids, size, space in ((ids_a, self.size_a, self.space_a), (ids_b, self.size_b, self.space_b)):
+        for packed, size, space in ((a, self.size_a, self.space_a), (b, self.size_b, self.space_b)):
+            ids = np.frombuffer(packed, np.int32)
             begins = np.cumsum(size[ids])
             begins -= size[ids]
             at = np.flatnonzero(space[ids])
-            starts.append((begins[at], at))
+            starts.append((begins[at], 4 * at))
         (where_a, at_a), (where_b, at_b) = starts
         _, i, j = np.intersect1d(where_a, where_b, assume_unique=True, return_indices=True)
-        i, j = (4 * at_a[i]).tolist(), (4 * at_b[j]).tolist()
+        i, j = at_a[i].tolist(), at_b[j].tolist()
         if not i or i[0] or j[0]:
             i, j = [0, *i], [0, *j]
-        windows = self.windows
-        groups, links, counts = zip(*[windows[a[p:q], b[r:s]] for p, q, r, s in zip(i, [*i[1:], len(a)], j, [*j[1:], len(b)])])
-        return ";".join(groups), b"".join(links), sum(counts)
+        return [(a[p:q], b[r:s]) for p, q, r, s in zip(i, [*i[1:], len(a)], j, [*j[1:], len(b)])]
+
+    def _aligned(self, windows: list[tuple[bytes, bytes]]) -> list[tuple[str, bytes, int]]:
+        """Groups as text, links as 64-bit integers and their number, of each window. Windows end together on both sides, so that all are aligned as one."""
+        of_a, of_b = zip(*windows)
+        a, b = (np.frombuffer(b"".join(x), np.int32).astype(np.int64) for x in (of_a, of_b))
+        _, i, j = np.intersect1d(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]), assume_unique=True, return_indices=True)
+        links = (a[i] << 32 | b[j]).tobytes()
+        codes, groups = [], []
+        for ids, ends, first in ((a, i, 0), (b, j, 2 * len(self.size_a))):
+            last = np.zeros(len(ids), np.int64)
+            last[ends] = 1
+            codes.append(first + 2 * ids + last)
+            groups.append(np.cumsum(last) - last)
+        code = np.concatenate(codes)[np.argsort(np.concatenate((2 * groups[0], 2 * groups[1] + 1)), kind="stable")]
+        text = "".join(map(self.shown.__getitem__, code.tolist()))
+        n_a, n_b = (np.cumsum([len(x) // 4 for x in side]) for side in (of_a, of_b))
+        chars = np.cumsum(self.shown_size[code])[n_a + n_b - 1].tolist()
+        counts = np.bincount(np.searchsorted(n_a, i, "right"), minlength=len(windows))
+        bounds = (8 * np.cumsum(counts)).tolist()
+        return [(text[p : q - 1], links[r:t], n) for p, q, r, t, n in zip([0, *chars], chars, [0, *bounds], bounds, counts.tolist())]
+
+    def align(self, texts: list[tuple[bytes, bytes]]) -> list[tuple[str, bytes, int]]:
+        """Groups as text, links, number of groups of each text's ids."""
+        parts = [self._cuts(*ids) for ids in texts]
+        known = self.windows.those([w for some in parts for w in some], self._aligned, lambda w: len(w[0]) + len(w[1]) <= LONG_WINDOW)
+        out = []
+        for some in parts:
+            groups, links, counts = zip(*map(known.__getitem__, some))
+            out.append((";".join(groups), b"".join(links), sum(counts)))
+        return out
 
 
 def align(df: DataFrame, a_file: str, b_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,23 +236,30 @@ def align(df: DataFrame, a_file: str, b_file: str, key: str = "doc_id", text: st
     """
     kind = df.schema[key].dataType.simpleString()
 
-    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        aligner = held(("alignment", a_file, b_file), lambda: Aligner(Byte(a_file), Piece(b_file)))
+    def batch(aligner: Aligner, rows: pa.RecordBatch) -> pa.RecordBatch:
         groups, links, counts = [""] * rows.num_rows, [b""] * rows.num_rows, np.zeros((3, rows.num_rows), np.int64)
         full = [(k, t) for k, t in enumerate(rows.column(1).to_pylist()) if t]
         for at in range(0, len(full), TOGETHER):
             some = full[at : at + TOGETHER]
-            for (k, _), ids in zip(some, aligner.encode([t for _, t in some])):
-                if ids is not None:
-                    groups[k], links[k], n = aligner.align(*ids)
-                    counts[:, k] = len(ids[0]) // 4, len(ids[1]) // 4, n
+            ids = [(k, x) for (k, _), x in zip(some, aligner.encode([t for _, t in some])) if x is not None]
+            for (k, x), found in zip(ids, aligner.align([x for _, x in ids])):
+                groups[k], links[k], n = found
+                counts[:, k] = len(x[0]) // 4, len(x[1]) // 4, n
         offsets = np.concatenate(([0], np.cumsum([len(x) // 8 for x in links])))
         flat = pa.array(np.frombuffer(b"".join(links), np.int64))
         columns = [rows.column(0), *map(pa.array, counts), pa.array(groups, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)]
         return pa.RecordBatch.from_arrays(columns, names=[key, "n_a", "n_b", "n_groups", "groups", "links"])
 
-    return map_arrow(df.select(key, text), batch, f"`{key}` {kind}, n_a bigint, n_b bigint, n_groups bigint, groups string, links array<bigint>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        aligner = held(("alignment", a_file, b_file), lambda: Aligner(Byte(a_file), Piece(b_file)))
+        for rows in batches:
+            for at in range(0, rows.num_rows, ROWS):
+                yield batch(aligner, rows.slice(at, ROWS))
+        aligner.forget()  # a task's tables are not kept for what comes after
+        free()
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_a bigint, n_b bigint, n_groups bigint, groups string, links array<bigint>")
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:

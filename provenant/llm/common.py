@@ -26,7 +26,7 @@ def bounded_batches(spark: SparkSession) -> None:
 _held: dict = {}
 
 
-def _free() -> None:
+def free() -> None:
     """Gives back to the system what was freed: a worker lives on, and its executor has a limit."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -39,7 +39,7 @@ def held(name: tuple, make: Callable[[], object]) -> object:
     if name not in _held:
         if _held:
             _held.clear()
-            _free()
+            free()
         _held[name] = make()
     return _held[name]
 
@@ -48,7 +48,7 @@ def let_go() -> None:
     """Frees what this Python worker holds from an earlier operator; for those that hold nothing of their own."""
     if _held:
         _held.clear()
-        _free()
+        free()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -74,7 +74,7 @@ def test_any_text(both, aligner, parts):
     assert (ids is None) == (not x)
     if ids is not None:
         assert memoryview(ids[0]).cast("i").tolist() == x and memoryview(ids[1]).cast("i").tolist() == y
-        found = aligner.align(*ids)
+        (found,) = aligner.align([ids])
         assert found[0] == ";".join(groups) and found[2] == len(groups)
         assert memoryview(found[1]).cast("q").tolist() == [i << 32 | j for i, j in links]
 
@@ -93,7 +93,7 @@ def test_memory_starts_anew_with_the_same_results(both, monkeypatch):
     for text in ["one two three four five six seven", "one two", "extraordinarily long-windedness of words", "seven six five four three two one zero"] * 3:
         x, y, groups, _ = plain(both, text)
         (ids,) = small.encode([text])
-        assert memoryview(ids[1]).cast("i").tolist() == y and small.align(*ids)[0] == ";".join(groups)
+        assert memoryview(ids[1]).cast("i").tolist() == y and small.align([ids])[0][0] == ";".join(groups)
     assert len(small.stretches) <= 5 and len(small.windows) <= 5
 
 
