@@ -48,17 +48,79 @@ def row_digest(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in sorted(columns))), {"ignoreNullFields": "false"}), 256)
 
 
-def table_digests(tables: dict[str, DataFrame], key: dict[str, str], bucket: int = 10_000) -> DataFrame:
-    """table, rows, digest, quick: the digest is of ordered row digests, first by ranges of the key, then over ranges, so no task holds a table; quick ignores order."""
+#: Children of a node in a tree of digests.
+FAN = 10_000
+
+
+def _joined(order: str, fan_digest: str = "d") -> Column:
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, fan_digest))), lambda x: x[fan_digest]), ""), 256)
+
+
+def digest_tree(df: DataFrame, key: str = "id", fan: int = FAN) -> DataFrame:
+    """level, node, rows, digest, quick: digests of a table's rows by ranges of an integer key, of ranges of ranges, and so on, `fan` wide each; level 1 are ranges of rows, the last level is the root, node 0.
+
+    A node's digest is that of its children's in order; no array is longer than `fan` if keys are unique. Quick ignores order. Levels follow from the least and greatest key, so equal tables have equal trees.
+    An empty table has a root over nothing. Rows without a key are in a range of their own, node null, which belongs to the root.
+    """
+    keyed = df.select(F.col(key).cast("long").alias("k"), row_digest(df.columns).alias("d"))
+    least, most = df.agg(F.min(F.col(key).cast("long")), F.max(F.col(key).cast("long"))).first()  # two numbers
+    up = lambda c: F.floor(F.col(c) / fan)
+    level = keyed.groupBy(up("k").alias("node")).agg(F.count("*").alias("rows"), _joined("k").alias("d"), F.bit_xor(F.xxhash64("d")).alias("q"))
+    levels, first, last = [level], *(x // fan if x is not None else 0 for x in (least, most))
+    while last - first >= fan:
+        level = level.groupBy(up("node").alias("parent")).agg(F.sum("rows").alias("rows"), _joined("node").alias("d"), F.bit_xor("q").alias("q")).withColumnRenamed("parent", "node")
+        levels.append(level)
+        first, last = first // fan, last // fan
+    root = level.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), _joined("node").alias("d"), F.bit_xor("q").alias("q")).withColumn("node", F.lit(0).cast("long"))
+    return union([df.select(F.lit(n).alias("level"), "node", "rows", F.col("d").alias("digest"), F.col("q").alias("quick")) for n, df in enumerate([*levels, root], 1)])
+
+
+def table_digests(tables: dict[str, DataFrame], key: dict[str, str], bucket: int = FAN) -> DataFrame:
+    """table, rows, digest, quick: the root of each table's tree of digests."""
 
     def one(name: str, df: DataFrame) -> DataFrame:
-        rows = df.select(F.col(key[name]).alias("k"), row_digest(df.columns).alias("d"))
-        parts = rows.groupBy(F.floor(F.col("k") / bucket).alias("part")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), ""), 256).alias("d"), F.bit_xor(F.xxhash64("d")).alias("q"))
-        return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), ""), 256).alias("digest"), F.bit_xor("q").alias("quick")).withColumn("table", F.lit(name))
+        tree = digest_tree(df, key[name], bucket)
+        return tree.groupBy().agg(F.max("level").alias("root"), F.max_by(F.struct("rows", "digest", "quick"), "level").alias("r")).select("r.*").withColumn("table", F.lit(name))
 
     return union([one(name, df) for name, df in sorted(tables.items())])
 
 
+def changed_ranges(expected: DataFrame, actual: DataFrame, fan: int = FAN) -> DataFrame:
+    """first, last: ranges of keys whose rows differ between two trees. Nodes are compared from the roots down, below a node only where it differs; a tree of other height is compared from where both have nodes.
+
+    Rows without a key differ as the range null.
+    """
+    heights = [t.agg(F.max("level")).first()[0] or 1 for t in (expected, actual)]
+    found: DataFrame | None = None
+    for level in range(min(heights) - 1, 0, -1):
+        sides = [t.filter(F.col("level") == level).select("node", "digest") for t in (expected, actual)]
+        if found is not None:  # children of nodes that differ; null has no children but itself
+            parents = found.select(F.col("node").alias("parent"))
+            sides = [s.join(parents, F.floor(F.col("node") / fan).eqNullSafe(F.col("parent")), "left_semi") for s in sides]
+        e, a = sides[0].alias("e"), sides[1].alias("a")
+        met = e.join(a, F.col("e.node").eqNullSafe(F.col("a.node")), "full").filter(~F.col("e.digest").eqNullSafe(F.col("a.digest")))
+        found = met.select(F.coalesce("e.node", "a.node").alias("node"))
+    return found.select((F.col("node") * fan).alias("first"), ((F.col("node") + 1) * fan - 1).alias("last"))
+
+
+def changed_rows(expected: DataFrame, actual: DataFrame, ranges: DataFrame, key: str = "id", fan: int = FAN) -> DataFrame:
+    """key, change (added, removed, changed): what differs in the ranges that changed_ranges() names. Other rows are dropped before they are digested or shuffled.
+
+    Of rows that share a key all count: their digests are compared as a sorted list.
+    """
+    wanted = ranges.select(F.col("first").alias("_first"))
+
+    def rows(df: DataFrame, name: str) -> DataFrame:
+        at = F.floor(F.col(key).cast("long") / fan) * fan
+        near = df.join(wanted, at.eqNullSafe(F.col("_first")), "left_semi")
+        return near.select(F.col(key).cast("long").alias("key"), row_digest(df.columns).alias("d")).groupBy("key").agg(F.array_sort(F.collect_list("d")).alias(name))
+
+    e, a = rows(expected, "before").alias("e"), rows(actual, "after").alias("a")
+    met = e.join(a, F.col("e.key").eqNullSafe(F.col("a.key")), "full").filter(~F.col("before").eqNullSafe(F.col("after")))
+    change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("changed")
+    return met.select(F.coalesce("e.key", "a.key").alias("key"), change.alias("change"))
+
+
 def digest_mismatch(expected: DataFrame, actual: DataFrame) -> DataFrame:
     found = expected.alias("e").join(actual.alias("a"), "table", "full").filter(~F.col("e.digest").eqNullSafe(F.col("a.digest")))
     return violation(found, "table_digest_mismatch", F.col("table"), "rows differ from those that were signed", "digest")

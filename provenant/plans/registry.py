@@ -916,6 +916,19 @@ def i02_digest_mismatch(b):
     return I.digest_mismatch(before, after).unionByName(I.payload_digest_mismatch(signed, found)).select("code", "path")
 
 
+@query("""select id as key, 'changed' as change from ev_jobs where id % 97 = 5 and id % 1000 <> 7 and priority <> 9 union all select id, 'removed' from ev_jobs where id % 1000 = 7 union all select -id, 'added' from ev_jobs where id % 1000 = 1""")
+def i02_changed_rows(b):
+    """Two trees of digests are stored, of a table and of its later state; rows are read where the trees differ."""
+    before = b.jobs
+    after = before.filter("id % 1000 <> 7").withColumn("priority", F.when(F.col("id") % 97 == 5, 9).otherwise(F.col("priority"))).unionByName(before.filter("id % 1000 = 1").withColumn("id", -F.col("id")))
+    trees = []
+    for df in (before, after):
+        path = folders.folder(b.spark, "digests")
+        I.digest_tree(df, fan=100).write.parquet(path)
+        trees.append(b.spark.read.parquet(path))
+    return I.changed_rows(before, after, I.changed_ranges(*trees, fan=100), fan=100)
+
+
 @query("""select 'invalid_identity' as code, 'artifacts/' || id as path from ev_artifacts where id <= 0 union all select 'invalid_identity', 'jobs/' || (id % 500) from ev_jobs where id % 500 = 0 group by all union all select 'duplicate_identity', 'jobs/' || (id % 500) from ev_jobs group by all having count(*) > 1""")
 def i03_bad_identity(b):
     return I.bad_identity({"artifacts": b.artifacts, "jobs": b.jobs.withColumn("id", F.col("id") % 500)}, {}).select("code", "path")
