@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenant.functions.scalars import contains_ci, email_domain_match, preview
+from provenant.operators.windows import WIDTH, same
 
 
 def event_time(events: DataFrame) -> Column:
@@ -62,18 +63,32 @@ def first_pages(df: DataFrame, limit: int) -> DataFrame:
     return df.withColumn("place", place).filter(F.col("place") <= limit).join(owners, "artifact_id")
 
 
-def budget_prefix(df: DataFrame, size: Column, *, row_cap: int, page_cap: int, item_cap: int | None = None, owner: str = "artifact_id", order: Column | None = None) -> DataFrame:
-    """Rows of each owner until one is over `row_cap` or the sum is over `page_cap` (or a count over `item_cap`); none is skipped.
+def budget_prefix(df: DataFrame, size: Column, *, row_cap: int, page_cap: int, item_cap: int | None = None, owner: str = "artifact_id", order: str = "id", width: int = WIDTH) -> DataFrame:
+    """Rows of each owner, greatest `order` (an integer) first, until one is over `row_cap` or the sum is over `page_cap` (or a count over `item_cap`); none is skipped.
 
-    cut says what ended the owner's page, null if nothing did.
+    cut says what ended the owner's page, null if nothing did. Sums, counts and greatest sizes by ranges of the order tell in which range an owner's page ends: rows of later ranges are dropped unsorted, and an owner
+    with all rows is as many tasks as it has ranges.
     """
-    along = Window.partitionBy(owner).orderBy(order if order is not None else F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-    marked = df.withColumn("row_bytes", size).withColumn("running", F.sum("row_bytes").over(along)).withColumn("place", F.count("*").over(along))
+    rows = df.withColumn("row_bytes", size).withColumn("_range", F.floor(F.col(order) / width))
+    before = Window.partitionBy(owner).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    sums = rows.groupBy(owner, "_range").agg(F.sum("row_bytes").alias("_bytes"), F.count("*").alias("_n"), F.max("row_bytes").alias("_most"))
+    sums = sums.withColumn("_bytes_before", total("_bytes")).withColumn("_n_before", total("_n"))
+    over = (F.col("_most") > row_cap) | (F.col("_bytes_before") + F.col("_bytes") > page_cap)
+    over = over | (F.col("_n_before") + F.col("_n") > item_cap) if item_cap is not None else over
+    sums = sums.withColumn("_over", F.coalesce(over, F.lit(False))).withColumn("_past", F.coalesce(F.max("_over").over(before), F.lit(False))).filter("not _past").drop("_bytes", "_n", "_most", "_past")
+
+    def placed(ranges: DataFrame) -> DataFrame:
+        extra = [f"s.{c}" for c in ranges.columns if c not in (owner, "_range")]
+        met = rows.alias("r").join(ranges.alias("s"), same("r", "s", owner, "_range")).select("r.*", *extra)
+        along = Window.partitionBy(owner, "_range").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+        return met.withColumn("running", F.col("_bytes_before") + F.coalesce(F.sum("row_bytes").over(along), F.lit(0))).withColumn("place", F.col("_n_before") + F.count("*").over(along))
+
     why = F.when(F.col("row_bytes") > row_cap, "row_bytes").when(F.col("running") > page_cap, "page_bytes")
     why = why.when(F.col("place") > item_cap, "items") if item_cap is not None else why
-    marked = marked.withColumn("why", why).withColumn("first_why", F.first("why", ignorenulls=True).over(along))
-    cut = F.first("why", ignorenulls=True).over(Window.partitionBy(owner).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return marked.withColumn("cut", cut).filter("first_why is null").drop("why", "first_why")
+    ends = placed(sums.filter("_over")).withColumn("cut", why).filter("cut is not null").groupBy(owner).agg(F.min(F.struct("place", "cut")).alias("_end"))
+    known = sums.drop("_over").alias("a").join(ends.alias("b"), same("a", "b", owner), "left").select("a.*", F.col("_end.cut").alias("cut"), F.col("_end.place").alias("_end"))
+    return placed(known).filter(F.col("_end").isNull() | (F.col("place") < F.col("_end"))).drop("_range", "_bytes_before", "_n_before", "_end")
 
 
 def byte_budget_page(df: DataFrame, size: Column, row_cap: int = 1 << 20, page_cap: int = 2 << 20) -> DataFrame:
