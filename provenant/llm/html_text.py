@@ -3,7 +3,7 @@
 The tree builder closes and opens what HTML lets an author leave out (p, li, dt/dd, option, tr, td/th, table parts, head and body). Hidden are elements that
 never show (script, style, template, head's own, what a drawing only defines and nowhere uses), the attribute `hidden`, display:none and visibility:hidden (a descendant may be
 visible again) by inline styles or by rules of the page's style elements that name one element, class or id, and closed dialogs and details (but for the summary). Scripts aren't run,
-so noscript is shown; other rules and style sheets elsewhere are not read. All other text is in the result, whole. Blocks start a line, paragraphs and headings stand between
+so noscript is shown; other rules and style sheets elsewhere are not read, nor are rules for media other than a screen of SCREEN pixels. All other text is in the result, whole. Blocks start a line, paragraphs and headings stand between
 blank lines, list items have a bullet or number and an indent (of at most MOST_INDENT columns), rows of a table are a line each with cells padded to their column (cells wider than WIDE are
 not waited for, nothing is padded beyond column MOST_PADDED, a column in which no cell begins takes no room), cells that span rows keep their columns in the rows below;
 tables in more than MOST_TABLES tables are laid out as blocks. Preformatted text keeps its white space. Images give their alternative text. Forms give what their fields show: the value or else the
@@ -41,8 +41,8 @@ HTML_INSIDE = set("foreignobject desc title mi mo mn ms mtext annotation-xml".sp
 BREAKS_OUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: Fields that show no text of theirs.
 NO_CAPTION = set("hidden password checkbox radio file range color".split())
-BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li legend main menu nav ol optgroup option p pre search section select summary table textarea caption tbody thead tfoot tr ul".split())
-SPACED = set("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl menu dir table pre figure fieldset hr".split())
+BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li legend main menu nav ol optgroup option p plaintext pre search section select summary table textarea caption tbody thead tfoot tr ul".split())
+SPACED = set("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl menu dir table pre plaintext figure fieldset hr".split())
 HEAD_ONLY = set("base link meta title style script template noscript".split())
 #: An open element that a start tag closes, if no barrier stands between.
 CLOSES = {
@@ -51,7 +51,7 @@ CLOSES = {
     "thead": {"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, "tfoot": {"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"},
 }
 BARRIER = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select", "datalist"}, "optgroup": {"select"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}}
-P_ENDS = set("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+P_ENDS = set("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p plaintext pre search section summary table ul".split())
 SCOPE = set("table td th caption button object html body".split())
 WIDE = 40
 #: Columns of the deepest indent, columns up to which cells are padded, and tables in one another that are aligned.
@@ -179,7 +179,8 @@ class TreeBuilder(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "style":
-            self.styles.append(data)
+            if on_screen(self.open[-1].props.get("media") or ""):
+                self.styles.append(data)
             return
         if len(self.open) == 2 and self.open[1].tag == "head" and data.strip():
             self._pop_to(1)
@@ -189,7 +190,12 @@ class TreeBuilder(HTMLParser):
 #: End tags that end the cells they are around; others stay within their cell.
 _ENDS_CELLS = set("table tr tbody thead tfoot body html".split())
 _CELLS = {"td", "th", "table"}
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_BRACE = re.compile(r"[{}]")
+#: Media types of a screen, and at-rules whose rules count as if they stood alone.
+ON_SCREEN, PLAIN_GROUPS = {"all", "screen"}, {"@layer", "@scope"}
+#: Width in CSS pixels of the screen that a page is read on.
+SCREEN = 1280
+_WIDTH_RULE = re.compile(r"\(\s*(min|max)-width\s*:\s*(\d{1,6})px\s*\)")
 _SELECTOR = re.compile(r"([a-z][a-z0-9]*|\*)?([.#][\w-]+)?", re.IGNORECASE)
 
 
@@ -207,10 +213,64 @@ def _said(style: str) -> tuple[bool | None, bool | None]:
     return display, visibility
 
 
+def on_screen(media: str) -> bool:
+    """Whether a list of media queries holds for a screen of SCREEN pixels. A query with other conditions than the width's doesn't: what it hides is shown."""
+
+    def holds(query: str) -> bool:
+        kind, *conditions = (x.strip() for x in re.split(r"\band\b", query))
+        if kind.startswith("("):
+            kind, conditions = "all", [kind, *conditions]
+        words = kind.split()
+        wanted = words[-1:] != [] and words[-1] in ON_SCREEN
+        if words[:1] == ["not"]:
+            return not wanted and not conditions
+        widths = [_WIDTH_RULE.fullmatch(c) for c in conditions]
+        return wanted and all(m and (int(m[2]) <= SCREEN if m[1] == "min" else int(m[2]) >= SCREEN) for m in widths)
+
+    return not media.strip() or any(holds(q) for q in media.lower().split(","))
+
+
+def _without_comments(css: str) -> str:
+    parts, at = [], 0
+    while (begin := css.find("/*", at)) >= 0:
+        parts.append(css[at:begin])
+        end = css.find("*/", begin + 2)
+        if end < 0:  # goes on to the end
+            return "".join(parts)
+        at = end + 2
+    return "".join([*parts, css[at:]])
+
+
+def _rule_sets(css: str) -> list[tuple[str, str]]:
+    """Selectors and declarations of the rules that hold on a screen, each brace looked at once. Rules within rules don't count; what isn't closed is closed at the end."""
+    found, open_at, last = [], [], 0  # open_at: prelude, place behind the brace, whether it holds, whether it holds rules
+    for brace in (*_BRACE.finditer(css), None):
+        at = brace.start() if brace else len(css)
+        if brace and brace[0] == "{":
+            prelude = css[last:at].rpartition(";")[2].strip()
+            holds, groups = open_at[-1][2:] if open_at else (True, True)
+            if prelude.startswith("@"):
+                name = re.split(r"[\s(]", prelude, maxsplit=1)[0].lower()
+                rest = prelude[len(name) :]
+                fits = name == "@media" and on_screen(rest) or name == "@supports" and not rest.strip().lower().startswith("not") or name in PLAIN_GROUPS
+                open_at.append((prelude, at + 1, holds and groups and fits, True))
+            else:
+                open_at.append((prelude, at + 1, holds and groups, False))
+        else:
+            while open_at:
+                prelude, begin, holds, groups = open_at.pop()
+                if holds and not groups:
+                    found.append((prelude, css[begin:at].partition("{")[0]))
+                if brace:
+                    break
+        last = at + 1
+    return found
+
+
 def _rules(styles: list[str]) -> dict[str, tuple[bool | None, bool | None]]:
     """Selector -> what it says, for selectors of one element, class or id, or an element with one of these; later rules count."""
     found: dict[str, tuple[bool | None, bool | None]] = {}
-    for selectors, body in _RULE.findall(re.sub(r"(?s)/\*.*?\*/", "", "\n".join(styles))):
+    for selectors, body in _rule_sets(_without_comments("\n".join(styles))):
         said = _said(body)
         if said != (None, None):
             for one in selectors.split(","):
@@ -366,11 +426,32 @@ def _span(node: Node, name: str, most: int) -> int:
     return min(most, max(1, int(value[:6]))) if value.isdecimal() else 1
 
 
+_PLAINTEXT = re.compile(r"<plaintext(?:\s[^>]*)?>", re.IGNORECASE)
+_TEXT_ONLY = re.compile(r"<(?:textarea|title|plaintext|xmp)\b", re.IGNORECASE)
+_BEGUN = re.compile(r"<(?:[a-zA-Z!?]|/[a-zA-Z])")
+
+
+def _finished(html: str) -> str:
+    """The page without a last tag that no `>` ends: a browser drops it, and the parser would look for its end from each `<` anew."""
+    last = html.rfind(">") + 1
+    m = _BEGUN.search(html, last)
+    return html[: m.start()] if m and not _TEXT_ONLY.search(html) else html
+
+
 def render(html: str | None) -> str:
     if not html:
         return ""
     builder = TreeBuilder()
-    builder.feed(html)
+    html = _finished(html)
+    if (m := _PLAINTEXT.search(html)) is None:
+        builder.feed(html)
+    else:  # all that follows is text
+        builder.feed(html[: m.start()])
+        if builder.cdata_elem or builder.open[-1].tag == "textarea":
+            builder.feed(html[m.start() :])
+        else:
+            builder.handle_starttag("plaintext", [])
+            builder.open[-1].children.append(html[m.end() :])
     builder.close()
     rules = _rules(builder.styles) if builder.styles else {}
     sinks = [_Sink()]
@@ -436,6 +517,8 @@ def render(html: str | None) -> str:
                 lists.append([tag, int(start) if re.fullmatch(r"-?\d{1,9}", start.strip()) else 1])
             elif tag == "li":
                 kind = lists[-1] if lists else ["ul", 1]
+                if re.fullmatch(r"-?\d{1,9}", value := (node.props.get("value") or "").strip()):
+                    kind[1] = int(value)
                 mark = f"{kind[1]}. " if kind[0] == "ol" else "* "
                 kind[1] += 1
                 sink.mark = "" if veiled else mark
@@ -443,7 +526,7 @@ def render(html: str | None) -> str:
                 node.before = (node.before, len(mark))
             elif tag in ("blockquote", "dd"):
                 sink.indent += 2
-            elif tag in ("pre", "textarea"):
+            elif tag in ("pre", "textarea", "plaintext"):
                 kept += 1
             continue
         # the element's end
@@ -471,7 +554,7 @@ def render(html: str | None) -> str:
             sink.mark = ""
         elif tag in ("blockquote", "dd"):
             sink.indent -= 2
-        elif tag in ("pre", "textarea"):
+        elif tag in ("pre", "textarea", "plaintext"):
             kept -= 1
         elif tag in FOREIGN:
             drawn -= 1

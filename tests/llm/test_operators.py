@@ -128,6 +128,38 @@ def test_html_tables_in_many_tables():
     assert html_text.render("<table><tr><td>a" + "<table><tr><td>b" * 9 + "</table>" * 10 + "z").split() == ["a", *"b" * 9, "z"]
 
 
+@pytest.mark.parametrize("html", ["<style>" + "a" * 1_000_000, "<style>" + "a," * 500_000, "<style>" + "/*" * 500_000, "<style>" + "{" * 300_000 + "}" * 300_000, "<style>" + "a{" * 300_000, "<a " * 330_000, "<p>x" + "<a b='" * 160_000, "</p" * 330_000, "<!" * 500_000, "<?a" * 300_000, "<!--" * 250_000])
+def test_html_of_a_megabyte_takes_seconds(html):
+    begin = time.process_time()
+    html_text.render(html + "</style><p>end" if html.startswith("<style>") else html)
+    html_text.render(html)
+    assert time.process_time() - begin < 6
+
+
+HIDE = ".c{display:none}"
+
+
+@pytest.mark.parametrize(
+    ("css", "seen"),
+    [
+        (HIDE, False), ("@media print{" + HIDE + "}", True), ("@media screen{" + HIDE + "}", False), ("@media print{b{color:red}} " + HIDE, False), ("@media print{b{color:red} " + HIDE, True),
+        ("@media (max-width: 600px){" + HIDE + "}", True), ("@media screen and (min-width: 600px){" + HIDE + "}", False), ("@media not print{" + HIDE + "}", False), ("@media print, screen{" + HIDE + "}", False),
+        ("@media (prefers-color-scheme: dark){" + HIDE + "}", True), ("@supports (display: grid){@media screen{" + HIDE + "}}", False), ("@supports not (display: grid){" + HIDE + "}", True), ("@import 'x.css'; " + HIDE, False),
+        ("@font-face{src:url(x)} " + HIDE, False), ("@keyframes k{from{left:0}} " + HIDE, False), ("/* " + HIDE + " */", True), ("/* " + HIDE, True), (".c{display:none", False), (".d{" + HIDE + "}", True),
+    ],
+)
+def test_style_rules_hold_on_a_screen(css, seen):
+    assert html_text.render(f"<style>{css}</style><p class=c>seen") == ("seen" if seen else "")
+
+
+def test_media_of_a_style_element_list_values_and_plaintext():
+    assert html_text.render(f"<style media=print>{HIDE}</style><p class=c>seen") == "seen"
+    assert html_text.render("<ol><li>a<li value=5>b<li>c<li value=x>d</ol>").split("\n") == ["1. a", "5. b", "6. c", "7. d"]
+    assert html_text.render("<p>x<plaintext>a<b>c  </b>\n&amp;") == "x\n\na<b>c  </b>\n&amp;"
+    assert html_text.render("<textarea><plaintext></textarea><p>y") == "<plaintext>\n\ny"
+    assert html_text.render("seen <a href='x") == "seen" and html_text.render("1 < 2 <") == "1 < 2 <" and html_text.render("<textarea>x <b") == "x <b"
+
+
 @pytest.mark.parametrize("html", [
     "<div>" * 60_000 + "x", "<blockquote>x" * 6000, "<p><span>" * 20_000 + "x", "<p><button>" + "<div>" * 20_000, "<table><tr><td>x" * 6000, "<table><tr>" + "<td colspan=1000>a" * 1500 + "</table>",
     "<table><tr>" + "<td rowspan=60000>abcdefgh" * 1000 + "<tr><td>x" * 2000, "<table>" + "<tr><td rowspan=65534 colspan=1000>y" * 1500 + "</table>", "<ul><li>x" * 6000, "</div>" * 20_000 + "<b>" * 20_000 + "</i>" * 20_000,
