@@ -59,6 +59,13 @@ def candidate_links(observations: DataFrame, files: DataFrame) -> DataFrame:
     return links.withColumn("ambiguous", F.count("*").over(Window.partitionBy("observation_id")) > 1)
 
 
+def capped_links(links: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` candidate links by observation, then file, with limited: whether there are more. Each task keeps its own first ones, so that no task sees all links."""
+    first = links.orderBy("observation_id", "file_id").limit(limit + 1)
+    order = Window.orderBy("observation_id", "file_id")  # over limit + 1 rows
+    return first.withColumn("_place", F.row_number().over(order)).withColumn("limited", F.count("*").over(Window.partitionBy(F.lit(1))) > limit).filter(F.col("_place") <= limit).drop("_place")
+
+
 def recording_candidates(recordings: DataFrame, files: DataFrame) -> DataFrame:
     return recordings.join(files.select("uri", F.col("name").alias("file_name")), F.col("recording_name") == F.col("file_name"))
 

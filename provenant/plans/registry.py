@@ -478,10 +478,21 @@ def d05_job_with_runs(b):
 @query("""with o as (select page_id * 2 as observation_id, list_extract(string_split(url, '/'), -1) as name from pages), f as (select page_id as file_id, list_extract(string_split(url, '/'), -1) as name from pages)
   select observation_id, file_id, count(*) over (partition by observation_id) > 1 as ambiguous from o join f using (name)""")
 def d06_candidate_links(b):
+    return _links(b)
+
+
+def _links(b):
     files = b.pages.select(F.col("page_id").alias("file_id"), S.basename(F.col("url")).alias("name"))
     return J.candidate_links(b.pages.select((F.col("page_id") * 2).alias("observation_id"), F.col("url").alias("value")), files).select("observation_id", "file_id", "ambiguous")
 
 
+@query("""with o as (select page_id * 2 as observation_id, list_extract(string_split(url, '/'), -1) as name from pages), f as (select page_id as file_id, list_extract(string_split(url, '/'), -1) as name from pages),
+  l as (select observation_id, file_id, count(*) over (partition by observation_id) > 1 as ambiguous, row_number() over (order by observation_id, file_id) as place, count(*) over () > 150 as limited from o join f using (name))
+  select observation_id, file_id, ambiguous, limited from l where place <= 150""")
+def d06_link_limit(b):
+    return J.capped_links(_links(b), 150)
+
+
 NAMES = "with f as (select page_id as uri, list_extract(string_split(url, '/'), -1) as name from pages), r as (select o_orderkey as recording_id, o_custkey as k from orders), n as (select r.recording_id, p.name from r join f p on p.uri = r.k)"
 
 
@@ -550,11 +561,11 @@ def d11_upsert_events(b):
     return J.upsert_events(new, b.events.filter("id % 2 = 0"), ["ts_start", "phone_or_address", "body"]).select("id", "known_id", "outcome")
 
 
-@query("""with w as (select distinct c_nationkey as case_id, c_mktsegment as kind, case when c_custkey % 2 = 0 then 'x' end as locator from customer), k as (select c_nationkey as case_id, c_mktsegment as kind, case when c_custkey % 2 = 0 then 'x' end as locator, min(c_custkey) as known_id from customer where c_custkey < 200 group by all)
+@query("""with w as (select distinct c_nationkey as case_id, c_mktsegment as kind, case when c_custkey % 2 = 0 then 'x' end as locator from customer), k as (select c_nationkey as case_id, c_mktsegment as kind, case when c_custkey % 2 = 0 then 'x' end as locator, min(c_custkey) as known_id from customer where c_custkey % 5 = 1 and c_mktsegment <> 'BUILDING' group by all)
   select w.case_id, w.kind, w.locator, k.known_id from w left join k on w.case_id = k.case_id and w.kind = k.kind and w.locator is not distinct from k.locator""")
 def d12_ensure_sources(b):
     c = b.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("case_id"), F.col("c_mktsegment").alias("kind"), F.lit("l").alias("label"), F.when(F.col("c_custkey") % 2 == 0, "x").alias("locator"), F.lit(None).cast("string").alias("account"))
-    return J.ensure_sources(c, c.filter("id < 200")).select("case_id", "kind", "locator", "known_id")
+    return J.ensure_sources(c, c.filter("id % 5 = 1 and kind <> 'BUILDING'")).select("case_id", "kind", "locator", "known_id")
 
 
 @query("""with c as (select user_id, arg_min(event_type, event_id) as label from events where user_id % 3 = 0 group by user_id) select distinct cast(e.user_id as varchar) as phone, coalesce(c.label, cast(e.user_id as varchar)) as label from events e left join c on e.user_id = c.user_id""")
