@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provenant.sources.files import stream_digests
+
 
 class Reference(NamedTuple):
     table: str
@@ -332,8 +334,18 @@ PACKET = (
 )
 
 
+def fixity_of_files(artifacts: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+    """Files at stored_path against recorded sha256 and size_bytes: ok, missing, unreadable, bad_record (not read), changed; and digests of chunks. Contents are streamed, so files may have any size."""
+    sound = F.coalesce(F.col("sha256"), F.lit("")).rlike("^[0-9a-f]{64}$") & (F.coalesce(F.col("size_bytes"), F.lit(-1)) >= 0)
+    rows = artifacts.select("id", "stored_path", "sha256", "size_bytes")
+    read = stream_digests(rows.filter(sound), "stored_path", chunk)
+    status = F.when(F.col("failure") == "missing", "missing").when(F.col("failure").isNotNull(), "unreadable").when((F.col("digest") == F.col("sha256")) & (F.col("size") == F.col("size_bytes")), "ok").otherwise("changed")
+    unread = rows.filter(~sound).select("id", "stored_path", F.lit("bad_record").alias("status"), F.lit(None).cast("array<string>").alias("chunks"))
+    return read.select("id", "stored_path", status.alias("status"), "chunks").unionByName(unread)
+
+
 def fixity_check(files: DataFrame, artifacts: DataFrame, chunk: int = 1 << 20) -> DataFrame:
-    """Stored bytes (path, content) against recorded sha256 and size: ok, missing, bad_record, changed; and digests of chunks."""
+    """Stored bytes (path, content) against recorded sha256 and size: ok, missing, bad_record, changed; and digests of chunks. Contents are in rows, so below 2 GB; fixity_of_files() streams them."""
     found = artifacts.join(files.select(F.col("path").alias("stored_path"), "content"), "stored_path", "left")
     status = F.when(~F.coalesce(F.col("sha256"), F.lit("")).rlike("^[0-9a-f]{64}$"), "bad_record").when(F.col("content").isNull(), "missing").when((F.sha2("content", 256) == F.col("sha256")) & (F.octet_length("content") == F.col("size_bytes")), "ok").otherwise("changed")
     pieces = F.expr(f"transform(sequence(0, greatest(0, octet_length(content) - 1) div {chunk}), i -> sha2(substring(content, cast(i * {chunk} + 1 as int), {chunk}), 256))")

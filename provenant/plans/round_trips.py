@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provenant.operators import aggregates as A
+from provenant.operators import integrity
 from provenant.plans import registry
 from provenant.plans.folders import folder
 from provenant.plans.registry import query
@@ -37,6 +38,21 @@ def a02_content_digest(b):
     return files.content_digest(b.spark, path, 2000).filter(F.col("path").endswith(".txt")).select("sha256", "hash_status")
 
 
+@query("""select page_id as id, case when page_id % 8 = 0 then 'bad_record' when page_id % 7 = 0 then 'missing' when page_id % 6 = 0 then 'changed' else 'ok' end as status,
+  case when page_id % 8 = 0 or page_id % 7 = 0 then null else cast(ceil((octet_length(encode(coalesce(html, ''))) + 1) / 1000.0) as int) end as n_chunks from pages""")
+def i13_fixity_of_files(b):
+    """A file a page; records of some say another digest, or none, and some name files that aren't there."""
+    path = folder(b.spark)
+    _page_files(b, path)
+    stored = files.file_inventory(b.spark, path).filter("ext = 'txt'").select(F.concat(F.lit(f"{path}/"), "path").alias("stored_path"), F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("page_id"))
+    content = F.concat(F.coalesce("html", F.lit("")), F.lit("\x1e"))
+    known = b.pages.join(stored, "page_id").select(
+        F.col("page_id").alias("id"), F.when((F.col("page_id") % 7 == 0), F.concat("stored_path", F.lit(".gone"))).otherwise(F.col("stored_path")).alias("stored_path"),
+        F.when(F.col("page_id") % 8 == 0, "?").otherwise(F.sha2(F.concat(content, F.when(F.col("page_id") % 6 == 0, "x").otherwise("")), 256)).alias("sha256"), F.octet_length(content).cast("long").alias("size_bytes"),
+    )
+    return integrity.fixity_of_files(known, 1000).select("id", "status", F.when(F.col("chunks").isNotNull(), F.size("chunks")).alias("n_chunks"))
+
+
 def _order_files(b):
     line = F.concat_ws(";", F.col("o_orderkey").cast("string"), F.concat(F.lit('"'), "o_orderpriority", F.lit('"')), F.concat("o_orderstatus", F.lit("\u2028x\f")))
     body = F.concat(F.lit("Numer;Priority;Status\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"]), "\n"), F.lit("\n"))

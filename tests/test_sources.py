@@ -221,3 +221,29 @@ def test_row_caps_report(spark):
     kept, issues = pages.cap_rows(rows, 3, 6)
     assert sorted(map(tuple, kept.groupBy("file").count().collect())) == [("a", 3), ("b", 2), ("c", 1)]
     assert sorted(map(tuple, issues.collect())) == [("a", "file_row_limit"), ("c", "file_row_limit"), ("c", "total_row_limit")]
+
+
+def test_a_file_beyond_two_gigabytes_is_hashed_in_chunks(spark, tmp_path):
+    import hashlib
+    import resource
+
+    from provenant.sources import files
+
+    large, size, chunk = tmp_path / "large.bin", (1 << 31) + 12_345, 1 << 26
+    with large.open("wb") as f:  # sparse: it takes no room
+        f.truncate(size)
+        f.seek(size - 3)
+        f.write(b"end")
+    rows = [(1, f"file:{large}"), (2, str(tmp_path / "gone")), (3, None), (4, str(tmp_path)), (5, f"file://{large}")]
+    (tmp_path / "empty").write_bytes(b"")
+    rows.append((6, str(tmp_path / "empty")))
+    found = {r.id: r for r in files.stream_digests(spark.createDataFrame(rows[:4] + rows[5:], "id bigint, path string"), chunk=chunk).collect()}
+    whole, zero = hashlib.sha256(), b"\0" * chunk
+    for _ in range(size // chunk):
+        whole.update(zero)
+    whole.update(b"\0" * (size % chunk - 3) + b"end")
+    assert found[1].digest == whole.hexdigest() and found[1]["size"] == size and len(found[1].chunks) == 33 and found[1].chunks[0] == hashlib.sha256(zero).hexdigest()
+    assert found[2].failure == found[3].failure == "missing" and found[4].failure.startswith("unreadable") and found[6].digest == hashlib.sha256(b"").hexdigest() and found[6].chunks == []
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert files._stream_digests(f"file://{large}", 1 << 20)[1] == whole.hexdigest()
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
