@@ -19,6 +19,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from provenant.llm.common import FEW_ROWS, free, held, written
 
 #: Entries that a Python worker remembers of stretches and of windows; a full table starts anew, and the one before it stays readable.
-STRETCHES, WINDOWS = 120_000, 120_000
+STRETCHES, WINDOWS = 240_000, 240_000
 #: Characters of a stretch, bytes of a window's ids up to which they are remembered: so the tables are bounded in bytes, too.
 LONG_STRETCH, LONG_WINDOW = 64, 256
 #: Rows of a batch that tasks give back, texts whose new stretches are encoded together.
@@ -102,20 +103,25 @@ class _Kept(dict):
         super().__init__()
         self.most, self.older = most, {}
 
-    def those(self, keys: list, make: Callable[[list], list], keep: Callable[[object], bool]) -> dict:
-        """The entries of `keys`; what is in neither table is made together."""
-        found, older = dict.fromkeys(keys), self.older
-        new = [k for k in found if k not in self]
-        unknown = [k for k in new if k not in older]
-        found.update((k, x) for k in found if (x := self.get(k) or older.get(k)))
+    def of(self, keys: list, make: Callable[[list], list], keep: Callable[[object], bool]) -> list:
+        """The entry of each of `keys`; what is in neither table is made together."""
+        out = list(map(self.get, keys))
+        missing = [i for i, x in enumerate(out) if x is None]
+        if not missing:
+            return out
+        older = self.older.get
+        new = {k: older(k) for k in map(keys.__getitem__, missing)}
+        unknown = [k for k, x in new.items() if x is None]
         if unknown:
-            found.update(zip(unknown, make(unknown)))
+            new.update(zip(unknown, make(unknown)))
+        for i in missing:
+            out[i] = new[keys[i]]
         kept = [k for k in new if keep(k)]
         if len(self) + len(kept) > self.most:
             self.older = dict(self)
             self.clear()
-        self.update((k, found[k]) for k in kept[: self.most])
-        return found
+        self.update((k, new[k]) for k in kept[: self.most])
+        return out
 
 
 class Aligner:
@@ -136,10 +142,10 @@ class Aligner:
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Ids of both, as 32-bit integers, of each text; None where the texts that they give back differ from it."""
         parts = [self.split(t) for t in texts]
-        known = self.stretches.those([p for some in parts for p in some], self._made, lambda p: len(p) <= LONG_STRETCH)
+        known = iter(self.stretches.of([p for some in parts for p in some], self._made, lambda p: len(p) <= LONG_STRETCH))
         out = []
         for text, some in zip(texts, parts):
-            a, b, same = zip(*map(known.__getitem__, some))
+            a, b, same = zip(*islice(known, len(some)))
             a, b = b"".join(a), b"".join(b)
             out.append((a, b) if all(same) or self._text(a, self.a) == self._text(b, self.b) == (" " + text).encode() else None)
         return out
@@ -221,10 +227,10 @@ class Aligner:
     def align(self, texts: list[tuple[bytes, bytes]]) -> list[tuple[str, bytes, int]]:
         """Groups as text, links, number of groups of each text's ids."""
         parts = [self._cuts(*ids) for ids in texts]
-        known = self.windows.those([w for some in parts for w in some], self._aligned, lambda w: len(w[0]) + len(w[1]) <= LONG_WINDOW)
+        known = iter(self.windows.of([w for some in parts for w in some], self._aligned, lambda w: len(w[0]) + len(w[1]) <= LONG_WINDOW))
         out = []
         for some in parts:
-            groups, links, counts = zip(*map(known.__getitem__, some))
+            groups, links, counts = zip(*islice(known, len(some)))
             out.append((";".join(groups), b"".join(links), sum(counts)))
         return out
 
