@@ -16,9 +16,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from bisect import bisect_left, bisect_right
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +34,11 @@ RANGE_TOKENS = 2_000_000
 GAP = 1 << 24
 #: So many segments of like size (within the factor) are merged into one.
 MERGE_AT, TIER = 8, 8
+#: Tokens of a task that makes postings, and of a block at most (a longer document is a block of its own), about; tokens looked at for each range when ranges are cut.
+TASK_TOKENS, CUT_SAMPLE = 500_000, 100
 #: Rows up to which dead documents, or the blocks that a query needs, are broadcast.
 FEW = 200_000
+POSTINGS = "term string, block bigint, n int, max_tf int, min_len int, tf bigint, docs array<{kind}>, lens array<int>, tfs array<int>, places array<array<int>>, range int"
 
 
 class Index(NamedTuple):
@@ -94,6 +101,47 @@ def _tokens(docs: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
     return rows.select("doc", F.aggregate("tokens", F.lit(0), lambda n, t: n + F.size(t)).alias("len"), "tokens")
 
 
+def _cuts(placed: DataFrame, ranges: int, n_tokens: int) -> list[tuple[str, int]]:
+    """Where ranges of (term, block) begin, but the first: from a sample of about CUT_SAMPLE tokens a range. They decide where a row lies, not what is in it."""
+    if ranges == 1:
+        return []
+    words = placed.select("block", F.explode(F.flatten("tokens")).alias("term"))
+    found = sorted((r.term, r.block) for r in words.sample(min(1.0, CUT_SAMPLE * ranges / n_tokens), 1).collect())
+    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
+
+
+def _block_postings(block: pa.Table, cuts: list[tuple[str, int]]) -> pa.Table:
+    """Posting rows of the documents of a block, by term; documents and places in order."""
+    number = block.column("block")[0].as_py()
+    block = block.take(pc.sort_indices(block.column("doc"))).combine_chunks()
+    doc, lens = block.column("doc").combine_chunks(), block.column("len").to_numpy()
+    columns = block.column("tokens").combine_chunks().flatten()  # a list of tokens for each document and column
+    size = pc.list_value_length(columns).to_numpy(zero_copy_only=False)
+    words, owner = columns.flatten().dictionary_encode(), np.repeat(np.arange(len(size)), size)
+    width = len(size) // len(doc)
+    at = ((owner % width) * GAP + np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+    by_term = pc.sort_indices(words.dictionary).to_numpy()
+    terms, rank = words.dictionary.take(pa.array(by_term)), np.empty(len(by_term), np.int64)
+    rank[by_term] = np.arange(len(by_term))
+    key = rank[words.indices.to_numpy()] * len(doc) + owner // width
+    order = np.argsort(key, kind="stable")  # places of a term in a document stay in order
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))  # of each term and document
+    term, who = key[first] // len(doc), key[first] % len(doc)
+    tf = np.diff(first, append=len(key)).astype(np.int32)
+    head = np.flatnonzero(np.diff(term, prepend=-1))  # of each term
+    ends = lambda starts, n: pa.array(np.append(starts, n).astype(np.int32))
+    lists = lambda values: pa.ListArray.from_arrays(ends(head, len(first)), values)
+    names = terms.to_pylist()
+    begins = [(bisect_left if number >= b else bisect_right)(names, t) for t, b in cuts]
+    reduced = lambda f, values: f.reduceat(values, head) if len(head) else values[:0]
+    return pa.table({
+        "term": terms, "block": np.full(len(names), number, np.int64), "n": np.diff(head, append=len(first)).astype(np.int32), "max_tf": reduced(np.maximum, tf), "min_len": reduced(np.minimum, lens[who]),
+        "tf": reduced(np.add, tf.astype(np.int64)), "docs": lists(doc.take(pa.array(who))), "lens": lists(pa.array(lens[who])), "tfs": lists(pa.array(tf)),
+        "places": lists(pa.ListArray.from_arrays(ends(first, len(key)), pa.array(at[order]))), "range": np.searchsorted(begins, np.arange(len(names)), "right").astype(np.int32),
+    })
+
+
 def _write_segment(index: Index, tokens: DataFrame) -> dict:
     """Writes docs, postings, terms and ranges; the segment's entry in a manifest."""
     name = f"segment-{uuid.uuid4().hex}"
@@ -106,22 +154,21 @@ def _write_segment(index: Index, tokens: DataFrame) -> dict:
     n_docs, n_tokens = counted[0] or 0, counted[1] or 0
     if docs.filter("doc is null").limit(1).count():
         raise ValueError("a document needs a key")
-    # a row a class of lengths, a hundred at most: classes are cut by a hash of the key into blocks of about BLOCK documents
-    blocks = docs.withColumn("class", like).join(F.broadcast(classes.select("class", F.ceil(F.col("n") / BLOCK).alias("parts"))), "class")
+    # a row a class of lengths, a hundred at most: classes are cut by a hash of the key into blocks of about BLOCK documents, of fewer if they are long
+    parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("tokens") / TASK_TOKENS, F.lit(1)))
+    blocks = docs.withColumn("class", like).join(F.broadcast(classes.select("class", parts.alias("parts"))), "class")
     block = F.col("class").cast("long") * F.lit(1 << 40) + F.pmod(F.xxhash64("doc"), F.col("parts"))
-    placed = blocks.select(block.alias("block"), "doc", "len", "tokens").repartition("block")
-    columns = placed.select("block", "doc", "len", F.posexplode("tokens").alias("column", "tokens")).select("block", "doc", "len", "column", F.posexplode("tokens").alias("pos", "term"))
-    found = columns.groupBy("block", "term", "doc", "len").agg(F.array_sort(F.collect_list(F.col("column") * GAP + F.col("pos"))).alias("at"))
-    entry = F.struct("doc", "len", F.size("at").alias("tf"), "at")
-    # all of a block is in one task since repartition(): neither aggregate shuffles
-    postings = found.groupBy("block", "term").agg(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["doc"] < b["doc"], -1).otherwise(1)).alias("e"))
-    row = postings.select(
-        "term", "block", F.size("e").alias("n"), F.array_max("e.tf").alias("max_tf"), F.array_min("e.len").alias("min_len"), F.aggregate("e.tf", F.lit(0).cast("long"), lambda s, x: s + x).alias("tf"),
-        F.col("e.doc").alias("docs"), F.col("e.len").alias("lens"), F.col("e.tf").alias("tfs"), F.col("e.at").alias("places"),
-    )
+    placed = blocks.select(block.alias("block"), "doc", "len", "tokens")
     ranges = max(1, -(-n_tokens // index.state["range_tokens"]))
-    dealt = row.repartitionByRange(ranges, "term", "block").sortWithinPartitions("term", "block").withColumn("range", F.spark_partition_id())
-    dealt.write.option("parquet.writer.version", "PARQUET_2_0").partitionBy("range").parquet(index.at(name, "postings"))
+    cuts = _cuts(placed, ranges, n_tokens)
+    # the number of tasks goes with the tokens, so that none has more than it can hold; postings are made once, as ranges are known before
+    dealt = placed.repartition(max(1, -(-n_tokens // TASK_TOKENS)), "block")
+
+    def of_block(rows: pa.Table) -> pa.Table:
+        return _block_postings(rows, cuts)
+
+    row = dealt.groupBy("block").applyInArrow(of_block, POSTINGS.format(kind=kind))
+    row.repartition(ranges, "range").sortWithinPartitions("range", "term", "block").write.option("parquet.writer.version", "PARQUET_2_0").partitionBy("range").parquet(index.at(name, "postings"))
     if n_tokens:
         heads = spark.read.schema("term string, n int, tf bigint, range int").parquet(index.at(name, "postings"))
         heads.groupBy("range", "term").agg(F.sum("n").alias("df"), F.sum("tf").alias("tf")).repartition("range").sortWithinPartitions("range", "term").write.partitionBy("range").parquet(index.at(name, "terms"))
@@ -209,7 +256,7 @@ def _overlap(terms: list[str], prefixes: list[str]) -> Column:
 def postings(index: Index, terms: list[str], prefixes: list[str] = ()) -> Postings:
     """Postings and dictionary rows of the terms and of all terms with the prefixes. The driver reads the ranges of terms that may have them, not more; other folders are not even listed."""
     spark, kind = index.spark, index.state["key_type"]
-    schema = f"term string, block bigint, n int, max_tf int, min_len int, tf bigint, docs array<{kind}>, lens array<int>, tfs array<int>, places array<array<int>>, range int"
+    schema = POSTINGS.format(kind=kind)
     wanted = F.col("term").isin(*terms) if terms else F.lit(False)
     wanted = reduce(lambda a, p: a | F.col("term").startswith(p), prefixes, wanted)
     live = [s for s in index.state["segments"] if s["tokens"]]
@@ -248,16 +295,16 @@ def documents_with(index: Index, terms: list[str], prefixes: list[str] = ()) ->
 
 
 def dictionary(index: Index) -> DataFrame:
-    """term, tf, df over live documents. From the segments' dictionaries; of segments with dead documents from their postings."""
+    """term, tf, df over live documents: from the segments' dictionaries, less what their dead documents have."""
     spark, parts = index.spark, []
     for s in (s for s in index.state["segments"] if s["tokens"]):
+        parts.append(spark.read.schema("term string, df bigint, tf bigint").parquet(index.at(s["name"], "terms")).select("term", "tf", "df"))
         if s["dead"]:
-            rows = spark.read.schema(f"term string, block bigint, docs array<{index.state['key_type']}>, lens array<int>, tfs array<int>").parquet(index.at(s["name"], "postings"))
-            parts.append(entries(index, rows.withColumn("segment", F.lit(s["name"])), places=False).groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")))
-        else:
-            parts.append(spark.read.schema("term string, df bigint, tf bigint").parquet(index.at(s["name"], "terms")).select("term", "tf", "df"))
+            graves = _graves(index, [s]).select("doc")
+            dead = _docs(index, s).join(F.broadcast(graves) if s["dead"] <= FEW else graves, "doc", "left_semi").select(F.explode(F.flatten("tokens")).alias("term"), "doc")
+            parts.append(dead.groupBy("term", "doc").agg(F.count("*").alias("n")).groupBy("term").agg((-F.sum("n")).alias("tf"), (-F.count("*")).alias("df")))
     all_parts = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "term string, tf bigint, df bigint")
-    return all_parts.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    return all_parts.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).filter("df > 0")
 
 
 def _frequencies(index: Index, found: Postings) -> DataFrame:

@@ -138,3 +138,21 @@ def test_odd_batches(spark, tmp_path):
         X.create_index(spark.createDataFrame([(None, "a", "b")], SCHEMA), str(tmp_path / "n"))
     with pytest.raises(ValueError, match="one key"):
         X.create_index(spark.createDataFrame([(1, "a", "b"), (1, "c", "d")], SCHEMA), str(tmp_path / "d"))
+
+
+def test_tasks_and_blocks_are_bounded_in_tokens(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "TASK_TOKENS", 400)
+    stored = X.create_index(docs, str(tmp_path / "i"), range_tokens=3000)
+    found = X.entries(stored, spark.read.parquet(stored.at(stored.state["segments"][0]["name"], "postings")).withColumn("segment", F.lit(stored.state["segments"][0]["name"])))
+    sizes = [r for r in found.groupBy("block").agg(F.sum("tf").alias("tokens"), F.count_distinct("doc").alias("docs")).collect() if r.docs > 1]
+    assert max(r.tokens for r in sizes) < 4 * 400  # 256 documents of the longest class have 70,000
+    assert rows(X.tokens(stored, ["of"]), "doc", "pos") == rows(H.build_index(docs).filter("term = 'of'"), "doc", "pos")
+
+
+def test_many_deleted_documents_are_taken_off_without_a_shuffle_of_postings(spark, docs, stored, tmp_path, monkeypatch):
+    gone = docs.filter("object_id % 3 = 0").select(F.col("object_id").alias("doc"))
+    left = H.build_index(docs.filter("object_id % 3 <> 0")).groupBy("term").agg(F.count("*").alias("tf"), F.count_distinct("doc").alias("df"))
+    monkeypatch.setattr(X, "FEW", 0)
+    found = X.dictionary(X.delete(X.create_index(docs, str(tmp_path / "i")), gone))
+    assert rows(found, "term", "tf", "df") == rows(left, "term", "tf", "df")
+    assert not any("/postings" in f for f in found.inputFiles())
