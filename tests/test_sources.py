@@ -247,3 +247,13 @@ def test_a_file_beyond_two_gigabytes_is_hashed_in_chunks(spark, tmp_path):
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
     assert files._stream_digests(f"file://{large}", 1 << 20)[1] == whole.hexdigest()
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+
+
+def test_files_are_written_under_their_last_names(spark, tmp_path):
+    rows = spark.range(40).selectExpr(f"concat('{tmp_path}/k=', id % 7, '/', id, '.bin') as path", "cast(repeat('x', cast(id as int)) as binary) as content").repartition(3)
+    assert files.write_files(rows) == 40 and files.write_files(rows) == 40  # again writes the same
+    found = {p.relative_to(tmp_path).as_posix(): p.stat().st_size for p in tmp_path.rglob("*") if p.is_file()}
+    assert found == {f"k={i % 7}/{i}.bin": i for i in range(40)}  # no check sums, marks or temporary folders beside them
+    assert files.write_files(rows.limit(0)) == 0
+    listed = files.content_digest(spark, str(tmp_path), 20)
+    assert sorted(r.hash_status for r in listed.collect()) == ["complete"] * 20 + ["unknown_over_limit"] * 19  # Spark lists no empty file
