@@ -47,6 +47,12 @@ def chat_ts(day_text: Column, time_text: Column, ampm: Column) -> Column:
     short = F.length(F.regexp_extract(day_text, CHAT_DATE, 3)) == 2
     hour, minute, second = part(time_text, CHAT_TIME, 1), part(time_text, CHAT_TIME, 2), F.coalesce(part(time_text, CHAT_TIME, 3), F.lit(0))
     mark = F.upper(F.replace(ampm, F.lit("."), F.lit("")))
+    read = F.struct(day.alias("day"), month.alias("month"), year.alias("year"), short.alias("short"), hour.alias("hour"), minute.alias("minute"), second.alias("second"), mark.alias("mark"))
+    return F.get(F.transform(F.array(read), _chat_ts), F.lit(0))  # an element of an array is worked out once, however often its parts are used
+
+
+def _chat_ts(p: Column) -> Column:
+    day, month, year, short, hour, minute, second, mark = (p[n] for n in ("day", "month", "year", "short", "hour", "minute", "second", "mark"))
     marked = F.coalesce(mark, F.lit("")) != ""
     hour24 = F.when(marked, F.when(hour.between(1, 12), hour % 12 + F.when(mark == "PM", 12).otherwise(0))).otherwise(hour)
     fine = (hour24 <= 23) & (minute <= 59) & (second <= 59)
