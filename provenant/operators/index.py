@@ -3,7 +3,7 @@
 A segment holds the documents of one batch, in three tables. `docs` has the tokens of each document, in order. `postings` has a row for each term and block of documents: the documents, their lengths, and the
 term's places in each (the file format keeps differences), beside the largest count and the least length in the block, from which a bound on any of its scores follows. `terms` has each term with its numbers of documents and
 of tokens. Postings and terms are in ranges of terms, a folder each, and `ranges` says which terms lie where: a query opens the folders of its own terms alone, a prefix those that its range of terms meets.
-Documents of like length share a block, so that bounds are tight.
+Documents of like length share a block, so that bounds are tight: a task sorts what it holds by length before it cuts blocks.
 
 A batch that comes later is a segment of its own; no other is touched. A document that comes again, or is deleted, is marked dead in the segment that has it. Segments of like size are merged when there are many.
 Each change ends with a new manifest, created and never overwritten: a change that fails before leaves the index as it was, and of two at once the later one fails.
@@ -17,14 +17,17 @@ from __future__ import annotations
 import json
 import uuid
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from provenant.operators.search import TERM, Near, Phrase, bm25_part, fold, phrases_of
 
@@ -34,8 +37,8 @@ RANGE_TOKENS = 2_000_000
 GAP = 1 << 24
 #: So many segments of like size (within the factor) are merged into one.
 MERGE_AT, TIER = 8, 8
-#: Tokens of a task that makes postings, and of a block at most (a longer document is a block of its own), about; tokens looked at for each range when ranges are cut.
-TASK_TOKENS, CUT_SAMPLE = 500_000, 100
+#: Tokens that a task holds at once when it makes postings, four times those of a block at most (a longer document is a block of its own); tokens looked at for each range when ranges are cut.
+TASK_TOKENS, CUT_SAMPLE = 2_000_000, 100
 #: Rows up to which dead documents, or the blocks that a query needs, are broadcast.
 FEW = 200_000
 POSTINGS = "term string, block bigint, n int, max_tf int, min_len int, tf bigint, docs array<{kind}>, lens array<int>, tfs array<int>, places array<array<int>>, range int"
@@ -101,80 +104,146 @@ def _tokens(docs: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
     return rows.select("doc", F.aggregate("tokens", F.lit(0), lambda n, t: n + F.size(t)).alias("len"), "tokens")
 
 
-def _cuts(placed: DataFrame, ranges: int, n_tokens: int) -> list[tuple[str, int]]:
-    """Where ranges of (term, block) begin, but the first: from a sample of about CUT_SAMPLE tokens a range. They decide where a row lies, not what is in it."""
+def _cuts(docs: DataFrame, ranges: int, n_tokens: int) -> list[tuple[str, float]]:
+    """Where ranges of (term, share of its blocks) begin, but the first: from a sample of about CUT_SAMPLE tokens a range. They decide where a row lies, not what is in it."""
     if ranges == 1:
         return []
-    words = placed.select("block", F.explode(F.flatten("tokens")).alias("term"))
-    found = sorted((r.term, r.block) for r in words.sample(min(1.0, CUT_SAMPLE * ranges / n_tokens), 1).collect())
-    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
+    words = docs.select(F.explode(F.flatten("tokens")).alias("term"))
+    found = sorted(r.term for r in words.sample(min(1.0, CUT_SAMPLE * ranges / n_tokens), 1).collect())
+    at = sorted({len(found) * i // ranges for i in range(1, ranges)}) if found else []
+    return sorted({(found[i], (i - bisect_left(found, found[i])) / (bisect_right(found, found[i]) - bisect_left(found, found[i]))) for i in at})
+
+
+def _blocks(lens: np.ndarray, most_docs: int, most_tokens: int) -> np.ndarray:
+    """The block of each of some documents that are in order of length."""
+    out, at, docs, tokens = np.empty(len(lens), np.int64), 0, 0, 0
+    for i, n in enumerate(lens.tolist()):
+        if docs and (docs == most_docs or tokens + n > most_tokens):
+            at, docs, tokens = at + 1, 0, 0
+        out[i], docs, tokens = at, docs + 1, tokens + n
+    return out
+
+
+def _pack_schema(kind: pa.DataType) -> pa.Schema:
+    ints = pa.list_(pa.int32())
+    return pa.schema([("term", pa.string()), ("block", pa.int64()), ("docs", pa.list_(kind)), ("lens", ints), ("tfs", ints), ("places", ints)])
 
 
-def _block_postings(block: pa.Table, cuts: list[tuple[str, int]]) -> pa.Table:
-    """Posting rows of the documents of a block, by term; documents and places in order."""
-    number = block.column("block")[0].as_py()
-    block = block.take(pc.sort_indices(block.column("doc"))).combine_chunks()
-    doc, lens = block.column("doc").combine_chunks(), block.column("len").to_numpy()
-    columns = block.column("tokens").combine_chunks().flatten()  # a list of tokens for each document and column
+def _ranges_of(terms: list[str], term: np.ndarray, block: np.ndarray, cuts: list[tuple[str, float]]) -> np.ndarray:
+    """The range of each row of (place in `terms`, block). Rows of a term that ranges share are dealt by their block."""
+    begins, ends = ([f(terms, t) for t, _ in cuts] for f in (bisect_left, bisect_right))
+    out = np.searchsorted(np.array(ends, np.int64), term, "right").astype(np.int32)
+    share = (block.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) / 2.0**64  # evenly spread, whatever blocks there are
+    for at in sorted({i for i, j in zip(begins, ends, strict=True) if i < j}):
+        rows = slice(*np.searchsorted(term, [at, at + 1]))
+        out[rows] += np.searchsorted([u for (_, u), i, j in zip(cuts, begins, ends, strict=True) if i == at < j], share[rows], "right").astype(np.int32)
+    return out
+
+
+def _packs(held: pa.Table, first_block: int, cuts: list[tuple[str, float]], most_docs: int, most_tokens: int, kind: pa.DataType) -> tuple[pa.RecordBatch, int]:
+    """Postings of some documents, cut into blocks of like length: a compressed row a range (range, size, pack). Places are kept as differences. Also the number of blocks."""
+    held = held.take(np.argsort(held.column("len").to_numpy(), kind="stable"))
+    held = held.append_column("block", pa.array(_blocks(held.column("len").to_numpy(), most_docs, most_tokens)))
+    held = held.take(pc.sort_indices(held, [("block", "ascending"), ("doc", "ascending")])).combine_chunks()
+    doc, lens, blocks = held.column("doc").combine_chunks().cast(kind), held.column("len").to_numpy(), held.column("block").to_numpy()
+    columns = held.column("tokens").combine_chunks().flatten()  # a list of tokens for each document and column
     size = pc.list_value_length(columns).to_numpy(zero_copy_only=False)
     words, owner = columns.flatten().dictionary_encode(), np.repeat(np.arange(len(size)), size)
     width = len(size) // len(doc)
-    at = ((owner % width) * GAP + np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+    at = (owner % width) * GAP + np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
     by_term = pc.sort_indices(words.dictionary).to_numpy()
     terms, rank = words.dictionary.take(pa.array(by_term)), np.empty(len(by_term), np.int64)
     rank[by_term] = np.arange(len(by_term))
     key = rank[words.indices.to_numpy()] * len(doc) + owner // width
     order = np.argsort(key, kind="stable")  # places of a term in a document stay in order
-    key = key[order]
+    key, at = key[order], at[order]
     first = np.flatnonzero(np.diff(key, prepend=-1))  # of each term and document
     term, who = key[first] // len(doc), key[first] % len(doc)
     tf = np.diff(first, append=len(key)).astype(np.int32)
-    head = np.flatnonzero(np.diff(term, prepend=-1))  # of each term
+    steps = np.diff(at, prepend=0)
+    steps[first] = at[first]
+    head = np.flatnonzero(np.diff(term * (blocks[-1] + 1) + blocks[who], prepend=-1))  # of each term and block
     ends = lambda starts, n: pa.array(np.append(starts, n).astype(np.int32))
     lists = lambda values: pa.ListArray.from_arrays(ends(head, len(first)), values)
-    names = terms.to_pylist()
-    begins = [(bisect_left if number >= b else bisect_right)(names, t) for t, b in cuts]
-    reduced = lambda f, values: f.reduceat(values, head) if len(head) else values[:0]
-    return pa.table({
-        "term": terms, "block": np.full(len(names), number, np.int64), "n": np.diff(head, append=len(first)).astype(np.int32), "max_tf": reduced(np.maximum, tf), "min_len": reduced(np.minimum, lens[who]),
-        "tf": reduced(np.add, tf.astype(np.int64)), "docs": lists(doc.take(pa.array(who))), "lens": lists(pa.array(lens[who])), "tfs": lists(pa.array(tf)),
-        "places": lists(pa.ListArray.from_arrays(ends(first, len(key)), pa.array(at[order]))), "range": np.searchsorted(begins, np.arange(len(names)), "right").astype(np.int32),
+    numbers = first_block + blocks[who[head]]
+    rows = pa.RecordBatch.from_arrays([
+        terms.take(pa.array(term[head])), pa.array(numbers), lists(doc.take(pa.array(who))), lists(pa.array(lens[who].astype(np.int32))), lists(pa.array(tf)),
+        pa.ListArray.from_arrays(ends(first[head], len(key)), pa.array(steps.astype(np.int32))),
+    ], schema=_pack_schema(kind))
+    ranges = _ranges_of(terms.to_pylist(), term[head], numbers, cuts)
+    order = np.argsort(ranges, kind="stable")
+    rows, ranges = rows.take(pa.array(order)), ranges[order]
+    starts = np.flatnonzero(np.diff(ranges, prepend=-1))
+    raw = [rows.slice(i, j - i).serialize() for i, j in zip(starts, [*starts[1:], len(ranges)], strict=True)]
+    packs = [pa.compress(r, "zstd", asbytes=True) for r in raw]
+    return pa.RecordBatch.from_arrays([pa.array(ranges[starts]), pa.array([r.size for r in raw], pa.int64()), pa.array(packs, pa.binary())], ["range", "size", "pack"]), int(blocks[-1]) + 1
+
+
+def _posting_rows(pack: pa.RecordBatch, number: int) -> pa.RecordBatch:
+    """What a pack holds, as rows of POSTINGS."""
+    n = pc.list_value_length(pack.column("docs")).to_numpy(zero_copy_only=False)
+    head = np.cumsum(n) - n
+    tfs, lens, steps = (pack.column(c).flatten().to_numpy() for c in ("tfs", "lens", "places"))
+    first = np.cumsum(tfs, dtype=np.int64) - tfs
+    run = np.cumsum(steps, dtype=np.int64)
+    at = run - np.repeat(run[first] - steps[first], tfs)
+    ends = lambda starts, n: pa.array(np.append(starts, n).astype(np.int32))
+    places = pa.ListArray.from_arrays(ends(head, len(first)), pa.ListArray.from_arrays(ends(first, len(at)), pa.array(at.astype(np.int32))))
+    return pa.RecordBatch.from_pydict({
+        "term": pack.column("term"), "block": pack.column("block"), "n": n.astype(np.int32), "max_tf": np.maximum.reduceat(tfs, head), "min_len": np.minimum.reduceat(lens, head), "tf": np.add.reduceat(tfs.astype(np.int64), head),
+        "docs": pack.column("docs"), "lens": pack.column("lens"), "tfs": pack.column("tfs"), "places": places, "range": np.full(len(n), number, np.int32),
     })
 
 
 def _write_segment(index: Index, tokens: DataFrame) -> dict:
-    """Writes docs, postings, terms and ranges; the segment's entry in a manifest."""
+    """Writes docs, postings, terms and ranges; the segment's entry in a manifest.
+
+    A task takes its documents as they lie, some TASK_TOKENS tokens at a time, makes their blocks and postings, and sends a compressed row a range. So neither texts nor unfolded postings are shuffled.
+    """
     name = f"segment-{uuid.uuid4().hex}"
     spark, kind = index.spark, index.state["key_type"]
-    tokens.write.parquet(index.at(name, "docs"))
+    tokens.write.option("compression", "zstd").parquet(index.at(name, "docs"))
     docs = spark.read.schema(f"doc {kind}, len int, tokens array<array<string>>").parquet(index.at(name, "docs"))
-    like = F.floor(F.log2(F.col("len") + F.lit(1.0)) * 4).cast("int")  # documents of a class differ by less than a fifth in length
-    classes = docs.groupBy(like.alias("class")).agg(F.count("*").alias("n"), F.sum("len").alias("tokens"))
-    counted = classes.agg(F.sum("n"), F.sum("tokens"), F.count_if(F.lit(True))).first()
-    n_docs, n_tokens = counted[0] or 0, counted[1] or 0
-    if docs.filter("doc is null").limit(1).count():
+    counted = docs.agg(F.count("*"), F.sum("len"), F.count_if(F.col("doc").isNull())).first()
+    n_docs, n_tokens = counted[0], counted[1] or 0
+    if counted[2]:
         raise ValueError("a document needs a key")
-    # a row a class of lengths, a hundred at most: classes are cut by a hash of the key into blocks of about BLOCK documents, of fewer if they are long
-    parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("tokens") / TASK_TOKENS, F.lit(1)))
-    blocks = docs.withColumn("class", like).join(F.broadcast(classes.select("class", parts.alias("parts"))), "class")
-    block = F.col("class").cast("long") * F.lit(1 << 40) + F.pmod(F.xxhash64("doc"), F.col("parts"))
-    placed = blocks.select(block.alias("block"), "doc", "len", "tokens")
+    entry = {"name": name, "docs": n_docs, "tokens": n_tokens, "dead": 0, "dead_tokens": 0, "graves": []}
+    if not n_tokens:
+        return entry
     ranges = max(1, -(-n_tokens // index.state["range_tokens"]))
-    cuts = _cuts(placed, ranges, n_tokens)
-    # the number of tasks goes with the tokens, so that none has more than it can hold; postings are made once, as ranges are known before
-    dealt = placed.repartition(max(1, -(-n_tokens // TASK_TOKENS)), "block")
-
-    def of_block(rows: pa.Table) -> pa.Table:
-        return _block_postings(rows, cuts)
-
-    row = dealt.groupBy("block").applyInArrow(of_block, POSTINGS.format(kind=kind))
-    row.repartition(ranges, "range").sortWithinPartitions("range", "term", "block").write.option("parquet.writer.version", "PARQUET_2_0").partitionBy("range").parquet(index.at(name, "postings"))
-    if n_tokens:
-        heads = spark.read.schema("term string, n int, tf bigint, range int").parquet(index.at(name, "postings"))
-        heads.groupBy("range", "term").agg(F.sum("n").alias("df"), F.sum("tf").alias("tf")).repartition("range").sortWithinPartitions("range", "term").write.partitionBy("range").parquet(index.at(name, "terms"))
-        terms = spark.read.schema("term string, range int").parquet(index.at(name, "terms"))
-        terms.groupBy("range").agg(F.min("term").alias("first"), F.max("term").alias("last")).coalesce(1).write.parquet(index.at(name, "ranges"))
-    return {"name": name, "docs": n_docs, "tokens": n_tokens, "dead": 0, "dead_tokens": 0, "graves": []}
+    cuts, most_docs, most_tokens, key_type = _cuts(docs, ranges, n_tokens), BLOCK, TASK_TOKENS, to_arrow_type(docs.schema["doc"].dataType)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, block = [], 0, TaskContext.get().partitionId() << 32  # the files of a table are dealt to tasks in one way, so a task that runs again gives its blocks their numbers again
+        for batch in batches:
+            ends = np.cumsum(batch.column("len").to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, most_tokens - n + (ends[at - 1] if at else 0), "right")))
+                held.append(batch.slice(at, to - at))
+                n, at = n + int(ends[to - 1]) - (int(ends[at - 1]) if at else 0), to
+                if n >= most_tokens or at < batch.num_rows:
+                    out, blocks = _packs(pa.Table.from_batches(held), block, cuts, most_docs, max(1, most_tokens // 4), key_type)
+                    held, n, block = [], 0, block + blocks
+                    yield out
+        if held:
+            yield _packs(pa.Table.from_batches(held), block, cuts, most_docs, max(1, most_tokens // 4), key_type)[0]
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = _pack_schema(key_type)
+        for batch in batches:
+            for number, size, pack in zip(*(batch.column(c) for c in ("range", "size", "pack")), strict=True):
+                yield _posting_rows(pa.ipc.read_record_batch(pa.decompress(pack.as_buffer(), size.as_py(), "zstd"), schema), number.as_py())
+
+    packs = docs.filter("len > 0").mapInArrow(packed, "range int, size bigint, pack binary").repartitionById(ranges, "range")
+    rows = packs.mapInArrow(unpacked, POSTINGS.format(kind=kind)).sortWithinPartitions("range", "term", "block")
+    rows.write.option("parquet.writer.version", "PARQUET_2_0").option("compression", "zstd").partitionBy("range").parquet(index.at(name, "postings"))
+    heads = spark.read.schema("term string, n int, tf bigint, range int").parquet(index.at(name, "postings"))
+    heads.groupBy("range", "term").agg(F.sum("n").alias("df"), F.sum("tf").alias("tf")).repartition("range").sortWithinPartitions("range", "term").write.partitionBy("range").parquet(index.at(name, "terms"))
+    terms = spark.read.schema("term string, range int").parquet(index.at(name, "terms"))
+    terms.groupBy("range").agg(F.min("term").alias("first"), F.max("term").alias("last")).coalesce(1).write.parquet(index.at(name, "ranges"))
+    return entry
 
 
 def _docs(index: Index, segment: dict) -> DataFrame:

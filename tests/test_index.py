@@ -156,3 +156,16 @@ def test_many_deleted_documents_are_taken_off_without_a_shuffle_of_postings(spar
     found = X.dictionary(X.delete(X.create_index(docs, str(tmp_path / "i")), gone))
     assert rows(found, "term", "tf", "df") == rows(left, "term", "tf", "df")
     assert not any("/postings" in f for f in found.inputFiles())
+
+
+def test_little_is_shuffled_when_an_index_is_built(spark, docs, tmp_path):
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    docs.count()  # made by a shuffle of their own
+    before = shuffled()
+    stored = X.create_index(docs, str(tmp_path / "i"), range_tokens=30_000)
+    written = sum(f[2] for t in ("docs", "postings") for f in files(stored, f"{stored.state['segments'][0]['name']}/{t}"))
+    assert shuffled() - before < 2 * written  # neither texts nor unfolded postings are
