@@ -6,7 +6,8 @@ import csv
 import io
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,35 +55,62 @@ def _delimiter(text: str, lines: list[str], name: str) -> tuple[str, int]:
         return max(DELIMITERS, key=first.count) if any(map(first.count, DELIMITERS)) else ",", 0
 
 
-def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["file", "row", "column", "value", "raw_record", "start_line", "encoding", "delimiter", "complete", "issue"]
+#: Cells of an Arrow batch that the reader gives, about: of one file or of many small ones.
+BATCH_CELLS = 10_000
+Record = tuple[int, int, str, int, int, bool, str | None]
+
+
+def _cell_rows(files: list[tuple[str, str, str]], records: list[Record], values: list[str | None]) -> pa.RecordBatch:
+    """CELLS of records (place in `files`, row, raw text, start line, width, complete, issue) with their values one after another. One that isn't complete is the rest of a file that can't be read."""
+    of_file, row, raw, start, width, complete, issue = zip(*records, strict=True)
+    width = np.array(width)
+    record = np.repeat(np.arange(len(records)), width)
+    column = np.arange(len(values)) - np.repeat(np.cumsum(width) - width, width)
+    complete = np.array(complete)[record]
+    each, first = pa.array(record), pa.array(record, mask=column > 0)
+    file = pa.array(np.array(of_file)[record])
+    paths, encodings, delimiters = (pa.array(c, pa.string()).take(file) for c in zip(*files, strict=True))
+    return pa.RecordBatch.from_arrays([
+        paths, pa.array(row, pa.int32()).take(each), pa.array(column, pa.int32(), mask=~complete), pa.array(values, pa.string()), pa.array(raw, pa.string()).take(first), pa.array(start, pa.int32()).take(each),
+        encodings, delimiters, pa.array(complete), pa.array(issue, pa.string()).take(first),
+    ], names=["file", "row", "column", "value", "raw_record", "start_line", "encoding", "delimiter", "complete", "issue"])
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    files: list[tuple[str, str, str]] = []
+    records: list[Record] = []
+    values: list[str | None] = []
     for b in batches:
-        for path, content in zip(b.path, b.content, strict=True):
-            text, encoding = _decode(content)
+        for path, content in zip(b.column("path"), b.column("content"), strict=True):
+            path = path.as_py()
+            text, encoding = _decode(content.as_py())
             lines = _lines(text)
             delimiter, skip = _delimiter(text, lines, path)
             reader = csv.reader(lines[skip:], delimiter=delimiter, strict=True)
             issue = "encoding_fallback_cp1250" if encoding == "cp1250" else None
-            out, row, at = [], 0, skip
+            files.append((path, encoding, delimiter))
+            row, at = 0, skip
             try:
-                for record in reader:
+                for cells in reader:
                     end = skip + reader.line_num
-                    raw = "".join(lines[at:end])
-                    out += [(path, row, i, value, raw if i == 0 else None, at + 1, encoding, delimiter, True, issue if row == 0 and i == 0 else None) for i, value in enumerate(record)]
+                    if cells:
+                        records.append((len(files) - 1, row, lines[at] if end == at + 1 else "".join(lines[at:end]), at + 1, len(cells), True, None if row else issue))
+                        values += cells
                     row, at = row + 1, end
-                    if len(out) >= 5000:
-                        yield pd.DataFrame(out, columns=names)
-                        out = []
+                    if len(values) >= BATCH_CELLS:
+                        yield _cell_rows(files, records, values)
+                        files, records, values = files[-1:], [], []
             except csv.Error as bad:
-                out.append((path, row, None, None, "".join(lines[at:]), at + 1, encoding, delimiter, False, f"malformed_record: {bad}"))
-            if out:
-                yield pd.DataFrame(out, columns=names)
+                records.append((len(files) - 1, row, "".join(lines[at:]), at + 1, 1, False, f"malformed_record: {bad}"))
+                values.append(None)
+    if records:
+        yield _cell_rows(files, records, values)
 
 
 def delimited_cells(files: DataFrame) -> DataFrame:
     """A row for each cell of files (path, content); a record's text stands with its first cell; what can't be read is an issue with
     the whole rest of the file, complete being false."""
-    return files.select("path", "content").mapInPandas(_cells, CELLS)
+    return files.select("path", "content").mapInArrow(_cells, CELLS)
 
 
 def typed_observations(cells: DataFrame) -> DataFrame:

@@ -257,3 +257,16 @@ def test_files_are_written_under_their_last_names(spark, tmp_path):
     assert files.write_files(rows.limit(0)) == 0
     listed = files.content_digest(spark, str(tmp_path), 20)
     assert sorted(r.hash_status for r in listed.collect()) == ["complete"] * 20 + ["unknown_over_limit"] * 19  # Spark lists no empty file
+
+
+def test_cells_of_small_files_share_a_batch():
+    import pyarrow as pa
+
+    files = pa.table({"path": [f"{i}.csv" for i in range(50)], "content": [f"a;b\n\n{i};\"x\ny\"\n".encode() + (b'"z' if i == 7 else b"") for i in range(50)]})
+    (batch,) = delimited._cells(iter(files.to_batches(max_chunksize=20)))
+    got = [tuple(r.values()) for r in batch.to_pylist()]
+    want = []
+    for i in range(50):
+        want += [(f"{i}.csv", n, c, v, r if c == 0 else None, at, "utf-8", ";", True, None) for n, r, at, vs in ((0, "a;b\n", 1, "ab"), (2, f'{i};"x\ny"\n', 3, (str(i), "x\ny"))) for c, v in enumerate(vs)]
+        want += [("7.csv", 3, None, None, '"z', 5, "utf-8", ";", False, "malformed_record: unexpected end of data")] if i == 7 else []
+    assert got == want
