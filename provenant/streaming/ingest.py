@@ -14,6 +14,8 @@ from provenant.sources.messages import parse_sms_files
 
 #: Buckets of the events table. An export's events are in one bucket, so a batch looks up only the buckets of its exports.
 BUCKETS = 64
+#: Parts that a batch's rows of a bucket are dealt into by their export: so many tasks write a bucket, a file each.
+SLICES = 4
 PAYLOAD = ["event_type", "ts_start", "ts_end", "direction", "contact_label", "phone_or_address", "body"]
 
 
@@ -68,21 +70,25 @@ def stream_ingest(spark: SparkSession, inbox: str, events_path: str, conflicts_p
             return
         # elements of no known type have no id of their own: they are issues of the export, not events
         new = parse_sms_files(arrived).filter("external_id is not null").withColumn("artifact_id", F.xxhash64("file")).withColumn("source_id", F.xxhash64("file")).drop("issues")
-        new = new.withColumn("bucket", F.pmod("artifact_id", F.lit(BUCKETS)).cast("int"))
-        # of one key within the batch the first row leads; the others meet it as they meet what is known: equal, or in conflict
-        own = Window.partitionBy("artifact_id", "source_id", "event_type", "external_id").orderBy("file", "row", F.xxhash64(*PAYLOAD))
-        new = new.withColumn("place", F.row_number().over(own)).persist()
+        new = new.withColumn("bucket", F.pmod("artifact_id", F.lit(BUCKETS)).cast("int")).withColumn("slice", F.pmod(F.xxhash64("artifact_id"), F.lit(SLICES)).cast("int"))
+        # of one key within the batch the first row leads; the others meet it as they meet what is known: equal, or in conflict. Rows are dealt once, for the window and for the tasks that write
+        own = Window.partitionBy("bucket", "slice", "artifact_id", "source_id", "event_type", "external_id").orderBy("file", "row", F.xxhash64(*PAYLOAD))
+        new = new.repartition("bucket", "slice").withColumn("place", F.row_number().over(own)).persist()
         try:
-            first, later = new.filter("place = 1").drop("place"), new.filter("place > 1").drop("place")
-            buckets = sorted(r.bucket for r in new.select("bucket").distinct().collect())  # at most BUCKETS numbers
-            found = imported(spark, events_path, buckets=buckets)
-            known = first.limit(0).withColumn("id", F.lit(None).cast("bigint")) if found is None else found.drop("batch")
+            first, later = new.filter("place = 1").drop("place"), new.filter("place > 1").drop("place", "slice")
+            seen = new.groupBy("bucket").agg(F.max("place").alias("places")).collect()  # at most BUCKETS rows
+            found = imported(spark, events_path, buckets=sorted(r.bucket for r in seen))
+            known = first.drop("slice").limit(0).withColumn("id", F.lit(None).cast("bigint")) if found is None else found.drop("batch")
             met = upsert_events(first, known, PAYLOAD)
             added = met.filter("outcome = 'inserted'").drop("outcome", "known_id").withColumn("id", F.xxhash64("artifact_id", "external_id"))
-            added.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{events_path}/batch={batch}")
+            added.repartition("bucket", "slice").drop("slice").write.mode("overwrite").partitionBy("bucket").parquet(f"{events_path}/batch={batch}")
+            added = added.drop("slice")
             added = spark.read.schema(added.schema).parquet(f"{events_path}/batch={batch}").select(*added.columns)
-            again = upsert_events(later, known.select(*added.columns).unionByName(added), PAYLOAD)
-            met.unionByName(again).filter("outcome = 'conflict'").write.mode("overwrite").parquet(f"{conflicts_path}/batch={batch}")
+            odd = met.drop("slice").filter("outcome = 'conflict'")
+            if repeated := [r.bucket for r in seen if r.places > 1]:  # what was written is read again for buckets that hold a key twice, not for others
+                of = F.col("bucket").isin(repeated)
+                odd = odd.unionByName(upsert_events(later, known.select(*added.columns).filter(of).unionByName(added.filter(of)), PAYLOAD).filter("outcome = 'conflict'"))
+            odd.write.mode("overwrite").parquet(f"{conflicts_path}/batch={batch}")
             written = [r.bucket for r in added.select("bucket").distinct().collect()]
             _commit(spark, events_path, batch, sorted(written))
         finally:

@@ -33,6 +33,20 @@ def test_sms_backup(spark, tmp_path):
     assert [r.issues for r in rows if r.file.endswith("c.xml")] == [["unreadable_file"]]
 
 
+def test_small_exports_share_a_batch():
+    import pyarrow as pa
+
+    files = [(f"{i}.xml", SMS.encode()) for i in range(300)] + [("bad.xml", b"<smses><sms a='1'/></smses><sms/>"), ("other.xml", b"<note/>"), ("none.xml", b"<smses/>")]
+    given = pa.RecordBatch.from_arrays([pa.array([path for path, _ in files]), pa.array([content for _, content in files], pa.binary())], names=["path", "content"])
+    (found,) = messages._elements(iter([given.slice(0, 100), given.slice(100)]))
+    rows = found.to_pylist()
+    assert len(rows) == 300 * 5 + 2 and [r["row"] for r in rows[:5]] == [1, 2, 3, 4, 5] and rows[3]["tag"] == "smses/note" and dict(rows[0]["attrs"])["contact_name"] == "Ala"
+    assert rows[4]["parts"] == [{"ct": "text/plain", "text": "a"}, {"ct": "image/png", "text": "no"}, {"ct": "text/plain", "text": "b"}] and rows[0]["parts"] == []
+    assert [(r["file"], r["row"], r["attrs"]) for r in rows[-2:]] == [("bad.xml", None, None), ("other.xml", None, None)] and rows[-1]["error"] == "unsupported_root"
+    assert [b.num_rows for b in messages._elements(iter([given] * 7))] == [10_000, 514]
+
+
+
 CHAT = "preamble\n3/4/2024, 10:05 - Ala: hej\nciąg dalszy\n\n[13/12/2023, 01:02:03 PM] Jan: ok\n31/02/2024, 10:00 - x: y\n1/2/24, 12:00 a.m. - Ala: rok?\n5/5/2024, 13:15 PM - Ala: zle\n6/6/2024, 09:00 - joined"
 
 

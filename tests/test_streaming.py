@@ -164,3 +164,44 @@ def test_one_key_with_two_payloads_in_a_batch_is_a_conflict(spark, tmp_path, mon
     ingest.stream_ingest(spark, inbox, out, odd, state).awaitTermination(120)
     assert sorted(r.row for r in ingest.imported(spark, out).collect()) == [1, 2] and [r.row for r in ingest.conflicts(spark, out, odd).collect()].count(2) >= 1
     assert {r.row for r in ingest.conflicts(spark, out, odd).collect()} == {2}
+
+
+def test_what_a_batch_wrote_is_read_again_only_where_a_key_repeats(spark, tmp_path, monkeypatch):
+    inbox, out, odd, state = (str(tmp_path / x) for x in ("inbox", "events", "conflicts", "state"))
+    (tmp_path / "inbox").mkdir()
+    for name in "abcdefgh":
+        (tmp_path / "inbox" / f"{name}.xml").write_text(SMS.format(name))
+    met, upsert, real = [], ingest.upsert_events, ingest.parse_sms_files
+    monkeypatch.setattr(ingest, "upsert_events", lambda new, known, payload: met.append((new.count(), known.count())) or upsert(new, known, payload))
+    ingest.stream_ingest(spark, inbox, out, odd, state).awaitTermination(120)
+    assert met == [(16, 0)]
+    # again, with one row of one export a second time: equal rows are left, the other body is a conflict with what is known
+    monkeypatch.setattr(ingest, "parse_sms_files", lambda files: (one := real(files)).unionByName(one.filter("row = 2 and file like '%/c.xml'").withColumn("body", F.lit("other"))))
+    met.clear()
+    ingest.stream_ingest(spark, inbox, out, odd, str(tmp_path / "fresh")).awaitTermination(120)
+    assert met[0] == (16, 16) and len(met) == 2 and met[1][0] == 1 and met[1][1] < 16
+    assert ingest.imported(spark, out).count() == 16 and [(r.row, r.file[-5:]) for r in ingest.conflicts(spark, out, odd).collect()] == [(2, "c.xml")]
+
+
+def test_the_slice_of_a_row_is_not_stored(spark, tmp_path, monkeypatch):
+    inbox, out, odd, state = (str(tmp_path / x) for x in ("inbox", "events", "conflicts", "state"))
+    (tmp_path / "inbox").mkdir()
+    for i in range(40):
+        (tmp_path / "inbox" / f"{i}.xml").write_text(SMS.format(i))
+    names = []
+    upsert = ingest.upsert_events
+    monkeypatch.setattr(ingest, "upsert_events", lambda new, known, payload: names.append(set(new.columns) - set(known.columns)) or upsert(new, known, payload))
+    ingest.stream_ingest(spark, inbox, out, odd, state).awaitTermination(120)
+    assert names == [{"slice"}]
+    found = ingest.imported(spark, out)
+    assert found.count() == 80 and "slice" not in found.columns and "slice" not in ingest.conflicts(spark, out, odd).columns
+
+
+def test_the_inbox_of_k01_is_one_folder(spark, tmp_path, monkeypatch):
+    from provenant.plans import registry
+
+    seen, real = [], ingest.stream_ingest
+    monkeypatch.setattr(ingest, "stream_ingest", lambda s, inbox, *a: seen.append(inbox) or real(s, inbox, *a))
+    registry.queries()["k01_stream_ingest"](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 2 and len(set(seen)) == 1 and "*" not in seen[0]
+    assert all(f.is_file() for f in os.scandir(seen[0].removeprefix("file:")))
