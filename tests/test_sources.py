@@ -43,7 +43,12 @@ def test_small_exports_share_a_batch():
     assert len(rows) == 300 * 5 + 2 and [r["row"] for r in rows[:5]] == [1, 2, 3, 4, 5] and rows[3]["tag"] == "smses/note" and dict(rows[0]["attrs"])["contact_name"] == "Ala"
     assert rows[4]["parts"] == [{"ct": "text/plain", "text": "a"}, {"ct": "image/png", "text": "no"}, {"ct": "text/plain", "text": "b"}] and rows[0]["parts"] == []
     assert [(r["file"], r["row"], r["attrs"]) for r in rows[-2:]] == [("bad.xml", None, None), ("other.xml", None, None)] and rows[-1]["error"] == "unsupported_root"
-    assert [b.num_rows for b in messages._elements(iter([given] * 7))] == [10_000, 514]
+    assert [b.num_rows for b in messages._elements(iter([given] * 7))] == [10_002, 512]
+    long = f"<smses>{f'<sms body="{"x" * 500_000}"/>' * 20}</smses>".encode()  # large elements go in small batches
+    given = pa.RecordBatch.from_arrays([pa.array(["a.xml", "b.xml", "c.xml"]), pa.array([long] * 3, pa.binary())], names=["path", "content"])
+    assert [b.num_rows for b in messages._elements(iter([given]))] == [20, 20, 20]
+    given = pa.RecordBatch.from_arrays([pa.array(["a.xml"]), pa.array([long.replace(b"</smses>", b"") + long.removeprefix(b"<smses>")], pa.binary())], names=["path", "content"])
+    assert [b.num_rows for b in messages._elements(iter([given]))] == [20, 20]
 
 
 
