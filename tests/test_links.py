@@ -41,3 +41,21 @@ def test_first_links_need_few_observations_and_files(spark):
     observed, files = some(spark)
     for limit in (1, 7, 200, 100_000):
         assert rows(J.first_links(observed, files, limit), "observation_id", "file_id", "ambiguous", "limited") == rows(J.capped_links(plain(observed, files), limit), "observation_id", "file_id", "ambiguous", "limited")
+
+
+def test_cells_grow_where_tasks_do_not(spark, monkeypatch):
+    observed, files = some(spark)
+    for name, value in (("CELL", 5), ("TASK_PAIRS", 100), ("TASKS", 6), ("RUN", 7), ("SOME", 3)):
+        monkeypatch.setattr(J, name, value)
+    found = J.candidate_links(observed, files)
+    assert found.rdd.getNumPartitions() <= 6
+    assert rows(found, "observation_id", "file_id", "ambiguous") == rows(plain(observed, files), "observation_id", "file_id", "ambiguous")
+
+
+def test_a_file_of_links_takes_few_bytes_a_link(spark, tmp_path):
+    recordings = spark.range(1_501).select(F.col("id").alias("recording_id"), F.lit("x").alias("recording_name"))
+    files = spark.range(1_501).select((F.col("id") * 3).alias("uri"), F.lit("x").alias("name"))
+    J.recording_candidates(recordings, files).select("recording_id", "uri").write.parquet(str(tmp_path / "links"))
+    found = spark.read.parquet(str(tmp_path / "links"))
+    assert (found.count(), found.distinct().count()) == (1_501 * 1_501, 1_501 * 1_501)
+    assert sum(f.stat().st_size for f in (tmp_path / "links").glob("*.parquet")) < 0.3 * 1_501 * 1_501  # it was more than a byte
